@@ -11,9 +11,7 @@ KV_DDL = "key string, value string"
 DIALECTS = ("standard", "value_only", "skip_blank", "trim_split", "trim_split_reduce")
 
 # What a script language's trim() removes, as a Java regex class.
-_TRIM_CLASS = (
-    r"[\t-\r    -     　﻿]"
-)
+_TRIM_CLASS = r"[\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 # The line ends a text reader recognises.
 _LINE_END = r"\r\n|\r|\n"
 
