@@ -2,37 +2,37 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kvflow.functions.records import to_kv
 
 
-def _folder(path: Column) -> Column:
-    return F.regexp_replace(path, "/[^/]*$", "")
+def _plain(path: Column) -> Column:
+    """A path without scheme and host."""
+    return F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
 
 
-def _is_input(path: Column, root: str) -> Column:
-    """A file itself, or a visible file directly inside the folder ``root``."""
-    root = root.rstrip("/")
-    bare = F.regexp_replace(path, "^[a-z][a-z0-9+.-]*:(//[^/]*)?", "")
-    plain_root = F.regexp_replace(F.lit(root), "^[a-z][a-z0-9+.-]*:(//[^/]*)?", "")
+def _is_input(path: Column, root: str | list[str]) -> Column:
+    """A file named itself, or a visible file directly inside the folder ``root``."""
+    if not isinstance(root, str):
+        return F.lit(True)
+    bare, wanted = _plain(path), _plain(F.lit(root.rstrip("/")))
     visible = ~F.substring_index(bare, "/", -1).rlike("^[._]")
-    return (bare == plain_root) | ((_folder(bare) == plain_root) & visible)
+    return (bare == wanted) | ((F.regexp_replace(bare, "/[^/]*$", "") == wanted) & visible)
 
 
-def list_inputs(spark: SparkSession, path: str) -> DataFrame:
+def list_inputs(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(path, length)`` of the input files at ``path``; no content is read."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-        .select("path", "length")
-    )
-    return files.filter(_is_input(F.col("path"), path))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "length").filter(_is_input(F.col("path"), path))
 
 
-def read_lines(spark: SparkSession, path: str, line_sep: str | None = None) -> DataFrame:
+def read_lines(
+    spark: SparkSession, path: str | list[str], line_sep: str | None = None
+) -> DataFrame:
     """One row per line: ``value`` and the file's metadata."""
     reader = spark.read.option("recursiveFileLookup", "true")
     if line_sep is not None:
@@ -43,7 +43,7 @@ def read_lines(spark: SparkSession, path: str, line_sep: str | None = None) -> D
 
 def read_kv(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     sep: str = "\t",
     dialect: str = "standard",
     num_key_fields: int = 1,
@@ -79,7 +79,7 @@ def _count_in_split(batches):
         )
 
 
-def _lines_with_place(spark: SparkSession, path: str) -> DataFrame:
+def _lines_with_place(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines with their file and split; bytes count the newline that ended them."""
     return read_lines(spark, path, line_sep="\n").select(
         F.col("_metadata.file_path").alias("file"),
@@ -89,7 +89,7 @@ def _lines_with_place(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def concat_files(spark: SparkSession, path: str) -> DataFrame:
+def concat_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(file, line_no, line, byte_offset)`` over the files at ``path`` one after the other.
 
     Files follow each other by name. Each split counts its own lines as they are read; only the
@@ -114,8 +114,8 @@ def concat_files(spark: SparkSession, path: str) -> DataFrame:
     by_name = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     files = (
         list_inputs(spark, path)
-        .select(_uri_path(F.col("path")).alias("_name"), "length")
-        .join(counts.withColumn("_name", _uri_path(F.col("file"))), "_name")
+        .select(_plain(F.col("path")).alias("_name"), "length")
+        .join(counts.withColumn("_name", _plain(F.col("file"))), "_name")
         .select(
             "file",
             F.coalesce(F.sum("file_lines").over(by_name), F.lit(0)).alias("lines_before"),
@@ -140,11 +140,6 @@ def concat_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _uri_path(path: Column) -> Column:
-    """A path without scheme and host, percent escapes resolved as file listings show them."""
-    return F.regexp_replace(path, "^[a-z][a-z0-9+.-]*:(//[^/]*)?", "")
-
-
 def _without_dots(path: Column) -> Column:
     """A path with its ``.`` and ``..`` steps taken."""
     def step(done, part):
