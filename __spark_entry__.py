@@ -697,20 +697,24 @@ def all_pages(spark, sf_dir):
     return paging.PagedLines(docs, ["doc_id"]).lines().select("doc_id", "byte_offset", "page")
 
 
-@query("l1_read_page", f"SELECT doc_id, byte_offset, page, text FROM {PAGES_SQL} JOIN documents USING (doc_id) WHERE page = 2")
+@query(
+    "l1_read_page",
+    f"""SELECT doc_id, byte_offset, CAST(2 AS BIGINT) AS page, text FROM {PAGES_SQL} JOIN documents USING (doc_id)
+    WHERE byte_offset // 131072 = 1""",
+)
 def read_page(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return paging.read_page(docs, 2, ["doc_id"])
+    return paging.read_page(docs, 2, ["doc_id"], page_size=131_072)
 
 
 @query(
     "l1_read_file_page",
     f"""SELECT line, byte_offset FROM (
         SELECT line, CAST(sum(strlen(line) + 1) OVER (ORDER BY doc_id, line_no) - strlen(line) - 1 AS BIGINT) AS byte_offset
-        FROM {LINES_SQL}) WHERE byte_offset // 524288 = 1""",
+        FROM {LINES_SQL}) WHERE byte_offset // 131072 = 1""",
 )
 def read_file_page(spark, sf_dir):
-    return paging.read_file_page(spark, ordered_line_files(spark, sf_dir), 2).select("line", "byte_offset")
+    return paging.read_file_page(spark, ordered_line_files(spark, sf_dir), 2, page_size=131_072).select("line", "byte_offset")
 
 
 @query(
@@ -808,7 +812,7 @@ def f_split_char(spark, sf_dir):
 
 _MANY_TEXT = "concat(p_name, ';;', p_type, CASE p_partkey % 3 WHEN 0 THEN ',x' WHEN 1 THEN ',xy' ELSE ',' END)"
 _MANY_SQL = f"""SELECT p_partkey, array_to_string({{}}, '|') AS tokens FROM (
-    SELECT p_partkey, list_filter(regexp_split_to_array({_MANY_TEXT}, '[,; ]'), x -> x <> '') AS t FROM part)"""
+    SELECT p_partkey, list_filter(regexp_split_to_array({_MANY_TEXT}, '[,; ]'), lambda x: x <> '') AS t FROM part)"""
 
 
 def _split_many(legacy: bool) -> Query:
@@ -970,7 +974,7 @@ ADMISSION_SQL = """WITH RECURSIVE asked AS (
         SELECT user_id, rn, event_id, len(kept) < 2 AS accepted,
             CASE WHEN len(kept) < 2 THEN list_append(kept, t) ELSE kept END AS live
         FROM (SELECT a.user_id, a.rn, a.event_id, a.t,
-                list_filter(w.live, x -> x >= a.t - 86400000000) AS kept
+                list_filter(w.live, lambda x: x >= a.t - 86400000000) AS kept
             FROM walk w JOIN asked a ON a.user_id = w.user_id AND a.rn = w.rn + 1))
     SELECT event_id, accepted FROM walk"""
 
@@ -1073,7 +1077,7 @@ def admit_from_stream(spark, sf_dir):
         "pathGlobFilter", "events*.parquet"
     ).parquet(sf_dir)
     decided = admit_stream(
-        events.select("event_id", "user_id", "ts"), "user_id", "ts", attempts=2, minutes=1440, order_by=["event_id"]
+        events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", "ts", attempts=2, minutes=1440, order_by=["event_id"]
     )
     out = scratch_path(spark, "t1")
     stream = (

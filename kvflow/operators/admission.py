@@ -86,7 +86,7 @@ def _first_pass(attempts: int, window: int):
         walker = _PartitionWalk(attempts, window)
         held = None
 
-        def finish(batch, decided, last):
+        def finish(batch, times, decided, last):
             n = batch.num_rows
             edge = np.zeros(n, dtype=bool)
             edge[-1] = last
@@ -94,9 +94,9 @@ def _first_pass(attempts: int, window: int):
             if last:
                 state[-1] = None if walker.open else list(walker.accepted)
             return pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(decided, pa.bool_()), pa.array(edge),
+                [*batch.columns, times, pa.array(decided, pa.bool_()), pa.array(edge),
                  pa.array(state, pa.list_(pa.int64()))],
-                names=[*batch.schema.names, "accepted", "_last", "_state"],
+                names=[*batch.schema.names, "_time", "accepted", "_last", "_state"],
             )
 
         for batch in batches:
@@ -105,8 +105,9 @@ def _first_pass(attempts: int, window: int):
             if held is not None:
                 yield finish(*held, False)
             users = batch.column("_user").to_pylist()
-            times = batch.column("_time").to_pylist()
-            held = (batch, [walker.step(u, t) for u, t in zip(users, times)])
+            # microseconds, whether the column has a time zone or not
+            times = batch.column("_ts").cast(pa.int64())
+            held = (batch, times, [walker.step(u, t) for u, t in zip(users, times.to_pylist())])
         if held is not None:
             yield finish(*held, True)
 
@@ -174,11 +175,12 @@ def admit(
         return df.withColumn("accepted", F.lit(True))
     spark, window = df.sparkSession, window_micros(minutes)
     columns = df.columns
-    rows = df.withColumn("_user", F.col(user).cast("string")).withColumn("_time", F.unix_micros(ts))
-    rows = ordered_table(rows, ["_user", "_time", *(order_by or [])], partitions)
+    rows = df.withColumn("_user", F.col(user).cast("string")).withColumn("_ts", F.col(ts))
+    rows = ordered_table(rows, ["_user", "_ts", *(order_by or [])], partitions)
     path = scratch_path(spark, "admission")
     rows.mapInArrow(
-        _first_pass(attempts, window), f"{_ddl(rows)}, accepted boolean, _last boolean, _state array<bigint>"
+        _first_pass(attempts, window),
+        f"{_ddl(rows)}, _time bigint, accepted boolean, _last boolean, _state array<bigint>",
     ).write.parquet(path)
     table = spark.read.parquet(path)
 

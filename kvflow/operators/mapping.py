@@ -48,8 +48,8 @@ def write_rows(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBa
         yield batch()
 
 
-def combined(pairs: Iterable[tuple], combiner: Combiner) -> Iterator[tuple]:
-    """Fold pairs of one task per key, in bounded memory.
+def combined(pairs: Iterable[tuple], combiner: Combiner, records: Callable) -> Iterator[tuple]:
+    """Fold pairs of one task per key, in bounded memory; ``records`` as from ``emitter``.
 
     Folded pairs stay in hand while there are few keys, so a key that fills the task leaves it
     as one pair; with many keys they are passed on.
@@ -61,7 +61,7 @@ def combined(pairs: Iterable[tuple], combiner: Combiner) -> Iterator[tuple]:
         out: dict = {}
         n = 0
         for key, values in groups.items():
-            for k, v in combiner(key, iter(values)):
+            for k, v in records(combiner(key, iter(values))):
                 out.setdefault(k, []).append(v)
                 n += 1
         return out, n
@@ -125,7 +125,7 @@ def map_kv(
 
         pairs = emitted()
         if combiner is not None:
-            pairs = combined(pairs, combiner)
+            pairs = combined(pairs, combiner, records)
         yield from write_rows(pairs, arrow_schema)
 
     return kv.select("key", "value").mapInArrow(task, schema)
@@ -135,9 +135,10 @@ def combine_kv(kv: DataFrame, combiner: Combiner) -> DataFrame:
     """Fold equal keys inside each task, so that a hot key is small before it is shuffled."""
     schema = f"key string, value {kv.schema['value'].dataType.simpleString()}"
     arrow_schema = to_arrow_schema(T.StructType.fromDDL(schema))
+    records = emitter(schema, "\t", 1)
 
     def task(batches):
-        yield from write_rows(combined(read_pairs(batches), combiner), arrow_schema)
+        yield from write_rows(combined(read_pairs(batches), combiner, records), arrow_schema)
 
     return kv.select("key", "value").mapInArrow(task, schema)
 

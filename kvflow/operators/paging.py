@@ -132,8 +132,8 @@ def _lines_between(spark: SparkSession, path: str, files: DataFrame, low: int, h
     first = min(row["start"] for row in needed)
     # names only, a page's worth of files
     lines = concat_files(spark, [row["path"] for row in needed])
-    offset = F.col("byte_offset") + F.lit(first)
-    return lines.withColumn("byte_offset", offset).filter(offset.between(low, high - 1))
+    placed = lines.withColumn("byte_offset", F.col("byte_offset") + F.lit(first))
+    return placed.filter(F.col("byte_offset").between(low, high - 1))
 
 
 def _trim(order_by: list[str], cap: int):

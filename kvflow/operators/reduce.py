@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
 from operator import itemgetter
 
@@ -86,29 +86,18 @@ def reduce_group(
     if combiner is not None:
         kv = combine_kv(kv, combiner)
     names = T.StructType.fromDDL(schema).fieldNames()
+    records = emitter(schema, "\t", 1)
 
     def group(key: tuple, frames):
-        rows = list(fn(key[0], (frame["value"] for frame in frames)))
+        rows = list(records(fn(key[0], (frame["value"] for frame in frames))))
         yield pd.DataFrame(rows, columns=names)
 
-    # the type hints tell Spark to hand the group over batch by batch
-    group.__annotations__ = {
-        "key": tuple[object, ...],
-        "frames": _BATCHES,
-        "return": _BATCHES,
-    }
+    # these hints tell Spark to hand the group over batch by batch
+    frames = Iterator[pd.DataFrame]
+    group.__annotations__ = {"key": tuple[object, ...], "frames": frames, "return": frames}
     return kv.select("key", "value").groupBy("key").applyInPandas(group, schema)
 
 
-def _batches_hint():
-    from collections.abc import Iterator
-
-    return Iterator[pd.DataFrame]
-
-
-_BATCHES = _batches_hint()
-
-
 def reduce_agg(kv: DataFrame, **aggs: Column) -> DataFrame:
     """Reduce by native aggregates, which fold equal keys before and after the shuffle."""
     if not aggs:

@@ -15,6 +15,12 @@ def _plain(path: Column) -> Column:
     return F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
 
 
+def _file_path() -> Column:
+    """The path of the file a row was read from, as listings show it."""
+    encoded = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+    return F.url_decode(encoded)
+
+
 def _is_input(path: Column, root: str | list[str]) -> Column:
     """A file named itself, or a visible file directly inside the folder ``root``."""
     if not isinstance(root, str):
@@ -38,7 +44,7 @@ def read_lines(
     if line_sep is not None:
         reader = reader.option("lineSep", line_sep)
     lines = reader.text(path).select("value", "_metadata")
-    return lines.filter(_is_input(F.col("_metadata.file_path"), path))
+    return lines.filter(_is_input(_file_path(), path))
 
 
 def read_kv(
@@ -82,7 +88,7 @@ def _count_in_split(batches):
 def _lines_with_place(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines with their file and split; bytes count the newline that ended them."""
     return read_lines(spark, path, line_sep="\n").select(
-        F.col("_metadata.file_path").alias("file"),
+        _file_path().alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.col("value").alias("line"),
         (F.octet_length("value") + 1).cast("bigint").alias("n_bytes"),

@@ -19,8 +19,8 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 class _Admission(StatefulProcessor):
     """State of a user: the latest accepted times, as many as there are attempts."""
 
-    def __init__(self, ts: str, order_by: list[str], attempts: int, window: int):
-        self.ts, self.order_by = ts, order_by
+    def __init__(self, order_by: list[str], attempts: int, window: int):
+        self.order_by = order_by
         self.attempts, self.window = attempts, window
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -29,8 +29,8 @@ class _Admission(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         frame = pd.concat(list(rows), ignore_index=True)
-        frame = frame.sort_values([self.ts, *self.order_by], kind="stable", ignore_index=True)
-        times = frame[self.ts].astype("datetime64[us]").astype("int64").tolist()
+        frame = frame.sort_values(["kv_micros", *self.order_by], kind="stable", ignore_index=True)
+        times = frame.pop("kv_micros").tolist()
         known = [row[0] for row in self.times.get()] if self.times.exists() else []
         accepted = deque(known, maxlen=self.attempts)
         frame["accepted"] = walk(times, accepted, self.window)
@@ -66,9 +66,10 @@ def admit_stream(
     store (``STATE_STORE``).
     """
     schema = T.StructType([*sdf.schema.fields, T.StructField("accepted", T.BooleanType())])
-    processor = _Admission(ts, list(order_by or []), attempts, window_micros(minutes))
+    processor = _Admission(list(order_by or []), attempts, window_micros(minutes))
     return (
-        sdf.withWatermark(ts, lateness)
+        sdf.withColumn("kv_micros", F.unix_micros(ts))
+        .withWatermark(ts, lateness)
         .groupBy(F.col(user))
         .transformWithStateInPandas(
             statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="eventTime",
