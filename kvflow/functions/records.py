@@ -120,15 +120,18 @@ def split_record(line: str, sep: str, num_key_fields: int) -> tuple[str, str]:
     return sep.join(parts[:num_key_fields]), parts[num_key_fields]
 
 
-def emitted_records(key, value, sep: str, num_key_fields: int):
-    """The records one emitted Python pair is read back as."""
-    if key is None and value is None:
-        return
-    key = "" if key is None else str(key)
-    value = "" if value is None else str(value)
-    plain = num_key_fields == 1 and sep not in key
-    if plain and "\n" not in key and "\r" not in key and "\n" not in value and "\r" not in value:
-        yield key, value
-        return
-    for line in re.split(_LINE_END, key + sep + value):
-        yield split_record(line, sep, num_key_fields)
+def emitted_records(pairs, sep: str, num_key_fields: int):
+    """The records that emitted Python pairs are read back as."""
+    for key, value in pairs or ():
+        if key is None and value is None:
+            continue
+        if type(key) is not str:
+            key = "" if key is None else str(key)
+        if type(value) is not str:
+            value = "" if value is None else str(value)
+        split = sep in key or num_key_fields > 1
+        if split or "\n" in key or "\r" in key or "\n" in value or "\r" in value:
+            for line in re.split(_LINE_END, key + sep + value):
+                yield split_record(line, sep, num_key_fields)
+        else:
+            yield key, value

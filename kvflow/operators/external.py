@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import queue
 import re
@@ -22,7 +23,8 @@ from kvflow.operators.shuffle import shuffle
 
 LOG_DDL = "task_id bigint, seq bigint, channel string, line string"
 PIPE_BUFFER = 131_072  # fixed value: bytes buffered towards the program
-_CHUNK = 4_096  # lines handed on together
+_CHUNK = 4_096  # lines handed on together, fewer if they are long
+_CHUNK_CHARS = 1 << 20
 
 
 class ProgramFailed(RuntimeError):
@@ -42,10 +44,9 @@ def program_env(params: dict | None = None, extra: str | None = None) -> dict[st
 
 def _pump(stream, channel: str, out: queue.Queue, stop: threading.Event) -> None:
     """Pass a program's lines on in chunks, then its end."""
-    import io
-
     lines = io.TextIOWrapper(stream, encoding="utf-8", errors="replace", newline=None)
     chunk: list[str] = []
+    chars = 0
 
     def put(item):
         while not stop.is_set():
@@ -56,9 +57,10 @@ def _pump(stream, channel: str, out: queue.Queue, stop: threading.Event) -> None
 
     for line in lines:
         chunk.append(line[:-1] if line.endswith("\n") else line)
-        if len(chunk) >= _CHUNK:
+        chars += len(line)
+        if len(chunk) >= _CHUNK or chars >= _CHUNK_CHARS:
             put((channel, chunk))
-            chunk = []
+            chunk, chars = [], 0
     put((channel, chunk))
     put((channel, None))
 

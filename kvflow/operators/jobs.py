@@ -134,4 +134,6 @@ def find(df: DataFrame, wanted, id_col: str = "id") -> DataFrame:
 def find_many(df: DataFrame, wanted: DataFrame, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
     """The rows of many ids, and the ids that no row has."""
     ids = wanted.select(F.col(wanted.columns[0]).alias(id_col)).distinct()
-    return df.join(ids, id_col, "left_semi"), ids.join(df.select(id_col), id_col, "left_anti")
+    found = df.join(ids, id_col, "left_semi")
+    # one row per id on the right, so that an id with very many rows does not weigh on one task
+    return found, ids.join(found.select(id_col).distinct(), id_col, "left_anti")

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from kvflow.functions.records import KV_DDL, emitted_records
+from kvflow.session import spread_small
 
 Mapper = Callable[[str, str], Iterable[tuple]]
 Combiner = Callable[[str, Iterable], Iterable[tuple]]
@@ -18,8 +19,9 @@ Combiner = Callable[[str, Iterable], Iterable[tuple]]
 # Rows and characters a task gathers before it hands a batch back to Spark.
 OUT_ROWS = 16_384
 OUT_CHARS = 8 << 20
-# Pairs a task holds for its combiner before it folds them.
+# Pairs, and characters of text in them, a task holds for its combiner before it folds them.
 COMBINE_ROWS = 100_000
+COMBINE_CHARS = 64 << 20
 
 
 def read_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -55,28 +57,37 @@ def combined(pairs: Iterable[tuple], combiner: Combiner, records: Callable) -> I
     as one pair; with many keys they are passed on.
     """
     groups: dict = {}
-    held = 0
+    held = chars = 0
+
+    def size(value):
+        return len(value) if isinstance(value, str) else 8
 
     def fold():
         out: dict = {}
-        n = 0
+        n = total = 0
         for key, values in groups.items():
             for k, v in records(combiner(key, iter(values))):
                 out.setdefault(k, []).append(v)
                 n += 1
-        return out, n
+                total += size(k) + size(v)
+        return out, n, total
 
     for key, value in pairs:
-        groups.setdefault(key, []).append(value)
+        if key in groups:
+            groups[key].append(value)
+        else:
+            groups[key] = [value]
+            chars += size(key)
         held += 1
-        if held >= COMBINE_ROWS:
-            groups, held = fold()
-            if held > COMBINE_ROWS // 2:
+        chars += size(value)
+        if held >= COMBINE_ROWS or chars >= COMBINE_CHARS:
+            groups, held, chars = fold()
+            if held > COMBINE_ROWS // 2 or chars > COMBINE_CHARS // 2:
                 for k, values in groups.items():
                     for v in values:
                         yield k, v
-                groups, held = {}, 0
-    groups, held = fold()
+                groups, held, chars = {}, 0, 0
+    groups, held, chars = fold()
     for k, values in groups.items():
         for v in values:
             yield k, v
@@ -84,16 +95,9 @@ def combined(pairs: Iterable[tuple], combiner: Combiner, records: Callable) -> I
 
 def emitter(schema: str, sep: str, num_key_fields: int):
     """How a function's pairs become records: as text read back, or as typed rows."""
-    as_text = schema == KV_DDL
-
-    def records(pairs):
-        for pair in pairs or ():
-            if as_text:
-                yield from emitted_records(pair[0], pair[1], sep, num_key_fields)
-            else:
-                yield tuple(pair)
-
-    return records
+    if schema == KV_DDL:
+        return lambda pairs: emitted_records(pairs, sep, num_key_fields)
+    return lambda pairs: map(tuple, pairs or ())
 
 
 def map_kv(
@@ -114,7 +118,9 @@ def map_kv(
     if map_tasks is not None:
         if map_tasks < 1:
             raise ValueError("a job has at least one map task")
-        kv = kv.repartition(map_tasks)
+        kv = kv.select("key", "value").repartition(map_tasks)
+    else:
+        kv = spread_small(kv.select("key", "value"))
     arrow_schema = to_arrow_schema(T.StructType.fromDDL(schema))
     records = emitter(schema, sep, num_key_fields)
 
@@ -128,7 +134,7 @@ def map_kv(
             pairs = combined(pairs, combiner, records)
         yield from write_rows(pairs, arrow_schema)
 
-    return kv.select("key", "value").mapInArrow(task, schema)
+    return kv.mapInArrow(task, schema)
 
 
 def combine_kv(kv: DataFrame, combiner: Combiner) -> DataFrame:
@@ -145,7 +151,7 @@ def combine_kv(kv: DataFrame, combiner: Combiner) -> DataFrame:
 
 def map_expr(kv: DataFrame, expr: Callable[[Column, Column], Column]) -> DataFrame:
     """Map by a column expression returning ``array<struct<key, value>>``; no Python per row."""
-    pairs = kv.select(F.inline(expr(F.col("key"), F.col("value"))))
+    pairs = spread_small(kv).select(F.inline(expr(F.col("key"), F.col("value"))))
     return pairs.select(pairs[pairs.columns[0]].alias("key"), pairs[pairs.columns[1]].alias("value"))
 
 

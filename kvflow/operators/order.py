@@ -5,16 +5,19 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvflow.functions.text import numeric_order
+from kvflow.operators.shuffle import sort_here
 from kvflow.session import scratch_path
 
 _ROW_MASK = (1 << 33) - 1  # monotonically_increasing_id keeps the row number in its low 33 bits
 
 
-def ordered_table(df: DataFrame, order_by: list[str], partitions: int | None = None) -> DataFrame:
+def ordered_table(
+    df: DataFrame, order_by: list[Column | str], partitions: int | None = None
+) -> DataFrame:
     """``df`` in ranges of ``order_by``, sorted, with the range's number and the row's place in it.
 
     Rows that tie are spread by their place in the input, so ranges stay even when one key fills
@@ -23,9 +26,9 @@ def ordered_table(df: DataFrame, order_by: list[str], partitions: int | None = N
     """
     spread = df.withColumn("_spread", F.monotonically_increasing_id())
     count = () if partitions is None else (partitions,)
+    moved = spread.repartitionByRange(*count, *order_by, "_spread")
     return (
-        spread.repartitionByRange(*count, *order_by, "_spread")
-        .sortWithinPartitions(*order_by, "_spread")
+        sort_here(moved, [*order_by, "_spread"])
         .drop("_spread")
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_MASK)))
@@ -92,8 +95,8 @@ class OrderedTotals:
     def __init__(
         self,
         df: DataFrame,
-        order_by: list[str],
-        weight=None,
+        order_by: list[Column | str],
+        weight: Column | None = None,
         group_by: list[str] | None = None,
         partitions: int | None = None,
     ):
@@ -161,12 +164,8 @@ def total_order(
     partitions: int | None = None,
 ) -> DataFrame:
     """The rows with their 1-based position in key order, ties broken by the other columns."""
-    columns = kv.columns
-    rest = [c for c in columns if c != key]
-    order = [key, *rest]
+    order: list[Column | str] = [key, *(c for c in kv.columns if c != key)]
     if numeric:
-        approx, exact, _ = numeric_order(key)
-        kv = kv.withColumns({"_n0": approx, "_n1": exact})
-        order = ["_n0", "_n1", *order]
+        order = [*numeric_order(key)[:2], *order]
     ranked = OrderedTotals(kv, order, partitions=partitions).running("_before")
-    return ranked.select(*columns, (F.col("_before") + 1).alias(name))
+    return ranked.select(*kv.columns, (F.col("_before") + 1).alias(name))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from itertools import groupby
+from itertools import groupby, islice
 from operator import itemgetter
 
 import pandas as pd
@@ -14,18 +14,25 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from kvflow.functions import text
 from kvflow.functions.records import KV_DDL
-from kvflow.operators.mapping import Combiner, combine_kv, emitter, read_pairs, write_rows
+from kvflow.operators.mapping import (
+    OUT_ROWS,
+    Combiner,
+    combine_kv,
+    emitter,
+    read_pairs,
+    write_rows,
+)
 from kvflow.operators.shuffle import shuffle
 
 Reducer = Callable[[str, Iterable], Iterable[tuple]]
 
 _VALUE_TYPES = {
-    "string": ("string", text.to_text),
-    "int": ("int", text.parse_int),
-    "long": ("bigint", text.parse_long),
-    "float": ("float", text.parse_float),
-    "double": ("double", text.parse_double),
-    "bool": ("boolean", text.parse_bool),
+    "string": text.to_text,
+    "int": text.parse_int,
+    "long": text.parse_long,
+    "float": text.parse_float,
+    "double": text.parse_double,
+    "bool": text.parse_bool,
 }
 
 
@@ -33,8 +40,7 @@ def typed_values(kv: DataFrame, value_type: str) -> DataFrame:
     """The pairs with their value text parsed as ``value_type``."""
     if value_type not in _VALUE_TYPES:
         raise ValueError(f"unknown value type {value_type!r}; known: {', '.join(_VALUE_TYPES)}")
-    _, parse = _VALUE_TYPES[value_type]
-    return kv.select("key", parse("value").alias("value"))
+    return kv.select("key", _VALUE_TYPES[value_type]("value").alias("value"))
 
 
 def reduce_kv(
@@ -89,8 +95,9 @@ def reduce_group(
     records = emitter(schema, "\t", 1)
 
     def group(key: tuple, frames):
-        rows = list(records(fn(key[0], (frame["value"] for frame in frames))))
-        yield pd.DataFrame(rows, columns=names)
+        rows = records(fn(key[0], (frame["value"] for frame in frames)))
+        while part := list(islice(rows, OUT_ROWS)):
+            yield pd.DataFrame(part, columns=names)
 
     # these hints tell Spark to hand the group over batch by batch
     frames = Iterator[pd.DataFrame]

@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 from kvflow.functions.text import numeric_order
 
-_SORT_COLUMNS = ("_n0", "_n1")
+
+def sort_here(df: DataFrame, order: list[Column | str]) -> DataFrame:
+    """Sort inside partitions, computing each sort expression once per row and not per comparison."""
+    made = {f"_sort{i}": c for i, c in enumerate(order) if not isinstance(c, str)}
+    names = [f"_sort{i}" if f"_sort{i}" in made else c for i, c in enumerate(order)]
+    return df.withColumns(made).sortWithinPartitions(*names).drop(*made)
 
 
 def shuffle(
@@ -25,19 +30,13 @@ def shuffle(
     """
     if reduce_tasks is not None and reduce_tasks < 1:
         raise ValueError("a job has at least one reduce task")
-    columns = kv.columns
-    order: list[Column | str] = ["key"]
-    if numeric:
-        approx, exact, _ = numeric_order("key")
-        kv = kv.withColumns({_SORT_COLUMNS[0]: approx, _SORT_COLUMNS[1]: exact})
-        order = [*_SORT_COLUMNS, "key"]
+    order: list[Column | str] = [*(numeric_order("key")[:2] if numeric else ()), "key"]
     if value_order:
         order.append(value_order)
 
     count = () if reduce_tasks is None else (reduce_tasks,)
     if whole_keys:
-        moved = kv.repartition(*count, "key")
-    else:
-        spread = kv.withColumn("_spread", F.monotonically_increasing_id())
-        moved = spread.repartitionByRange(*count, *order, "_spread")
-    return moved.sortWithinPartitions(*order).select(*columns)
+        return sort_here(kv.repartition(*count, "key"), order)
+    spread = kv.withColumn("_spread", F.monotonically_increasing_id())
+    moved = spread.repartitionByRange(*count, *order, "_spread").drop("_spread")
+    return sort_here(moved, order)

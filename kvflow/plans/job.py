@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,9 +127,10 @@ def preview_job(
 
     def run(phase: str, build: Callable[[], DataFrame]) -> DataFrame | None:
         path = scratch_path(spark, f"preview-{phase}")
+        output = build()
         try:
-            build().write.parquet(path)
-        except Exception as error:  # the user's function failed: an outcome, not our error
+            output.write.parquet(path)
+        except (PySparkException, Py4JError) as error:  # the user's code failed: an outcome
             phases.append((phase, 1, 0, str(error)))
             return None
         out = spark.read.parquet(path)

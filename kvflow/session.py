@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
 
@@ -45,6 +45,22 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[app]
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """Spark's own estimate of a table's size, taken from file sizes; nothing is run."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Share a table over all cores if it is too small for its file splits to do so.
+
+    A table that fills a split per core stays as it is, so large inputs are never moved here.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
+    return df.repartition(cores) if plan_bytes(df) < cores * split else df
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder."""
     return f"{shared_dir(spark)}/kvflow/{label}-{uuid.uuid4().hex}"

@@ -58,6 +58,10 @@ def read_kv(
     return to_kv(read_lines(spark, path).select("value"), "value", sep, num_key_fields, dialect)
 
 
+# Splits whose starts may be broadcast, about 100 bytes each; more of them are joined by shuffle.
+_MAX_BROADCAST_SPLITS = 1_000_000
+
+
 def _count_in_split(batches):
     """Add line number and byte offset since the start of the row's file split."""
     split, lines, total = None, 0, 0
@@ -95,6 +99,13 @@ def _lines_with_place(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
+def _split_count(spark: SparkSession, path: str | list[str]) -> int:
+    """A bound on the number of file splits a scan of ``path`` is cut into."""
+    size = list_inputs(spark, path).agg(F.sum("length").alias("bytes"), F.count("*").alias("n")).first()
+    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
+    return (size["bytes"] or 0) // split + size["n"] + spark.sparkContext.defaultParallelism
+
+
 def concat_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(file, line_no, line, byte_offset)`` over the files at ``path`` one after the other.
 
@@ -133,6 +144,8 @@ def concat_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
         (F.col("lines_before") + F.col("file_line")).alias("first_line"),
         (F.col("bytes_before") + F.col("file_offset")).alias("first_offset"),
     )
+    if _split_count(spark, path) <= _MAX_BROADCAST_SPLITS:
+        starts = F.broadcast(starts)
     # both scans must have been cut at the same places; a missing start would mean they were not
     joined = placed.join(starts, ["file", "block"], "left")
     first = F.coalesce(
