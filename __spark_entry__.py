@@ -20,7 +20,7 @@ from kvflow.operators import admission, external, jobs, logs, mapping, naming, o
 from kvflow.operators import reduce as reducing  # noqa: E402
 from kvflow.operators.shuffle import shuffle  # noqa: E402
 from kvflow.plans.job import Native, preview_job, run_job  # noqa: E402
-from kvflow.session import scratch_path  # noqa: E402
+from kvflow.session import scratch_path, spread_small  # noqa: E402
 from kvflow.sources import files, sinks  # noqa: E402
 from kvflow.streaming.admission import STATE_STORE, admit_stream  # noqa: E402
 
@@ -362,7 +362,7 @@ def map_words_native(spark, sf_dir):
 @query("m3_map_table_function", WORD_ROWS_SQL)
 def map_words_sql(spark, sf_dir):
     mapping.register_mapper(spark, "split_words", word_mapper)
-    doc_pairs(spark, sf_dir).createOrReplaceTempView("doc_pairs")
+    spread_small(doc_pairs(spark, sf_dir)).createOrReplaceTempView("doc_pairs")
     return spark.sql(
         "SELECT m.key, count(*) AS n FROM doc_pairs, LATERAL split_words(doc_pairs.key, doc_pairs.value) m GROUP BY m.key"
     )

@@ -163,4 +163,4 @@ def register_mapper(spark: SparkSession, name: str, mapper: Mapper, sep: str = "
         def eval(self, key: str, value: str):
             yield from records(mapper(key, value))
 
-    spark.udtf.register(name, F.udtf(MapFunction, returnType=KV_DDL))
+    spark.udtf.register(name, F.udtf(MapFunction, returnType=KV_DDL, useArrow=True))
