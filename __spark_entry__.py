@@ -132,16 +132,17 @@ def read_records(spark, sf_dir):
 
 @query(
     "s2_directory_scan",
-    """SELECT CAST(sum(strlen(c_name) + 1) AS BIGINT) AS n_bytes, (SELECT count(*) FROM customer) AS n_lines
-    FROM customer""",
+    """SELECT 'bytes' AS what, CAST(sum(strlen(c_name) + 1) AS BIGINT) AS n FROM customer
+    UNION ALL SELECT 'lines', count(*) FROM customer""",
 )
 def directory_scan(spark, sf_dir):
     names = table(spark, sf_dir, "customer").select("c_name")
     root = text_dir(spark, names, "s2")
     for hidden in ("_logs", ".staging", "sub", "day=1"):
         names.write.text(f"{root}/{hidden}")
-    sizes = files.list_inputs(spark, root).agg(F.sum("length").alias("n_bytes"))
-    return sizes.crossJoin(files.read_kv(spark, root).agg(F.count("*").alias("n_lines")))
+    sizes = files.list_inputs(spark, root).agg(F.lit("bytes").alias("what"), F.sum("length").alias("n"))
+    lines = files.read_kv(spark, root).agg(F.lit("lines").alias("what"), F.count("*").alias("n"))
+    return sizes.unionAll(lines)
 
 
 @query(
@@ -288,11 +289,11 @@ def split_nth(spark, sf_dir):
     return rows.groupBy("fields", "key", "value").agg(F.count("*").alias("n"))
 
 
-@query("k3_emit", "SELECT concat(n_nationkey, chr(9), n_name) AS line, n_name AS value FROM nation")
+@query("k3_emit", "SELECT concat(c_custkey, chr(9), c_name) AS line, c_name AS value FROM customer")
 def emit_lines(spark, sf_dir):
-    nation = table(spark, sf_dir, "nation").withColumn("pair", records.make_kv("n_nationkey", "n_name"))
+    pairs = table(spark, sf_dir, "customer").select(records.make_kv("c_custkey", "c_name").alias("pair"))
     line = records.emit(records.kv_key("pair"), records.kv_value("pair"))
-    return nation.select(line.alias("line"), records.kv_value("pair").alias("value"))
+    return pairs.select(line.alias("line"), records.kv_value("pair").alias("value"))
 
 
 @query(
@@ -694,7 +695,7 @@ def rates(spark, sf_dir):
 @query("l1_all_pages", f"SELECT doc_id, byte_offset, page FROM {PAGES_SQL}")
 def all_pages(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return paging.PagedLines(docs, ["doc_id"]).lines().select("doc_id", "byte_offset", "page")
+    return paging.line_pages(docs, ["doc_id"]).select("doc_id", "byte_offset", "page")
 
 
 @query(
@@ -862,10 +863,10 @@ def f_parse_bool(spark, sf_dir):
     return labels.select("doc_id", *(text.parse_bool(F.col(c).cast("string")).alias(n) for n, c in flags.items()))
 
 
-@query("f7_to_text", "SELECT CAST(n_nationkey AS VARCHAR) AS k, CAST(n_regionkey AS VARCHAR) AS r FROM nation")
+@query("f7_to_text", "SELECT CAST(c_custkey AS VARCHAR) AS k, CAST(c_nationkey AS VARCHAR) AS n FROM customer")
 def f_to_text(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select(
-        text.to_text("n_nationkey").alias("k"), text.to_text("n_regionkey").alias("r")
+    return table(spark, sf_dir, "customer").select(
+        text.to_text("c_custkey").alias("k"), text.to_text("c_nationkey").alias("n")
     )
 
 
@@ -883,26 +884,26 @@ def f_safe_name(spark, sf_dir):
 
 @query(
     "f10_pairs_to_map",
-    """SELECT n_nationkey, 'a' AS name, concat(n_nationkey, '=x') AS value FROM nation
-    UNION ALL SELECT n_nationkey, 'b', n_name FROM nation""",
+    """SELECT c_custkey, 'a' AS name, concat(c_nationkey, '=x') AS value FROM customer
+    UNION ALL SELECT c_custkey, 'b', c_name FROM customer""",
 )
 def f_pairs_to_map(spark, sf_dir):
     pairs = F.concat(
-        F.lit("a=1 b="), "n_name", F.lit(" junk  a="), "n_nationkey", F.lit("=x")
+        F.lit("a=1 b="), "c_name", F.lit(" junk  a="), "c_nationkey", F.lit("=x")
     )
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", text.pairs_to_map(pairs).alias("m"))
-    return nation.select("n_nationkey", F.explode("m").alias("name", "value"))
+    maps = table(spark, sf_dir, "customer").select("c_custkey", text.pairs_to_map(pairs).alias("m"))
+    return maps.select("c_custkey", F.explode("m").alias("name", "value"))
 
 
 @query(
     "f11_map_to_pairs",
-    """SELECT n_nationkey, concat(CASE WHEN n_nationkey % 2 = 0 THEN 'x=0 ' ELSE '' END, 'name=', n_name,
-        ' region=', n_regionkey) AS pairs FROM nation""",
+    """SELECT c_custkey, concat(CASE WHEN c_custkey % 2 = 0 THEN 'x=0 ' ELSE '' END, 'name=', c_name,
+        ' nation=', c_nationkey) AS pairs FROM customer""",
 )
 def f_map_to_pairs(spark, sf_dir):
-    made = F.create_map(F.lit("name"), F.col("n_name"), F.lit("region"), F.col("n_regionkey").cast("string"))
-    before = F.when(F.col("n_nationkey") % 2 == 0, "x=0").otherwise(" ")
-    return table(spark, sf_dir, "nation").select("n_nationkey", text.map_to_pairs(made, before).alias("pairs"))
+    made = F.create_map(F.lit("name"), F.col("c_name"), F.lit("nation"), F.col("c_nationkey").cast("string"))
+    before = F.when(F.col("c_custkey") % 2 == 0, "x=0").otherwise(" ")
+    return table(spark, sf_dir, "customer").select("c_custkey", text.map_to_pairs(made, before).alias("pairs"))
 
 
 @query("f12_newlines", "SELECT doc_id, text FROM documents")

@@ -66,7 +66,9 @@ def combined(pairs: Iterable[tuple], combiner: Combiner, records: Callable) -> I
         out: dict = {}
         n = total = 0
         for key, values in groups.items():
-            for k, v in records(combiner(key, iter(values))):
+            # a single pair has nothing to be folded with
+            folded = records(combiner(key, iter(values))) if len(values) > 1 else ((key, values[0]),)
+            for k, v in folded:
                 out.setdefault(k, []).append(v)
                 n += 1
                 total += size(k) + size(v)
@@ -112,8 +114,8 @@ def map_kv(
     """Call ``mapper(key, value)`` per record and return the pairs it emits.
 
     With the default schema the pairs pass through text, as if written to a stream and read
-    back. ``combiner(key, values)`` folds the pairs of one task before they leave it; it must
-    be safe to apply any number of times. ``map_tasks`` asks for that many tasks.
+    back. ``combiner(key, values)`` folds the pairs of one task before they leave it; it may
+    be applied any number of times, or not at all. ``map_tasks`` asks for that many tasks.
     """
     if map_tasks is not None:
         if map_tasks < 1:

@@ -30,29 +30,23 @@ class PagedLines:
     """
 
     def __init__(
-        self, df: DataFrame, order_by: list[str], col: str = "text", page_size: int = PAGE_SIZE
+        self,
+        df: DataFrame,
+        order_by: list[str],
+        col: str = "text",
+        page_size: int = PAGE_SIZE,
+        partitions: int | None = None,
     ):
         if page_size < 1:
             raise ValueError("a page has at least one byte")
         self.page_size = page_size
-        weight = F.coalesce(F.octet_length(col), F.lit(0)) + 1
-        self.totals = OrderedTotals(df, order_by, weight=weight)
+        self.totals = OrderedTotals(df, order_by, weight=_line_bytes(col), partitions=partitions)
 
     def lines(self) -> DataFrame:
         """All lines with ``byte_offset`` and ``page``."""
         rows = self.totals.running("byte_offset")
         return rows.withColumn("page", _page_of(F.col("byte_offset"), self.page_size))
 
-    def index(self) -> DataFrame:
-        """``(page, n_lines, n_bytes)``; a page inside one long line has no lines."""
-        rows = self.totals.table.select("_part", "_local", "_weight")
-        starts = F.broadcast(self.totals.starts.select("_part", "_start"))
-        offset = F.col("_local") + F.col("_start")
-        rows = rows.join(starts, "_part").select(_page_of(offset, self.page_size).alias("page"), "_weight")
-        return rows.groupBy("page").agg(
-            F.count("*").alias("n_lines"), F.sum("_weight").alias("n_bytes")
-        )
-
     def total_pages(self) -> int:
         return -(-self.totals.total() // self.page_size)
 
@@ -84,8 +78,12 @@ class PagedLines:
         )
 
 
+def _line_bytes(col: str) -> Column:
+    return (F.coalesce(F.octet_length(col), F.lit(0)) + 1).cast("bigint")
+
+
 def _page_of(offset: Column, page_size: int) -> Column:
-    return (F.floor(offset / F.lit(page_size)) + 1).cast("bigint")
+    return F.call_function("div", offset, F.lit(page_size)) + F.lit(1).cast("bigint")
 
 
 def read_page(
@@ -94,10 +92,22 @@ def read_page(
     return PagedLines(df, order_by, col, page_size).page(page)
 
 
+def line_pages(
+    df: DataFrame, order_by: list[str], col: str = "text", page_size: int = PAGE_SIZE
+) -> DataFrame:
+    """``order_by`` columns, ``byte_offset`` and ``page`` of every line; the text itself is not moved."""
+    sizes = df.select(*order_by, _line_bytes(col).alias("n_bytes"))
+    rows = OrderedTotals(sizes, order_by, weight=F.col("n_bytes")).running("byte_offset")
+    return rows.withColumn("page", _page_of(F.col("byte_offset"), page_size))
+
+
 def page_index(
     df: DataFrame, order_by: list[str], col: str = "text", page_size: int = PAGE_SIZE
 ) -> DataFrame:
-    return PagedLines(df, order_by, col, page_size).index()
+    """``(page, n_lines, n_bytes)``; a page inside one long line has no lines."""
+    return line_pages(df, order_by, col, page_size).groupBy("page").agg(
+        F.count("*").alias("n_lines"), F.sum("n_bytes").alias("n_bytes")
+    )
 
 
 def read_file_page(
@@ -169,7 +179,7 @@ def take_bytes(df: DataFrame, cap: int, order_by: list[str], col: str = "text")
     rows = df.select(
         *columns,
         F.substring(text, 1, cap).alias(col),
-        (F.octet_length(text) + 1).cast("bigint").alias("_weight"),
+        _line_bytes(col).alias("_weight"),
     )
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     trim = _trim(order_by, cap)

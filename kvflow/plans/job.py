@@ -72,11 +72,16 @@ def run_job(
     Mapper and reducer are Python functions, :class:`Native` expressions or command lines; no
     reducer passes the sorted pairs through. The result is a lazy ``kv`` table. With ``home`` it
     is written below ``home/out`` under the first free form of ``name`` and read back from there.
+    Programs find the job's settings and ``params`` in their environment (``job_name``, ...).
     """
     for count, kind in ((map_tasks, "map"), (reduce_tasks, "reduce")):
         if count is not None and count < 1:
             raise ValueError(f"a job has at least one {kind} task")
-    settings = {"job.name": name, **({"job.user": user} if user else {}), **(params or {})}
+    settings = {
+        "job.name": name, "job.user": user, "job.map.tasks": map_tasks,
+        "job.reduce.tasks": reduce_tasks, "job.numeric.sort": str(numeric).lower(),
+    }
+    settings = {k: v for k, v in settings.items() if v is not None} | (params or {})
     kv = read_kv(spark, input, dialect=dialect) if isinstance(input, str) else input
     mapped = _map(kv, mapper, map_tasks, combiner, settings)
     result = _reduce(mapped, reducer, reduce_tasks, numeric, value_order, settings)

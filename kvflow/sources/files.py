@@ -15,10 +15,9 @@ def _plain(path: Column) -> Column:
     return F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
 
 
-def _file_path() -> Column:
-    """The path of the file a row was read from, as listings show it."""
-    encoded = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
-    return F.url_decode(encoded)
+def _listed(file_path: Column) -> Column:
+    """A row's file path, which has percent escapes, as listings show it."""
+    return F.url_decode(F.replace(file_path, F.lit("+"), F.lit("%2B")))
 
 
 def _is_input(path: Column, root: str | list[str]) -> Column:
@@ -30,21 +29,27 @@ def _is_input(path: Column, root: str | list[str]) -> Column:
     return (bare == wanted) | ((F.regexp_replace(bare, "/[^/]*$", "") == wanted) & visible)
 
 
+def _all_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "length")
+
+
 def list_inputs(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(path, length)`` of the input files at ``path``; no content is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "length").filter(_is_input(F.col("path"), path))
+    return _all_files(spark, path).filter(_is_input(F.col("path"), path))
 
 
 def read_lines(
     spark: SparkSession, path: str | list[str], line_sep: str | None = None
 ) -> DataFrame:
     """One row per line: ``value`` and the file's metadata."""
-    reader = spark.read.option("recursiveFileLookup", "true")
-    if line_sep is not None:
-        reader = reader.option("lineSep", line_sep)
-    lines = reader.text(path).select("value", "_metadata")
-    return lines.filter(_is_input(_file_path(), path))
+    reader = spark.read if line_sep is None else spark.read.option("lineSep", line_sep)
+    # a folder of nothing but inputs needs no look at each row's path
+    mixed = not _all_files(spark, path).filter(~_is_input(F.col("path"), path)).isEmpty()
+    if not mixed:
+        return reader.text(path).select("value", "_metadata")
+    lines = reader.option("recursiveFileLookup", "true").text(path).select("value", "_metadata")
+    return lines.filter(_is_input(_listed(F.col("_metadata.file_path")), path))
 
 
 def read_kv(
@@ -92,7 +97,7 @@ def _count_in_split(batches):
 def _lines_with_place(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines with their file and split; bytes count the newline that ended them."""
     return read_lines(spark, path, line_sep="\n").select(
-        _file_path().alias("file"),
+        F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.col("value").alias("line"),
         (F.octet_length("value") + 1).cast("bigint").alias("n_bytes"),
@@ -117,32 +122,23 @@ def concat_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
         _count_in_split,
         "file string, block bigint, line string, n_bytes bigint, split_line bigint, split_offset bigint",
     )
+    # from here on one row per file or per split, some hundred bytes for every 128 MB of text
+    earlier = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    files = list_inputs(spark, path).select(
+        _plain(F.col("path")).alias("_name"),
+        "path",
+        F.coalesce(F.sum("length").over(earlier), F.lit(0)).alias("file_start"),
+    )
     splits = lines.groupBy("file", "block").agg(
         F.count("*").alias("n"), F.sum("n_bytes").alias("bytes")
     )
-    in_file = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.select(
-        "file", "block", "n",
-        F.coalesce(F.sum("n").over(in_file), F.lit(0)).alias("file_line"),
-        F.coalesce(F.sum("bytes").over(in_file), F.lit(0)).alias("file_offset"),
-    )
-    counts = splits.groupBy("file").agg(F.sum("n").alias("file_lines"))
-    # one row per file from here on
-    by_name = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    files = (
-        list_inputs(spark, path)
-        .select(_plain(F.col("path")).alias("_name"), "length")
-        .join(counts.withColumn("_name", _plain(F.col("file"))), "_name")
-        .select(
-            "file",
-            F.coalesce(F.sum("file_lines").over(by_name), F.lit(0)).alias("lines_before"),
-            F.coalesce(F.sum("length").over(by_name), F.lit(0)).alias("bytes_before"),
-        )
-    )
-    starts = splits.join(files, "file").select(
-        "file", "block",
-        (F.col("lines_before") + F.col("file_line")).alias("first_line"),
-        (F.col("bytes_before") + F.col("file_offset")).alias("first_offset"),
+    splits = splits.withColumn("_name", _plain(_listed(F.col("file")))).join(files, "_name")
+    before = Window.orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)
+    in_file = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select(
+        "file", "block", "path",
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_line"),
+        (F.col("file_start") + F.coalesce(F.sum("bytes").over(in_file), F.lit(0))).alias("first_offset"),
     )
     if _split_count(spark, path) <= _MAX_BROADCAST_SPLITS:
         starts = F.broadcast(starts)
@@ -152,7 +148,7 @@ def concat_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.col("first_offset"), F.raise_error(F.lit("file splits changed between scans")).cast("bigint")
     )
     return joined.select(
-        "file",
+        F.col("path").alias("file"),
         (F.col("first_line") + F.col("split_line")).alias("line_no"),
         "line",
         (first + F.col("split_offset")).alias("byte_offset"),

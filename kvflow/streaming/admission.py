@@ -28,18 +28,24 @@ class _Admission(StatefulProcessor):
         self.times = handle.getListState("accepted", T.StructType([T.StructField("t", T.LongType())]))
 
     def handleInputRows(self, key, rows, timerValues):
-        frame = pd.concat(list(rows), ignore_index=True)
-        frame = frame.sort_values(["kv_micros", *self.order_by], kind="stable", ignore_index=True)
-        times = frame.pop("kv_micros").tolist()
+        frames = list(rows)
+        # only what decides the order is put together and sorted
+        order = pd.concat([f[["kv_micros", *self.order_by]] for f in frames], ignore_index=True)
+        order = order.sort_values(["kv_micros", *self.order_by], kind="stable")
+        times = order["kv_micros"].tolist()
         known = [row[0] for row in self.times.get()] if self.times.exists() else []
         accepted = deque(known, maxlen=self.attempts)
-        frame["accepted"] = walk(times, accepted, self.window)
+        decided = pd.Series(walk(times, accepted, self.window), index=order.index).sort_index()
         self.times.put([(t,) for t in accepted])
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
         # once the watermark is past the window of the last row, nothing accepted counts any more
         self.handle.registerTimer((times[-1] + self.window) // 1000 + 1)
-        yield frame
+        start = 0
+        for frame in frames:
+            part = decided.iloc[start : start + len(frame)].to_numpy()
+            yield frame.drop(columns="kv_micros").assign(accepted=part)
+            start += len(frame)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self.times.clear()
