@@ -1075,7 +1075,7 @@ def admit_from_stream(spark, sf_dir):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     schema = table(spark, sf_dir, "events").schema
     # a user's rows of one micro-batch meet in one task, so micro-batches are bounded in bytes
-    events = spark.readStream.schema(schema).option("maxBytesPerTrigger", "1g").option(
+    events = spark.readStream.schema(schema).option("maxBytesPerTrigger", 1 << 30).option(
         "pathGlobFilter", "events*.parquet"
     ).parquet(sf_dir)
     decided = admit_stream(

@@ -81,7 +81,7 @@ def combined(pairs: Iterable[tuple], combiner: Combiner, records: Callable) -> I
             groups[key] = [value]
             chars += size(key)
         held += 1
-        chars += size(value)
+        chars += len(value) if type(value) is str else 8
         if held >= COMBINE_ROWS or chars >= COMBINE_CHARS:
             groups, held, chars = fold()
             if held > COMBINE_ROWS // 2 or chars > COMBINE_CHARS // 2:
