@@ -7,6 +7,7 @@ is shared by many tasks.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import deque
 
 import numpy as np
@@ -15,27 +16,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kvflow.operators.jobs import QUOTA_ATTEMPTS, QUOTA_MINUTES
-from kvflow.operators.order import ordered_table
+from kvflow.operators.order import changes, ordered_table
 from kvflow.session import scratch_path
 
 
+# Rows of one user, of a few numbers each, that one task walks at a time.
+CHAIN_ROWS = 1 << 26
+
+
 def window_micros(minutes: float) -> int:
     return int(minutes * 60_000_000)
 
 
-def walk(times, accepted: deque, window: int) -> list[bool]:
+def walk(times: list[int], accepted: deque, window: int, begin: int = 0) -> list[bool]:
     """Decide rows in time order, given the latest accepted times; updates ``accepted``.
 
     ``accepted`` is a deque with ``maxlen`` set to the number of attempts. A row is accepted
-    while fewer than that many accepted times lie in the closed window before it.
+    while fewer than that many accepted times lie in the closed window before it. Rejected rows
+    are stepped over together, so the work grows with the accepted ones.
     """
-    attempts = accepted.maxlen
-    out = []
-    for t in times:
-        ok = len(accepted) < attempts or accepted[0] < t - window
-        if ok:
-            accepted.append(t)
-        out.append(ok)
+    attempts, end = accepted.maxlen, len(times)
+    out = [False] * (end - begin)
+    i = begin
+    while i < end:
+        if len(accepted) == attempts and accepted[0] + window >= times[i]:
+            i = bisect_right(times, accepted[0] + window, i)
+            continue
+        accepted.append(times[i])
+        out[i - begin] = True
+        i += 1
     return out
 
 
@@ -49,42 +58,43 @@ class _PartitionWalk:
 
     def __init__(self, attempts: int, window: int):
         self.attempts, self.window = attempts, window
-        self.user = self.time = None
         self.accepted: deque = deque(maxlen=attempts)
         self.open = True
         self.recent: deque = deque(maxlen=attempts)  # latest times of open rows
-        self.first = self.unsure = None
+        self.first = self.last = self.unsure = None
 
-    def step(self, user, t: int):
-        """True or False once settled, None while open."""
-        window = self.window
-        if self.time is None:
-            self.first = self.unsure = t
-        elif user != self.user or self.time < t - window:
+    def feed(self, times: list[int], same_user: bool) -> list[bool | None]:
+        """Decide the next rows, all of one user: true, false, or None while open."""
+        if not same_user:
             self.accepted.clear()
             self.open = False
-        self.user, self.time = user, t
-        if self.open:
-            if self.unsure < t - window:
-                # every row in the window was accepted for certain: the past is known
-                self.accepted.extend(r for r in self.recent if r >= t - window)
-                self.open = False
-            else:
-                full = len(self.recent) == self.attempts and self.recent[0] >= t - window
-                if self.first >= t - window or full:
-                    self.unsure = t
-                self.recent.append(t)
-                return None
-        ok = len(self.accepted) < self.attempts or self.accepted[0] < t - window
-        if ok:
-            self.accepted.append(t)
-        return ok
-
-
-def _first_pass(attempts: int, window: int):
+        i = 0
+        while self.open and i < len(times) and not self._settles(times[i]):
+            i += 1
+        return [None] * i + walk(times, self.accepted, self.window, i)
+
+    def _settles(self, t: int) -> bool:
+        """Take an open row, or find that nothing before the partition matters from it on."""
+        horizon = t - self.window
+        if self.last is None:
+            self.first = self.unsure = t
+        elif self.last < horizon or self.unsure < horizon:
+            # a pause, or every row in the window was accepted for certain
+            self.accepted.extend(r for r in self.recent if r >= horizon)
+            self.open = False
+            return True
+        full = len(self.recent) == self.attempts and self.recent[0] >= horizon
+        if self.first >= horizon or full:
+            self.unsure = t
+        self.recent.append(t)
+        self.last = t
+        return False
+
+
+def _first_pass(user: str, ts: str, attempts: int, window: int):
     def task(batches):
         walker = _PartitionWalk(attempts, window)
-        held = None
+        held = latest = None
 
         def finish(batch, times, decided, last):
             n = batch.num_rows
@@ -104,25 +114,33 @@ def _first_pass(attempts: int, window: int):
                 continue
             if held is not None:
                 yield finish(*held, False)
-            users = batch.column("_user").to_pylist()
             # microseconds, whether the column has a time zone or not
-            times = batch.column("_ts").cast(pa.int64())
-            held = (batch, times, [walker.step(u, t) for u, t in zip(users, times.to_pylist())])
+            times = batch.column(ts).cast(pa.int64())
+            plain = times.to_pylist()
+            users = batch.column(user)
+            same = held is None or users[0].as_py() == latest
+            decided: list[bool | None] = []
+            starts = np.flatnonzero(changes(users, users[0].as_py()))
+            for lo, hi in zip([0, *starts], [*starts, batch.num_rows]):
+                decided += walker.feed(plain[lo:hi], same)
+                same = False
+            latest = users[batch.num_rows - 1].as_py()
+            held = (batch, times, decided)
         if held is not None:
             yield finish(*held, True)
 
     return task
 
 
-def _replay(attempts: int, window: int, only_state: bool):
-    """Walk open rows again, now from the known state before their partition."""
+def _replay(attempts: int, window: int, before: dict[int, list[int]], only_state: bool):
+    """Walk open rows again, now from the known state ``before`` each chain of partitions."""
 
     def task(batches):
-        part, accepted = None, None
+        chain = part = accepted = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            parts = batch.column("_part").to_numpy()
+            chains, parts = batch.column("_chain").to_pylist(), batch.column("_part").to_numpy()
             times = batch.column("_time").to_pylist()
             cuts = np.flatnonzero(np.diff(parts)) + 1
             decided: list[bool] = []
@@ -131,7 +149,9 @@ def _replay(attempts: int, window: int, only_state: bool):
                     if only_state and part is not None:
                         yield _state_row(part, accepted)
                     part = int(parts[lo])
-                    accepted = deque(batch.column("_before")[lo].as_py(), maxlen=attempts)
+                    if chains[lo] != chain:
+                        chain = chains[lo]
+                        accepted = deque(before[chain], maxlen=attempts)
                 decided.extend(walk(times[lo:hi], accepted, window))
             if not only_state:
                 i = batch.schema.get_field_index("accepted")
@@ -175,51 +195,53 @@ def admit(
         return df.withColumn("accepted", F.lit(True))
     spark, window = df.sparkSession, window_micros(minutes)
     columns = df.columns
-    rows = df.withColumn("_user", F.col(user).cast("string")).withColumn("_ts", F.col(ts))
-    rows = ordered_table(rows, ["_user", "_ts", *(order_by or [])], partitions)
+    rows = ordered_table(df, [user, ts, *(order_by or [])], partitions)
     path = scratch_path(spark, "admission")
     rows.mapInArrow(
-        _first_pass(attempts, window),
+        _first_pass(user, ts, attempts, window),
         f"{_ddl(rows)}, _time bigint, accepted boolean, _last boolean, _state array<bigint>",
     ).write.parquet(path)
     table = spark.read.parquet(path)
 
     settled = table.filter("accepted IS NOT NULL").select(*columns, "accepted")
-    before = _states_before(table, attempts, window)
+    before = _states_before(table, user, attempts, window)
     if not before:
         return settled
-    opened = _with_state(table.filter("accepted IS NULL"), before)
-    opened = opened.select(*columns, "accepted", "_part", "_row", "_time", "_before")
-    again = opened.repartition("_part").sortWithinPartitions("_part", "_row")
-    again = again.mapInArrow(_replay(attempts, window, False), _ddl(again))
+    opened = table.filter("accepted IS NULL").withColumn("_chain", F.col("_part"))
+    opened = _in_chains(opened, [*columns, "accepted"])
+    again = opened.mapInArrow(_replay(attempts, window, before, False), _ddl(opened))
     return settled.unionByName(again.select(*columns, "accepted"))
 
 
-def _with_state(rows: DataFrame, before: dict[int, list[int]]) -> DataFrame:
-    """Join the state before each partition: one row of a few times for each, so broadcast."""
-    states = rows.sparkSession.createDataFrame(list(before.items()), "_part int, _before array<bigint>")
-    return rows.join(F.broadcast(states), "_part")
+def _in_chains(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows with their ``_chain``, each chain in order in one partition."""
+    rows = rows.select(*columns, "_part", "_row", "_time", "_chain")
+    return rows.repartition("_chain").sortWithinPartitions("_chain", "_part", "_row")
 
 
-def _states_before(table: DataFrame, attempts: int, window: int) -> dict[int, list[int]]:
+def _states_before(table: DataFrame, user: str, attempts: int, window: int) -> dict[int, list[int]]:
     """The accepted times that count at the start of each partition that begins with open rows.
 
-    Only each partition's first and last row come to the driver. Where a partition stayed open
-    to its end, its own end state is found by walking it again once the one before it is known;
-    all users' partitions go on side by side, one partition per user and round.
+    Only each partition's first and last row come to the driver. Where partitions stayed open to
+    their end, they are walked again in chains once the state before them is known: all users
+    side by side, and of one user as many partitions at a time as a task can sort with ease.
     """
-    edges = table.filter("_row = 0 OR _last").select("_part", "_row", "_user", "_time", "_last", "_state")
+    edges = table.filter("_row = 0 OR _last").select(
+        "_part", "_row", F.col(user).alias("_user"), "_time", "_last", "_state"
+    )
     first: dict[int, tuple] = {}
     last: dict[int, tuple] = {}
+    size: dict[int, int] = {}
     for row in edges.collect():
         if row["_row"] == 0:
             first[row["_part"]] = (row["_user"], row["_time"])
         if row["_last"]:
             last[row["_part"]] = (row["_user"], row["_time"], row["_state"])
+            size[row["_part"]] = row["_row"] + 1
 
     parts = sorted(first)
     before: dict[int, list[int]] = {}
-    waiting: dict[int, int] = {}
+    following: dict[int, int] = {}  # a partition open to its end, and the one that waits for it
     for previous, part in zip([None, *parts], parts):
         begins = previous is None or last[previous][0] != first[part][0]
         if begins or last[previous][1] < first[part][1] - window:
@@ -227,17 +249,24 @@ def _states_before(table: DataFrame, attempts: int, window: int) -> dict[int, li
         elif last[previous][2] is not None:
             before[part] = last[previous][2]
         else:
-            waiting[part] = previous
-
-    while waiting:
-        ready = {p: before[p] for p in waiting.values() if p in before}
-        rows = _with_state(table.filter(F.col("_part").isin(list(ready))), ready)
-        rows = rows.select("_part", "_row", "_time", "_before")
-        rows = rows.repartition("_part").sortWithinPartitions("_part", "_row")
-        ends = rows.mapInArrow(_replay(attempts, window, True), "_part int, _state array<bigint>").collect()
-        ended = {row["_part"]: row["_state"] for row in ends}
-        for part, previous in list(waiting.items()):
-            if previous in ended:
-                before[part] = ended[previous]
-                del waiting[part]
+            following[previous] = part
+
+    while following:
+        chains = []
+        for start in [p for p in following if p in before]:
+            part, rows = start, 0
+            while part in following and (part == start or rows + size[part] <= CHAIN_ROWS):
+                chains.append((part, start))
+                rows += size[part]
+                part = following[part]
+        known = {start: before[start] for _, start in chains}
+        chained = table.sparkSession.createDataFrame(chains, "_part int, _chain int")
+        # the filter lets the scan skip other files; the join has a pair of numbers per partition
+        wanted = table.filter(F.col("_part").isin([part for part, _ in chains]))
+        wanted = wanted.join(F.broadcast(chained), "_part")
+        walked = _in_chains(wanted, []).mapInArrow(
+            _replay(attempts, window, known, True), "_part int, _state array<bigint>"
+        )
+        for row in walked.collect():
+            before[following.pop(row["_part"])] = row["_state"]
     return before

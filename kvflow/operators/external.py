@@ -32,13 +32,12 @@ class ProgramFailed(RuntimeError):
 
 
 def program_env(params: dict | None = None, extra: str | None = None) -> dict[str, str]:
-    """Environment of a program: parameters under safe names, then ``a=b c=d`` pairs, then TMPDIR."""
+    """Environment of a program: parameters under safe names, then ``a=b c=d`` pairs."""
     env = {re.sub("[^0-9A-Za-z]", "_", name): str(value) for name, value in (params or {}).items()}
     for entry in (extra or "").split(" "):
         name, found, value = entry.partition("=")
         if found and name:
             env[name] = value
-    env["TMPDIR"] = tempfile.gettempdir()
     return env
 
 
@@ -80,7 +79,7 @@ def run_program(
     """
     process = subprocess.Popen(
         argv, stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.PIPE,
-        bufsize=PIPE_BUFFER, env={**os.environ, **env},
+        bufsize=PIPE_BUFFER, env={**os.environ, **env, "TMPDIR": tempfile.gettempdir()},
     )
     out: queue.Queue = queue.Queue(maxsize=16)
     stop = threading.Event()

@@ -41,7 +41,7 @@ def _stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def _changes(column: pa.Array, before) -> np.ndarray:
+def changes(column: pa.Array, before) -> np.ndarray:
     """Whether each value differs from the one before it; NULLs are alike."""
     previous = pa.concat_arrays([pa.array([before], column.type), column.slice(0, len(column) - 1)])
     both = pc.fill_null(pc.not_equal(column, previous), False)
@@ -64,7 +64,7 @@ def _running(group_by: list[str]):
             starts = np.zeros(batch.num_rows, dtype=bool)
             for i, name in enumerate(group_by):
                 column = batch.column(name)
-                changed = _changes(column, column[0].as_py() if last is None else last[i])
+                changed = changes(column, column[0].as_py() if last is None else last[i])
                 starts |= changed
             begun = np.maximum.accumulate(np.where(starts, local, group_start))
             columns = batch.columns + [

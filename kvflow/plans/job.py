@@ -17,7 +17,8 @@ from kvflow.operators.paging import take_bytes, take_file_bytes
 from kvflow.operators.reduce import reduce_agg, reduce_kv
 from kvflow.session import scratch_path
 from kvflow.sources.files import read_kv
-from kvflow.sources.sinks import free_path, write_kv
+from kvflow.sources.paths import free_path
+from kvflow.sources.sinks import write_kv
 
 
 @dataclass(frozen=True)
@@ -32,6 +33,10 @@ class Native:
 
 
 
+class JobFailed(RuntimeError):
+    """A preview whose map or reduce failed, or whose map emitted nothing."""
+
+
 def _map(kv: DataFrame, mapper, map_tasks, combiner, params) -> DataFrame:
     if isinstance(mapper, Native):
         return map_expr(kv if map_tasks is None else kv.repartition(map_tasks), mapper.expr)
@@ -66,12 +71,14 @@ def run_job(
     params: dict | None = None,
     home: str | None = None,
     dialect: str = "standard",
+    preview: int | None = None,
 ) -> DataFrame:
     """Run a map and reduce job over text files or a ``kv`` table.
 
     Mapper and reducer are Python functions, :class:`Native` expressions or command lines; no
     reducer passes the sorted pairs through. The result is a lazy ``kv`` table. With ``home`` it
     is written below ``home/out`` under the first free form of ``name`` and read back from there.
+    ``preview`` runs on so many bytes of the input files only, see :func:`preview_job`.
     Programs find the job's settings and ``params`` in their environment (``job_name``, ...).
     """
     for count, kind in ((map_tasks, "map"), (reduce_tasks, "reduce")):
@@ -82,6 +89,13 @@ def run_job(
         "job.reduce.tasks": reduce_tasks, "job.numeric.sort": str(numeric).lower(),
     }
     settings = {k: v for k, v in settings.items() if v is not None} | (params or {})
+    if preview is not None:
+        done = preview_job(
+            spark, input, mapper, reducer, cap=preview, numeric=numeric, params=settings, dialect=dialect
+        )
+        if done.reduced is None:
+            raise JobFailed("; ".join(r["errors"] or "no output" for r in done.phases.collect()))
+        return done.reduced
     kv = read_kv(spark, input, dialect=dialect) if isinstance(input, str) else input
     mapped = _map(kv, mapper, map_tasks, combiner, settings)
     result = _reduce(mapped, reducer, reduce_tasks, numeric, value_order, settings)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kvflow.functions.records import to_kv
+from kvflow.sources.paths import qualified
 
 
 def _plain(path: Column) -> Column:
@@ -20,11 +21,14 @@ def _listed(file_path: Column) -> Column:
     return F.url_decode(F.replace(file_path, F.lit("+"), F.lit("%2B")))
 
 
-def _is_input(path: Column, root: str | list[str]) -> Column:
-    """A file named itself, or a visible file directly inside the folder ``root``."""
-    if not isinstance(root, str):
+def _is_input(spark: SparkSession, path: Column, root: str | list[str]) -> Column:
+    """A file named itself, or a visible file directly inside the folder ``root``.
+
+    Lists and patterns name their files themselves.
+    """
+    if not isinstance(root, str) or any(c in root for c in "*?[{"):
         return F.lit(True)
-    bare, wanted = _plain(path), _plain(F.lit(root.rstrip("/")))
+    bare, wanted = _plain(path), _plain(F.lit(qualified(spark, root)))
     visible = ~F.substring_index(bare, "/", -1).rlike("^[._]")
     return (bare == wanted) | ((F.regexp_replace(bare, "/[^/]*$", "") == wanted) & visible)
 
@@ -36,7 +40,7 @@ def _all_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def list_inputs(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(path, length)`` of the input files at ``path``; no content is read."""
-    return _all_files(spark, path).filter(_is_input(F.col("path"), path))
+    return _all_files(spark, path).filter(_is_input(spark, F.col("path"), path))
 
 
 def read_lines(
@@ -45,11 +49,11 @@ def read_lines(
     """One row per line: ``value`` and the file's metadata."""
     reader = spark.read if line_sep is None else spark.read.option("lineSep", line_sep)
     # a folder of nothing but inputs needs no look at each row's path
-    mixed = not _all_files(spark, path).filter(~_is_input(F.col("path"), path)).isEmpty()
+    mixed = not _all_files(spark, path).filter(~_is_input(spark, F.col("path"), path)).isEmpty()
     if not mixed:
         return reader.text(path).select("value", "_metadata")
     lines = reader.option("recursiveFileLookup", "true").text(path).select("value", "_metadata")
-    return lines.filter(_is_input(_listed(F.col("_metadata.file_path")), path))
+    return lines.filter(_is_input(spark, _listed(F.col("_metadata.file_path")), path))
 
 
 def read_kv(

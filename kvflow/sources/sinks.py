@@ -1,12 +1,13 @@
-"""Writing records and datasets as text, and choosing free names for them."""
+"""Writing records and datasets as text."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kvflow.functions.records import emit
 from kvflow.functions.text import normalize_newlines
+from kvflow.sources.paths import free_path
 
 
 def write_kv(kv: DataFrame, path: str, sep: str = "\t") -> None:
@@ -16,20 +17,6 @@ def write_kv(kv: DataFrame, path: str, sep: str = "\t") -> None:
     )
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
-
-
-def free_path(spark: SparkSession, parent: str, name: str) -> str:
-    """``parent/name``, or the first of ``name-1``, ``name-2``, ... that does not exist."""
-    wanted = f"{parent.rstrip('/')}/{name}"
-    path, serial = wanted, 1
-    while path_exists(spark, path):
-        path, serial = f"{wanted}-{serial}", serial + 1
-    return path
-
-
 def store_dataset(
     df: DataFrame, home: str, name: str | None = None, text: str = "text"
 ) -> str:

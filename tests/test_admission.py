@@ -53,7 +53,9 @@ def test_agrees_with_plain_walk(spark, partitions, attempts, minutes):
     assert out == plain(rows, attempts, minutes)
 
 
-def test_one_user_over_quota_all_the_time(spark):
+@pytest.mark.parametrize("chain_rows", [1, 130, 1 << 26])
+def test_one_user_over_quota_all_the_time(spark, monkeypatch, chain_rows):
+    monkeypatch.setattr(admission, "CHAIN_ROWS", chain_rows)
     rows = [(i, "hot" if i % 20 else "b", START + timedelta(seconds=7 * i + i % 3)) for i in range(500)]
     out = decided(admit(table(spark, rows), "user", "ts", 3, 30, ["id"], partitions=9))
     assert out == plain(rows, 3, 30)
@@ -71,7 +73,8 @@ def test_partition_walk_settles_only_what_it_knows(seed):
     cut = rng.randrange(60)
     whole = admission.walk(times, deque(maxlen=attempts), window)
     walker = admission._PartitionWalk(attempts, window)
-    tail = [walker.step("u", t) for t in times[cut:]]
+    mid = rng.randrange(cut, 61)
+    tail = walker.feed(times[cut:mid], True) + walker.feed(times[mid:], True)
     opened = tail.count(None)
     assert all(t is None for t in tail[:opened]) and None not in tail[opened:]
     assert tail[opened:] == whole[cut + opened :]

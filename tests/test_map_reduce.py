@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kvflow.functions.records import make_kv
 from kvflow.operators import mapping, reduce
 from kvflow.operators.shuffle import shuffle
-from kvflow.plans.job import Native, preview_job, run_job
+from kvflow.plans.job import JobFailed, Native, preview_job, run_job
 from tests.conftest import pairs_of
 
 TEXTS = [("1", "a b a"), ("2", ""), ("3", "b c\nd a"), ("4", "a " * 50)]
@@ -172,6 +172,13 @@ def test_job_over_files(spark, tmp_path):
         assert (tmp_path / "home" / "out" / want).is_dir()
 
 
+def test_job_preview(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("1\ta b a\n2\tb\n")
+    assert pairs_of(run_job(spark, str(tmp_path), words, total, preview=6)) == [("a", "1"), ("b", "1")]
+    with pytest.raises(JobFailed, match="no output"):
+        run_job(spark, str(tmp_path), lambda k, v: (), total, preview=100)
+
+
 def test_native_and_program_jobs(spark, kv):
     assert pairs_of(run_job(spark, kv(TEXTS), Native(native_words), Native(F.count))) == EXPECTED
     tokens = ["awk", "-F", "\t", '{ n = split($2, w, " "); for (i = 1; i <= n; i++) print w[i] "\\t1" }']

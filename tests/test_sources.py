@@ -25,6 +25,15 @@ def test_only_visible_direct_files_are_read(spark, folder):
     assert pairs_of(files.read_kv(spark, f"file://{folder}/")) == [("k1", "v1"), ("k2", ""), ("k3", "v3")]
 
 
+def test_relative_paths_and_patterns(spark, folder, monkeypatch):
+    import os
+
+    monkeypatch.chdir(folder)  # for Python; the JVM keeps its own working folder
+    there = os.path.relpath(folder, spark._jvm.java.lang.System.getProperty("user.dir"))
+    assert pairs_of(files.read_kv(spark, there)) == [("k1", "v1"), ("k2", ""), ("k3", "v3")]
+    assert pairs_of(files.read_kv(spark, f"{folder}/b*.txt")) == [("k3", "v3")]
+
+
 def test_concat_over_split_files(spark, tmp_path):
     root = tmp_path / "in"
     root.mkdir()
@@ -94,6 +103,7 @@ def test_check_inputs(spark):
 
 
 def test_shared_dir_comes_from_the_session(spark):
-    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    assert named is None or shared_dir(spark) == named
     assert scratch_path(spark, "x").startswith(shared_dir(spark))
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
