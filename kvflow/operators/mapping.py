@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,7 @@ Combiner = Callable[[str, Iterable], Iterable[tuple]]
 # Rows and characters a task gathers before it hands a batch back to Spark.
 OUT_ROWS = 16_384
 OUT_CHARS = 8 << 20
+STEP_ROWS = 128  # rows between two looks at these sizes
 # Pairs, and characters of text in them, a task holds for its combiner before it folds them.
 COMBINE_ROWS = 100_000
 COMBINE_CHARS = 64 << 20
@@ -31,22 +33,24 @@ def read_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 def write_rows(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Rows as Arrow batches of bounded size."""
-    held: list[tuple] = []
-    chars = 0
+    rows = iter(rows)
+    texts = [pa.types.is_string(field.type) for field in schema]
 
     def batch():
-        columns = list(zip(*held))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, field.type) for c, field in zip(columns, schema)], schema=schema
-        )
-
-    for row in rows:
-        held.append(row)
-        chars += sum(len(field) for field in row if isinstance(field, str))
-        if len(held) >= OUT_ROWS or chars >= OUT_CHARS:
+        arrays = [pa.array(column, field.type) for column, field in zip(columns, schema)]
+        return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+    columns: list[list] = [[] for _ in schema]
+    chars = 0
+    while some := list(islice(rows, STEP_ROWS)):
+        for column, part, text in zip(columns, zip(*some), texts):
+            column.extend(part)
+            if text:
+                chars += sum(map(len, filter(None, part)))
+        if len(columns[0]) >= OUT_ROWS or chars >= OUT_CHARS:
             yield batch()
-            held, chars = [], 0
-    if held:
+            columns, chars = [[] for _ in schema], 0
+    if columns[0]:
         yield batch()
 
 
@@ -60,19 +64,19 @@ def combined(pairs: Iterable[tuple], combiner: Combiner, records: Callable) -> I
     held = chars = 0
 
     def size(value):
-        return len(value) if isinstance(value, str) else 8
+        return len(value) if type(value) is str else 8
 
     def fold():
-        out: dict = {}
-        n = total = 0
-        for key, values in groups.items():
-            # a single pair has nothing to be folded with
-            folded = records(combiner(key, iter(values))) if len(values) > 1 else ((key, values[0]),)
-            for k, v in folded:
-                out.setdefault(k, []).append(v)
-                n += 1
-                total += size(k) + size(v)
-        return out, n, total
+        # a single pair has nothing to be folded with
+        out = {key: values for key, values in groups.items() if len(values) == 1}
+        calls = (combiner(k, iter(v)) or () for k, v in groups.items() if len(v) > 1)
+        for key, value in records(chain.from_iterable(calls)):
+            if key in out:
+                out[key].append(value)
+            else:
+                out[key] = [value]
+        n = sum(map(len, out.values()))
+        return out, n, sum(map(size, out)) + sum(size(v) for values in out.values() for v in values)
 
     for key, value in pairs:
         if key in groups:
