@@ -705,7 +705,7 @@ def all_pages(spark, sf_dir):
 )
 def read_page(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return paging.read_page(docs, 2, ["doc_id"], page_size=131_072)
+    return paging.read_page(docs, 2, ["doc_id"], page_size=131_072, unique=True)
 
 
 @query(

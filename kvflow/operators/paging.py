@@ -26,21 +26,23 @@ class PagedLines:
     """Lines in a total order, written once with their byte offsets, to be read by page.
 
     A line takes its UTF-8 bytes and one newline and belongs to the page its first byte is in.
-    Reading one page touches the row groups around it, not the whole table.
+    Reading one page touches the row groups around it, not the whole table. ``col`` is the line,
+    or a column with its size in bytes.
     """
 
     def __init__(
         self,
         df: DataFrame,
         order_by: list[str],
-        col: str = "text",
+        col: str | Column = "text",
         page_size: int = PAGE_SIZE,
         partitions: int | None = None,
     ):
         if page_size < 1:
             raise ValueError("a page has at least one byte")
         self.page_size = page_size
-        self.totals = OrderedTotals(df, order_by, weight=_line_bytes(col), partitions=partitions)
+        weight = _line_bytes(col) if isinstance(col, str) else col
+        self.totals = OrderedTotals(df, order_by, weight=weight, partitions=partitions)
 
     def lines(self) -> DataFrame:
         """All lines with ``byte_offset`` and ``page``."""
@@ -87,9 +89,33 @@ def _page_of(offset: Column, page_size: int) -> Column:
 
 
 def read_page(
-    df: DataFrame, page: int, order_by: list[str], col: str = "text", page_size: int = PAGE_SIZE
+    df: DataFrame,
+    page: int,
+    order_by: list[str],
+    col: str = "text",
+    page_size: int = PAGE_SIZE,
+    unique: bool = False,
 ) -> DataFrame:
-    return PagedLines(df, order_by, col, page_size).page(page)
+    """The lines of one page with ``byte_offset`` and ``page``.
+
+    If no two lines tie on ``order_by``, say ``unique``: then only those columns and the lines'
+    sizes are put in order, and the text is fetched for the lines of the page, which are at most
+    as many as the page has bytes. To read many pages, keep a :class:`PagedLines`.
+    """
+    if not unique:
+        return PagedLines(df, order_by, col, page_size).page(page)
+    keys = [f"_key{i}" for i in range(len(order_by))]
+    sizes = df.select(
+        *(F.col(c).alias(k) for c, k in zip(order_by, keys)), _line_bytes(col).alias("_size")
+    )
+    rows = PagedLines(sizes, keys, F.col("_size"), page_size).page(page).drop("_size")
+    ends = rows.agg(F.min(keys[0]).alias("low"), F.max(keys[0]).alias("high")).first()
+    same = F.lit(True)
+    for name, key in zip(order_by, keys):
+        same = same & F.col(name).eqNullSafe(F.col(key))
+    # the range lets the scan skip row groups; the join settles the rest
+    near = F.col(order_by[0]).between(ends["low"], ends["high"]) | F.col(order_by[0]).isNull()
+    return df.filter(near).join(F.broadcast(rows), same).drop(*keys)
 
 
 def line_pages(
@@ -97,8 +123,7 @@ def line_pages(
 ) -> DataFrame:
     """``order_by`` columns, ``byte_offset`` and ``page`` of every line; the text itself is not moved."""
     sizes = df.select(*order_by, _line_bytes(col).alias("n_bytes"))
-    rows = OrderedTotals(sizes, order_by, weight=F.col("n_bytes")).running("byte_offset")
-    return rows.withColumn("page", _page_of(F.col("byte_offset"), page_size))
+    return PagedLines(sizes, order_by, F.col("n_bytes"), page_size).lines()
 
 
 def page_index(

@@ -43,6 +43,17 @@ def test_pages(spark, lines):
         paged.page(0)
 
 
+def test_one_page_by_unique_order(spark, lines):
+    paged = paging.PagedLines(lines, ["n"], page_size=100)
+    for page in (1, 2, paged.total_pages()):
+        want = sorted(tuple(r) for r in paged.page(page).select("n", "text", "byte_offset", "page").collect())
+        got = paging.read_page(lines, page, ["n"], page_size=100, unique=True)
+        assert sorted(tuple(r) for r in got.select("n", "text", "byte_offset", "page").collect()) == want
+    assert paging.read_page(lines, 1, ["n"], page_size=100).count() == paged.page(1).count()
+    with pytest.raises(paging.PageNotFound):
+        paging.read_page(lines, 999, ["n"], page_size=100, unique=True)
+
+
 def test_page_over_many_partitions(lines, monkeypatch):
     monkeypatch.setattr(paging, "_MAX_SPELLED_PARTS", 1)
     paged = paging.PagedLines(lines, ["n"], page_size=100_000)
