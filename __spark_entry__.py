@@ -22,7 +22,7 @@ from kvflow.operators.shuffle import shuffle  # noqa: E402
 from kvflow.plans.job import Native, preview_job, run_job  # noqa: E402
 from kvflow.session import scratch_path, spread_small  # noqa: E402
 from kvflow.sources import files, sinks  # noqa: E402
-from kvflow.streaming.admission import STATE_STORE, admit_stream  # noqa: E402
+from kvflow.streaming.admission import STATE_STORE, admit_batches, admit_stream  # noqa: E402
 
 if __name__ in sys.modules:
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -1070,16 +1070,18 @@ def find_many(spark, sf_dir):
 # ---------------------------------------------------------------- streaming
 
 
+def event_stream(spark, sf_dir):
+    # micro-batches are bounded in bytes
+    source = spark.readStream.schema(table(spark, sf_dir, "events").schema)
+    source = source.option("maxBytesPerTrigger", 1 << 30).option("pathGlobFilter", "events*.parquet")
+    return source.parquet(sf_dir).select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+
+
 @query("t1_admit_stream", ADMISSION_SQL)
 def admit_from_stream(spark, sf_dir):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    schema = table(spark, sf_dir, "events").schema
-    # a user's rows of one micro-batch meet in one task, so micro-batches are bounded in bytes
-    events = spark.readStream.schema(schema).option("maxBytesPerTrigger", 1 << 30).option(
-        "pathGlobFilter", "events*.parquet"
-    ).parquet(sf_dir)
     decided = admit_stream(
-        events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", "ts", attempts=2, minutes=1440, order_by=["event_id"]
+        event_stream(spark, sf_dir), "user_id", "ts", attempts=2, minutes=1440, order_by=["event_id"]
     )
     out = scratch_path(spark, "t1")
     stream = (
@@ -1089,3 +1091,14 @@ def admit_from_stream(spark, sf_dir):
     )
     stream.awaitTermination()
     return spark.read.parquet(f"{out}/rows")
+
+
+@query("t1_admit_batches", ADMISSION_SQL)
+def admit_in_batches(spark, sf_dir):
+    out = scratch_path(spark, "t1-batches")
+    writer = admit_batches(
+        event_stream(spark, sf_dir), out, "user_id", "ts", attempts=2, minutes=1440, order_by=["event_id"]
+    )
+    stream = writer.option("checkpointLocation", f"{out}/progress").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("event_id", "accepted")

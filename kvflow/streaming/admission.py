@@ -1,4 +1,9 @@
-"""Rolling admission on a stream."""
+"""Rolling admission on a stream.
+
+``admit_stream`` keeps its state per user in the state store and decides with low delay; all rows
+of a user in one micro-batch meet in one task. ``admit_batches`` decides each micro-batch with the
+batch operator, which shares a user with very many rows among tasks, and keeps its state as a table.
+"""
 
 from __future__ import annotations
 
@@ -8,9 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
-from kvflow.operators.admission import walk, window_micros
+from kvflow.operators.admission import admit, walk, window_micros
 from kvflow.operators.jobs import QUOTA_ATTEMPTS, QUOTA_MINUTES
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -81,3 +86,56 @@ def admit_stream(
             statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="eventTime",
         )
     )
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def admit_batches(
+    sdf: DataFrame,
+    path: str,
+    user: str,
+    ts: str,
+    attempts: int = QUOTA_ATTEMPTS,
+    minutes: float = QUOTA_MINUTES,
+    order_by: list[str] | None = None,
+    partitions: int | None = None,
+) -> DataStreamWriter:
+    """A stream writer that decides each micro-batch and appends it below ``path/rows``.
+
+    The state is the accepted rows of the last window, at most ``attempts`` per user, written
+    below ``path/state`` for every micro-batch; with them in front, a micro-batch is decided like
+    any table. Rows older than the newest row of an earlier micro-batch come too late and are
+    dropped. A micro-batch that runs again replaces its own files, so every row counts once.
+    """
+    order = list(order_by or [])
+    window = F.make_dt_interval(secs=F.lit(window_micros(minutes) / 1_000_000).cast("decimal(18,6)"))
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before, known = f"{path}/state/{batch_id - 1}", None
+        rows = batch.withColumn("_new", F.lit(1))
+        if batch_id > 0:
+            known = spark.read.parquet(before)  # a lost state is an error
+            newest = known.select(F.max("_newest").alias("_newest"))
+            # one row, so that the time is compared as it is, with or without a zone
+            in_time = F.col("_newest").isNull() | (F.col(ts) >= F.col("_newest"))
+            rows = rows.join(F.broadcast(newest), in_time).drop("_newest")
+            rows = rows.unionByName(
+                known.drop("_newest").withColumn("_new", F.lit(0)), allowMissingColumns=True
+            )
+        decided = admit(rows, user, ts, attempts, minutes, ["_new", *order], partitions=partitions)
+        out = _written(decided.filter("_new = 1").drop("_new"), f"{path}/rows/batch={batch_id}")
+
+        live = out.filter("accepted").select(user, ts, *order)
+        times = out.select(ts)
+        if known is not None:
+            live = live.unionByName(known.drop("_newest"))
+            times = times.unionAll(known.select("_newest"))
+        newest = times.agg(F.max(ts).alias("_newest"))
+        live = live.join(F.broadcast(newest), F.col(ts) >= F.col("_newest") - window)
+        _written(live, f"{path}/state/{batch_id}")
+
+    return sdf.writeStream.foreachBatch(step)

@@ -1,3 +1,4 @@
+import os
 import random
 from collections import deque
 from datetime import datetime, timedelta, timezone
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kvflow.operators import admission
 from kvflow.operators.admission import admit
-from kvflow.streaming.admission import admit_stream
+from kvflow.streaming.admission import admit_batches, admit_stream
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -89,27 +90,71 @@ def test_times_without_zone_and_disabled_quota(spark):
         admit(bare, "user", "ts", 0)
 
 
-def test_stream_over_several_batches(spark, tmp_path):
-    rows = random_rows(9, 300)
+@pytest.fixture(scope="module")
+def arriving(spark, tmp_path_factory):
+    """Rows of three files that arrive one after the other, and a stream that takes one at a time."""
+    rows, folder = random_rows(9, 300), tmp_path_factory.mktemp("arriving")
     for part in range(3):
-        spark.createDataFrame(rows[part * 100 : part * 100 + 100], "id long, user string, ts timestamp").coalesce(
-            1
-        ).write.parquet(f"{tmp_path}/in/p{part}")
-    for part in range(3):  # one file per batch, in order of arrival
-        for file in (tmp_path / "in" / f"p{part}").glob("part-*"):
-            (tmp_path / "in" / f"{part}.parquet").write_bytes(file.read_bytes())
-            stamp = 1_700_000_000 + part * 60
-            import os
-
-            os.utime(tmp_path / "in" / f"{part}.parquet", (stamp, stamp))
-    source = (
-        spark.readStream.schema("id long, user string, ts timestamp")
-        .option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*.parquet")
-    )
-    stream = (
-        admit_stream(source, "user", "ts", 2, 20, ["id"], lateness="1 hour").writeStream.format("parquet")
+        df = spark.createDataFrame(rows[part * 100 : part * 100 + 100], "id long, user string, ts timestamp")
+        df.coalesce(1).write.parquet(f"{folder}/made/{part}")
+        (file,) = (folder / "made" / str(part)).glob("part-*")
+        (folder / f"{part}.parquet").write_bytes(file.read_bytes())
+        os.utime(folder / f"{part}.parquet", (1_700_000_000 + part * 60,) * 2)
+
+    def stream(*columns):
+        source = spark.readStream.schema("id long, user string, ts timestamp").option("maxFilesPerTrigger", 1)
+        return source.parquet(f"{folder}/*.parquet").select("id", "user", "ts", *columns)
+
+    return rows, stream
+
+
+def test_stream_over_several_batches(spark, tmp_path, arriving):
+    rows, stream = arriving
+    query = (
+        admit_stream(stream(), "user", "ts", 2, 20, ["id"], lateness="1 hour").writeStream.format("parquet")
         .option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state")
         .outputMode("append").trigger(availableNow=True).start()
     )
-    stream.awaitTermination()
+    query.awaitTermination()
     assert decided(spark.read.parquet(f"{tmp_path}/out")) == plain(rows, 2, 20)
+
+
+def test_batches_of_a_stream(spark, tmp_path, arriving):
+    rows, stream = arriving
+    for _ in range(2):  # the second start finds nothing new
+        writer = admit_batches(stream(F.lit("x").alias("more")), str(tmp_path), "user", "ts", 2, 20, ["id"], partitions=5)
+        query = writer.option("checkpointLocation", f"{tmp_path}/progress").trigger(availableNow=True).start()
+        query.awaitTermination()
+    out = spark.read.parquet(f"{tmp_path}/rows")
+    assert out.select("batch").distinct().count() == 3
+    assert decided(out) == plain(rows, 2, 20) and out.filter("more <> 'x'").isEmpty()
+    states = [spark.read.parquet(f"{tmp_path}/state/{i}") for i in range(3)]
+    assert all(s.groupBy("user").count().filter("count > 2").isEmpty() for s in states)
+
+
+def test_late_rows_of_a_batch_are_dropped(spark, tmp_path):
+    def step(rows, batch_id):
+        df = spark.createDataFrame(rows, "id long, user string, ts timestamp_ntz")
+        captured = []
+
+        class Stream:  # hands the step out instead of running it
+            writeStream = property(lambda self: self)
+
+            def foreachBatch(self, fn):
+                captured.append(fn)
+
+        admit_batches(Stream(), str(tmp_path), "user", "ts", 1, 10, ["id"])
+        captured[0](df, batch_id)
+        return decided(spark.read.parquet(f"{tmp_path}/rows/batch={batch_id}"))
+
+    def at(minute):
+        return datetime(2024, 1, 1, 0, minute)
+
+    assert step([], 0) == {}
+    assert step([(1, "a", at(0)), (2, "b", at(5))], 1) == {1: True, 2: True}
+    for _ in range(2):  # running a batch again changes nothing
+        assert step([(3, "a", at(4)), (4, "b", at(5)), (5, "a", at(10)), (6, "a", at(11))], 2) == {4: False, 5: False, 6: True}
+    assert step([], 3) == {}
+    assert step([(7, "a", at(21)), (8, "a", at(22)), (9, "b", at(22))], 4) == {7: False, 8: True, 9: True}
+    with pytest.raises(Exception, match="(?i)not.exist"):
+        step([], 9)
