@@ -365,7 +365,8 @@ def map_words_sql(spark, sf_dir):
     mapping.register_mapper(spark, "split_words", word_mapper)
     spread_small(doc_pairs(spark, sf_dir)).createOrReplaceTempView("doc_pairs")
     return spark.sql(
-        "SELECT m.key, count(*) AS n FROM doc_pairs, LATERAL split_words(doc_pairs.key, doc_pairs.value) m GROUP BY m.key"
+        """SELECT m.key, count(*) AS n FROM doc_pairs, LATERAL split_words(doc_pairs.key, doc_pairs.value) m
+        GROUP BY m.key"""
     )
 
 

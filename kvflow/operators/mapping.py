@@ -20,7 +20,7 @@ Combiner = Callable[[str, Iterable], Iterable[tuple]]
 # Rows and characters a task gathers before it hands a batch back to Spark.
 OUT_ROWS = 16_384
 OUT_CHARS = 8 << 20
-STEP_ROWS = 128  # rows between two looks at these sizes
+STEP_ROWS = 128  # rows between two looks at these sizes, at most
 # Pairs, and characters of text in them, a task holds for its combiner before it folds them.
 COMBINE_ROWS = 100_000
 COMBINE_CHARS = 64 << 20
@@ -41,12 +41,16 @@ def write_rows(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBa
         return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     columns: list[list] = [[] for _ in schema]
-    chars = 0
-    while some := list(islice(rows, STEP_ROWS)):
+    chars, step = 0, 1
+    while some := list(islice(rows, step)):
+        size = 0
         for column, part, text in zip(columns, zip(*some), texts):
             column.extend(part)
             if text:
-                chars += sum(map(len, filter(None, part)))
+                size += sum(map(len, filter(None, part)))
+        chars += size
+        # the longer the rows, the fewer at a time
+        step = max(1, min(STEP_ROWS, OUT_CHARS * len(some) // (size + 1)))
         if len(columns[0]) >= OUT_ROWS or chars >= OUT_CHARS:
             yield batch()
             columns, chars = [[] for _ in schema], 0

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kvflow.functions.records import to_kv
 from kvflow.operators.external import pipe_map, pipe_reduce
-from kvflow.operators.mapping import map_expr, map_kv
+from kvflow.operators.mapping import combine_kv, map_expr, map_kv
 from kvflow.operators.paging import take_bytes, take_file_bytes
 from kvflow.operators.reduce import reduce_agg, reduce_kv
 from kvflow.session import scratch_path
@@ -32,7 +32,6 @@ class Native:
     expr: Callable[..., Column]
 
 
-
 class JobFailed(RuntimeError):
     """A preview whose map or reduce failed, or whose map emitted nothing."""
 
@@ -45,13 +44,15 @@ def _map(kv: DataFrame, mapper, map_tasks, combiner, params) -> DataFrame:
     return map_kv(kv, mapper, map_tasks=map_tasks, combiner=combiner)
 
 
-def _reduce(kv: DataFrame, reducer, reduce_tasks, numeric, value_order, params) -> DataFrame:
+def _reduce(kv: DataFrame, reducer, reduce_tasks, numeric, value_order, combiner, params) -> DataFrame:
     if isinstance(reducer, Native):
         return reduce_agg(kv, value=reducer.expr(F.col("value")).cast("string"))
     if isinstance(reducer, (str, list)):
-        return pipe_reduce(kv, reducer, reduce_tasks, numeric, value_order, params=params)
+        return pipe_reduce(
+            kv, reducer, reduce_tasks, numeric, value_order, combine_cmd=combiner, params=params
+        )
     return reduce_kv(
-        kv, reducer, reduce_tasks=reduce_tasks, numeric=numeric, value_order=value_order
+        kv, reducer, reduce_tasks=reduce_tasks, numeric=numeric, value_order=value_order, combiner=combiner
     )
 
 
@@ -78,9 +79,12 @@ def run_job(
     Mapper and reducer are Python functions, :class:`Native` expressions or command lines; no
     reducer passes the sorted pairs through. The result is a lazy ``kv`` table. With ``home`` it
     is written below ``home/out`` under the first free form of ``name`` and read back from there.
+    ``combiner`` folds pairs before the shuffle: a function, or a command line for a program.
     ``preview`` runs on so many bytes of the input files only, see :func:`preview_job`.
     Programs find the job's settings and ``params`` in their environment (``job_name``, ...).
     """
+    if isinstance(combiner, (str, list)) and not isinstance(reducer, (str, list)):
+        raise ValueError("a command line can fold only for a reducer that is one")
     for count, kind in ((map_tasks, "map"), (reduce_tasks, "reduce")):
         if count is not None and count < 1:
             raise ValueError(f"a job has at least one {kind} task")
@@ -97,8 +101,13 @@ def run_job(
             raise JobFailed("; ".join(r["errors"] or "no output" for r in done.phases.collect()))
         return done.reduced
     kv = read_kv(spark, input, dialect=dialect) if isinstance(input, str) else input
-    mapped = _map(kv, mapper, map_tasks, combiner, settings)
-    result = _reduce(mapped, reducer, reduce_tasks, numeric, value_order, settings)
+    # a function can fold right behind a mapper that is one; otherwise in a step of its own
+    folds = callable(mapper) and callable(combiner)
+    mapped = _map(kv, mapper, map_tasks, combiner if folds else None, settings)
+    if callable(combiner) and isinstance(reducer, (str, list)) and not folds:
+        mapped, folds = combine_kv(mapped, combiner), True
+    combiner = None if folds else combiner
+    result = _reduce(mapped, reducer, reduce_tasks, numeric, value_order, combiner, settings)
     if home is None:
         return result
     path = free_path(spark, f"{home.rstrip('/')}/out", name)
@@ -161,7 +170,7 @@ def preview_job(
     if mapped is not None and phases[0][2] > 0:
         def reduce():
             # one task, as the preview is one stream; the sort is by key, then whole line
-            return _reduce(mapped, reducer, 1, numeric, "value", params)
+            return _reduce(mapped, reducer, 1, numeric, "value", None, params)
 
         reduced = run("reduce", reduce)
     done = spark.createDataFrame(phases, "phase string, code int, n_records bigint, errors string")

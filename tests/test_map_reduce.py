@@ -1,6 +1,7 @@
 from collections import Counter
 from itertools import islice
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
@@ -172,6 +173,26 @@ def test_job_over_files(spark, tmp_path):
         assert (tmp_path / "home" / "out" / want).is_dir()
 
 
+def test_jobs_with_combiners(spark, kv):
+    tokens = ["awk", "-F", "\t", '{ n = split($2, w, " "); for (i = 1; i <= n; i++) print w[i] "\t1" }']
+    add = ["awk", "-F", "\t", 'NR > 1 && $1 != k { print k "\t" s; s = 0 } { k = $1; s += $2 } END { print k "\t" s }']
+    one_line = [(k, v.replace("\n", " ")) for k, v in TEXTS]
+    for mapper in (words, Native(native_words), tokens):
+        for reducer, combiner in ((total, total), (add, add), (add, total), (Native(F.count), None), (total, None)):
+            out = run_job(spark, kv(one_line), mapper, reducer, combiner=combiner)
+            assert pairs_of(out) == EXPECTED
+    with pytest.raises(ValueError):
+        run_job(spark, kv(one_line), words, total, combiner=add)
+
+
+def test_long_rows_make_small_batches():
+    schema = pa.schema([("key", pa.string()), ("value", pa.string())])
+    long = "x" * (mapping.OUT_CHARS // 4)
+    sizes = [b.num_rows for b in mapping.write_rows([("k", long)] * 20 + [("k", "v")] * 50_000, schema)]
+    assert sum(sizes) == 50_020 and max(sizes) <= mapping.OUT_ROWS + mapping.STEP_ROWS
+    assert all(n <= 6 for n in sizes[:3])
+
+
 def test_job_preview(spark, tmp_path):
     (tmp_path / "a.txt").write_text("1\ta b a\n2\tb\n")
     assert pairs_of(run_job(spark, str(tmp_path), words, total, preview=6)) == [("a", "1"), ("b", "1")]
