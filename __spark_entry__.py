@@ -325,7 +325,8 @@ _DIALECT_SQL = {
     "skip_blank": f"SELECT event_id, {_FIRST_TAB.format('line', repr(''))} FROM {_DIALECT_LINES} WHERE kind <> 0",
     "trim_split": f"""SELECT event_id, string_split(t, chr(9))[1] AS key, coalesce(string_split(t, chr(9))[2], '') AS value
         FROM (SELECT event_id, trim(line, chr(9) || ' ') AS t, kind FROM {_DIALECT_LINES}) WHERE kind NOT IN (0, 3, 5)""",
-    "trim_split_reduce": f"""SELECT event_id, string_split(t, chr(9))[1] AS key, coalesce(string_split(t, chr(9))[2], '') AS value
+    "trim_split_reduce": f"""SELECT event_id, string_split(t, chr(9))[1] AS key,
+            coalesce(string_split(t, chr(9))[2], '') AS value
         FROM (SELECT event_id, trim(line, chr(9) || ' ') AS t, kind FROM {_DIALECT_LINES}) WHERE kind NOT IN (0, 5)""",
 }
 
@@ -716,7 +717,8 @@ def read_page(spark, sf_dir):
         FROM {LINES_SQL}) WHERE byte_offset // 131072 = 1""",
 )
 def read_file_page(spark, sf_dir):
-    return paging.read_file_page(spark, ordered_line_files(spark, sf_dir), 2, page_size=131_072).select("line", "byte_offset")
+    path = ordered_line_files(spark, sf_dir)
+    return paging.read_file_page(spark, path, 2, page_size=131_072).select("line", "byte_offset")
 
 
 @query(
@@ -780,7 +782,8 @@ def f_split(spark, sf_dir):
     """SELECT p_partkey, array_to_string(CASE WHEN len(t) > 3 THEN list_append(t[1:2], array_to_string(t[3:], ' '))
         ELSE t END, '|') AS tokens
     FROM (SELECT p_partkey, regexp_split_to_array(
-        CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE concat(p_name, ' ', p_brand, '  ', p_size) END, ' +') AS t FROM part)""",
+        CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE concat(p_name, ' ', p_brand, '  ', p_size) END, ' +') AS t
+        FROM part)""",
 )
 def f_split_max(spark, sf_dir):
     line = F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise(

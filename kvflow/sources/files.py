@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kvflow.functions.records import to_kv
+from kvflow.session import split_bytes
 from kvflow.sources.paths import qualified
 
 
@@ -111,8 +112,7 @@ def _lines_with_place(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def _split_count(spark: SparkSession, path: str | list[str]) -> int:
     """A bound on the number of file splits a scan of ``path`` is cut into."""
     size = list_inputs(spark, path).agg(F.sum("length").alias("bytes"), F.count("*").alias("n")).first()
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
-    return (size["bytes"] or 0) // split + size["n"] + spark.sparkContext.defaultParallelism
+    return (size["bytes"] or 0) // split_bytes(spark) + size["n"] + spark.sparkContext.defaultParallelism
 
 
 def concat_files(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -153,7 +153,8 @@ def test_late_rows_of_a_batch_are_dropped(spark, tmp_path):
     assert step([], 0) == {}
     assert step([(1, "a", at(0)), (2, "b", at(5))], 1) == {1: True, 2: True}
     for _ in range(2):  # running a batch again changes nothing
-        assert step([(3, "a", at(4)), (4, "b", at(5)), (5, "a", at(10)), (6, "a", at(11))], 2) == {4: False, 5: False, 6: True}
+        rows = [(3, "a", at(4)), (4, "b", at(5)), (5, "a", at(10)), (6, "a", at(11))]
+        assert step(rows, 2) == {4: False, 5: False, 6: True}
     assert step([], 3) == {}
     assert step([(7, "a", at(21)), (8, "a", at(22)), (9, "b", at(22))], 4) == {7: False, 8: True, 9: True}
     with pytest.raises(Exception, match="(?i)not.exist"):
