@@ -22,7 +22,7 @@ OUT_ROWS = 16_384
 OUT_CHARS = 8 << 20
 STEP_ROWS = 128  # rows between two looks at these sizes, at most
 # Pairs, and characters of text in them, a task holds for its combiner before it folds them.
-COMBINE_ROWS = 100_000
+COMBINE_ROWS = 200_000
 COMBINE_CHARS = 64 << 20
 
 

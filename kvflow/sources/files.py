@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,16 +24,22 @@ def _listed(file_path: Column) -> Column:
     return F.url_decode(F.replace(file_path, F.lit("+"), F.lit("%2B")))
 
 
+def _bare(path: str) -> str:
+    return re.sub("^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path)
+
+
 def _is_input(spark: SparkSession, path: Column, root: str | list[str]) -> Column:
-    """A file named itself, or a visible file directly inside the folder ``root``.
+    """A file named itself, or a visible file directly inside a folder named as ``root``.
 
-    Lists and patterns name their files themselves.
+    Patterns name their files themselves.
     """
-    if not isinstance(root, str) or any(c in root for c in "*?[{"):
+    roots = [root] if isinstance(root, str) else root
+    if any(c in name for name in roots for c in "*?[{"):
         return F.lit(True)
-    bare, wanted = _plain(path), _plain(F.lit(qualified(spark, root)))
+    named = [_bare(qualified(spark, name)) for name in roots]
+    bare = _plain(path)
     visible = ~F.substring_index(bare, "/", -1).rlike("^[._]")
-    return (bare == wanted) | ((F.regexp_replace(bare, "/[^/]*$", "") == wanted) & visible)
+    return bare.isin(named) | (F.regexp_replace(bare, "/[^/]*$", "").isin(named) & visible)
 
 
 def _all_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -126,23 +134,28 @@ def concat_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
         _count_in_split,
         "file string, block bigint, line string, n_bytes bigint, split_line bigint, split_offset bigint",
     )
-    # from here on one row per file or per split, some hundred bytes for every 128 MB of text
-    earlier = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    files = list_inputs(spark, path).select(
-        _plain(F.col("path")).alias("_name"),
-        "path",
-        F.coalesce(F.sum("length").over(earlier), F.lit(0)).alias("file_start"),
-    )
+    # from here on one row per split, some hundred bytes for every 128 MB of text
     splits = lines.groupBy("file", "block").agg(
         F.count("*").alias("n"), F.sum("n_bytes").alias("bytes")
     )
-    splits = splits.withColumn("_name", _plain(_listed(F.col("file")))).join(files, "_name")
-    before = Window.orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)
-    in_file = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    lengths = list_inputs(spark, path).select(_plain(F.col("path")).alias("_name"), "path", "length")
+    splits = splits.withColumn("_name", _plain(_listed(F.col("file")))).join(lengths, "_name")
+    in_file = Window.partitionBy("path").orderBy("block")
+    overall = Window.orderBy("path", "block")
+    # a file's length counts once, at its first split; files that were not read do not count
+    splits = splits.withColumn(
+        "new_length", F.when(F.row_number().over(in_file) == 1, F.col("length")).otherwise(0)
+    )
+
+    def before(name, window):
+        return F.coalesce(F.sum(name).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    through = overall.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    file_start = F.sum("new_length").over(through) - F.col("length")
     starts = splits.select(
         "file", "block", "path",
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_line"),
-        (F.col("file_start") + F.coalesce(F.sum("bytes").over(in_file), F.lit(0))).alias("first_offset"),
+        before("n", overall).alias("first_line"),
+        (file_start + before("bytes", in_file)).alias("first_offset"),
     )
     if _split_count(spark, path) <= _MAX_BROADCAST_SPLITS:
         starts = F.broadcast(starts)

@@ -54,6 +54,12 @@ def test_concat_over_split_files(spark, tmp_path):
     assert [(f, n, line, at) for n, f, line, at in got] == want
 
 
+def test_concat_counts_only_what_it_reads(spark, folder):
+    for path in (str(folder), [str(folder)], f"{folder}/*.txt"):
+        rows = files.concat_files(spark, path).orderBy("line_no").collect()
+        assert [(r["line"], r["byte_offset"]) for r in rows] == [("k1\tv1\r", 0), ("k2", 7), ("k3\tv3", 10)]
+
+
 def test_write_then_read(spark, tmp_path, kv):
     pairs = [("a", "1"), ("b", ""), ("", "x\ty")]
     path = f"file://{tmp_path}/out"
