@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvflow.functions.text import numeric_order
-from kvflow.operators.shuffle import sort_here
+from kvflow.operators.shuffle import sort_here, with_spread
 from kvflow.session import scratch_path
 
 _ROW_MASK = (1 << 33) - 1  # monotonically_increasing_id keeps the row number in its low 33 bits
@@ -24,9 +24,8 @@ def ordered_table(
     a third of the table. Range numbers hold only until the next shuffle: write the table before
     using them twice.
     """
-    spread = df.withColumn("_spread", F.monotonically_increasing_id())
     count = () if partitions is None else (partitions,)
-    moved = spread.repartitionByRange(*count, *order_by, "_spread")
+    moved = with_spread(df).repartitionByRange(*count, *order_by, "_spread")
     return (
         sort_here(moved, [*order_by, "_spread"])
         .drop("_spread")

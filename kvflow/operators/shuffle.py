@@ -4,10 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kvflow.functions.text import numeric_order
 
 
+def _reads_shuffle(node) -> bool:
+    """Whether a physical plan takes its rows, in whatever order they arrive, from a shuffle."""
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return _reads_shuffle(node.executedPlan())
+    if kind in ("BroadcastExchangeExec", "ShuffleExchangeExec"):
+        return kind == "ShuffleExchangeExec"
+    children = node.children()
+    return any(_reads_shuffle(children.apply(i)) for i in range(children.size()))
+
+
+def with_spread(df: DataFrame) -> DataFrame:
+    """Add ``_spread``, a number that tells rows apart that are otherwise alike.
+
+    A task that runs again must give its rows the same numbers. File scans keep their order; rows
+    out of a shuffle do not, so they are put in order first.
+    """
+    if _reads_shuffle(df._jdf.queryExecution().executedPlan()):
+        df = df.sortWithinPartitions(*(f.name for f in df.schema if not _has_map(f.dataType)))
+    return df.withColumn("_spread", F.monotonically_increasing_id())
+
+
+def _has_map(kind: T.DataType) -> bool:
+    return "map<" in kind.simpleString() or "variant" in kind.simpleString()
+
+
 def sort_here(df: DataFrame, order: list[Column | str]) -> DataFrame:
     """Sort inside partitions, computing each sort expression once per row and not per comparison."""
     made = {f"_sort{i}": c for i, c in enumerate(order) if not isinstance(c, str)}
@@ -37,6 +64,5 @@ def shuffle(
     count = () if reduce_tasks is None else (reduce_tasks,)
     if whole_keys:
         return sort_here(kv.repartition(*count, "key"), order)
-    spread = kv.withColumn("_spread", F.monotonically_increasing_id())
-    moved = spread.repartitionByRange(*count, *order, "_spread").drop("_spread")
+    moved = with_spread(kv).repartitionByRange(*count, *order, "_spread").drop("_spread")
     return sort_here(moved, order)

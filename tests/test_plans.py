@@ -64,6 +64,16 @@ def test_order_without_whole_keys_uses_ranges(spark, kv):
     assert "rangepartitioning(key" in plan(reduce.reduce_kv(pairs, None))
 
 
+def test_ties_are_numbered_in_a_repeatable_order(spark):
+    docs = entry.table(spark, SF_DIR, "documents").selectExpr("lang AS key", "source AS value")
+    joined = docs.join(F.broadcast(docs.limit(1).select("key")), "key")
+    for narrow in (docs, joined, docs.filter("value > 'a'")):
+        assert plan(shuffle(narrow, whole_keys=False)).count("Sort [") == 1
+    for moved in (docs.repartition(3), docs.distinct(), docs.union(docs.repartition("key"))):
+        text = plan(shuffle(moved, whole_keys=False))
+        assert text.count("Sort [") == 2 and "Sort [key" in text.split("rangepartitioning")[1]
+
+
 @pytest.mark.parametrize("name", [n for n in sorted(entry.queries()) if not n.startswith("t1_")])
 def test_no_query_pairs_up_rows(spark, name):
     text = plan(entry.queries()[name](spark, SF_DIR))
