@@ -122,6 +122,7 @@ def register_reducer(
     """Make a fold a SQL table function over ``TABLE(kv) PARTITION BY key [ORDER BY value]``.
 
     ``step`` takes one value at a time, so a group is never held; ``finish`` emits its pairs.
+    A key's rows go to one task: fold them first (``combine_kv``) where a key may be hot.
     """
     records = emitter(KV_DDL, "\t", 1)
 
