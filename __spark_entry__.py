@@ -113,12 +113,28 @@ def entry(spark: SparkSession) -> DataFrame:
     return word_count(spark, "/root/testdata/sf0.001")
 
 
+def _text_pipeline() -> tuple[dict[str, Query], dict[str, str]]:
+    """The queries of the text pipeline, where that part is installed."""
+    try:
+        import corpus_pipeline
+        from kvflow.llm import queries as more
+    except ModuleNotFoundError as missing:
+        if missing.name not in ("corpus_pipeline", "kvflow.llm"):
+            raise
+        return {}, {}
+    found, sql = dict(more.QUERIES), dict(more.ORACLES)
+    found["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found, sql
+
+
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return {**_QUERIES, **_text_pipeline()[0]}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return {**_ORACLES, **_text_pipeline()[1]}
 
 
 # ---------------------------------------------------------------- sources and sinks
