@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kvflow.llm.chat import format_chat, loss_text, read_chat
 from kvflow.llm.common import table
 from kvflow.llm.decontaminate import decontaminate
+from kvflow.llm.pii import KINDS, find_pii
 from kvflow.llm.ring import shard_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,3 +123,24 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+# ---------------------------------------------------------------- 8: personal data
+
+
+@query("op8_pii")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def joined(spans):
+        parts = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+        return F.array_join(parts, ",")
+
+    def number(kind):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [number(kind) for kind in KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")
+    )
