@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from kvflow.llm.chat import format_chat, loss_text, read_chat
 from kvflow.llm.common import table
 from kvflow.llm.decontaminate import decontaminate
+from kvflow.llm.merkle import compare_with_next
+from kvflow.llm.mixing import mix
 from kvflow.llm.pii import KINDS, find_pii
 from kvflow.llm.ring import shard_rows
+from kvflow.llm.token_counts import length_histogram, suffix_sums, token_lengths
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -108,6 +111,26 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------------- 5: document fingerprints
+
+
+@query("op5_fingerprint")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = compare_with_next(table(spark, sf_dir, "documents"))
+    return done.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        "near_edited", "near_next", "edit_at",
+    )
+
+
+# ---------------------------------------------------------------- 6: token counts
+
+
+@query("op6_token_counts")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_sums(length_histogram(token_lengths(table(spark, sf_dir, "documents"))))
+
+
 # ---------------------------------------------------------------- 7: sharding
 
 
@@ -144,3 +167,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")
     )
+
+
+# ---------------------------------------------------------------- 9: mixing
+
+
+@query("op9_mix")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), "doc_id").select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "rate", "copies"
+    )
