@@ -12,6 +12,7 @@ from kvflow.llm.common import table
 from kvflow.llm.decontaminate import decontaminate
 from kvflow.llm.merkle import compare_with_next
 from kvflow.llm.mixing import mix
+from kvflow.llm.order_minhash import near_classes
 from kvflow.llm.pii import KINDS, find_pii
 from kvflow.llm.ring import shard_rows
 from kvflow.llm.token_counts import length_histogram, suffix_sums, token_lengths
@@ -31,6 +32,15 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+# ---------------------------------------------------------------- 1: near-duplicates
+
+
+@query("op1_order_minhash")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = near_classes(table(spark, sf_dir, "documents"))
+    return classes.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
 # ---------------------------------------------------------------- 2: chat formatting
 
 CHAT_SQL = r"""
