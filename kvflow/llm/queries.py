@@ -16,6 +16,7 @@ from kvflow.llm.order_minhash import near_classes
 from kvflow.llm.pii import KINDS, find_pii
 from kvflow.llm.ring import shard_rows
 from kvflow.llm.token_counts import length_histogram, suffix_sums, token_lengths
+from kvflow.llm.toxicity import score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -187,3 +188,12 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), "doc_id").select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "rate", "copies"
     )
+
+
+# ---------------------------------------------------------------- 10: toxicity
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_toxicity(docs, table(spark, sf_dir, "labels"))
