@@ -30,6 +30,20 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+#: Arrays over the words of a batch take about ten times its bytes, so tasks work on this much at once.
+PIECE_BYTES = 6 << 20
+
+
+def pieces(batch: pa.RecordBatch, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows of at most so many bytes; a larger row is a run of its own."""
+    if batch.nbytes <= most or batch.num_rows < 2:
+        yield batch
+    else:
+        half = batch.num_rows // 2
+        yield from pieces(batch.slice(0, half), most)
+        yield from pieces(batch.slice(half), most)
+
+
 def map_batches(
     df: DataFrame, added: T.StructType, task: Callable[[pa.RecordBatch], list[pa.Array]], drop: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -41,7 +55,7 @@ def map_batches(
     types = [to_arrow_type(f.dataType) for f in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole)):
             batch = pa.RecordBatch.from_arrays(batch.columns, names=source)
             made = [column.cast(kind) for column, kind in zip(task(batch), types, strict=True)]
             columns = [batch.column(source.index(name)) for name in names] + made

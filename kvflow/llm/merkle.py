@@ -158,13 +158,14 @@ def differences(a: str, b: str) -> list[tuple[int, int, int, int]]:
 def fingerprint(docs: DataFrame, text_col: str = "text", name: str = "fingerprint") -> DataFrame:
     """``docs`` with the fingerprint of each text in column ``name``, which is replaced if it exists."""
     source = docs.withColumn(name, F.lit(""))
-    at, to = source.columns.index(text_col), source.columns.index(name)
+    names = source.columns
+    at, to = names.index(text_col), names.index(name)
 
     def task(batches):
         for batch in batches:
             columns = list(batch.columns)
             columns[to] = pa.array(fingerprints(columns[at]), pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=source.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return source.mapInArrow(task, source.schema)
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kvflow.llm.common import stored, without
+from kvflow.llm.common import stored
 
 BLOCK_ROWS = 4096
 
@@ -123,57 +123,85 @@ def multipliers(sizes: DataFrame, goals: DataFrame, most_copies: float = 2.0, st
     return state.drop("high", "low", "done")
 
 
-def _round_block(most: int):
-    def task(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["size", "_tie"], ascending=[False, True], kind="stable")
-        size, rate = block["size"].to_numpy(np.int64), block["rate"].to_numpy(np.float64)
-        copies, owed = np.ones(len(block), np.int64), 0.0
-        for i in range(len(block)):
-            if size[i]:
-                owed += rate[i] * size[i]
-                copies[i] = min(max(math.floor(owed / size[i] + 0.5), 0), most)
-                owed -= copies[i] * size[i]
-        return block[["_row"]].assign(copies=copies)
+def round_block(block: pd.DataFrame, most: int) -> pd.DataFrame:
+    """``block`` (size, rate, _tie) with copies: from large to small, what is owed goes on to the next."""
+    block = block.sort_values(["size", "_tie"], ascending=[False, True], kind="stable")
+    size, rate = block["size"].to_numpy(np.int64), block["rate"].to_numpy(np.float64)
+    copies, owed = np.ones(len(block), np.int64), 0.0
+    for i in range(len(block)):
+        if size[i]:
+            owed += rate[i] * size[i]
+            copies[i] = min(max(math.floor(owed / size[i] + 0.5), 0), most)
+            owed -= copies[i] * size[i]
+    return block.assign(copies=copies)
 
-    return task
 
+def _tie(key: Column, text: Column) -> Column:
+    return F.xxhash64(key, F.coalesce(text.cast("string"), F.lit("")))
 
-def mix(
-    docs: DataFrame,
-    key_col: str,
-    text_col: str = "text",
-    source_col: str = "source",
-    weights: tuple[float, ...] = (3.0, 1.0, 2.0),
-    share: float = 1.5,
-    most_copies: int = 2,
-) -> DataFrame:
-    """One row per document: its key and source with size, source_size, target, rate, copies."""
+
+def _mixed(docs, key_col, text_col, source_col, weights, share, most_copies) -> DataFrame:
     rows = stored(
         docs.select(
             F.col(key_col).alias("_key"), F.col(source_col).cast("string").alias("source"),
-            word_count(F.col(text_col)).alias("size"),
-            F.xxhash64(F.col(key_col), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_tie"),
+            word_count(F.col(text_col)).alias("size"), _tie(F.col(key_col), F.col(text_col)).alias("_tie"),
         ),
         "mix-rows",
     )
     sizes = stored(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-sizes")
     goals = targets(sizes, list(weights), share, most_copies)
     solved = multipliers(sizes, goals, most_copies)
-    tilted = rows.alias("r").join(solved.alias("m"), F.col("r.source").eqNullSafe(F.col("m.source")))
-    blocks = F.ceil(F.col("rows") / BLOCK_ROWS)
-    tilted = tilted.select(
+    tilted = rows.alias("r").join(solved.alias("m"), F.col("r.source").eqNullSafe(F.col("m.source"))).select(
         "_key", "r.source", "size", "_tie", "source_size", "target",
         _rate(F.col("x"), F.col("size"), F.col("scale"), float(most_copies)).alias("rate"),
-        F.pmod(F.col("_tie"), blocks).alias("_block"),
+        F.pmod(F.col("_tie"), F.ceil(F.col("rows") / BLOCK_ROWS)).alias("_block"),
     )
-    out = T.StructType([
-        *[f for f in tilted.schema if f.name in ("_key", "source", "size", "_tie", "source_size", "target", "rate")],
-        T.StructField("copies", T.LongType()),
-    ])
-    names = out.names
+    schema = T.StructType([f for f in tilted.schema if f.name != "_block"] + [T.StructField("copies", T.LongType())])
 
     def task(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.reset_index(drop=True).assign(_row=lambda b: b.index)
-        return block.merge(_round_block(most_copies)(block), on="_row")[names]
+        return round_block(block, int(most_copies))[schema.names]
+
+    return tilted.groupBy("source", "_block").applyInPandas(task, schema)
+
+
+def mix(
+    docs: DataFrame,
+    key_col: str,
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[float, ...] = (3.0, 1.0, 2.0),
+    share: float = 1.5,
+    most_copies: int = 2,
+) -> DataFrame:
+    """One row per document: its key and source with size, source_size, target, rate, copies."""
+    found = _mixed(docs, key_col, text_col, source_col, weights, share, most_copies)
+    return found.drop("_tie").withColumnRenamed("_key", key_col)
+
 
-    return tilted.groupBy("source", "_block").applyInPandas(task, out).drop("_tie").withColumnRenamed("_key", key_col)
+def mixed_rows(
+    docs: DataFrame,
+    key_col: str,
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[float, ...] = (3.0, 1.0, 2.0),
+    share: float = 1.5,
+    most_copies: int = 2,
+) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it; columns are kept.
+
+    Rows are met again by key and text; those that repeat both are numbered on either side.
+    """
+    found = _mixed(docs, key_col, text_col, source_col, weights, share, most_copies).select("_key", "_tie", "copies")
+    one = Window.partitionBy("_tie", "_key").orderBy(F.desc("copies"))
+    found = found.withColumn("_no", F.row_number().over(one))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*columns).alias("_row")).select(
+        "_row", F.col(f"_row.{key_col}").alias("_key"), _tie(F.col(f"_row.{key_col}"), F.col(f"_row.{text_col}")).alias("_tie")
+    )
+    one = Window.partitionBy("_tie", "_key").orderBy(F.xxhash64("_row"))
+    rows = rows.withColumn("_no", F.row_number().over(one))
+    same = (
+        (F.col("r._tie") == F.col("f._tie")) & F.col("r._key").eqNullSafe(F.col("f._key")) & (F.col("r._no") == F.col("f._no"))
+    )
+    taken = rows.alias("r").join(found.alias("f"), same).filter("copies > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")

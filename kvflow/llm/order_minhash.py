@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kvflow.llm.alignment import alike
-from kvflow.llm.common import lists, map_batches, stored
+from kvflow.llm.common import lists, map_batches, pieces, stored
 from kvflow.llm.components import components
 from kvflow.llm.words import Words, mix, windows, words_of
 
@@ -136,7 +136,7 @@ def words_by_key(docs: DataFrame, text_col: str) -> DataFrame:
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole)):
             words = words_of(batch.column(0))
             keys, codes = [], []
             for i, (a, b) in enumerate(zip(words.bounds[:-1], words.bounds[1:], strict=True)):
@@ -231,14 +231,15 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.col("class_id").alias("_id"), F.col("class_key").alias("_first")
     ).distinct()
     source = docs.withColumn("_key", F.lit(b""))
-    at, to = source.columns.index(text_col), source.columns.index("_key")
+    names = source.columns
+    at, to = names.index(text_col), names.index("_key")
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole)):
             columns = list(batch.columns)
             words = words_of(columns[at].cast(pa.large_string()))
             columns[to] = pa.array([_key(words, i) for i in range(batch.num_rows)], pa.binary())
-            yield pa.RecordBatch.from_arrays(columns, names=source.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     keyed = source.mapInArrow(name, source.schema)
     same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_first"))

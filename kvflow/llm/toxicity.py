@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kvflow.llm.common import map_batches, stored, without
+from kvflow.llm.common import map_batches, pieces, stored, without
 from kvflow.llm.words import Words, words_of
 
 #: Labelled rows from which lexicons are found, at most, and rows that the classifier is fitted on.
@@ -78,7 +78,7 @@ def term_counts(labelled: DataFrame) -> DataFrame:
     """(kind, term, toxic, clean): documents of each class that have the term. Input: text, toxic."""
 
     def count(batches):
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole)):
             words = words_of(batch.column(0))
             toxic = np.array([bool(x) for x in batch.column(1).to_pylist()])
             doc = _doc_of(words)
