@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kvflow.llm.chat import format_chat, loss_text, read_chat
 from kvflow.llm.common import table
 from kvflow.llm.decontaminate import decontaminate
+from kvflow.llm.line_dedup import dedup_lines
 from kvflow.llm.merkle import compare_with_next
 from kvflow.llm.mixing import mix
 from kvflow.llm.order_minhash import near_classes
@@ -84,6 +85,14 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------------- 3: line deduplication
+
+
+@query("op3_line_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_equal", "n_near", "removed")
+
+
 # ---------------------------------------------------------------- 4: benchmark decontamination
 
 DECONTAMINATE_SQL = r"""
