@@ -178,7 +178,7 @@ def _candidates(low: int, high: int, similarity: float):
                 return
             word, part = t["word"].to_numpy(), t["part"].to_numpy()
             group = np.cumsum(np.concatenate([[True], (word[1:] != word[:-1]) | (part[1:] != part[:-1])]))
-            load = np.frombuffer(b"".join(t["load"].to_pylist()), np.dtype([("key", "V16"), ("map", "<u8", 2)]))
+            load = _fixed(t["load"], np.dtype([("key", "V16"), ("map", "<u8", 2)]))
             keys = np.frombuffer(load["key"].tobytes(), np.dtype([("x", "<u8"), ("y", "<u8")]))
             # of a set's lines in a group the first one stays
             order = np.lexsort((np.arange(len(keys)), keys["y"], keys["x"], group))
@@ -222,32 +222,43 @@ def _candidates(low: int, high: int, similarity: float):
     return task
 
 
+def _fixed(column: pa.ChunkedArray, kind: np.dtype) -> np.ndarray:
+    """Binary values of one size as an array of records."""
+    values = column.combine_chunks()
+    values = values.cast(pa.binary(kind.itemsize))
+    raw = np.frombuffer(values.buffers()[1], np.uint8)[values.offset * kind.itemsize :][: len(values) * kind.itemsize]
+    return raw.view(kind)
+
+
 def _groups(prefixes: DataFrame) -> DataFrame:
     """Prefix rows with their group (word, part); words with many lines get a part per pair of blocks."""
-    many = prefixes.groupBy("word").agg(F.ceil(F.count("*") / GROUP_LINES).cast("int").alias("blocks"))
-    many = many.filter("blocks > 1")
-    rows = prefixes.join(many, "word", "left").withColumn(
+    # a word's counter bounds its lines, so few words have to be counted
+    hot = prefixes.filter(F.shiftrightunsigned("word", 48) > min(GROUP_LINES, 65534))
+    many = hot.groupBy("word").agg(F.ceil(F.count("*") / GROUP_LINES).cast("int").alias("blocks"))
+    many = stored(many.filter("blocks > 1"), "line-hot-words")
+    none = many.isEmpty()
+    rows = prefixes.withColumn("blocks", F.lit(1)) if none else prefixes.join(many, "word", "left")
+    rows = rows.withColumn(
         "block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("load"), F.col("blocks")).cast("int")).otherwise(0)
     )
+    if none:
+        return rows.withColumns({"part": F.lit(0), "cross": F.lit(False)})
     other = F.when(F.col("blocks") > 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0)))
     rows = rows.withColumn("_other", F.explode(other))
     low, high = F.least("block", "_other"), F.greatest("block", "_other")
     return rows.select(
-        "word", (low * F.coalesce("blocks", F.lit(1)) + high).alias("part"), "first", "n", "place", "load", "seek", "block",
-        (low != high).alias("cross"),
+        "word", (low * F.coalesce("blocks", F.lit(1)) + high).alias("part"), "unnamed", "id", "line", "_row", "n", "place",
+        "load", "seek", "block", (low != high).alias("cross"),
     )
 
 
 def matched_sets(lines: DataFrame, texts_sets, similarity: float) -> DataFrame:
     """(key) of each set that is similar to one whose first line is earlier."""
-    first = F.struct(F.col("id").isNull().alias("u"), "id", "line", "_row")
-    prefixes = stored(
-        lines.filter("prefix IS NOT NULL").select(
-            F.posexplode("prefix").alias("place", "word"), first.alias("first"), "n",
-            F.concat("key", "parity").alias("load"), F.col("key"),
-        ).filter(F.shiftrightunsigned("word", 48) > 1),
-        "line-prefixes",
-    )
+    # made anew in every round and not stored, as they are several times the lines
+    prefixes = lines.filter("prefix IS NOT NULL").select(
+        F.posexplode("prefix").alias("place", "word"), F.col("id").isNull().alias("unnamed"), "id", "line", "_row", "n",
+        F.concat("key", "parity").alias("load"), "key",
+    ).filter(F.shiftrightunsigned("word", 48) > 1)
     matched, seeking, low, high = None, None, 0, FIRST
     while True:
         if seeking is None:
@@ -258,7 +269,7 @@ def matched_sets(lines: DataFrame, texts_sets, similarity: float) -> DataFrame:
             rows = prefixes.join(words, "word", "left_semi").join(flags, "key", "left").fillna(False, ["seek"])
         groups = _groups(rows.drop("key"))
         n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dealt = groups.repartition(n, "word", "part").sortWithinPartitions("word", "part", "first")
+        dealt = groups.repartition(n, "word", "part").sortWithinPartitions("word", "part", "unnamed", "id", "line", "_row")
         found = dealt.select("word", "part", "n", "place", "load", "seek", "block", "cross").mapInArrow(
             _candidates(low, high, similarity), "b binary, a binary, more boolean"
         )
