@@ -20,9 +20,9 @@ from kvflow.operators import admission, external, jobs, logs, mapping, naming, o
 from kvflow.operators import reduce as reducing  # noqa: E402
 from kvflow.operators.shuffle import shuffle  # noqa: E402
 from kvflow.plans.job import Native, preview_job, run_job  # noqa: E402
-from kvflow.session import scratch_path, spread_small  # noqa: E402
+from kvflow.session import scratch_path  # noqa: E402
 from kvflow.sources import files, sinks  # noqa: E402
-from kvflow.streaming.admission import STATE_STORE, admit_batches, admit_stream  # noqa: E402
+from kvflow.streaming.admission import STATE_STORE, admit_batches, admit_stream, finish_batches  # noqa: E402
 
 if __name__ in sys.modules:
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -104,7 +104,7 @@ def text_dir(spark: SparkSession, lines: DataFrame, label: str) -> str:
 
 def ordered_line_files(spark: SparkSession, sf_dir: str) -> str:
     """The lines of all documents as text files whose names follow the order of the lines."""
-    lines = doc_lines(spark, sf_dir).repartitionByRange(4, "doc_id", "line_no")
+    lines = doc_lines(spark, sf_dir).repartitionByRange("doc_id", "line_no")
     return text_dir(spark, lines.sortWithinPartitions("doc_id", "line_no").select("line"), "lines")
 
 
@@ -148,17 +148,26 @@ def read_records(spark, sf_dir):
 
 @query(
     "s2_directory_scan",
-    """SELECT 'bytes' AS what, CAST(sum(strlen(c_name) + 1) AS BIGINT) AS n FROM customer
-    UNION ALL SELECT 'lines', count(*) FROM customer""",
+    """SELECT concat('nation=', c_nationkey) AS name, count(*) AS lines, CAST(sum(strlen(c_name) + 1) AS BIGINT) AS bytes
+    FROM customer GROUP BY c_nationkey""",
 )
 def directory_scan(spark, sf_dir):
-    names = table(spark, sf_dir, "customer").select("c_name")
-    root = text_dir(spark, names, "s2")
-    for hidden in ("_logs", ".staging", "sub", "day=1"):
-        names.write.text(f"{root}/{hidden}")
-    sizes = files.list_inputs(spark, root).agg(F.lit("bytes").alias("what"), F.sum("length").alias("n"))
-    lines = files.read_kv(spark, root).agg(F.lit("lines").alias("what"), F.count("*").alias("n"))
-    return sizes.unionAll(lines)
+    """One folder per nation, each with a file and with things that are no input."""
+    names = table(spark, sf_dir, "customer").select("c_nationkey", "c_name")
+    root = scratch_path(spark, "s2")
+    one = names.repartition("c_nationkey")
+    one.withColumnRenamed("c_nationkey", "nation").write.partitionBy("nation").text(root)
+    folders = [f"{root}/nation={k}" for (k,) in names.select("c_nationkey").distinct().collect()]
+    for hidden in ("_logs", ".staging", "sub"):
+        names.select("c_name").limit(3).write.text(f"{folders[0]}/{hidden}")
+
+    def folder(path):
+        return F.regexp_extract(path, "(nation=[0-9]+)/[^/]*$", 1).alias("name")
+
+    sizes = files.list_inputs(spark, folders).groupBy(folder(F.col("path"))).agg(F.sum("length").alias("bytes"))
+    lines = files.read_lines(spark, folders)
+    lines = lines.groupBy(folder(F.col("_metadata.file_path"))).agg(F.count("*").alias("lines"))
+    return sizes.join(lines, "name").select("name", "lines", "bytes")
 
 
 @query(
@@ -173,45 +182,44 @@ def concat_files(spark, sf_dir):
 
 
 _HOME = "hdfs://nn/home"
-_PATHS = """CASE page_id % 7
+_ASKED = """CASE page_id % 8
     WHEN 0 THEN concat('file:///data/', page_id)
     WHEN 1 THEN concat('in/', page_id)
     WHEN 2 THEN concat('/abs/', page_id)
     WHEN 3 THEN concat('hdfs://nn/home/in/', page_id)
     WHEN 4 THEN concat('in/../../other/', page_id)
     WHEN 5 THEN concat('hdfs://nn/homework/', page_id)
-    ELSE url END"""
+    WHEN 6 THEN concat('/home/./in/../in/', page_id)
+    ELSE concat('HDFS://NN/home//x/', page_id) END"""
+_RESOLVED = """concat(CASE page_id % 8
+    WHEN 0 THEN 'file:///data/' WHEN 2 THEN 'hdfs://nn/abs/' WHEN 4 THEN 'hdfs://nn/other/'
+    WHEN 5 THEN 'hdfs://nn/homework/' WHEN 7 THEN 'hdfs://nn/home/x/' ELSE 'hdfs://nn/home/in/' END, page_id)"""
 
 
-def _requested_paths(spark, sf_dir):
-    return table(spark, sf_dir, "pages").selectExpr("page_id", f"{_PATHS} AS path")
+def _inputs_sql(outside: str) -> str:
+    return f"""SELECT page_id, {_RESOLVED} AS resolved, CASE WHEN page_id % 8 = 0 THEN 'local_denied'
+        WHEN page_id % 3 = 0 THEN 'not_found' WHEN page_id % 8 IN (2, 4, 5) THEN '{outside}' ELSE 'ok' END AS verdict
+    FROM pages"""
 
 
-@query(
-    "s4_check_inputs",
-    f"""SELECT page_id, resolved, CASE
-            WHEN kind = 0 THEN 'local_denied'
-            WHEN resolved NOT IN (SELECT resolved FROM listed) THEN 'not_found'
-            WHEN kind IN (1, 3) THEN 'ok' ELSE 'outside_home' END AS verdict
-    FROM (SELECT page_id, page_id % 7 AS kind,
-            CASE WHEN page_id % 7 IN (1, 4) THEN '{_HOME}/' || path ELSE path END AS resolved
-          FROM (SELECT page_id, {_PATHS} AS path FROM pages)) AS asked""".replace(
-        "(SELECT resolved FROM listed)",
-        f"""(SELECT CASE WHEN page_id % 7 IN (1, 4) THEN '{_HOME}/' || path ELSE path END
-             FROM (SELECT page_id, {_PATHS} AS path FROM pages) WHERE strlen(path) % 3 <> 0)""",
-    ),
-)
-def check_inputs(spark, sf_dir):
-    asked = _requested_paths(spark, sf_dir)
-    present = asked.filter(F.octet_length("path") % 3 != 0).select(
-        F.when(F.col("page_id") % 7 == 1, F.concat(F.lit(_HOME + "/"), "path"))
-        .when(F.col("page_id") % 7 == 4, F.concat(F.lit(_HOME + "/"), "path"))
-        .otherwise(F.col("path")).alias("path")
-    )
-    checked = files.check_inputs(asked, _HOME, present, contain=True)
+def _checked_inputs(spark, sf_dir, contain: bool):
+    pages = table(spark, sf_dir, "pages")
+    # a listing names files in full
+    there = pages.filter("page_id % 3 <> 0").selectExpr(f"{_RESOLVED} AS path")
+    checked = files.check_inputs(pages.selectExpr("page_id", f"{_ASKED} AS path"), _HOME, there, contain=contain)
     return checked.select("page_id", "resolved", "verdict")
 
 
+@query("s4_check_inputs", _inputs_sql("outside_home"))
+def check_inputs(spark, sf_dir):
+    return _checked_inputs(spark, sf_dir, True)
+
+
+@query("s4_check_inputs_anywhere", _inputs_sql("ok"))
+def check_inputs_anywhere(spark, sf_dir):
+    return _checked_inputs(spark, sf_dir, False)
+
+
 @query(
     "s5_write_kv",
     """SELECT concat(o_orderkey, chr(9), CASE WHEN o_orderstatus = 'F' THEN '' ELSE o_orderpriority END) AS line
@@ -347,6 +355,29 @@ _DIALECT_SQL = {
 }
 
 
+_ENDS = """CASE c_custkey % 6
+    WHEN 0 THEN concat(c_name, chr(13)) WHEN 1 THEN concat(c_name, chr(13), chr(10)) WHEN 2 THEN concat(c_name, chr(10))
+    WHEN 3 THEN concat(chr(13), c_name) WHEN 4 THEN concat('ab', c_name) ELSE concat(c_name, 'a') END"""
+# keys that end in a part of the separator move its place
+_ODD_KEYS = "CASE WHEN c_custkey % 3 = 0 THEN 'xa' WHEN c_custkey % 3 = 1 THEN 'x' ELSE 'aay' END"
+
+
+@query(
+    "k4_reparse_crlf",
+    rf"""WITH lines AS (SELECT c_custkey, regexp_split_to_array(concat(k, 'aa', v, chr(10)), '\r\n|\r|\n') AS parts
+        FROM (SELECT c_custkey, {_ODD_KEYS} AS k, {_ENDS} AS v FROM customer)),
+    one AS (SELECT unnest(parts[1 : len(parts) - 1]) AS line FROM lines)
+    SELECT form, CASE WHEN strpos(line, 'aa') > 0 THEN left(line, strpos(line, 'aa') - 1) ELSE line END AS key,
+        CASE WHEN strpos(line, 'aa') > 0 THEN substr(line, strpos(line, 'aa') + 2) ELSE '' END AS value
+    FROM one, (SELECT unnest(['column', 'python']) AS form)""".replace("\\r", "\r").replace("\\n", "\n"),
+)
+def reparse_line_ends(spark, sf_dir):
+    pairs = table(spark, sf_dir, "customer").selectExpr(f"{_ODD_KEYS} AS key", f"{_ENDS} AS value")
+    by_column = records.reparse(pairs, sep="aa")
+    by_python = mapping.map_kv(pairs, lambda key, value: [(key, value)], schema="key STRING, value STRING", sep="aa")
+    return by_column.withColumn("form", F.lit("column")).unionAll(by_python.withColumn("form", F.lit("python")))
+
+
 def _dialect_query(dialect: str) -> Query:
     def run(spark, sf_dir):
         lines = event_lines(spark, sf_dir, _DIALECT_LINE)
@@ -380,7 +411,7 @@ def map_words_native(spark, sf_dir):
 @query("m3_map_table_function", WORD_ROWS_SQL)
 def map_words_sql(spark, sf_dir):
     mapping.register_mapper(spark, "split_words", word_mapper)
-    spread_small(doc_pairs(spark, sf_dir)).createOrReplaceTempView("doc_pairs")
+    doc_pairs(spark, sf_dir).createOrReplaceTempView("doc_pairs")
     return spark.sql(
         """SELECT m.key, count(*) AS n FROM doc_pairs, LATERAL split_words(doc_pairs.key, doc_pairs.value) m
         GROUP BY m.key"""
@@ -426,7 +457,7 @@ def _inversions(batches):
     f"SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS inversions FROM {WORDS_SQL}",
 )
 def sorted_partitions(spark, sf_dir):
-    ordered = shuffle(word_pairs(spark, sf_dir), whole_keys=False)
+    ordered = shuffle(word_pairs(spark, sf_dir))
     found = ordered.select("key").mapInArrow(_inversions, "n_rows bigint, inversions bigint")
     return found.agg(F.sum("n_rows").alias("n_rows"), F.sum("inversions").alias("inversions"))
 
@@ -557,14 +588,21 @@ def word_count_native(spark, sf_dir):
 
 @query(
     "r5_identity_reduce",
-    """SELECT l_returnflag AS key, count(*) AS n, count(DISTINCT l_orderkey) AS n_values FROM lineitem GROUP BY 1""",
+    """SELECT 'rows' AS what, l_returnflag AS key, count(*) AS n, count(DISTINCT l_orderkey) AS n_values
+        FROM lineitem GROUP BY l_returnflag
+    UNION ALL SELECT 'inversions', NULL, 0, NULL""",
 )
 def identity_reduce(spark, sf_dir):
     pairs = table(spark, sf_dir, "lineitem").select(
         F.col("l_returnflag").alias("key"), F.col("l_orderkey").cast("string").alias("value")
     )
     passed = reducing.reduce_kv(pairs, None)
-    return passed.groupBy("key").agg(F.count("*").alias("n"), F.countDistinct("value").alias("n_values"))
+    rows = passed.groupBy("key").agg(F.count("*").alias("n"), F.countDistinct("value").alias("n_values"))
+    found = passed.select("key").mapInArrow(_inversions, "n_rows bigint, inversions bigint")
+    found = found.agg(F.sum("inversions").alias("n"))
+    return rows.select(F.lit("rows").alias("what"), "key", "n", "n_values").unionAll(
+        found.select(F.lit("inversions"), F.lit(None).cast("string"), "n", F.lit(None).cast("bigint"))
+    )
 
 
 @query(
@@ -590,6 +628,52 @@ def whole_job(spark, sf_dir):
     )
 
 
+@query(
+    "r7_native_numeric",
+    f"""SELECT key, value, part FROM (SELECT CAST(strlen(word) AS VARCHAR) AS key, CAST(count(*) AS VARCHAR) AS value,
+        1 AS part FROM {WORDS_SQL} GROUP BY strlen(word))
+    UNION ALL SELECT 'in order', 'true', 1""",
+)
+def native_numeric_job(spark, sf_dir):
+    """One reduce task with keys in numeric order."""
+    def lengths(key, value):
+        return F.transform(native_words(key, value), lambda p: records.make_kv(F.octet_length(p["key"]), F.lit("1")))
+
+    counts = run_job(
+        spark, doc_pairs(spark, sf_dir), Native(lengths), Native(F.count), reduce_tasks=1, numeric=True
+    ).withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()})
+    counts = counts.withColumn("n", F.col("key").cast("int"))
+    by_place = F.array_sort(F.collect_list(F.struct("at", "n")))
+    in_order = F.array_sort(F.collect_list("n")) == F.transform(by_place, lambda r: r["n"])
+    whole = counts.agg((in_order & (F.count_distinct("part") == 1)).cast("string").alias("value"))
+    rows = counts.select("key", "value", F.lit(1).alias("part"))
+    return rows.unionAll(whole.select(F.lit("in order"), "value", F.lit(1)))
+
+
+@query(
+    "r7_program_job_counters",
+    """SELECT 'pair' AS "group", CAST(c_nationkey AS VARCHAR) AS name, count(*) AS n FROM customer GROUP BY c_nationkey
+    UNION ALL SELECT 'seen', 'even', count(*) FROM customer WHERE c_nationkey % 2 = 0
+    UNION ALL SELECT 'keys', 'reduced', count(DISTINCT c_nationkey) FROM customer""",
+)
+def program_job_counters(spark, sf_dir):
+    """Programs with separators of their own, an exit code that does not count, and counters."""
+    pairs = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("string").alias("key"), F.col("c_nationkey").cast("string").alias("value")
+    )
+    mapper = ["awk", "-F", ";", """{ print $2 "|1"; if ($2 % 2 == 0) print "reporter:counter:seen,even,1" > "/dev/stderr" }
+        END { exit 3 }"""]
+    reducer = ["awk", "-F", "|", """function out() { print k "=" s; print "reporter:counter:keys,reduced,1" > "/dev/stderr" }
+        NR > 1 && $1 != k { out(); s = 0 } { k = $1; s += $2 } END { out() }"""]
+    result, counts = run_job(
+        spark, pairs, mapper, reducer, counters=True,
+        map_options={"in_sep": ";", "out_sep": "|", "on_exit": "ignore"}, reduce_options={"in_sep": "|", "out_sep": "="},
+    )
+    ours = counts.filter("`group` <> 'records'").select("group", F.col("counter").alias("name"), F.col("total").alias("n"))
+    rows = result.select(F.lit("pair").alias("group"), F.col("key").alias("name"), F.col("value").cast("bigint").alias("n"))
+    return rows.unionAll(ours)
+
+
 # ---------------------------------------------------------------- external programs
 
 # Sums the values of equal neighbouring keys; also fit to run before the shuffle.
@@ -774,6 +858,31 @@ def preview(spark, sf_dir):
     return done.reduced
 
 
+@query(
+    "l3_take_file_bytes",
+    f"""SELECT byte_offset, CASE WHEN strlen(line) <= 10000 - byte_offset THEN line ELSE
+            left(line, (SELECT max(i) FROM range(0, 10001) r(i)
+                WHERE strlen(left(line, CAST(i AS BIGINT))) <= 10000 - byte_offset)) END AS line
+    FROM (SELECT line, CAST(sum(strlen(line) + 1) OVER (ORDER BY doc_id, line_no) - strlen(line) - 1 AS BIGINT)
+        AS byte_offset FROM {LINES_SQL}) WHERE byte_offset < 10000""",
+)
+def take_file_bytes(spark, sf_dir):
+    path = ordered_line_files(spark, sf_dir)
+    return paging.take_file_bytes(spark, path, 10_000).select("byte_offset", "line")
+
+
+@query(
+    "l4_preview_failure",
+    f"""SELECT 'map' AS phase, 3 AS code, count(*) AS n_records, 'oops' AS errors, 'FAILED' AS state
+    FROM {_capped_sql(1024)}, (SELECT unnest(string_split(text, chr(10))))""",
+)
+def preview_failure(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    failing = ["sh", "-c", "cat; echo oops >&2; echo reporter:status:hidden >&2; exit 3"]
+    done = preview_job(spark, docs, failing, sum_reducer, cap=1024, order_by=["doc_id"], line="text")
+    return done.phases.withColumn("state", F.lit(done.state))
+
+
 def key_word_mapper(key, value):
     yield from word_mapper(None, key)
 
@@ -1053,6 +1162,43 @@ def phase_progress(spark, sf_dir):
     return jobs.phase_progress(tasks).withColumn("progress", F.round("progress", 4))
 
 
+_JOB_PHASES = """SELECT user_id AS job_id, user_id % 5 <> 0 AS done, user_id % 7 = 0 AS cancelled,
+    CAST(user_id % 2 AS INT) AS map_code, CASE user_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 END AS reduce_code
+FROM (SELECT DISTINCT user_id FROM events)"""
+_JOB_TASKS = """SELECT user_id AS job_id, CASE WHEN event_id % 4 < 2 THEN 'map' ELSE 'reduce' END AS phase,
+    CAST(event_id % 5 AS DOUBLE) / 4 AS progress FROM events WHERE event_id % 3 = 0"""
+
+
+@query(
+    "j9_job_status",
+    f"""WITH digest AS (SELECT job_id, phase, CASE WHEN count(*) FILTER (WHERE status <> 'SUCCEEDED') > 0 THEN
+            coalesce(arg_min(log, seq) FILTER (WHERE status <> 'SUCCEEDED' AND trim(log) <> ''), '') END AS errors
+        FROM ({_TASK_EVENTS}) GROUP BY job_id, phase),
+    run AS (SELECT job_id, phase, count(*) AS n, avg(progress) * 100 AS progress FROM ({_JOB_TASKS}) GROUP BY 1, 2)
+    SELECT p.job_id, CASE WHEN NOT done THEN 'RUNNING' WHEN cancelled THEN 'KILLED'
+            WHEN map_code = 0 AND coalesce(reduce_code, -1) = 0 THEN 'SUCCESSFUL' ELSE 'FAILED' END AS state,
+        map_code, mr.n AS map_tasks, round(mr.progress, 6) AS map_progress, md.errors AS map_errors,
+        reduce_code, rr.n AS reduce_tasks, round(rr.progress, 6) AS reduce_progress, rd.errors AS reduce_errors
+    FROM ({_JOB_PHASES}) p
+    LEFT JOIN digest md ON md.job_id = p.job_id AND md.phase = 'map'
+    LEFT JOIN digest rd ON rd.job_id = p.job_id AND rd.phase = 'reduce'
+    LEFT JOIN run mr ON mr.job_id = p.job_id AND mr.phase = 'map'
+    LEFT JOIN run rr ON rr.job_id = p.job_id AND rr.phase = 'reduce'""",
+)
+def job_status(spark, sf_dir):
+    table(spark, sf_dir, "events").createOrReplaceTempView("status_events")
+    phases, task_events, tasks = (
+        spark.sql(q.replace("FROM events", "FROM status_events")) for q in (_JOB_PHASES, _TASK_EVENTS, _JOB_TASKS)
+    )
+    return jobs.job_status(phases, task_events, tasks).select(
+        "job_id", "state",
+        *[F.col(f"{p}.code").alias(f"{p}_code") for p in ("map", "reduce")],
+        *[F.col(f"{p}.total_tasks").alias(f"{p}_tasks") for p in ("map", "reduce")],
+        *[F.round(f"{p}.progress", 6).alias(f"{p}_progress") for p in ("map", "reduce")],
+        *[F.col(f"{p}.errors").alias(f"{p}_errors") for p in ("map", "reduce")],
+    )
+
+
 @query(
     "j7_snapshot",
     """SELECT user_id AS id, arg_max(props, event_id) FILTER (WHERE event_type = 'error') AS name,
@@ -1090,18 +1236,40 @@ def find_many(spark, sf_dir):
 # ---------------------------------------------------------------- streaming
 
 
-def event_stream(spark, sf_dir):
-    # micro-batches are bounded in bytes
-    source = spark.readStream.schema(table(spark, sf_dir, "events").schema)
-    source = source.option("maxBytesPerTrigger", 1 << 30).option("pathGlobFilter", "events*.parquet")
-    return source.parquet(sf_dir).select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+def event_files(spark, sf_dir, shuffled: bool) -> str:
+    """The events as a folder of files that follow each other, in order of time or far from it.
 
-
-@query("t1_admit_stream", ADMISSION_SQL)
-def admit_from_stream(spark, sf_dir):
+    A last file holds one row of a user of its own, later than all others, which closes the stream.
+    """
+    events = table(spark, sf_dir, "events").select(
+        "event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")
+    )
+    out = scratch_path(spark, "arriving")
+    if shuffled:
+        # a file has rows of two neighbouring stretches of five days, so half of them come late
+        first = events.agg(F.min(F.unix_date(F.to_date("ts")))).first()[0]
+        part = F.floor((F.unix_date(F.to_date("ts")) - first) / 5) + F.pmod(F.xxhash64("event_id"), F.lit(2))
+        for (k,) in sorted(events.select(part).distinct().collect()):
+            events.filter(part == k).write.parquet(f"{out}/{k + 10}")
+    else:
+        events.write.parquet(f"{out}/0")
+    end = events.agg((F.max("ts") + F.expr("INTERVAL 1000 DAYS")).alias("ts"))
+    end.select(F.lit(-1).cast("bigint").alias("event_id"), F.lit(-1).cast(events.schema["user_id"].dataType).alias("user_id"), "ts").write.parquet(f"{out}/99")
+    return out
+
+
+def event_stream(spark, folder: str, one_by_one: bool):
+    source = spark.readStream.schema("event_id long, user_id long, ts timestamp")
+    if one_by_one:
+        source = source.option("maxFilesPerTrigger", 1)
+    return source.parquet(f"{folder}/*")
+
+
+def _admit_from_stream(spark, folder: str, one_by_one: bool, lateness: str):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     decided = admit_stream(
-        event_stream(spark, sf_dir), "user_id", "ts", attempts=2, minutes=1440, order_by=["event_id"]
+        event_stream(spark, folder, one_by_one), "user_id", "ts", attempts=2, minutes=1440, order_by=["event_id"],
+        lateness=lateness,
     )
     out = scratch_path(spark, "t1")
     stream = (
@@ -1110,15 +1278,34 @@ def admit_from_stream(spark, sf_dir):
         .outputMode("append").trigger(availableNow=True).start()
     )
     stream.awaitTermination()
-    return spark.read.parquet(f"{out}/rows")
+    return spark.read.parquet(f"{out}/rows").filter("event_id >= 0")
 
 
-@query("t1_admit_batches", ADMISSION_SQL)
-def admit_in_batches(spark, sf_dir):
+def _admit_in_batches(spark, folder: str, one_by_one: bool, lateness: str):
     out = scratch_path(spark, "t1-batches")
-    writer = admit_batches(
-        event_stream(spark, sf_dir), out, "user_id", "ts", attempts=2, minutes=1440, order_by=["event_id"]
-    )
-    stream = writer.option("checkpointLocation", f"{out}/progress").trigger(availableNow=True).start()
-    stream.awaitTermination()
+    rule = dict(user="user_id", ts="ts", attempts=2, minutes=1440, order_by=["event_id"])
+    stream = event_stream(spark, folder, one_by_one).filter("event_id >= 0")
+    writer = admit_batches(stream, out, **rule, lateness=lateness)
+    writer.option("checkpointLocation", f"{out}/progress").trigger(availableNow=True).start().awaitTermination()
+    finish_batches(spark, out, **rule)
     return spark.read.parquet(f"{out}/rows").select("event_id", "accepted")
+
+
+@query("t1_admit_stream", ADMISSION_SQL)
+def admit_from_stream(spark, sf_dir):
+    return _admit_from_stream(spark, event_files(spark, sf_dir, False), False, "1 hour")
+
+
+@query("t1_admit_batches", ADMISSION_SQL)
+def admit_in_batches(spark, sf_dir):
+    return _admit_in_batches(spark, event_files(spark, sf_dir, False), False, "1 hour")
+
+
+@query("t1_stream_many_files", ADMISSION_SQL)
+def admit_many_files_from_stream(spark, sf_dir):
+    return _admit_from_stream(spark, event_files(spark, sf_dir, True), True, "11 days")
+
+
+@query("t1_batches_many_files", ADMISSION_SQL)
+def admit_many_files_in_batches(spark, sf_dir):
+    return _admit_in_batches(spark, event_files(spark, sf_dir, True), True, "11 days")

@@ -105,7 +105,9 @@ def emit(key: Column | str, value: Column | str, sep: str = "\t") -> Column:
 def reparse(kv: DataFrame, sep: str = "\t", num_key_fields: int = 1) -> DataFrame:
     """Read emitted pairs back as text: newlines make records, separators move the key's end."""
     lines = kv.select(emit("key", "value", sep).alias("line")).filter(F.col("line").isNotNull())
-    lines = lines.select(F.explode(F.split("line", _LINE_END, -1)).alias("line"))
+    # a written record ends in a newline, with which a closing carriage return is one line end
+    pieces = F.split(F.concat("line", F.lit("\n")), _LINE_END, -1)
+    lines = lines.select(F.explode(F.slice(pieces, 1, F.size(pieces) - 1)).alias("line"))
     return to_kv(lines, "line", sep, num_key_fields)
 
 
@@ -129,9 +131,10 @@ def emitted_records(pairs, sep: str, num_key_fields: int):
             key = "" if key is None else str(key)
         if type(value) is not str:
             value = "" if value is None else str(value)
-        split = sep in key or num_key_fields > 1
+        # a separator of several characters may begin inside the key
+        split = num_key_fields > 1 or (sep in key if len(sep) == 1 else (key + sep).find(sep) != len(key))
         if split or "\n" in key or "\r" in key or "\n" in value or "\r" in value:
-            for line in re.split(_LINE_END, key + sep + value):
+            for line in re.split(_LINE_END, key + sep + value + "\n")[:-1]:
                 yield split_record(line, sep, num_key_fields)
         else:
             yield key, value

@@ -137,6 +137,7 @@ def run_program(
         if code != 0 and on_exit == "fail":
             raise ProgramFailed(f"{argv[0]} failed with exit code {code}")
         yield "err", [f"reporter:counter:records,{name},{n}" for name, n in counts.items()]
+        yield "exit", [str(code)]
     finally:
         stop.set()
         if process.poll() is None:
@@ -207,7 +208,8 @@ def pipe_map(
 
     ``ignore_key`` writes the value alone. ``on_exit='ignore'`` accepts a non-zero exit code.
     ``skip_after`` see :func:`run_program`. With ``log`` the result is all lines the program
-    wrote, ``(task_id, seq, channel, line)``, and counters of what was read, written, skipped.
+    wrote, ``(task_id, seq, channel, line)``, counters of what was read, written, skipped, and its
+    exit code in channel ``exit``.
     """
     _check(on_exit)
     sent = F.col("value") if ignore_key else F.concat("key", F.lit(in_sep), "value")

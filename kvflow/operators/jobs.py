@@ -103,6 +103,30 @@ def phase_progress(tasks: DataFrame) -> DataFrame:
     )
 
 
+def job_status(phases: DataFrame, task_events: DataFrame, tasks: DataFrame) -> DataFrame:
+    """One row per job of ``phases``: job_id, state, and a struct for each of its two phases.
+
+    A phase is ``(code, total_tasks, progress, errors)``; inputs are those of ``derive_state``,
+    ``failure_digest`` and ``phase_progress``. Facts of jobs that ``phases`` lacks are left out.
+    """
+    told = failure_digest(task_events).select("job_id", "phase", F.struct("errors").alias("digest"))
+    run = phase_progress(tasks).select("job_id", "phase", F.struct("total_tasks", "progress").alias("run"))
+
+    def by_job(facts, name):
+        sides = [F.max(F.when(F.col("phase") == p, F.col(name))).alias(f"{p}_{name}") for p in ("map", "reduce")]
+        return facts.groupBy("job_id").agg(*sides)
+
+    joined = derive_state(phases).join(by_job(told, "digest"), "job_id", "left").join(by_job(run, "run"), "job_id", "left")
+
+    def side(phase):
+        return F.struct(
+            F.col(f"{phase}_code").alias("code"), F.col(f"{phase}_run.total_tasks"), F.col(f"{phase}_run.progress"),
+            F.col(f"{phase}_digest.errors"),
+        ).alias(phase)
+
+    return joined.select("job_id", "state", side("map"), side("reduce"))
+
+
 def submission_snapshot(log: DataFrame) -> DataFrame:
     """Fold ``(id, seq, field, value)`` updates to one row per id with the latest values."""
     def latest(name):

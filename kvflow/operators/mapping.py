@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from kvflow.functions.records import KV_DDL, emitted_records
-from kvflow.session import spread_small
 
 Mapper = Callable[[str, str], Iterable[tuple]]
 Combiner = Callable[[str, Iterable], Iterable[tuple]]
@@ -103,9 +102,13 @@ def combined(pairs: Iterable[tuple], combiner: Combiner, records: Callable) -> I
             yield k, v
 
 
+def _names_and_types(schema: str) -> list[tuple[str, T.DataType]]:
+    return [(field.name.lower(), field.dataType) for field in T.StructType.fromDDL(schema)]
+
+
 def emitter(schema: str, sep: str, num_key_fields: int):
     """How a function's pairs become records: as text read back, or as typed rows."""
-    if schema == KV_DDL:
+    if _names_and_types(schema) == _names_and_types(KV_DDL):
         return lambda pairs: emitted_records(pairs, sep, num_key_fields)
     return lambda pairs: map(tuple, pairs or ())
 
@@ -123,14 +126,14 @@ def map_kv(
 
     With the default schema the pairs pass through text, as if written to a stream and read
     back. ``combiner(key, values)`` folds the pairs of one task before they leave it; it may
-    be applied any number of times, or not at all. ``map_tasks`` asks for that many tasks.
+    be applied any number of times, or not at all. ``map_tasks`` asks for that many tasks, which
+    moves all records; without it they are mapped where they are read.
     """
+    kv = kv.select("key", "value")
     if map_tasks is not None:
         if map_tasks < 1:
             raise ValueError("a job has at least one map task")
-        kv = kv.select("key", "value").repartition(map_tasks)
-    else:
-        kv = spread_small(kv.select("key", "value"))
+        kv = kv.repartition(map_tasks)
     arrow_schema = to_arrow_schema(T.StructType.fromDDL(schema))
     records = emitter(schema, sep, num_key_fields)
 
@@ -161,7 +164,7 @@ def combine_kv(kv: DataFrame, combiner: Combiner) -> DataFrame:
 
 def map_expr(kv: DataFrame, expr: Callable[[Column, Column], Column]) -> DataFrame:
     """Map by a column expression returning ``array<struct<key, value>>``; no Python per row."""
-    pairs = spread_small(kv).select(F.inline(expr(F.col("key"), F.col("value"))))
+    pairs = kv.select(F.inline(expr(F.col("key"), F.col("value"))))
     return pairs.select(pairs[pairs.columns[0]].alias("key"), pairs[pairs.columns[1]].alias("value"))
 
 

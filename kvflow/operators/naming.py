@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kvflow.operators.order import OrderedTotals
 
-_SERIAL = r"^(.*)-([1-9][0-9]{0,17})$"
+_SERIAL = r"(?s)^(.*)-([1-9][0-9]{0,17})\z"
 
 
 def assign_unique_names(
@@ -29,6 +29,8 @@ def assign_unique_names(
         return _named(ranked.withColumn("_serial", F.col("_free")), columns, name, out)
 
     taken = _taken_serials(existing, wanted, name)
+    if taken.isEmpty():
+        return _named(ranked.withColumn("_serial", F.col("_free")), columns, name, out)
     # serial s, the i-th taken one (from 0), has s - i free serials below it; a row with
     # r free serials before its own skips every taken one where s - i <= r
     marked = OrderedTotals(taken, ["_serial"], group_by=[name]).running_in_group("_i")

@@ -34,7 +34,7 @@ def ordered_table(
     )
 
 
-def _stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
@@ -114,7 +114,7 @@ class OrderedTotals:
             rows = rows.mapInArrow(
                 _running(self.group_by), f"{ddl}, _local bigint, _group_local bigint, _head boolean"
             )
-        self.table = _stored(rows, "ordered")
+        self.table = stored(rows, "ordered")
 
     @property
     def starts(self) -> DataFrame:

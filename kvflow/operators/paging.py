@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kvflow.operators.order import OrderedTotals
-from kvflow.sources.files import concat_files, list_inputs
+from kvflow.operators.order import OrderedTotals, stored
+from kvflow.operators.shuffle import has_map
+from kvflow.sources.files import lines_in_range, list_inputs
 
 PAGE_SIZE = 524_288  # fixed value: default bytes per page
 PREVIEW_CAP = 1_024  # fixed value: default bytes of a preview
 
-# Partitions a page may touch before its filter stops being spelled out per partition.
-_MAX_SPELLED_PARTS = 64
-
 
 class PageNotFound(LookupError):
     """The page lies past the end of the data."""
@@ -61,22 +56,24 @@ class PagedLines:
             raise PageNotFound(f"page {page} is beyond the {total} pages of the data")
         low, high = (page - 1) * self.page_size, page * self.page_size
         overlap = (F.col("_start") < high) & (F.col("_start") + F.col("_total") > low)
-        parts = self.totals.starts.filter(overlap).limit(_MAX_SPELLED_PARTS + 1).collect()
-        if len(parts) > _MAX_SPELLED_PARTS:
-            return self.lines().filter(F.col("page") == page)
-        # constants per partition: parquet skips the files and row groups outside the page
-        wanted, start = F.lit(False), F.lit(None).cast("bigint")
-        for part in parts:
-            here = F.col("_part") == part["_part"]
-            wanted = wanted | (
-                here & F.col("_local").between(low - part["_start"], high - part["_start"] - 1)
-            )
-            start = F.when(here, F.lit(part["_start"]).cast("bigint")).otherwise(start)
-        rows = self.totals.table.filter(wanted)
+        starts = self.totals.starts
+        ends = starts.filter(overlap).agg(
+            F.min("_part").alias("first"), F.max("_part").alias("last"),
+            F.min("_start").alias("first_start"), F.max("_start").alias("last_start"),
+        ).first()
+        part, local = F.col("_part"), F.col("_local")
+        # constants, so that parquet skips the files and row groups outside the page
+        rows = self.totals.table.filter(
+            part.between(ends["first"], ends["last"])
+            & ((part != F.lit(ends["first"])) | (local >= low - (ends["first_start"] or 0)))
+            & ((part != F.lit(ends["last"])) | (local < high - (ends["last_start"] or 0)))
+        )
+        at_first = F.lit(ends["first_start"]).cast("bigint")
+        start = F.when(part == F.lit(ends["first"]), at_first).otherwise(F.lit(ends["last_start"]).cast("bigint"))
+        if ends["first"] is not None and ends["last"] - ends["first"] > 1:
+            rows, start = rows.join(F.broadcast(starts.select("_part", "_start")), "_part"), F.col("_start")
         return rows.select(
-            *self.totals.columns,
-            (F.col("_local") + start).alias("byte_offset"),
-            F.lit(page).cast("bigint").alias("page"),
+            *self.totals.columns, (local + start).alias("byte_offset"), F.lit(page).cast("bigint").alias("page")
         )
 
 
@@ -108,14 +105,16 @@ def read_page(
     sizes = df.select(
         *(F.col(c).alias(k) for c, k in zip(order_by, keys)), _line_bytes(col).alias("_size")
     )
-    rows = PagedLines(sizes, keys, F.col("_size"), page_size).page(page).drop("_size")
+    rows = stored(PagedLines(sizes, keys, F.col("_size"), page_size).page(page).drop("_size"), "page")
     ends = rows.agg(F.min(keys[0]).alias("low"), F.max(keys[0]).alias("high")).first()
+    # the range lets the scan skip row groups; the join settles the rest
+    near = F.col(order_by[0]).between(ends["low"], ends["high"]) | F.col(order_by[0]).isNull()
+    if not df.filter(near).groupBy(*order_by).count().filter("count > 1").isEmpty():
+        raise ValueError(f"lines tie on {', '.join(order_by)}: the order is not unique")
     same = F.lit(True)
     for name, key in zip(order_by, keys):
         same = same & F.col(name).eqNullSafe(F.col(key))
-    # the range lets the scan skip row groups; the join settles the rest
-    near = F.col(order_by[0]).between(ends["low"], ends["high"]) | F.col(order_by[0]).isNull()
-    return df.filter(near).join(F.broadcast(rows), same).drop(*keys)
+    return df.filter(near).join(rows, same).drop(*keys)
 
 
 def line_pages(
@@ -138,9 +137,10 @@ def page_index(
 def read_file_page(
     spark: SparkSession, path: str, page: int, page_size: int = PAGE_SIZE
 ) -> DataFrame:
-    """One page over the files at ``path``; files outside the page are not opened.
+    """One page over the files at ``path``; only the page's bytes are read.
 
-    Columns are those of ``concat_files``, with lines numbered inside what was read.
+    Columns are those of ``concat_files``, with lines numbered inside the page. The page, and the
+    end of a line that goes beyond it, is read through the driver.
     """
     if page < 1:
         raise ValueError("pages are numbered from 1")
@@ -150,79 +150,53 @@ def read_file_page(
     pages = -(-total // page_size)
     if pages and page > pages:
         raise PageNotFound(f"page {page} is beyond the {pages} pages of the data")
-    return _lines_between(spark, path, files, low, high)
+    return _lines_between(spark, files, low, high, whole=True)
 
 
 def _file_starts(spark: SparkSession, path: str) -> DataFrame:
-    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    files = list_inputs(spark, path)
-    return files.withColumn("start", F.coalesce(F.sum("length").over(before), F.lit(0)))
-
+    """The files with bytes in them, and where each begins when they follow each other by name."""
+    files = list_inputs(spark, path).filter("length > 0")
+    return OrderedTotals(files, ["path"], weight=F.col("length")).running("start")
 
-def _lines_between(spark: SparkSession, path: str, files: DataFrame, low: int, high: int) -> DataFrame:
-    """Lines that begin in a byte range, from the files that overlap it."""
-    needed = files.filter((F.col("start") < high) & (F.col("start") + F.col("length") > low)).collect()
-    if not needed:
-        return concat_files(spark, path).filter(F.lit(False))
-    first = min(row["start"] for row in needed)
-    # names only, a page's worth of files
-    lines = concat_files(spark, [row["path"] for row in needed])
-    placed = lines.withColumn("byte_offset", F.col("byte_offset") + F.lit(first))
-    return placed.filter(F.col("byte_offset").between(low, high - 1))
 
-
-def _trim(order_by: list[str], cap: int):
-    """Keep the first rows of a task, in order, that begin before byte ``cap``."""
-    keys = [(name, "ascending") for name in order_by]
-
-    def first_rows(table: pa.Table) -> pa.Table:
-        table = table.take(pc.sort_indices(table, sort_keys=keys, null_placement="at_start"))
-        size = table.column("_weight").to_numpy()
-        return table.slice(0, int(np.count_nonzero(np.cumsum(size) - size < cap)))
-
-    def task(batches):
-        kept = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            kept = first_rows(table if kept is None else pa.concat_tables([kept, table]))
-        if kept is not None:
-            yield from kept.to_batches()
-
-    return task
+def _lines_between(spark: SparkSession, files: DataFrame, low: int, high: int, whole: bool) -> DataFrame:
+    """Lines that begin in a byte range; the last one is read to its end only if ``whole``."""
+    needed = files.filter((F.col("start") < high) & (F.col("start") + F.col("length") > low)).orderBy("start")
+    rows = []
+    for file in needed.collect():  # each has a byte of the range
+        begin, stop = max(low - file["start"], 0), min(high - file["start"], file["length"])
+        for at, line in lines_in_range(spark, file["path"], begin, stop, file["length"] if whole else stop):
+            rows.append((file["path"], len(rows), line, file["start"] + at))
+    return spark.createDataFrame(rows, "file string, line_no bigint, line string, byte_offset bigint")
 
 
 def take_bytes(df: DataFrame, cap: int, order_by: list[str], col: str = "text") -> DataFrame:
     """The first ``cap`` bytes of the lines in ``order_by`` order; the last line is cut.
 
-    Every task keeps at most the rows that fit, and their text at most ``cap`` characters, so
-    what meets in the last task is bounded by the cap and not by the table.
+    A line has a byte at least, so the cap bounds the rows: order columns and sizes tell how many
+    there are, and only so many rows are taken with their text, at most ``cap`` characters each.
+    Lines that tie are ordered by a hash of the row.
     """
     if cap < 0:
         raise ValueError("the cap must not be negative")
     columns = [c for c in df.columns if c != col]
-    text = F.coalesce(F.col(col), F.lit(""))
+    tie = F.xxhash64(*[c for c in df.columns if not has_map(df.schema[c].dataType)])
     rows = df.select(
-        *columns,
-        F.substring(text, 1, cap).alias(col),
-        _line_bytes(col).alias("_weight"),
+        *columns, F.substring(F.coalesce(F.col(col), F.lit("")), 1, cap).alias(col),
+        _line_bytes(col).alias("_weight"), tie.alias("_tie"),
     )
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    trim = _trim(order_by, cap)
-    few = rows.mapInArrow(trim, ddl)
-    few = few.repartition(_mid_tasks(df.sparkSession)).mapInArrow(trim, ddl)
-    few = few.repartition(1).mapInArrow(trim, ddl)
-    before = Window.orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
-    few = few.withColumn("byte_offset", F.coalesce(F.sum("_weight").over(before), F.lit(0)))
-    few = few.filter(F.col("byte_offset") < cap)
+    order = [*order_by, "_tie"]
+    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("_weight").over(before), F.lit(0))
+    # the windows are over the cap's rows at most
+    narrow = rows.select(*order_by, "_tie", "_weight").orderBy(*order).limit(cap)
+    n = narrow.withColumn("byte_offset", offset).filter(F.col("byte_offset") < cap).count()
+    few = rows.orderBy(*order).limit(n).withColumn("byte_offset", offset).filter(F.col("byte_offset") < cap)
     return few.select(
         *columns, cut_bytes(F.col(col), F.lit(cap) - F.col("byte_offset")).alias(col), "byte_offset"
     )
 
 
-def _mid_tasks(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def cut_bytes(text: Column, n: Column) -> Column:
     """The longest prefix of whole characters in the first ``n`` bytes of a text."""
     raw = F.encode(text, "UTF-8")
@@ -240,7 +214,5 @@ def cut_bytes(text: Column, n: Column) -> Column:
 
 
 def take_file_bytes(spark: SparkSession, path: str, cap: int) -> DataFrame:
-    """``take_bytes`` over the files at ``path``; files past the cap are not opened."""
-    lines = _lines_between(spark, path, _file_starts(spark, path), 0, cap)
-    cut = cut_bytes(F.col("line"), F.lit(cap) - F.col("byte_offset"))
-    return lines.withColumn("line", cut)
+    """``take_bytes`` over the files at ``path``; nothing past the cap is read."""
+    return _lines_between(spark, _file_starts(spark, path), 0, cap, whole=False)

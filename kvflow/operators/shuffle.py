@@ -27,11 +27,11 @@ def with_spread(df: DataFrame) -> DataFrame:
     out of a shuffle do not, so they are put in order first.
     """
     if _reads_shuffle(df._jdf.queryExecution().executedPlan()):
-        df = df.sortWithinPartitions(*(f.name for f in df.schema if not _has_map(f.dataType)))
+        df = df.sortWithinPartitions(*(f.name for f in df.schema if not has_map(f.dataType)))
     return df.withColumn("_spread", F.monotonically_increasing_id())
 
 
-def _has_map(kind: T.DataType) -> bool:
+def has_map(kind: T.DataType) -> bool:
     return "map<" in kind.simpleString() or "variant" in kind.simpleString()
 
 

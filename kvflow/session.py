@@ -45,26 +45,6 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[app]
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Spark's own estimate of a table's size, taken from file sizes; nothing is run."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def split_bytes(spark: SparkSession) -> int:
-    """The largest file split a scan makes."""
-    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(size)
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Share a table over all cores if it is too small for its file splits to do so.
-
-    A table that fills a split per core stays as it is, so large inputs are never moved here.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if plan_bytes(df) < cores * split_bytes(df.sparkSession) else df
-
-
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder."""
     return f"{shared_dir(spark)}/kvflow/{label}-{uuid.uuid4().hex}"

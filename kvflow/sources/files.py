@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kvflow.functions.records import to_kv
-from kvflow.session import split_bytes
-from kvflow.sources.paths import qualified
+from kvflow.session import scratch_path
+from kvflow.sources.paths import open_file, qualified
 
 
 def _plain(path: Column) -> Column:
@@ -76,10 +76,6 @@ def read_kv(
     return to_kv(read_lines(spark, path).select("value"), "value", sep, num_key_fields, dialect)
 
 
-# Splits whose starts may be broadcast, about 100 bytes each; more of them are joined by shuffle.
-_MAX_BROADCAST_SPLITS = 1_000_000
-
-
 def _count_in_split(batches):
     """Add line number and byte offset since the start of the row's file split."""
     split, lines, total = None, 0, 0
@@ -117,12 +113,6 @@ def _lines_with_place(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def _split_count(spark: SparkSession, path: str | list[str]) -> int:
-    """A bound on the number of file splits a scan of ``path`` is cut into."""
-    size = list_inputs(spark, path).agg(F.sum("length").alias("bytes"), F.count("*").alias("n")).first()
-    return (size["bytes"] or 0) // split_bytes(spark) + size["n"] + spark.sparkContext.defaultParallelism
-
-
 def concat_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(file, line_no, line, byte_offset)`` over the files at ``path`` one after the other.
 
@@ -157,8 +147,10 @@ def concat_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
         before("n", overall).alias("first_line"),
         (file_start + before("bytes", in_file)).alias("first_offset"),
     )
-    if _split_count(spark, path) <= _MAX_BROADCAST_SPLITS:
-        starts = F.broadcast(starts)
+    # written, so that Spark knows their size when it chooses the join
+    stored = scratch_path(spark, "split-starts")
+    starts.write.parquet(stored)
+    starts = spark.read.schema(starts.schema).parquet(stored)
     # both scans must have been cut at the same places; a missing start would mean they were not
     joined = placed.join(starts, ["file", "block"], "left")
     first = F.coalesce(
@@ -172,6 +164,76 @@ def concat_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
+_STEP = 1 << 20  # bytes asked for at a time beyond a range
+
+
+def lines_in_range(
+    spark: SparkSession, path: str, begin: int, stop: int, end: int
+) -> list[tuple[int, str]]:
+    """``(offset, line)`` of the lines of one file that begin in ``begin`` to ``stop``.
+
+    The file is sought, and read from just before ``begin`` up to the end of the last line, or up
+    to ``end`` if that comes first; a line that is cut there keeps its whole characters.
+    """
+    stream, read = open_file(spark, path)
+    try:
+        from_ = max(begin - 1, 0)
+        raw = read(from_, stop - from_)
+        if begin:
+            at = raw.find(b"\n") + 1
+            if not at:
+                return []
+            raw, begin = raw[at:], from_ + at
+        at = begin + len(raw)
+        while raw and not raw.endswith(b"\n") and at < end:
+            more = read(at, min(_STEP, end - at))
+            cut = more.find(b"\n") + 1
+            raw += more[:cut] if cut else more
+            at += len(more)
+            if cut:
+                break
+    finally:
+        stream.close()
+    out = []
+    parts = raw.split(b"\n")
+    ended = parts[-1] == b""
+    for i, part in enumerate(parts[:-1] if ended else parts):
+        if not ended and i == len(parts) - 1:
+            part = _whole_characters(part)
+        out.append((begin, part.decode("utf-8", "replace")))
+        begin += len(part) + 1
+    return out
+
+
+def _whole_characters(raw: bytes) -> bytes:
+    """Without a last character of which bytes are missing."""
+    for back in range(1, min(4, len(raw) + 1)):
+        lead = raw[-back]
+        if lead >= 0xC0:
+            size = 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+            return raw[:-back] if size > back else raw
+        if lead < 0x80:
+            return raw
+    return raw
+
+
+def _canonical(path: Column, home: Column) -> Column:
+    """Scheme, host and steps of a path; what it leaves out is taken from ``home``."""
+    form = "^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(//[^/]*)?(.*)$"
+
+    def part(col, i):
+        return F.regexp_extract(col, "(?s)" + form, i)
+
+    scheme, host, rest = (part(path, i) for i in (1, 2, 3))
+    at_home = scheme == ""
+    scheme = F.lower(F.when(at_home, part(home, 1)).otherwise(scheme))
+    host = F.lower(F.when(at_home & (host == ""), part(home, 2)).otherwise(host))
+    # no host and an empty one are the same
+    host = F.when(host == "", F.lit("//")).otherwise(host)
+    rest = F.when(at_home & ~rest.startswith("/"), F.concat(part(home, 3), F.lit("/"), rest)).otherwise(rest)
+    return F.concat(scheme, F.lit(":"), host, _without_dots(rest))
+
+
 def _without_dots(path: Column) -> Column:
     """A path with its ``.`` and ``..`` steps taken."""
     def step(done, part):
@@ -197,41 +259,25 @@ def check_inputs(
 ) -> DataFrame:
     """Add ``resolved`` and ``verdict`` to requested paths.
 
-    Relative paths start at ``home``. The verdict is the first of ``local_denied``,
+    Relative paths start at ``home``; paths without a scheme are on the file system of ``home``, or
+    of ``default_scheme`` if that names none. ``resolved`` and the paths of ``listing`` are compared
+    in one form: scheme, host, and no dot steps. The verdict is the first of ``local_denied``,
     ``not_found`` (absent from ``listing.path``), ``outside_home`` and ``ok``.
     """
-    home = home.rstrip("/")
-    wanted = F.col(path)
-    absolute = wanted.rlike("^([A-Za-z][A-Za-z0-9+.-]*:|/)")
-    resolved = F.when(absolute, wanted).otherwise(F.concat(F.lit(home + "/"), wanted))
-    out = paths.withColumn("resolved", resolved)
-
-    def scheme(col):
-        return F.lower(F.regexp_extract(col, "^([A-Za-z][A-Za-z0-9+.-]*):", 1))
-
-    def place(col):
-        return F.regexp_extract(col, "^([A-Za-z][A-Za-z0-9+.-]*:)?(//[^/]*)?", 2)
-
-    def steps(col):
-        return _without_dots(F.regexp_replace(col, "^([A-Za-z][A-Za-z0-9+.-]*:)?(//[^/]*)?", ""))
-
-    known = scheme(F.col("resolved"))
-    local = F.when(known == "", F.lit(default_scheme)).otherwise(known) == "file"
-    root = F.lit(home)
-    inside = (
-        (known == scheme(root))
-        & (place(F.col("resolved")) == place(root))
-        & (
-            (steps(F.col("resolved")) == steps(root))
-            | steps(F.col("resolved")).startswith(F.concat(F.rtrim(steps(root), F.lit("/")), F.lit("/")))
-        )
-    )
-    present = listing.select(F.col("path").alias("resolved")).distinct().withColumn("_there", F.lit(True))
+    home = home.rstrip("/") or "/"
+    if not re.match("[A-Za-z][A-Za-z0-9+.-]*:", home):
+        home = f"{default_scheme}:{home}"
+    base = F.lit(home)
+    out = paths.withColumn("resolved", _canonical(F.col(path), base))
+    root = F.rtrim(_canonical(base, base), F.lit("/"))
+    inside = (F.col("resolved") == root) | F.col("resolved").startswith(F.concat(root, F.lit("/")))
+    local = F.col("resolved").startswith("file:")
+    present = listing.select(_canonical(F.col("path"), base).alias("resolved")).distinct()
+    joined = out.join(present.withColumn("_there", F.lit(True)), "resolved", "left")
     verdict = (
         F.when(local & F.lit(not allow_local), "local_denied")
         .when(F.col("_there").isNull(), "not_found")
         .when(F.lit(contain) & ~inside, "outside_home")
         .otherwise("ok")
     )
-    joined = out.join(present, "resolved", "left")
     return joined.select(*paths.columns, "resolved", verdict.alias("verdict"))

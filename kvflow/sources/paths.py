@@ -28,3 +28,21 @@ def free_path(spark: SparkSession, parent: str, name: str) -> str:
     while path_exists(spark, path):
         path, serial = f"{wanted}-{serial}", serial + 1
     return path
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder and all in it; nothing happens if there is none."""
+    hadoop_path, file_system = _resolve(spark, path)
+    file_system.delete(hadoop_path, True)
+
+
+def open_file(spark: SparkSession, path: str):
+    """A file's stream, and a function that reads ``(place, size)`` bytes of it."""
+    hadoop_path, file_system = _resolve(spark, path)
+    stream = file_system.open(hadoop_path)
+
+    def read(place: int, size: int) -> bytes:
+        stream.seek(place)
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, int(size))) if size else b""
+
+    return stream, read

@@ -1,65 +1,115 @@
-"""Rolling admission on a stream.
+"""Rolling admission on a stream, with the answer of the batch form however the rows arrive.
 
-``admit_stream`` keeps its state per user in the state store and decides with low delay; all rows
-of a user in one micro-batch meet in one task. ``admit_batches`` decides each micro-batch with the
-batch operator, which shares a user with very many rows among tasks, and keeps its state as a table.
+Rows are decided once the watermark, the newest time seen less ``lateness``, is past them; until then
+they wait. So the number and the order of micro-batches do not change a decision. Rows that come after
+their time was decided are returned too, with ``late`` true and ``accepted`` NULL.
+
+``admit_stream`` keeps its state per user in the state store and decides with low delay.
+``admit_batches`` decides each micro-batch with the batch operator, which shares a user with very many
+rows among tasks, and keeps its state as a table; ``finish_batches`` decides what still waits when the
+stream has come to its end. To let ``admit_stream`` decide all, end the stream with a row of a user of
+its own that is later than all others by more than ``lateness``.
 """
 
 from __future__ import annotations
 
 from collections import deque
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from kvflow.operators.admission import admit, walk, window_micros
 from kvflow.operators.jobs import QUOTA_ATTEMPTS, QUOTA_MINUTES
+from kvflow.sources.paths import delete_path, path_exists
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_TIME = "kv_micros"
 
 
 class _Admission(StatefulProcessor):
-    """State of a user: the latest accepted times, as many as there are attempts."""
+    """State of a user: waiting rows, and the latest accepted times, as many as there are attempts."""
 
-    def __init__(self, order_by: list[str], attempts: int, window: int):
-        self.order_by = order_by
+    def __init__(self, row: T.StructType, order_by: list[str], attempts: int, window: int):
+        self.row, self.order_by = row, order_by
         self.attempts, self.window = attempts, window
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.times = handle.getListState("accepted", T.StructType([T.StructField("t", T.LongType())]))
+        self.times = handle.getValueState("accepted", T.StructType([T.StructField("t", T.ArrayType(T.LongType()))]))
+        self.waiting = handle.getListState("waiting", self.row)
+        self.timer = handle.getValueState("timer", T.StructType([T.StructField("ms", T.LongType())]))
+
+    def _set_timer(self, micros: int | None) -> None:
+        """One timer per user; it only moves if it must fire earlier or has fired."""
+        at = None if micros is None else micros // 1000 + 1
+        now = self.timer.get()[0] if self.timer.exists() else None
+        if now is not None and (at is None or at < now):
+            self.handle.deleteTimer(now)
+            self.timer.clear()
+            now = None
+        if at is not None and now is None:
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
+
+    def _frame(self, rows: list) -> pd.DataFrame:
+        return pd.DataFrame([tuple(r) for r in rows], columns=self.row.names)
 
     def handleInputRows(self, key, rows, timerValues):
-        frames = list(rows)
-        # only what decides the order is put together and sorted
-        order = pd.concat([f[["kv_micros", *self.order_by]] for f in frames], ignore_index=True)
-        order = order.sort_values(["kv_micros", *self.order_by], kind="stable")
-        times = order["kv_micros"].tolist()
-        known = [row[0] for row in self.times.get()] if self.times.exists() else []
-        accepted = deque(known, maxlen=self.attempts)
-        decided = pd.Series(walk(times, accepted, self.window), index=order.index).sort_index()
-        self.times.put([(t,) for t in accepted])
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
-        # once the watermark is past the window of the last row, nothing accepted counts any more
-        self.handle.registerTimer((times[-1] + self.window) // 1000 + 1)
-        start = 0
-        for frame in frames:
-            part = decided.iloc[start : start + len(frame)].to_numpy()
-            yield frame.drop(columns="kv_micros").assign(accepted=part)
-            start += len(frame)
+        # Spark's first watermark is 0; nothing was decided before it
+        decided_to = timerValues.getCurrentWatermarkInMs() * 1000
+        earliest = None
+        for frame in rows:
+            late = frame[_TIME] < decided_to
+            if late.any():
+                yield frame[late].assign(accepted=pd.Series(None, dtype=object), late=True)
+            keep = frame[~late]
+            if len(keep):
+                self.waiting.appendList([tuple(_plain(v) for v in r) for r in keep.itertuples(index=False)])
+                first = int(keep[_TIME].min())
+                earliest = first if earliest is None else min(earliest, first)
+        if earliest is not None:
+            self._set_timer(earliest)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.times.clear()
-        yield from ()
+        self.timer.clear()
+        decided_to = timerValues.getCurrentWatermarkInMs() * 1000
+        frame = self._frame(list(self.waiting.get())) if self.waiting.exists() else self._frame([])
+        due = frame[frame[_TIME] < decided_to].sort_values([_TIME, *self.order_by], kind="stable")
+        rest = frame[frame[_TIME] >= decided_to]
+        if len(rest):
+            self.waiting.put([tuple(_plain(v) for v in r) for r in rest.itertuples(index=False)])
+        else:
+            self.waiting.clear()
+        known = self.times.get()[0] if self.times.exists() else []
+        accepted = deque(known, maxlen=self.attempts)
+        if len(due):
+            outcome = walk(due[_TIME].astype(np.int64).tolist(), accepted, self.window)
+            yield due.assign(accepted=outcome, late=False)
+        live = [t for t in accepted if t >= decided_to - self.window]
+        if live:
+            self.times.update((live,))
+        else:
+            self.times.clear()
+        # the next row to decide, or the time from which nothing accepted counts any more
+        self._set_timer(int(rest[_TIME].min()) if len(rest) else live[-1] + self.window if live else None)
 
     def close(self) -> None:
         pass
 
 
+def _plain(value):
+    """A state row's value: no numpy, no pandas, missing as None."""
+    if value is None or value is pd.NaT or (isinstance(value, float) and np.isnan(value)):
+        return None
+    if isinstance(value, pd.Timestamp):
+        return value.to_pydatetime()
+    return value.item() if isinstance(value, np.generic) else value
+
+
 def admit_stream(
     sdf: DataFrame,
     user: str,
@@ -69,23 +119,29 @@ def admit_stream(
     order_by: list[str] | None = None,
     lateness: str = "0 seconds",
 ) -> DataFrame:
-    """Add ``accepted`` to a stream, by the rule of the batch form.
+    """Add ``accepted`` and ``late`` to a stream, by the rule of the batch form.
 
-    Rows of a user are ordered within a micro-batch; rows behind the watermark are dropped. Keep
-    micro-batches bounded at the source (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``): a
-    user's rows of one micro-batch are ordered in one task. The session needs the RocksDB state
-    store (``STATE_STORE``).
+    A user's waiting rows, those of the last ``lateness``, are in the state store and are ordered in
+    one task when their time has come. The session needs the RocksDB state store (``STATE_STORE``).
     """
-    schema = T.StructType([*sdf.schema.fields, T.StructField("accepted", T.BooleanType())])
-    processor = _Admission(list(order_by or []), attempts, window_micros(minutes))
-    return (
-        sdf.withColumn("kv_micros", F.unix_micros(ts))
-        .withWatermark(ts, lateness)
-        .groupBy(F.col(user))
-        .transformWithStateInPandas(
-            statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="eventTime",
-        )
+    kind = sdf.schema[ts].dataType
+    others = [f for f in sdf.schema if f.name != ts]
+    row = T.StructType([*others, T.StructField(_TIME, T.LongType())])
+    out = T.StructType([*row, T.StructField("accepted", T.BooleanType()), T.StructField("late", T.BooleanType())])
+    processor = _Admission(row, list(order_by or []), attempts, window_micros(minutes))
+    # as a number the time carries no watermark, so that Spark hands late rows over
+    rows = sdf.withWatermark(ts, lateness).select(*[f.name for f in others], _micros(ts, kind).alias(_TIME))
+    decided = rows.groupBy(F.col(user)).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=out, outputMode="append", timeMode="eventTime",
     )
+    back = F.timestamp_micros(_TIME)
+    if isinstance(kind, T.TimestampNTZType):
+        back = F.timestamp_micros(_TIME).cast("timestamp_ntz")
+    return decided.select(*[back.alias(ts) if c == ts else F.col(c) for c in sdf.columns], "accepted", "late")
+
+
+def _micros(ts: str, kind: T.DataType):
+    return F.unix_micros(F.col(ts).cast("timestamp") if isinstance(kind, T.TimestampNTZType) else F.col(ts))
 
 
 def _written(df: DataFrame, path: str) -> DataFrame:
@@ -93,6 +149,60 @@ def _written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class _Batches:
+    """Decides one micro-batch after the other. State below ``path/state/<batch>``: ``rows`` has
+    waiting rows and live accepted rows, ``clock`` the newest time and the time decided to."""
+
+    def __init__(self, path, user, ts, attempts, minutes, order_by, lateness, partitions):
+        self.path, self.user, self.ts, self.attempts = path, user, ts, attempts
+        self.minutes, self.order, self.partitions = minutes, list(order_by or []), partitions
+        self.lateness = F.expr(f"INTERVAL {lateness}")
+        self.window = F.make_dt_interval(secs=F.lit(window_micros(minutes) / 1_000_000).cast("decimal(18,6)"))
+
+    def step(self, batch: DataFrame, batch_id: int, everything: bool = False) -> None:
+        spark, ts = batch.sparkSession, self.ts
+        before = f"{self.path}/state/{batch_id - 1}"
+        newest = batch.agg(F.max(ts).alias("newest"))
+        rows = batch.withColumn("_live", F.lit(False))
+        if batch_id > 0:
+            clock = spark.read.parquet(f"{before}/clock")  # a lost state is an error
+            newest = newest.unionAll(clock.select("newest")).agg(F.max("newest").alias("newest"))
+            decided_to = clock.first()["decided_to"]
+        else:
+            decided_to = None
+        kind = batch.schema[ts].dataType
+        at = newest.select("newest", (F.col("newest") - self.lateness).cast(kind).alias("decided_to")).first()
+        until = at["decided_to"]
+        if decided_to is not None and (until is None or until < decided_to):
+            until = decided_to
+        limit, start = F.lit(until).cast(kind), F.lit(decided_to).cast(kind)
+        late = rows.filter(F.col(ts) < start) if decided_to is not None else rows.limit(0)
+        if decided_to is not None:
+            rows = rows.filter((F.col(ts) >= start) | F.col(ts).isNull())
+        if batch_id > 0:
+            rows = rows.unionByName(spark.read.parquet(f"{before}/rows"))
+        # without any time nothing is due; at the end everything is
+        due = F.lit(True) if everything else F.coalesce((F.col(ts) < limit) | F.col("_live"), F.col("_live"))
+        # accepted rows of the past come first and are accepted again, as they fit the quota
+        walked = rows.filter(due).withColumn("_new", (~F.col("_live")).cast("int"))
+        decided = admit(walked, self.user, ts, self.attempts, self.minutes, ["_new", *self.order], partitions=self.partitions)
+        decided = decided.withColumn("late", F.lit(False))
+        tardy = late.withColumns({"_new": F.lit(1), "accepted": F.lit(None).cast("boolean"), "late": F.lit(True)})
+        out = _written(
+            decided.filter("_new = 1").unionByName(tardy).drop("_new", "_live"), f"{self.path}/rows/batch={batch_id}"
+        )
+
+        past = rows.filter("_live")
+        live = out.filter("accepted").drop("accepted", "late").withColumn("_live", F.lit(True)).unionByName(past)
+        if until is not None:
+            live = live.filter(F.col(ts) >= limit - self.window)
+        _written(rows.filter(~due).unionByName(live), f"{self.path}/state/{batch_id}/rows")
+        clock = spark.range(1).select(F.lit(at["newest"]).cast(kind).alias("newest"), limit.alias("decided_to"))
+        _written(clock, f"{self.path}/state/{batch_id}/clock")
+        # a restart repeats this micro-batch at most, from the state before it
+        delete_path(spark, f"{self.path}/state/{batch_id - 2}")
+
+
 def admit_batches(
     sdf: DataFrame,
     path: str,
@@ -101,41 +211,33 @@ def admit_batches(
     attempts: int = QUOTA_ATTEMPTS,
     minutes: float = QUOTA_MINUTES,
     order_by: list[str] | None = None,
+    lateness: str = "0 seconds",
     partitions: int | None = None,
 ) -> DataStreamWriter:
     """A stream writer that decides each micro-batch and appends it below ``path/rows``.
 
-    The state is the accepted rows of the last window, at most ``attempts`` per user, written
-    below ``path/state`` for every micro-batch; with them in front, a micro-batch is decided like
-    any table. Rows older than the newest row of an earlier micro-batch come too late and are
-    dropped. A micro-batch that runs again replaces its own files, so every row counts once.
+    Rows get ``accepted`` and ``late``. The state is the waiting rows of the last ``lateness`` and the
+    accepted rows of the last window, at most ``attempts`` per user, as a table per micro-batch of
+    which two are kept. A micro-batch that runs again replaces its own files, so every row counts once.
     """
-    order = list(order_by or [])
-    window = F.make_dt_interval(secs=F.lit(window_micros(minutes) / 1_000_000).cast("decimal(18,6)"))
+    batches = _Batches(path, user, ts, attempts, minutes, order_by, lateness, partitions)
+    return sdf.writeStream.foreachBatch(batches.step)
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before, known = f"{path}/state/{batch_id - 1}", None
-        rows = batch.withColumn("_new", F.lit(1))
-        if batch_id > 0:
-            known = spark.read.parquet(before)  # a lost state is an error
-            newest = known.select(F.max("_newest").alias("_newest"))
-            # one row, so that the time is compared as it is, with or without a zone
-            in_time = F.col("_newest").isNull() | (F.col(ts) >= F.col("_newest"))
-            rows = rows.join(F.broadcast(newest), in_time).drop("_newest")
-            rows = rows.unionByName(
-                known.drop("_newest").withColumn("_new", F.lit(0)), allowMissingColumns=True
-            )
-        decided = admit(rows, user, ts, attempts, minutes, ["_new", *order], partitions=partitions)
-        out = _written(decided.filter("_new = 1").drop("_new"), f"{path}/rows/batch={batch_id}")
-
-        live = out.filter("accepted").select(user, ts, *order)
-        times = out.select(ts)
-        if known is not None:
-            live = live.unionByName(known.drop("_newest"))
-            times = times.unionAll(known.select("_newest"))
-        newest = times.agg(F.max(ts).alias("_newest"))
-        live = live.join(F.broadcast(newest), F.col(ts) >= F.col("_newest") - window)
-        _written(live, f"{path}/state/{batch_id}")
-
-    return sdf.writeStream.foreachBatch(step)
+
+def finish_batches(
+    spark: SparkSession,
+    path: str,
+    user: str,
+    ts: str,
+    attempts: int = QUOTA_ATTEMPTS,
+    minutes: float = QUOTA_MINUTES,
+    order_by: list[str] | None = None,
+    partitions: int | None = None,
+) -> None:
+    """Decide the rows that still wait, once no more will come, as one more micro-batch."""
+    last = 0
+    while path_exists(spark, f"{path}/rows/batch={last + 1}"):
+        last += 1
+    waiting = spark.read.parquet(f"{path}/state/{last}/rows")
+    batches = _Batches(path, user, ts, attempts, minutes, order_by, "0 seconds", partitions)
+    batches.step(waiting.drop("_live").limit(0), last + 1, everything=True)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kvflow.operators import admission
 from kvflow.operators.admission import admit
-from kvflow.streaming.admission import admit_batches, admit_stream
+from kvflow.streaming.admission import admit_batches, admit_stream, finish_batches
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -108,31 +108,84 @@ def arriving(spark, tmp_path_factory):
     return rows, stream
 
 
-def test_stream_over_several_batches(spark, tmp_path, arriving):
-    rows, stream = arriving
+RULE = dict(user="user", ts="ts", attempts=2, minutes=20, order_by=["id"])
+
+
+def run_stream(spark, tmp_path, stream, lateness):
     query = (
-        admit_stream(stream(), "user", "ts", 2, 20, ["id"], lateness="1 hour").writeStream.format("parquet")
+        admit_stream(stream, **RULE, lateness=lateness).writeStream.format("parquet")
         .option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state")
         .outputMode("append").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    assert decided(spark.read.parquet(f"{tmp_path}/out")) == plain(rows, 2, 20)
+    return spark.read.parquet(f"{tmp_path}/out")
+
+
+def test_stream_decides_what_the_watermark_has_passed(spark, tmp_path, arriving):
+    rows, stream = arriving
+    newest = max(r[2] for r in rows)
+    out = run_stream(spark, tmp_path, stream(), "1 hour")
+    want = plain(rows, 2, 20)
+    got = decided(out)
+    assert got == {i: want[i] for i, _, ts in rows if ts < newest - timedelta(hours=1)}
+    assert out.filter("late").isEmpty()
+
+
+def test_stream_accounts_for_late_rows(spark, tmp_path):
+    folder = tmp_path / "in"
+    at = datetime(2024, 1, 1)
+    parts = [
+        [(1, "a", at + timedelta(minutes=60))], [(2, "a", at), (3, "a", at + timedelta(minutes=70))],
+        [(4, "a", at + timedelta(minutes=61))], [(9, "end", at + timedelta(days=9))],
+    ]
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, "id long, user string, ts timestamp").coalesce(1).write.parquet(f"{folder}/{k}")
+    source = spark.readStream.schema("id long, user string, ts timestamp").option("maxFilesPerTrigger", 1)
+    out = run_stream(spark, tmp_path, source.parquet(f"{folder}/*"), "1 second")
+    found = {r["id"]: (r["accepted"], r["late"]) for r in out.collect()}
+    # 2 and 4 lie behind what was decided; the closing row itself still waits
+    assert found == {1: (True, False), 2: (None, True), 3: (True, False), 4: (None, True)}
+
+
+def run_batches(spark, path, stream, lateness, finish=True):
+    writer = admit_batches(stream, str(path), **RULE, lateness=lateness, partitions=5)
+    query = writer.option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+    if finish:
+        finish_batches(spark, str(path), **RULE, partitions=5)
+    return spark.read.parquet(f"{path}/rows")
 
 
 def test_batches_of_a_stream(spark, tmp_path, arriving):
     rows, stream = arriving
-    for _ in range(2):  # the second start finds nothing new
-        writer = admit_batches(stream(F.lit("x").alias("more")), str(tmp_path), "user", "ts", 2, 20, ["id"], partitions=5)
-        query = writer.option("checkpointLocation", f"{tmp_path}/progress").trigger(availableNow=True).start()
-        query.awaitTermination()
-    out = spark.read.parquet(f"{tmp_path}/rows")
-    assert out.select("batch").distinct().count() == 3
-    assert decided(out) == plain(rows, 2, 20) and out.filter("more <> 'x'").isEmpty()
-    states = [spark.read.parquet(f"{tmp_path}/state/{i}") for i in range(3)]
-    assert all(s.groupBy("user").count().filter("count > 2").isEmpty() for s in states)
-
-
-def test_late_rows_of_a_batch_are_dropped(spark, tmp_path):
+    more = stream(F.lit("x").alias("more"))
+    run_batches(spark, tmp_path, more, "1 hour", finish=False)
+    out = run_batches(spark, tmp_path, more, "1 hour")  # the second start finds nothing new
+    assert out.select("batch").distinct().count() == 4
+    assert decided(out) == plain(rows, 2, 20) and out.filter("more <> 'x' OR late").isEmpty()
+    # two states are kept, each with the accepted rows of a window
+    kept = sorted(p.name for p in (tmp_path / "state").iterdir())
+    assert kept == ["2", "3"]
+    last = spark.read.parquet(f"{tmp_path}/state/3/rows")
+    assert last.filter("NOT _live").isEmpty() and last.groupBy("user").count().filter("count > 2").isEmpty()
+
+
+def test_batches_out_of_order_give_the_batch_answer(spark, tmp_path, arriving):
+    rows, _ = arriving
+    folder = tmp_path / "in"
+    for k in range(4):
+        part = [r for r in rows if hash(r[0]) % 4 == k]
+        spark.createDataFrame(part, "id long, user string, ts timestamp").coalesce(1).write.parquet(f"{folder}/{k}")
+    source = spark.readStream.schema("id long, user string, ts timestamp").option("maxFilesPerTrigger", 1)
+    out = run_batches(spark, tmp_path / "done", source.parquet(f"{folder}/*"), "30 days")
+    assert decided(out) == plain(rows, 2, 20)
+    # with too little lateness every row is still there, decided or late
+    out = run_batches(spark, tmp_path / "hasty", source.parquet(f"{folder}/*"), "1 second")
+    assert sorted(r["id"] for r in out.collect()) == sorted(r[0] for r in rows)
+    assert not out.filter("late").isEmpty() and out.filter("late <> (accepted IS NULL)").isEmpty()
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
     def step(rows, batch_id):
         df = spark.createDataFrame(rows, "id long, user string, ts timestamp_ntz")
         captured = []
@@ -145,17 +198,21 @@ def test_late_rows_of_a_batch_are_dropped(spark, tmp_path):
 
         admit_batches(Stream(), str(tmp_path), "user", "ts", 1, 10, ["id"])
         captured[0](df, batch_id)
-        return decided(spark.read.parquet(f"{tmp_path}/rows/batch={batch_id}"))
+        out = spark.read.parquet(f"{tmp_path}/rows/batch={batch_id}")
+        return {r["id"]: r["accepted"] for r in out.collect()}
 
     def at(minute):
         return datetime(2024, 1, 1, 0, minute)
 
     assert step([], 0) == {}
-    assert step([(1, "a", at(0)), (2, "b", at(5))], 1) == {1: True, 2: True}
-    for _ in range(2):  # running a batch again changes nothing
+    assert step([(1, "a", at(0)), (2, "b", at(5))], 1) == {1: True}
+    for _ in range(2):
         rows = [(3, "a", at(4)), (4, "b", at(5)), (5, "a", at(10)), (6, "a", at(11))]
-        assert step(rows, 2) == {4: False, 5: False, 6: True}
+        assert step(rows, 2) == {2: True, 3: None, 4: False, 5: False}
     assert step([], 3) == {}
-    assert step([(7, "a", at(21)), (8, "a", at(22)), (9, "b", at(22))], 4) == {7: False, 8: True, 9: True}
+    assert step([(7, "a", at(21)), (8, "a", at(22)), (9, "b", at(22))], 4) == {6: True, 7: False}
+    finish_batches(spark, str(tmp_path), "user", "ts", 1, 10, ["id"])
+    out = spark.read.parquet(f"{tmp_path}/rows/batch=5")
+    assert {r["id"]: r["accepted"] for r in out.collect()} == {8: True, 9: True}
     with pytest.raises(Exception, match="(?i)not.exist"):
         step([], 9)

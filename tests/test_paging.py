@@ -54,10 +54,19 @@ def test_one_page_by_unique_order(spark, lines):
         paging.read_page(lines, 999, ["n"], page_size=100, unique=True)
 
 
-def test_page_over_many_partitions(lines, monkeypatch):
-    monkeypatch.setattr(paging, "_MAX_SPELLED_PARTS", 1)
-    paged = paging.PagedLines(lines, ["n"], page_size=100_000)
-    assert paged.page(1).count() == len(LINES)
+def test_page_over_many_partitions(lines):
+    for parts in (1, 2, 7):
+        paged = paging.PagedLines(lines, ["n"], page_size=100_000, partitions=parts)
+        assert paged.page(1).count() == len(LINES)
+        small = paging.PagedLines(lines, ["n"], page_size=900, partitions=parts)
+        got = [r["n"] for page in range(1, small.total_pages() + 1) for r in small.page(page).orderBy("n").collect()]
+        assert got == sorted(n for n, _ in LINES)
+
+
+def test_ties_are_no_unique_order(spark):
+    tied = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "n long, text string")
+    with pytest.raises(ValueError, match="not unique"):
+        paging.read_page(tied, 1, ["n"], unique=True)
 
 
 def test_no_data(spark):
@@ -117,3 +126,30 @@ def test_take_file_bytes(spark, folder):
         rows = paging.take_file_bytes(spark, folder, cap).collect()
         want = {at: cut(dict(LINES)[n], cap - at) for n, at in where.items() if at < cap}
         assert {r["byte_offset"]: r["line"] for r in rows} == want
+
+
+def test_a_page_of_a_large_file_reads_only_its_bytes(spark, tmp_path, monkeypatch):
+    from kvflow.sources import files, paths
+
+    text = "".join(f"line {i} é\n" for i in range(200_000))
+    (tmp_path / "a.txt").write_text(text)
+    (tmp_path / "b.txt").write_text("")
+    taken = []
+    plain = paths.open_file
+
+    def counted(*args):
+        stream, read = plain(*args)
+
+        def count(place, size):
+            taken.append(size)
+            return read(place, size)
+
+        return stream, count
+
+    monkeypatch.setattr(files, "open_file", counted)
+    rows = paging.read_file_page(spark, str(tmp_path), 3, page_size=10_000).collect()
+    assert sum(taken) <= 10_001 + (1 << 20)
+    raw = text.encode()
+    assert all(raw[r["byte_offset"] :].startswith(r["line"].encode() + b"\n") for r in rows)
+    assert 20_000 <= min(r["byte_offset"] for r in rows) and max(r["byte_offset"] for r in rows) < 30_000
+    assert raw[: min(r["byte_offset"] for r in rows)].count(b"\n") + len(rows) == raw[:30_000].count(b"\n") + 1

@@ -6,10 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from kvflow.operators import paging, reduce
+from kvflow.operators import mapping, paging, reduce
 from kvflow.operators.shuffle import shuffle
 from kvflow.plans.job import Native, run_job
-from kvflow.session import plan_bytes, split_bytes, spread_small
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
@@ -74,18 +73,15 @@ def test_ties_are_numbered_in_a_repeatable_order(spark):
         assert text.count("Sort [") == 2 and "Sort [key" in text.split("rangepartitioning")[1]
 
 
-@pytest.mark.parametrize("name", [n for n in sorted(entry.queries()) if not n.startswith("t1_")])
+@pytest.mark.parametrize("name", sorted(entry._QUERIES))
 def test_no_query_pairs_up_rows(spark, name):
     text = plan(entry.queries()[name](spark, SF_DIR))
     assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
 
 
-def test_only_small_tables_are_spread(spark):
-    docs = entry.table(spark, SF_DIR, "documents")
-    assert "RoundRobin" in plan(spread_small(docs))
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "1KB")
-    try:
-        assert split_bytes(spark) == 1024 and plan_bytes(docs) > 1024
-        assert "RoundRobin" not in plan(spread_small(docs))
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+def test_no_size_moves_rows_before_a_map(spark):
+    pairs, words = entry.doc_pairs(spark, SF_DIR), entry.word_pairs(spark, SF_DIR)
+    whole = run_job(spark, pairs, entry.word_mapper, entry.sum_reducer, combiner=entry.sum_reducer)
+    for df in (words, mapping.map_kv(pairs, entry.word_mapper), entry.word_count_native(spark, SF_DIR), whole):
+        assert "RoundRobin" not in plan(df)
+    assert "RoundRobin" in plan(mapping.map_kv(pairs, entry.word_mapper, map_tasks=3))
