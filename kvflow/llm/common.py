@@ -11,17 +11,35 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from kvflow.session import scratch_path
+from kvflow.sources.paths import delete_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Written once below the shared folder and read again, which cuts the lineage."""
+#: Tables that ``stored`` has written and nobody has released, by application.
+_OPEN: dict[str, list[str]] = {}
+
+
+def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """A table written once below the shared folder and read again, which cuts the lineage; its path."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``written``, to be removed by ``release``."""
+    table_, path = written(df, label)
+    _OPEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    return table_
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all tables that operators have stored so far; results that read them must be written."""
+    for path in _OPEN.pop(spark.sparkContext.applicationId, []):
+        delete_path(spark, path)
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

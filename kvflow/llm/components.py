@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvflow.llm.common import stored
+from kvflow.llm.common import stored, written
+from kvflow.sources.paths import delete_path
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -17,6 +18,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = links.select("a", "b").filter("a <> b")
     maps: list[DataFrame] = []
+    spark, last = links.sparkSession, None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         points = both.groupBy("a").agg(F.min("b").alias("b")).select(
@@ -30,12 +32,17 @@ def components(links: DataFrame) -> DataFrame:
         right = points.select(F.col("node").alias("b"), F.col("to").alias("y"))
         # a node keeps a link to the one it points at, which itself may point further
         further = points.select(F.col("node").alias("a"), F.col("to").alias("b")).filter("a <> b")
-        edges = stored(
+        edges, path = written(
             edges.join(left, "a").join(right, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
             .union(further.join(right, "b").select(F.col("b").alias("a"), F.col("y").alias("b")))
             .filter("a <> b").distinct(),
             "component-edges",
         )
+        if last:
+            delete_path(spark, last)
+        last = path
+    if last:
+        delete_path(spark, last)
     if not maps:
         return links.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
     out = maps[0].select("node", F.col("to").alias("root"))

@@ -26,7 +26,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kvflow.llm.common import stored
+from kvflow.llm.common import stored, written
+from kvflow.sources.paths import delete_path
 
 BLOCK_ROWS = 4096
 
@@ -83,7 +84,8 @@ def multipliers(sizes: DataFrame, goals: DataFrame, most_copies: float = 2.0, st
     """
     top = math.log(most_copies)
     biggest = sizes.groupBy("source").agg(
-        F.max("size").alias("longest"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("shortest")
+        F.min(F.when(F.col("size") > 0, F.col("size"))).alias("shortest"),
+        F.sum(F.col("n") * F.col("size").cast("double") * F.col("size")).alias("squares"),
     )
     same = F.col("g.source").eqNullSafe(F.col("b.source"))
     scale = F.greatest(F.col("source_size") / F.col("rows"), F.lit(1.0))
@@ -91,11 +93,18 @@ def multipliers(sizes: DataFrame, goals: DataFrame, most_copies: float = 2.0, st
         "g.source", "rows", "source_size", "target", scale.alias("scale"),
         # at the upper end even the shortest document is at its most, at the lower end it is at e^-40
         (F.lit(top) * scale / F.coalesce("shortest", F.lit(1))).alias("high"),
-        (F.lit(-40.0) * scale / F.coalesce("shortest", F.lit(1))).alias("low"),
-        F.lit(0.0).alias("x"), F.lit(False).alias("done"),
+        (F.lit(-40.0) * scale / F.coalesce("shortest", F.lit(1))).alias("low"), "squares",
     )
-    state = stored(state, "mix-start")
+    # a first guess from the mean size of a word's document; sources at their ceiling are done
+    full = F.col("target") >= F.lit(float(most_copies)) * F.col("source_size") * (1 - 1e-12)
+    guess = F.log(F.col("target") / F.col("source_size")) * F.col("scale") * F.col("source_size") / F.col("squares")
+    guess = F.greatest(F.least(guess, F.col("high")), F.col("low"))
+    state = state.withColumn("x", F.when(full, F.col("high")).otherwise(guess)).withColumn("done", full).drop("squares")
+    state, path = written(state, "mix-step")
+    spark = sizes.sparkSession
     for _ in range(steps):
+        if state.filter("NOT done").isEmpty():
+            break
         h, s = sizes.alias("h"), state.alias("s")
         rate = _rate(F.col("x"), F.col("size"), F.col("scale"), most_copies)
         words = F.col("n") * F.col("size") * rate
@@ -111,16 +120,17 @@ def multipliers(sizes: DataFrame, goals: DataFrame, most_copies: float = 2.0, st
         newton = F.col("x") - miss / F.col("slope")
         inside = (F.col("slope") > 0) & (newton > low) & (newton < high)
         done = (F.abs(miss) <= F.lit(1e-9) * F.greatest(F.col("target"), F.lit(1.0))) | (high - low <= 1e-12 * F.greatest(F.abs(high), F.lit(1.0)))
-        state = stored(
+        done = F.col("done") | done
+        last = path
+        state, path = written(
             both.select(
                 "s.source", "rows", "source_size", "target", "scale", high.alias("high"), low.alias("low"),
                 F.when(done, F.col("x")).when(inside, newton).otherwise((high + low) / 2).alias("x"), done.alias("done"),
             ),
             "mix-step",
         )
-        if state.filter("NOT done").isEmpty():
-            break
-    return state.drop("high", "low", "done")
+        delete_path(spark, last)
+    return stored(state.drop("high", "low", "done"), "mix-solved")
 
 
 def round_block(block: pd.DataFrame, most: int) -> pd.DataFrame:
