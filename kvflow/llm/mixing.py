@@ -76,6 +76,11 @@ def _rate(x: Column, size: Column, scale: Column, most: float) -> Column:
     return F.exp(F.least(x * size / scale, F.lit(math.log(most))))
 
 
+def _exact_sum(values: Column) -> Column:
+    """A sum that does not depend on the order of its rows, so that a rerun finds the same rates."""
+    return F.sum(values.cast("decimal(38,8)")).cast("double")
+
+
 def multipliers(sizes: DataFrame, goals: DataFrame, most_copies: float = 2.0, steps: int = 40) -> DataFrame:
     """``goals`` with scale and x, the multiplier of each source, by Newton steps on all at once.
 
@@ -85,7 +90,7 @@ def multipliers(sizes: DataFrame, goals: DataFrame, most_copies: float = 2.0, st
     top = math.log(most_copies)
     biggest = sizes.groupBy("source").agg(
         F.min(F.when(F.col("size") > 0, F.col("size"))).alias("shortest"),
-        F.sum(F.col("n") * F.col("size").cast("double") * F.col("size")).alias("squares"),
+        _exact_sum(F.col("n") * F.col("size").cast("double") * F.col("size")).alias("squares"),
     )
     same = F.col("g.source").eqNullSafe(F.col("b.source"))
     scale = F.greatest(F.col("source_size") / F.col("rows"), F.lit(1.0))
@@ -110,8 +115,8 @@ def multipliers(sizes: DataFrame, goals: DataFrame, most_copies: float = 2.0, st
         words = F.col("n") * F.col("size") * rate
         free = F.col("x") * F.col("size") / F.col("scale") < top
         sums = h.join(s, F.col("h.source").eqNullSafe(F.col("s.source"))).groupBy("s.source").agg(
-            F.sum(words).alias("got"),
-            F.sum(F.when(free, words * F.col("size") / F.col("scale")).otherwise(0.0)).alias("slope"),
+            _exact_sum(words).alias("got"),
+            _exact_sum(F.when(free, words * F.col("size") / F.col("scale")).otherwise(0.0)).alias("slope"),
         )
         both = state.alias("s").join(sums.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")))
         miss = F.col("got") - F.col("target")
