@@ -12,7 +12,9 @@ come again with the next ones, until none is left. So no group emits all pairs a
 missed. Words with very many lines are cut into blocks, and each pair of blocks is a group of its own.
 
 Rarity comes from a fixed table of 2^20 counters by word hash, two bytes each; any order is exact, a
-shared counter only makes a word look more common. A word met once needs no group.
+shared counter only makes a word look more common. A word that a single set has in its prefix needs no
+group: a bit map of fixed size, by word hash, tells which words two different sets share. Such maps also
+tell a task which texts and lines may be needed again. A hash that two words share only lets more pass.
 
 Defined results: a null text is an empty text, which has one empty line; lines without words stay;
 null ids come last; rows that repeat both id and text are one document.
@@ -26,6 +28,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +40,9 @@ SLOTS = 1 << 20
 #: Lines of one word that meet in one group; words with more are cut into blocks of so many.
 GROUP_LINES = 8192
 #: Candidates that a line returns per word and round.
-FIRST, NEXT = 2, 16
+FIRST, NEXT = 4, 16
+#: Bits of the maps of shared prefix words, and of needed texts and lines: 2 and 8 MB.
+WORD_BITS, NEED_BITS = 1 << 24, 1 << 26
 _PAIRS = 1 << 21
 _U = np.uint64
 
@@ -93,6 +98,59 @@ def _parity(codes: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def _bit_map(slots: DataFrame, bits: int) -> np.ndarray:
+    """The values of column ``slot`` as bits; the driver gets one number for every 64 of them."""
+    rows = slots.groupBy(F.expr("slot div 64").alias("place")).agg(
+        F.expr("bit_or(shiftleft(1L, CAST(slot % 64 AS INT)))").alias("set")
+    ).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[rows.column("place").to_numpy()] = rows.column("set").to_numpy().view(np.uint64)
+    return out
+
+
+def _in_map(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (bits[slots >> 6] >> (slots & 63).astype(np.uint64)) & _U(1) == 1
+
+
+def _key_slot(key):
+    """Which bit stands for a set: 26 bits of its key."""
+    return F.conv(F.hex(F.substring(key, 1, 4)), 16, 10).cast("long").bitwiseAND(F.lit(NEED_BITS - 1))
+
+
+def prefix_rows(lines: DataFrame) -> DataFrame:
+    """(word, id, line, n, place, load) of prefix words that two sets or more have; load: key, parity."""
+    spark = lines.sparkSession
+    own = lines.filter("prefix IS NOT NULL")
+    slots = own.select(F.explode("prefix").alias("word"), F.xxhash64("key").alias("h")).filter(
+        F.shiftrightunsigned("word", 48) > 1
+    )
+    slots = slots.groupBy(F.col("word").bitwiseAND(F.lit(WORD_BITS - 1)).alias("slot")).agg(
+        F.min("h").alias("low"), F.max("h").alias("high")
+    )
+    shared = spark.sparkContext.broadcast(_bit_map(slots.filter("low <> high"), WORD_BITS))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefix = batch.column(3)
+            words = prefix.flatten().to_numpy()
+            sizes = pa.compute.list_value_length(prefix).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            keep = (words.view(np.uint64) >> _U(48) > 1) & _in_map(shared.value, words & (WORD_BITS - 1))
+            at = pa.array(row[keep])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(words[keep]), batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at),
+                    pa.array(place[keep].astype(np.int32)), batch.column(4).take(at),
+                ],
+                names=["word", "id", "line", "n", "place", "load"],
+            )
+
+    source = own.select("id", "line", "n", "prefix", F.concat("key", "parity").alias("load"))
+    kind = dict(lines.dtypes)["id"]
+    return source.mapInArrow(spread, f"word long, id {kind}, line int, n int, place int, load binary")
+
+
 def line_rows(docs: DataFrame, id_col: str, text_col: str, table, similarity: float) -> DataFrame:
     """(id, _row, line, key, n, prefix, parity); only a task's first line of a set has prefix and parity."""
 
@@ -236,47 +294,48 @@ def _groups(prefixes: DataFrame) -> DataFrame:
     hot = prefixes.filter(F.shiftrightunsigned("word", 48) > min(GROUP_LINES, 65534))
     many = hot.groupBy("word").agg(F.ceil(F.count("*") / GROUP_LINES).cast("int").alias("blocks"))
     many = stored(many.filter("blocks > 1"), "line-hot-words")
-    none = many.isEmpty()
-    rows = prefixes.withColumn("blocks", F.lit(1)) if none else prefixes.join(many, "word", "left")
-    rows = rows.withColumn(
+    if many.isEmpty():
+        return prefixes.withColumns({"part": F.lit(0), "block": F.lit(0), "cross": F.lit(False)})
+    rows = prefixes.join(many, "word", "left").withColumn(
         "block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("load"), F.col("blocks")).cast("int")).otherwise(0)
     )
-    if none:
-        return rows.withColumns({"part": F.lit(0), "cross": F.lit(False)})
     other = F.when(F.col("blocks") > 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0)))
     rows = rows.withColumn("_other", F.explode(other))
     low, high = F.least("block", "_other"), F.greatest("block", "_other")
     return rows.select(
-        "word", (low * F.coalesce("blocks", F.lit(1)) + high).alias("part"), "unnamed", "id", "line", "_row", "n", "place",
-        "load", "seek", "block", (low != high).alias("cross"),
+        "word", (low * F.coalesce("blocks", F.lit(1)) + high).alias("part"), "id", "line", "n", "place", "load",
+        "seek", "block", (low != high).alias("cross"),
     )
 
 
 def matched_sets(lines: DataFrame, texts_sets, similarity: float) -> DataFrame:
-    """(key) of each set that is similar to one whose first line is earlier."""
+    """(key) of each set that is similar to one whose first line is earlier; lines that tie in id and
+    number are ordered by key."""
+    spark = lines.sparkSession
     # made anew in every round and not stored, as they are several times the lines
-    prefixes = lines.filter("prefix IS NOT NULL").select(
-        F.posexplode("prefix").alias("place", "word"), F.col("id").isNull().alias("unnamed"), "id", "line", "_row", "n",
-        F.concat("key", "parity").alias("load"), "key",
-    ).filter(F.shiftrightunsigned("word", 48) > 1)
+    prefixes = prefix_rows(lines)
+    key = F.substring("load", 1, 16)
     matched, seeking, low, high = None, None, 0, FIRST
     while True:
         if seeking is None:
             rows = prefixes.withColumn("seek", F.lit(True))
         else:
-            words = prefixes.join(seeking, "key", "left_semi").select("word").distinct()
+            # both are small after the first round, and written, so Spark knows that they are
+            words = stored(prefixes.join(seeking, key == seeking["key"], "left_semi").select("word").distinct(), "line-words")
             flags = seeking.withColumn("seek", F.lit(True))
-            rows = prefixes.join(words, "word", "left_semi").join(flags, "key", "left").fillna(False, ["seek"])
-        groups = _groups(rows.drop("key"))
-        n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dealt = groups.repartition(n, "word", "part").sortWithinPartitions("word", "part", "unnamed", "id", "line", "_row")
+            rows = prefixes.join(words, "word", "left_semi").join(flags, key == flags["key"], "left").drop("key")
+            rows = rows.fillna(False, ["seek"])
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = _groups(rows).repartition(n, "word", "part").sortWithinPartitions(
+            "word", "part", F.col("id").asc_nulls_last(), "line", "load"
+        )
         found = dealt.select("word", "part", "n", "place", "load", "seek", "block", "cross").mapInArrow(
             _candidates(low, high, similarity), "b binary, a binary, more boolean"
         )
         found = stored(found.groupBy("b", "a").agg(F.max("more").alias("more")), "line-candidates")
         if found.isEmpty():
             break
-        good = stored(_verify(found, texts_sets, similarity), "line-matched")
+        good = stored(_verify(lines, found, texts_sets, similarity), "line-matched")
         matched = good if matched is None else matched.union(good)
         seeking = stored(found.filter("more").select(F.col("b").alias("key")).distinct().join(good, "key", "left_anti"), "line-seeking")
         if seeking.isEmpty():
@@ -287,13 +346,18 @@ def matched_sets(lines: DataFrame, texts_sets, similarity: float) -> DataFrame:
     return matched.distinct()
 
 
-def _verify(pairs: DataFrame, texts_sets, similarity: float) -> DataFrame:
+def _verify(lines: DataFrame, pairs: DataFrame, texts_sets, similarity: float) -> DataFrame:
     """(key) of the lines that are similar enough to a candidate."""
-    needed = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    sets = stored(texts_sets().join(needed, "key", "left_semi").dropDuplicates(["key"]), "line-sets")
+    spark = lines.sparkSession
+    needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "line-needed")
+    holders = lines.filter("prefix IS NOT NULL").select("key", "_row").join(needed, "key", "left_semi")
+    keys = _bit_map(needed.select(_key_slot(F.col("key")).alias("slot")), NEED_BITS)
+    texts = _bit_map(holders.select(F.col("_row").bitwiseAND(F.lit(NEED_BITS - 1)).alias("slot")), NEED_BITS)
+    sets = texts_sets(spark.sparkContext.broadcast(keys), spark.sparkContext.broadcast(texts))
+    sets = stored(sets.join(needed, "key", "left_semi").dropDuplicates(["key"]), "line-sets")
     left = sets.select(F.col("key").alias("a"), F.col("words").alias("x"))
     right = sets.select(F.col("key").alias("b"), F.col("words").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
+    both = pairs.select("a", "b").join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - common
     return both.filter(common >= F.lit(similarity) * union - 1e-9).select(F.col("b").alias("key")).distinct()
@@ -308,22 +372,31 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table = docs.sparkSession.sparkContext.broadcast(counters(docs, text_col))
     lines = stored(line_rows(docs, id_col, text_col, table, similarity), "lines")
 
-    def sets() -> DataFrame:
+    def sets(keys, texts) -> DataFrame:
+        """(key, words) of the sets whose bits are set, out of the texts whose bits are."""
+
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[bytes] = set()
-            for batch in (piece for whole in batches for piece in pieces(whole)):
-                keys, codes = [], []
-                for own in _sets(words_of(batch.column(0)), table.value)[0]:
-                    key = _key(own) if len(own) else None
-                    if key is not None and key not in seen:
-                        seen.add(key)
-                        keys.append(key)
-                        codes.append(own.view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.binary()), pa.array(codes, pa.list_(pa.int64()))], names=["key", "words"]
-                )
-
-        return docs.select(F.col(text_col).cast("string")).mapInArrow(cut, "key binary, words array<bigint>")
+            for batch in batches:
+                wanted = _in_map(texts.value, batch.column(0).to_numpy() & (NEED_BITS - 1))
+                for piece in pieces(batch.filter(pa.array(wanted))):
+                    names, codes = [], []
+                    for own in _sets(words_of(piece.column(1)), table.value)[0]:
+                        key = _key(own) if len(own) else None
+                        if key is None or key in seen:
+                            continue
+                        slot = int.from_bytes(key[:4], "big") & (NEED_BITS - 1)
+                        if int(keys.value[slot >> 6]) >> (slot & 63) & 1:
+                            seen.add(key)
+                            names.append(key)
+                            codes.append(own.view(np.int64))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(names, pa.binary()), pa.array(codes, pa.list_(pa.int64()))], names=["key", "words"]
+                    )
+
+        text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+        source = docs.select(F.xxhash64(id_col, text).alias("_row"), text.alias("text"))
+        return source.mapInArrow(cut, "key binary, words array<bigint>")
 
     near = matched_sets(lines, sets, similarity).withColumn("near", F.lit(True))
     place = F.struct(F.col("id").isNull().alias("u"), "id", "line", "_row")
