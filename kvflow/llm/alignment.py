@@ -7,6 +7,8 @@ import numpy as np
 _FAR = np.int32(1 << 28)
 #: Cells of one band row that are worked on together.
 _CELLS = 1 << 18
+#: Words of one side that are laid out together, padded to the longest; pairs come in order of length.
+_WORDS = 1 << 21
 
 
 def limit(a: int, b: int, similarity: float) -> int:
@@ -76,8 +78,13 @@ def alike(left: list[np.ndarray], right: list[np.ndarray], similarity: float) ->
         now = np.flatnonzero(open_)
         now = now[np.argsort([len(left[k]) for k in now], kind="stable")]
         step = max(1, _CELLS // (2 * width + 1))
-        for at in range(0, len(now), step):
-            some = now[at : at + step]
+        at = 0
+        while at < len(now):
+            take = min(step, len(now) - at)
+            while take > 1 and take * (len(left[now[at + take - 1]]) + 2 * width) > _WORDS:
+                take = (take + 1) // 2
+            some = now[at : at + take]
+            at += take
             band = int(min(width, most[some].max()))
             edits = _band([left[k] for k in some], [right[k] for k in some], band)
             out[some] = edits <= np.minimum(most[some], band)
