@@ -541,9 +541,7 @@ def reduce_words(spark, sf_dir):
 
 @query("r2_reduce_table_function", WORD_COUNT_SQL)
 def reduce_words_sql(spark, sf_dir):
-    reducing.register_reducer(
-        spark, "sum_values", lambda: 0, lambda total, value: total + int(value), lambda k, total: [(k, total)]
-    )
+    reducing.register_reducer(spark, "sum_values", sum_reducer)
     mapped = mapping.map_kv(doc_pairs(spark, sf_dir), word_mapper, combiner=sum_reducer)
     mapped.createOrReplaceTempView("word_pairs")
     return spark.sql("SELECT * FROM sum_values(TABLE(word_pairs) PARTITION BY key ORDER BY value)")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import queue
+import threading
 from collections.abc import Callable, Iterable, Iterator
-from itertools import groupby, islice
+from itertools import chain, groupby, islice
 from operator import itemgetter
 
 import pandas as pd
@@ -26,6 +28,8 @@ from kvflow.operators.shuffle import shuffle
 
 Reducer = Callable[[str, Iterable], Iterable[tuple]]
 
+_FED_ROWS = 1024  # values handed to a reducer's thread at a time
+
 _VALUE_TYPES = {
     "string": text.to_text,
     "int": text.parse_int,
@@ -112,32 +116,77 @@ def reduce_agg(kv: DataFrame, **aggs: Column) -> DataFrame:
     return kv.groupBy("key").agg(*(column.alias(name) for name, column in aggs.items()))
 
 
-def register_reducer(
-    spark: SparkSession,
-    name: str,
-    start: Callable[[], object],
-    step: Callable[[object, str], object],
-    finish: Callable[[str, object], Iterable[tuple]],
-) -> None:
-    """Make a fold a SQL table function over ``TABLE(kv) PARTITION BY key [ORDER BY value]``.
+class _Fed:
+    """A reducer that reads its values while they arrive, in a thread of its own.
+
+    Values wait in a short queue, so a group is never held; what the reducer leaves unread is
+    dropped.
+    """
 
-    ``step`` takes one value at a time, so a group is never held; ``finish`` emits its pairs.
-    A key's rows go to one task: fold them first (``combine_kv``) where a key may be hot.
+    def __init__(self, reducer: Reducer, key: str, records: Callable):
+        self.queue: queue.Queue = queue.Queue(maxsize=4)
+        self.out: queue.SimpleQueue = queue.SimpleQueue()
+        self.chunk: list = []
+        self.trouble: BaseException | None = None
+
+        def work():
+            try:
+                for record in records(reducer(key, chain.from_iterable(iter(self.queue.get, None)))):
+                    self.out.put(record)
+            except BaseException as error:  # raised again where the rows come from
+                self.trouble = error
+
+        self.thread = threading.Thread(target=work, daemon=True)
+        self.thread.start()
+
+    def put(self, item: list | None) -> None:
+        while self.thread.is_alive():
+            try:
+                return self.queue.put(item, timeout=0.1)
+            except queue.Full:
+                continue
+
+    def add(self, value) -> None:
+        self.chunk.append(value)
+        if len(self.chunk) >= _FED_ROWS:
+            self.put(self.chunk)
+            self.chunk = []
+
+    def ready(self) -> Iterator[tuple]:
+        while not self.out.empty():
+            yield self.out.get()
+
+    def finish(self) -> Iterator[tuple]:
+        self.put(self.chunk)
+        self.put(None)
+        while self.thread.is_alive():
+            yield from self.ready()
+            self.thread.join(0.01)
+        if self.trouble is not None:
+            raise self.trouble
+        yield from self.ready()
+
+
+def register_reducer(spark: SparkSession, name: str, reducer: Reducer) -> None:
+    """Make ``reducer`` a SQL table function over ``TABLE(kv) PARTITION BY key [ORDER BY value]``.
+
+    It is called as by ``reduce_kv``, with a single-pass stream of values. A key's rows go to one
+    task: fold them first (``combine_kv``) where a key may be hot.
     """
     records = emitter(KV_DDL, "\t", 1)
 
     class ReduceFunction:
         def __init__(self):
-            self.key = None
-            self.state = start()
-            self.seen = False
+            self.fed = None
 
         def eval(self, row: T.Row):
-            self.key, self.seen = row["key"], True
-            self.state = step(self.state, row["value"])
+            if self.fed is None:
+                self.fed = _Fed(reducer, row["key"], records)
+            self.fed.add(row["value"])
+            yield from self.fed.ready()
 
         def terminate(self):
-            if self.seen:
-                yield from records(finish(self.key, self.state))
+            if self.fed is not None:
+                yield from self.fed.finish()
 
-    spark.udtf.register(name, F.udtf(ReduceFunction, returnType=KV_DDL))
+    spark.udtf.register(name, F.udtf(ReduceFunction, returnType=KV_DDL, useArrow=True))

@@ -69,11 +69,32 @@ def test_reduce_surfaces_agree(spark, kv):
     assert pairs_of(grouped) == EXPECTED
     native = reduce.reduce_agg(mapped, value=F.count("value").cast("string"))
     assert pairs_of(native) == EXPECTED
-    reduce.register_reducer(spark, "test_sum", lambda: 0, lambda s, v: s + int(v), lambda k, s: [(k, s)])
+    reduce.register_reducer(spark, "test_sum", total)
     mapped.createOrReplaceTempView("test_pairs")
     assert pairs_of(spark.sql("SELECT * FROM test_sum(TABLE(test_pairs) PARTITION BY key)")) == EXPECTED
 
 
+def test_reducers_as_table_functions(spark):
+    def first_and_echo(key, values):
+        yield key, next(iter(values))
+        if key == "all":
+            for value in values:
+                yield key, value
+
+    def broken(key, values):
+        raise RuntimeError("no good")
+
+    spark.range(9000).selectExpr(
+        "IF(id % 2 = 0, 'all', 'one') AS key", "format_string('%04d', id) AS value"
+    ).createOrReplaceTempView("numbers")
+    reduce.register_reducer(spark, "first_and_echo", first_and_echo)
+    got = pairs_of(spark.sql("SELECT * FROM first_and_echo(TABLE(numbers) PARTITION BY key ORDER BY value)"))
+    assert got == [("all", f"{i:04d}") for i in range(0, 9000, 2)] + [("one", "0001")]
+    reduce.register_reducer(spark, "broken", broken)
+    with pytest.raises(Exception, match="no good"):
+        spark.sql("SELECT * FROM broken(TABLE(numbers) PARTITION BY key)").collect()
+
+
 def test_group_spans_batches_and_early_stop_drains(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
@@ -240,3 +261,29 @@ def test_user_errors_reach_the_user(kv):
 
     with pytest.raises(PythonException, match="no good"):
         mapping.map_kv(kv(TEXTS), broken).collect()
+
+
+def test_native_reducers_obey_order_and_tasks(spark, kv):
+    pairs = [(str(i % 30), "1") for i in range(300)]
+    def same(key, value):
+        return F.array(make_kv(key, value))
+
+    out = run_job(spark, kv(pairs), Native(same), Native(F.count), reduce_tasks=1, numeric=True).collect()
+    assert [r["key"] for r in out] == [str(i) for i in range(30)] and {r["value"] for r in out} == {"10"}
+
+
+def test_program_preview_tells_code_and_errors(spark):
+    lines = spark.createDataFrame([(1, "a\tb"), (2, "c\td")], "n int, line string")
+    failing = ["sh", "-c", "cat; echo oops >&2; exit 3"]
+    done = preview_job(spark, lines, failing, total, cap=100, order_by=["n"])
+    assert done.state == "FAILED" and done.reduced is None and pairs_of(done.mapped) == [("a", "b"), ("c", "d")]
+    assert [tuple(r) for r in done.phases.collect()] == [("map", 3, 2, "oops")]
+    fine = preview_job(spark, lines, failing, ["cat"], cap=100, order_by=["n"], map_options={"on_exit": "ignore"})
+    assert fine.state == "SUCCESSFUL" and fine.reduced.count() == 2
+    with pytest.raises(ValueError):
+        run_job(spark, lines, words, total, map_options={"in_sep": ";"})
+
+
+def test_typed_schema_by_type(kv):
+    out = mapping.map_kv(kv([("a", "b")]), lambda k, v: [("x\ty", "z\r")], schema="KEY STRING, value string")
+    assert [tuple(r) for r in out.collect()] == [("x", "y\tz")]

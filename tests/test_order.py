@@ -93,3 +93,10 @@ def test_names_that_are_serials_of_each_other(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a-1")], "i long, name string")
     with pytest.raises(ValueError):
         assign_unique_names(df, "name", None, ["i"])
+
+
+def test_names_that_hold_newlines(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b\nc"), (4, "b\nc")], "i int, name string")
+    existing = spark.createDataFrame([("a-1\n",), ("b\nc",), ("b\nc-1",)], "name string")
+    got = {r["i"]: r["unique_name"] for r in assign_unique_names(df, "name", existing, ["i"]).collect()}
+    assert got == {1: "a", 2: "a-1", 3: "b\nc-2", 4: "b\nc-3"}

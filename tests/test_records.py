@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -99,3 +101,17 @@ def test_split_then_emit_is_the_line(spark, lines):
 def test_pair_accessors(spark):
     df = spark.range(1).select(records.make_kv(F.lit(7), F.lit(None)).alias("p"))
     assert tuple(df.select(records.kv_key("p"), records.kv_value("p")).first()) == ("7", "")
+
+
+def test_closing_carriage_returns_and_long_separators(spark):
+    pairs = [("k", "x\r"), ("k", "x\r\n"), ("k", "x\n"), ("xa", "v"), ("", "aa"), ("a", "aav\r\r")]
+    df = spark.createDataFrame(pairs, "key string, value string")
+
+    def plain(key, value):
+        for line in re.split("\r\n|\r|\n", f"{key}aa{value}\n")[:-1]:
+            head, _, tail = line.partition("aa")
+            yield head, tail
+
+    want = sorted(p for k, v in pairs for p in plain(k, v))
+    assert sorted(tuple(r) for r in records.reparse(df, sep="aa").collect()) == want
+    assert sorted(records.emitted_records(pairs, "aa", 1)) == want

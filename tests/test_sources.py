@@ -113,3 +113,11 @@ def test_shared_dir_comes_from_the_session(spark):
     assert named is None or shared_dir(spark) == named
     assert scratch_path(spark, "x").startswith(shared_dir(spark))
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_input_paths_are_compared_in_one_form(spark):
+    asked = ["in/1", "/home/in/1", "in/../in/1", "HDFS://NN/home/in/1", "hdfs://nn//home/./in/1", "hdfs:///home/in/1", "../out"]
+    listing = spark.createDataFrame([("hdfs://nn/home/in/1",), ("/out",)], "path string")
+    df = spark.createDataFrame([(p,) for p in asked], "path string")
+    out = {r["path"]: r["verdict"] for r in files.check_inputs(df, "hdfs://nn/home", listing, contain=True).collect()}
+    assert out == {p: "ok" for p in asked} | {"hdfs:///home/in/1": "not_found", "../out": "outside_home"}
