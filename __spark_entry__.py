@@ -119,7 +119,7 @@ def _text_pipeline() -> tuple[dict[str, Query], dict[str, str]]:
         import corpus_pipeline
         from kvflow.llm import queries as more
     except ModuleNotFoundError as missing:
-        if missing.name not in ("corpus_pipeline", "kvflow.llm"):
+        if missing.name != "corpus_pipeline" and not f"{missing.name}.".startswith("kvflow.llm."):
             raise
         return {}, {}
     found, sql = dict(more.QUERIES), dict(more.ORACLES)
