@@ -288,13 +288,18 @@ def _fixed(column: pa.ChunkedArray, kind: np.dtype) -> np.ndarray:
     return raw.view(kind)
 
 
-def _groups(prefixes: DataFrame) -> DataFrame:
-    """Prefix rows with their group (word, part); words with many lines get a part per pair of blocks."""
+def _hot_words(prefixes: DataFrame) -> DataFrame | None:
+    """(word, blocks) of words with more lines than one group takes; None if there are none."""
     # a word's counter bounds its lines, so few words have to be counted
     hot = prefixes.filter(F.shiftrightunsigned("word", 48) > min(GROUP_LINES, 65534))
     many = hot.groupBy("word").agg(F.ceil(F.count("*") / GROUP_LINES).cast("int").alias("blocks"))
     many = stored(many.filter("blocks > 1"), "line-hot-words")
-    if many.isEmpty():
+    return None if many.isEmpty() else many
+
+
+def _groups(prefixes: DataFrame, many: DataFrame | None) -> DataFrame:
+    """Prefix rows with their group (word, part); words with many lines get a part per pair of blocks."""
+    if many is None:
         return prefixes.withColumns({"part": F.lit(0), "block": F.lit(0), "cross": F.lit(False)})
     rows = prefixes.join(many, "word", "left").withColumn(
         "block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("load"), F.col("blocks")).cast("int")).otherwise(0)
@@ -315,6 +320,7 @@ def matched_sets(lines: DataFrame, texts_sets, similarity: float) -> DataFrame:
     # made anew in every round and not stored, as they are several times the lines
     prefixes = prefix_rows(lines)
     key = F.substring("load", 1, 16)
+    many = _hot_words(prefixes)
     matched, seeking, low, high = None, None, 0, FIRST
     while True:
         if seeking is None:
@@ -326,7 +332,7 @@ def matched_sets(lines: DataFrame, texts_sets, similarity: float) -> DataFrame:
             rows = prefixes.join(words, "word", "left_semi").join(flags, key == flags["key"], "left").drop("key")
             rows = rows.fillna(False, ["seek"])
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        dealt = _groups(rows).repartition(n, "word", "part").sortWithinPartitions(
+        dealt = _groups(rows, many).repartition(n, "word", "part").sortWithinPartitions(
             "word", "part", F.col("id").asc_nulls_last(), "line", "load"
         )
         found = dealt.select("word", "part", "n", "place", "load", "seek", "block", "cross").mapInArrow(
