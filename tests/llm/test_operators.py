@@ -429,6 +429,19 @@ def test_base_rules(spark):
         assert got == plain_base(texts[r["doc_id"]] or "")
 
 
+def test_addresses_with_zero_parts(spark):
+    rng = random.Random(35)
+    parts = ["0", "00", "000", "1", "10", "127", "0255", "255", "256", "0256", "00100", "1000"]
+    texts = ["127.0.0.1", "10.0.0.1", "192.168.0.12", "0.1.2.3", "000.1.2.3", "0.0.0.0", "0000.00.0.000", "1.2.3.0256", "0" * 3_000 + ".0.0.1"]
+    texts += [f"at {'.'.join(rng.choice(parts) for _ in range(4))} now" for _ in range(300)]
+    found = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        got = [(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["base"]]
+        assert got == plain_base(texts[r["doc_id"]])
+    assert sum(any(s["kind"] == "ip" and s["base"] for s in r["spans"]) for r in found) > 50
+
+
 def test_more_spans_than_the_rules_give(spark, nothing):
     rng = random.Random(2)
     texts = [f"{prose(rng, 8)} call me: +1 (743) 555-{i:04d} or mail to me{i}@mail.example.com now" for i in range(60)]
