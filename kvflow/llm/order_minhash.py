@@ -3,20 +3,23 @@
 A text's items are its runs of five words, each labelled with how often it has occurred before, so
 repeats count. A sketch takes the two items of least hash and keeps the order in which they stand in
 the text; two texts agree on it more often the smaller their edit distance is, while moved passages
-make them differ. Texts that agree on any of 16 sketches are candidates.
-
-Texts with the same words are one node. In each bucket the node of least key stands for it and is
-aligned with the others, and so in the finer buckets of two sketches each; a bucket with n nodes gives
-n - 1 pairs, never n squared. A pair is linked if its word alignment, in a band no wider than the
-edits allowed, has a similarity of at least 0.8: ``1 - edits / longer length``. Classes are the
-connected components.
+make them differ. Texts that agree on any of 16 sketches share a bucket.
+
+Texts with the same words are one node. In each bucket first the node of least key is compared with
+the others. Buckets whose nodes are not all in one class then have all their pairs of different classes
+compared by counts of hashed words, which never exclude a pair that is alike; a node returns the
+earliest nodes it may be like, 16 at first, and buckets in which a node may be like more come again
+with more until none is left. So a bucket gives all links between its classes, and a large group of
+near copies no square of pairs. Buckets with many nodes are cut into blocks, and each pair of blocks
+is a group of its own. A pair is linked if its word alignment, in a band no wider than the edits
+allowed, has a similarity of at least 0.8: ``1 - edits / longer length``. Classes are the connected
+components.
 
 Words are those of ``words``: lower-cased runs of letters, digits and non-ASCII characters; in
 alignments a word is 32 bits of its hash.
 
 Defined results: null counts as the empty text; texts without words are alike only if equal; a class's
-id is its least doc_id (null if all are null); repeated ids are rows of their own; texts of fewer than
-about 25 words share no five words after an edit in their middle and then are found only if equal.
+id is its least doc_id (null if all are null); repeated ids are rows of their own.
 """
 
 from __future__ import annotations
@@ -35,14 +38,23 @@ from kvflow.llm.components import components
 from kvflow.llm.words import Words, mix, windows, words_of
 
 SHINGLE = 5
-SKETCHES = 16
+#: Sketches made in one turn, and turns.
+SKETCHES, TURNS = 16, 1
 SIMILARITY = 0.8
+#: Texts of up to SHORT words have sketches of words, texts from LONG words on of runs; LONG is SHORT
+#: times the similarity, so that two texts that are alike always have one kind in common.
+SHORT, LONG, SHORT_LEAST = 0, 1, 3
+#: Counts of hashed words by which pairs are ruled out.
+BINS = 128
+#: Nodes of one bucket that meet in one group, and candidates that a node returns in the first round.
+GROUP_NODES, FIRST, MORE = 4096, 16, 16
 #: Pairs of one representative that are aligned in one go, and salts of a representative's pairs.
 SALT_PAIRS = 512
 _U = np.uint64
 _LAST = _U(0xFFFFFFFFFFFFFFFF)
-_FACTORS = mix(np.arange(101, 101 + SKETCHES, dtype=np.uint64)) | _U(1)
+_FACTORS = (mix(np.arange(101, 101 + SKETCHES * TURNS, dtype=np.uint64)) | _U(1)).reshape(TURNS, SKETCHES)
 _CHUNK = 1 << 17
+_GROUP_ROWS = 1 << 14
 
 
 def _items(hashes: np.ndarray, shingle: int) -> np.ndarray:
@@ -61,11 +73,11 @@ def _items(hashes: np.ndarray, shingle: int) -> np.ndarray:
     return found
 
 
-def _sketch(items: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def _sketch(items: np.ndarray, starts: np.ndarray, turn: int = 0) -> np.ndarray:
     """(texts, sketches): the two least items of each text in their order, hashed together."""
     sizes = np.diff(np.append(starts, len(items)))
-    out = np.empty((len(starts), len(_FACTORS)), np.uint64)
-    for j, factor in enumerate(_FACTORS):
+    out = np.empty((len(starts), SKETCHES), np.uint64)
+    for j, factor in enumerate(_FACTORS[turn]):
         values = items * factor
         one = np.minimum.reduceat(values, starts)
         at = np.flatnonzero(values == np.repeat(one, sizes))
@@ -75,7 +87,22 @@ def _sketch(items: np.ndarray, starts: np.ndarray) -> np.ndarray:
         later = np.zeros(len(starts), bool)
         later[sizes > 1] = then > at[sizes > 1]
         low, high = np.where(later, one, two), np.where(later, two, one)
-        out[:, j] = mix(low * _U(3) + mix(high) + _U(j))
+        out[:, j] = mix(low * _U(3) + mix(high) + _U(turn * SKETCHES + j))
+    return out
+
+
+def _word_sketch(items: np.ndarray, starts: np.ndarray, turn: int) -> np.ndarray:
+    """(texts, sketches): the least items of each short text, from the least on, hashed together."""
+    sizes = np.diff(np.append(starts, len(items)))
+    out = np.empty((len(starts), SKETCHES), np.uint64)
+    for j, factor in enumerate(_FACTORS[turn]):
+        values = items * factor
+        found = np.full(len(starts), 1000 + turn * SKETCHES + j, np.uint64)
+        for _ in range(SHORT_LEAST):
+            one = np.minimum.reduceat(values, starts)
+            found = mix(found * _U(3) + one)
+            values[values == np.repeat(one, sizes)] = _LAST
+        out[:, j] = found
     return out
 
 
@@ -88,47 +115,184 @@ def _key(words: Words, i: int) -> bytes:
     return blake2b(text, digest_size=16, person=b"no words").digest()
 
 
+def _counts(words: Words) -> np.ndarray:
+    """(texts, BINS): how many words of each text fall in each bin, up to 255."""
+    n = len(words.bounds) - 1
+    owner = np.repeat(np.arange(n), np.diff(words.bounds))
+    bins = (words.hashes[words.bounds[0] : words.bounds[-1]] >> _U(40)).astype(np.int64) % BINS
+    return np.minimum(np.bincount(owner * BINS + bins, minlength=n * BINS), 255).astype(np.uint8)
+
+
 def sketches(texts: pa.Array, shingle: int = SHINGLE) -> list[pa.Array]:
-    """(key, buckets) of each text: key stands for its words, buckets is empty if it has none."""
+    """(key, buckets, size, bins) of each text: key stands for its words, buckets is empty if it has none."""
     words = words_of(texts)
     bounds, n = words.bounds.tolist(), len(words.bounds) - 1
-    rows, parts, total = [], [], 0
-    buckets = np.zeros((n, 2 * SKETCHES), np.uint64)
-
-    def flush():
-        starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]])
-        found = _sketch(np.concatenate(parts), starts)
-        buckets[rows, :SKETCHES] = found
-        buckets[rows, SKETCHES:] = mix(found * _U(5) + np.roll(found, 1, axis=1))
-
-    for i in range(n):
-        own = words.hashes[bounds[i] : bounds[i + 1]]
-        if len(own):
+    sizes = np.diff(words.bounds)
+    kinds = SKETCHES * TURNS
+    buckets = np.zeros((n, 2 * kinds), np.uint64)
+    has = np.repeat(np.stack([sizes >= LONG, (sizes > 0) & (sizes <= SHORT)], axis=1), kinds, axis=1)
+
+    def fill(chosen: np.ndarray, run: int, first: int, make) -> None:
+        rows, parts, total = [], [], 0
+        for i in chosen.tolist():
             rows.append(i)
-            parts.append(_items(own, shingle))
+            parts.append(_items(words.hashes[bounds[i] : bounds[i + 1]], run))
             total += len(parts[-1])
-        if total > _CHUNK:
-            flush()
-            rows, parts, total = [], [], 0
-    if rows:
-        flush()
-    has = np.diff(words.bounds) > 0
-    offsets = np.concatenate([[0], np.cumsum(has * 2 * SKETCHES)])
-    return [pa.array([_key(words, i) for i in range(n)], pa.binary()), lists(offsets, pa.array(buckets[has].ravel().view(np.int64)))]
+            if total > _CHUNK or i == chosen[-1]:
+                starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]])
+                items = np.concatenate(parts)
+                for turn in range(TURNS):
+                    at = first + turn * SKETCHES
+                    buckets[rows, at : at + SKETCHES] = make(items, starts, turn)
+                rows, parts, total = [], [], 0
+
+    fill(np.flatnonzero(has[:, 0]), shingle, 0, _sketch)
+    fill(np.flatnonzero(has[:, kinds]), 1, kinds, _word_sketch)
+    offsets = np.concatenate([[0], np.cumsum(has.sum(axis=1))])
+    counts = _counts(words).tobytes()
+    return [
+        pa.array([_key(words, i) for i in range(n)], pa.binary()),
+        lists(offsets, pa.array(buckets[has].view(np.int64))),
+        pa.array(sizes, pa.int32()),
+        pa.array([counts[i * BINS : (i + 1) * BINS] for i in range(n)], pa.binary()),
+    ]
 
 
 def sketch_rows(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs`` with _key and _buckets of each text."""
+    """Columns ``keep`` of ``docs`` with _key, _buckets, _size and _bins of each text."""
     source = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
-    added = docs.sparkSession.createDataFrame([], "_key binary, _buckets array<bigint>").schema
+    schema = "_key binary, _buckets array<bigint>, _size int, _bins binary"
+    added = docs.sparkSession.createDataFrame([], schema).schema
     return map_batches(source, added, lambda batch: sketches(batch.column(len(keep))), ("_text",))
 
 
-def candidate_pairs(nodes: DataFrame) -> DataFrame:
-    """Distinct (a, b): in each bucket the least key with every other."""
-    rows = nodes.select("_key", F.explode("_buckets").alias("bucket"))
-    many = rows.groupBy("bucket").agg(F.min("_key").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    return rows.join(many, "bucket").select("a", F.col("_key").alias("b")).filter("a <> b").distinct()
+def _bins_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS)
+
+
+def may_be_alike(
+    sizes: np.ndarray, bins: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float
+) -> np.ndarray:
+    """Whether rows a and b may reach ``similarity`` by their sizes and counts; never false if they do.
+
+    Each edit takes away and adds one word at most, so each side has no more words of its own than edits.
+    """
+    longer = np.maximum(sizes[a], sizes[b])
+    most = ((1 - similarity) * longer + 1e-9).astype(np.int64)
+    out = longer - np.minimum(sizes[a], sizes[b]) <= most
+    at = np.flatnonzero(out)
+    for k in range(0, len(at), _GROUP_ROWS):
+        some = at[k : k + _GROUP_ROWS]
+        more = bins[a[some]].astype(np.int16) - bins[b[some]]
+        total, net = np.abs(more).sum(axis=1), more.sum(axis=1)
+        out[some] = (total + np.abs(net)) // 2 <= most[some]
+    return out
+
+
+def candidate_pairs(members: DataFrame) -> DataFrame:
+    """Distinct (a, b): in each bucket of ``members`` (bucket, _key) the least key with every other."""
+    many = members.groupBy("bucket").agg(F.min("_key").alias("a"))
+    return members.join(many, "bucket").select("a", F.col("_key").alias("b")).filter("a <> b").distinct()
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that sizes and counts of words do not rule out."""
+    one = nodes.select(F.col("_key").alias("a"), F.col("_size").alias("s"), F.col("_bins").alias("x"))
+    two = nodes.select(F.col("_key").alias("b"), F.col("_size").alias("t"), F.col("_bins").alias("y"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            sizes = np.concatenate([batch.column(2).to_numpy(), batch.column(4).to_numpy()]).astype(np.int64)
+            bins = np.concatenate([_bins_of(batch.column(3)), _bins_of(batch.column(5))])
+            good = pa.array(may_be_alike(sizes, bins, np.arange(n), np.arange(n, 2 * n), similarity))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
+
+    rows = pairs.join(one, "a").join(two, "b").select("a", "b", "s", "x", "t", "y")
+    return rows.mapInArrow(task, "a binary, b binary")
+
+
+def _meet(similarity: float, most: int):
+    """Rows come sorted by group (bucket, x, y) and key; each returns its earliest candidates, ``most`` at most."""
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """Runs of whole groups."""
+        held, rows = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = [batch.column(k).to_numpy() for k in range(3)]
+            new = np.zeros(batch.num_rows, bool)
+            for column in ids:
+                new[1:] |= column[1:] != column[:-1]
+            last = held[-1].slice(held[-1].num_rows - 1) if held else None
+            new[0] = last is not None and any(last.column(k)[0].as_py() != ids[k][0] for k in range(3))
+            cuts = np.flatnonzero(new)
+            if rows + batch.num_rows >= _GROUP_ROWS and len(cuts):
+                cut = int(cuts[-1])
+                yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+                held, rows, batch = [], 0, batch.slice(cut)
+            held.append(batch)
+            rows += batch.num_rows
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches):
+            table = table.combine_chunks()
+            bucket, x, y, block, root, sizes = (table.column(k).to_numpy() for k in (0, 1, 2, 3, 5, 6))
+            sizes = sizes.astype(np.int64)
+            bins = _bins_of(table.column(7).combine_chunks())
+            n = len(bucket)
+            new = np.ones(n, bool)
+            new[1:] = (bucket[1:] != bucket[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+            first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+            found, more = np.zeros(n, np.int64), np.zeros(n, bool)
+            left, right = [], []
+            live, rank = np.arange(n), 0
+            while True:
+                live = live[(live - first[live] > rank) & ~more[live]]
+                if not len(live):
+                    break
+                hub = first[live] + rank
+                apart = (root[live] != root[hub]) & ((x[live] == y[live]) | (block[live] != block[hub]))
+                now, hub = live[apart], hub[apart]
+                good = may_be_alike(sizes, bins, now, hub, similarity)
+                now, hub = now[good], hub[good]
+                more[now[found[now] == most]] = True
+                fits = found[now] < most
+                left.append(hub[fits])
+                right.append(now[fits])
+                found[now] += 1
+                rank += 1
+            a = np.concatenate([*left, np.empty(0, np.int64)]).astype(np.int64)
+            b = np.concatenate([*right, np.empty(0, np.int64)]).astype(np.int64)
+            keys = table.column(4).combine_chunks()
+            yield pa.RecordBatch.from_arrays(
+                [keys.take(pa.array(a)), keys.take(pa.array(b)), pa.array(bucket[b]), pa.array(more[b])],
+                names=["a", "b", "bucket", "more"],
+            )
+
+    return task
+
+
+def met_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float, most: int) -> DataFrame:
+    """(a, b, bucket, more): candidates of different classes in each bucket, and whether b may have more there."""
+    known = members.join(roots.withColumnRenamed("node", "_key"), "_key", "left")
+    known = known.select("bucket", "_key", F.coalesce("root", "_key").alias("root"))
+    per = known.groupBy("bucket").agg(
+        F.ceil(F.count("*") / GROUP_NODES).cast("int").alias("blocks"), F.min("root").alias("u"), F.max("root").alias("v")
+    ).filter("u <> v").select("bucket", "blocks")
+    placed = known.join(per, "bucket").withColumn("block", F.pmod(F.xxhash64("_key"), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "_key",
+        F.xxhash64("root").alias("root"),
+    )
+    rows = dealt.join(nodes.select("_key", "_size", "_bins"), "_key").select(
+        "bucket", "x", "y", "block", "_key", "root", "_size", "_bins"
+    )
+    rows = rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "_key")
+    return rows.mapInArrow(_meet(similarity, most), "a binary, b binary, bucket bigint, more boolean")
 
 
 def words_by_key(docs: DataFrame, text_col: str) -> DataFrame:
@@ -200,6 +364,31 @@ def verified(pairs: DataFrame, words: DataFrame, similarity: float = SIMILARITY)
     return rows.mapInArrow(_verify(similarity), "a binary, b binary")
 
 
+def linked(rows: DataFrame, docs: DataFrame, text_col: str, similarity: float) -> DataFrame:
+    """(node, root) of the classes of all nodes that have links; ``rows`` are stored sketch_rows."""
+    nodes = stored(rows.filter(F.size("_buckets") > 0).dropDuplicates(["_key"]), "near-nodes")
+    every = nodes.select("_key", F.explode("_buckets").alias("bucket"))
+    shared = every.groupBy("bucket").count().filter("count > 1")
+    members = stored(every.join(shared, "bucket").select("bucket", "_key", "count"), "near-members")
+    pairs = stored(plausible(candidate_pairs(members), nodes, similarity), "near-pairs")
+    links = stored(verified(pairs, words_by_key(docs, text_col), similarity), "near-links")
+    roots, most = components(links), FIRST
+    # a bucket of two is settled; in the others the least key may have missed links between the rest
+    members = members.filter("count > 2").drop("count")
+    while True:
+        met = stored(met_pairs(members, nodes, roots, similarity, most), "near-met")
+        new = stored(met.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "near-pairs")
+        if not new.isEmpty():
+            pairs = pairs.union(new)
+            links = links.union(stored(verified(new, words_by_key(docs, text_col), similarity), "near-links"))
+            roots = components(links)
+        open_ = met.filter("more").select("bucket").distinct()
+        if open_.isEmpty():
+            return roots
+        members = stored(members.join(open_, "bucket", "left_semi"), "near-members")
+        most *= MORE
+
+
 def near_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY
 ) -> DataFrame:
@@ -208,10 +397,7 @@ def near_classes(
     A class's id and key are those of its member of least id.
     """
     rows = stored(sketch_rows(docs, text_col, [id_col]), "near-sketches")
-    nodes = rows.filter(F.size("_buckets") > 0).dropDuplicates(["_key"])
-    pairs = stored(candidate_pairs(nodes), "near-pairs")
-    links = stored(verified(pairs, words_by_key(docs, text_col), similarity), "near-links")
-    roots = components(links).select(F.col("node").alias("_key"), F.col("root"))
+    roots = linked(rows, docs, text_col, similarity).select(F.col("node").alias("_key"), F.col("root"))
     member = rows.select(id_col, "_key").join(roots, "_key", "left").select(
         id_col, "_key", F.coalesce("root", "_key").alias("_root")
     )

@@ -92,6 +92,36 @@ def test_keep_first(docs, nothing):
     assert order_minhash.keep_first(nothing).count() == 0
 
 
+def edited(rng, words, first, edits):
+    """``words`` with so many of those from ``first`` on replaced by words of no other text."""
+    words = list(words)
+    for i in rng.sample(range(first, len(words)), edits):
+        words[i] = f"new{rng.randrange(10**9)}"
+    return words
+
+
+@pytest.mark.parametrize("blocks", [False, True])
+def test_near_copies_behind_a_common_passage(spark, monkeypatch, blocks):
+    if blocks:
+        monkeypatch.setattr(order_minhash, "GROUP_NODES", 16)
+        monkeypatch.setattr(order_minhash, "FIRST", 1)
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(225)]
+    texts = []
+    for k in range(60):
+        own = passage + [f"k{k}o{i}" for i in range(75)]
+        texts += [own, edited(rng, own, 225, 24)] if k < 30 else [own]
+    ids = list(range(len(texts)))
+    rng.shuffle(ids)
+    rows = [(i, " ".join(t)) for i, t in zip(ids, texts)]
+    found = order_minhash.near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = {r["doc_id"]: r["class_id"] for r in found.collect()}
+    for k in range(30):
+        a, b = ids[2 * k], ids[2 * k + 1]
+        assert got[a] == got[b] == min(a, b)
+    assert all(got[i] == i for i in ids[60:])
+
+
 def test_moved_halves_differ_for_the_sketch():
     import numpy as np
 
