@@ -1,9 +1,10 @@
 """Near-duplicates by Order MinHash, verified by banded alignment.
 
-A text's items are its runs of five words, each labelled with how often it has occurred before, so
+A text's items are its runs of three words, each labelled with how often it has occurred before, so
 repeats count. A sketch takes the two items of least hash and keeps the order in which they stand in
 the text; two texts agree on it more often the smaller their edit distance is, while moved passages
-make them differ. Texts that agree on any of 16 sketches share a bucket.
+make them differ. Texts that agree on any of 48 sketches share a bucket. Texts of up to 40 words have
+48 sketches of the three least single words, as an edit leaves few of their runs.
 
 Texts with the same words are one node. In each bucket first the node of least key is compared with
 the others. Buckets whose nodes are not all in one class then have all their pairs of different classes
@@ -37,13 +38,13 @@ from kvflow.llm.common import lists, map_batches, pieces, stored
 from kvflow.llm.components import components
 from kvflow.llm.words import Words, mix, windows, words_of
 
-SHINGLE = 5
+SHINGLE = 3
 #: Sketches made in one turn, and turns.
-SKETCHES, TURNS = 16, 1
+SKETCHES, TURNS = 16, 3
 SIMILARITY = 0.8
 #: Texts of up to SHORT words have sketches of words, texts from LONG words on of runs; LONG is SHORT
 #: times the similarity, so that two texts that are alike always have one kind in common.
-SHORT, LONG, SHORT_LEAST = 0, 1, 3
+SHORT, LONG, SHORT_LEAST = 40, 32, 3
 #: Counts of hashed words by which pairs are ruled out.
 BINS = 128
 #: Nodes of one bucket that meet in one group, and candidates that a node returns in the first round.

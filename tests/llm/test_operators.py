@@ -122,6 +122,19 @@ def test_near_copies_behind_a_common_passage(spark, monkeypatch, blocks):
     assert all(got[i] == i for i in ids[60:])
 
 
+@pytest.mark.parametrize("size", [5, 12, 25, 40, 41, 60, 300])
+def test_texts_that_are_alike_share_a_bucket(size):
+    import pyarrow as pa
+
+    rng = random.Random(size)
+    for edits in {max(1, size // 10), size // 5}:
+        one = [[f"w{rng.randrange(5000)}" for _ in range(size)] for _ in range(200)]
+        two = [edited(rng, t, 0, edits) for t in one]
+        buckets = order_minhash.sketches(pa.array([" ".join(t) for t in one + two]))[1].to_pylist()
+        met = sum(bool(set(buckets[i]) & set(buckets[i + 200])) for i in range(200))
+        assert met >= 0.97 * 200
+
+
 def test_moved_halves_differ_for_the_sketch():
     import numpy as np
 
