@@ -49,6 +49,8 @@ SHORT, LONG, SHORT_LEAST = 40, 32, 3
 BINS = 128
 #: Nodes of one bucket that meet in one group, and candidates that a node returns in the first round.
 GROUP_NODES, FIRST, MORE = 4096, 16, 16
+#: One in so many buckets is compared with its hub before the others.
+STAGES = 8
 #: Pairs of one representative that are aligned in one go, and salts of a representative's pairs.
 SALT_PAIRS = 512
 _U = np.uint64
@@ -191,9 +193,22 @@ def may_be_alike(
 
 
 def candidate_pairs(members: DataFrame) -> DataFrame:
-    """Distinct (a, b): in each bucket of ``members`` (bucket, _key) the least key with every other."""
-    many = members.groupBy("bucket").agg(F.min("_key").alias("a"))
-    return members.join(many, "bucket").select("a", F.col("_key").alias("b")).filter("a <> b").distinct()
+    """Distinct (a, b): in each bucket of ``members`` (bucket, _key) the least key with every other.
+
+    If members have a root, only those of another root than the least key's are paired with it.
+    """
+    rows = members if "root" in members.columns else members.withColumn("root", F.col("_key"))
+    many = rows.groupBy("bucket").agg(F.min(F.struct("_key", "root")).alias("hub"))
+    other = rows.join(many, "bucket").filter(F.col("root") != F.col("hub.root"))
+    return other.select(F.col("hub._key").alias("a"), F.col("_key").alias("b")).distinct()
+
+
+def apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``members`` with their root, in the buckets that hold more than one root."""
+    known = members.join(roots.withColumnRenamed("node", "_key"), "_key", "left")
+    known = known.select("bucket", "_key", F.coalesce("root", "_key").alias("root"))
+    several = known.groupBy("bucket").agg(F.min("root").alias("u"), F.max("root").alias("v")).filter("u <> v")
+    return known.join(several.select("bucket"), "bucket")
 
 
 def plausible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -371,8 +386,15 @@ def linked(rows: DataFrame, docs: DataFrame, text_col: str, similarity: float) -
     every = nodes.select("_key", F.explode("_buckets").alias("bucket"))
     shared = every.groupBy("bucket").count().filter("count > 1")
     members = stored(every.join(shared, "bucket").select("bucket", "_key", "count"), "near-members")
-    pairs = stored(plausible(candidate_pairs(members), nodes, similarity), "near-pairs")
+    # a few buckets first, so that a large group of near copies is one class before the others' hubs
+    few = members.filter(F.pmod("bucket", F.lit(STAGES)) == 0)
+    pairs = stored(plausible(candidate_pairs(few), nodes, similarity), "near-pairs")
     links = stored(verified(pairs, words_by_key(docs, text_col), similarity), "near-links")
+    rest = apart(members, components(links))
+    new = candidate_pairs(rest).join(pairs, ["a", "b"], "left_anti")
+    new = stored(plausible(new, nodes, similarity), "near-pairs")
+    pairs = pairs.union(new)
+    links = links.union(stored(verified(new, words_by_key(docs, text_col), similarity), "near-links"))
     roots, most = components(links), FIRST
     # a bucket of two is settled; in the others the least key may have missed links between the rest
     members = members.filter("count > 2").drop("count")
