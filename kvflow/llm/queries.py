@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kvflow.llm.centroids import K, ROUNDS, cluster_vectors, with_inertia
 from kvflow.llm.chat import format_chat, loss_text, read_chat
 from kvflow.llm.common import table
 from kvflow.llm.decontaminate import decontaminate
+from kvflow.llm.jaccard_join import gram_components
 from kvflow.llm.line_dedup import dedup_lines
 from kvflow.llm.merkle import compare_with_next
 from kvflow.llm.mixing import mix
 from kvflow.llm.order_minhash import near_classes
+from kvflow.llm.periodic_runs import find_runs
 from kvflow.llm.pii import KINDS, find_pii
 from kvflow.llm.ring import shard_rows
 from kvflow.llm.token_counts import length_histogram, suffix_sums, token_lengths
@@ -206,3 +209,102 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score_toxicity(docs, table(spark, sf_dir, "labels"))
+
+
+# ---------------------------------------------------------------- 11: n-gram Jaccard join
+
+#: Pairs by their common shingles, then all that can be reached by links.
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + least(len(w), 4)], ' ') AS shingle
+    FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 3, 1))) AS i FROM w WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_ AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+    FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+links AS MATERIALIZED (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+    WHERE 100 * c >= 85 * (x.n + y.n - c)),
+ways AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents
+    UNION SELECT r.a, l.b FROM reach r JOIN ways l ON r.b = l.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = d.doc_id
+"""
+
+
+@query("op11_ngram_jaccard", JACCARD_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gram_components(table(spark, sf_dir, "documents"))
+
+
+# ---------------------------------------------------------------- 12: periodic runs
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): one text in ten, by a hash of doc_id, has a stretch of its words repeat to the end."""
+    hash_ = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    source = docs.select("doc_id", "text", hash_.alias("h"), F.floor(hash_ / 10).alias("g"))
+    chosen = source.withColumn("w", F.when(
+        F.col("h") % 10 == 0, F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)")
+    )).withColumn("n", F.size("w"))
+    begin = chosen.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    period = begin.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    words = F.expr("transform(w, (x, i) -> IF(i < a, x, element_at(w, CAST(a + (i - a) % p AS INT) + 1)))")
+    return period.select("doc_id", F.when(F.col("n") > 0, F.array_join(words, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    # runs come by start, then period, so the first of equal ones stays
+    best = F.expr(
+        "aggregate(runs, CAST(NULL AS STRUCT<start: BIGINT, length: BIGINT, period: BIGINT>), "
+        "(m, r) -> IF(m IS NULL OR r.length * m.period > m.length * r.period, r, m))"
+    )
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"), F.col("best.length").alias("length"), F.col("best.period").alias("period"),
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+# ---------------------------------------------------------------- 13: centroid clustering
+
+
+def centroid_sql(k: int = K, rounds: int = ROUNDS) -> str:
+    """Every round as tables of its own: nearest centroids by component, then floors of the means."""
+    parts = ["""v AS MATERIALIZED (SELECT vec_id, list_transform(embedding,
+        lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+n AS MATERIALIZED (SELECT vec_id, row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS row, v FROM v),
+e AS MATERIALIZED (SELECT row, unnest(v) AS x, unnest(range(64)) AS i FROM n),
+""" + f"c0 AS MATERIALIZED (SELECT row AS cluster, x, i FROM e WHERE row < {k})"]
+    for r in range(rounds + 1):
+        parts.append(f"""d{r} AS MATERIALIZED (SELECT row, cluster, sum((e.x - c.x) * (e.x - c.x)) AS d
+    FROM e JOIN c{r} c USING (i) GROUP BY row, cluster),
+a{r} AS MATERIALIZED (SELECT row, cluster, d FROM d{r}
+    QUALIFY row_number() OVER (PARTITION BY row ORDER BY d, cluster) = 1)""")
+        if r < rounds:
+            parts.append(f"""m{r} AS (SELECT cluster, i, sum(x) AS s, count(*) AS n
+    FROM e JOIN a{r} USING (row) GROUP BY cluster, i),
+c{r + 1} AS MATERIALIZED (SELECT cluster, i, coalesce(CAST((s - ((s % n) + n) % n) // n AS BIGINT), x) AS x
+    FROM c{r} LEFT JOIN m{r} USING (cluster, i))""")
+    return "WITH " + ",\n".join(parts) + f""",
+h AS (SELECT cluster, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY cluster)
+SELECT vec_id, CAST(cluster AS INT) AS cluster, CAST(d AS BIGINT) AS distance,
+    CAST(sum(d) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+    CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{rounds} JOIN n USING (row) JOIN h USING (cluster)
+"""
+
+
+@query("op13_centroids", centroid_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = with_inertia(cluster_vectors(table(spark, sf_dir, "embeddings")))
+    return done.select(
+        F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )

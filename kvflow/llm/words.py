@@ -27,6 +27,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_WORD = np.array([b >= 128 or 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
+#: All bytes but space and 0x09 to 0x0D, for words that white space alone parts.
+NOT_SPACE = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))[_LOWER]
 _BASE = 0xD1342543DE82EF95
 _POWERS: dict[str, np.ndarray] = {}
@@ -75,14 +77,14 @@ def _pieces(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         first = last
 
 
-def words_of(texts: pa.Array | pa.ChunkedArray) -> Words:
-    """All words of all texts."""
+def words_of(texts: pa.Array | pa.ChunkedArray, in_word: np.ndarray = _IS_WORD) -> Words:
+    """All words of all texts; ``in_word`` tells of each byte whether it belongs to a word."""
     data, offsets = utf8(texts)
     hashes, starts, ends = [], [], []
     for first, last in _pieces(offsets):
         at = int(offsets[first])
         raw = data[at : int(offsets[last])]
-        inside = _IS_WORD[raw]
+        inside = in_word[raw]
         edges = offsets[first : last + 1] - at
         before, after = np.empty_like(inside), np.empty_like(inside)
         before[1:], after[:-1] = inside[:-1], inside[1:]

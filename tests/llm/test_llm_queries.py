@@ -17,7 +17,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test table
 
 def test_all_are_registered():
     names = set(entry.queries())
-    assert {"pipeline", *queries.QUERIES} <= names and len(queries.QUERIES) == 10
+    assert {"pipeline", *queries.QUERIES} <= names and len(queries.QUERIES) == 13
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
