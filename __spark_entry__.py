@@ -75,7 +75,7 @@ def doc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mapping.map_expr(doc_pairs(spark, sf_dir), native_words)
+    return mapping.map_expr(doc_pairs(spark, sf_dir), native_words, map_hint(spark))
 
 
 def native_words(key, value):
@@ -88,6 +88,12 @@ def word_mapper(key, value):
         yield word, 1
 
 
+def map_hint(spark: SparkSession) -> int | None:
+    """The number of map tasks that the session asks for; unset, records are mapped where they are read."""
+    tasks = spark.conf.get("kvflow.map.tasks", None)
+    return int(tasks) if tasks else None
+
+
 def sum_reducer(key, values):
     yield key, sum(map(int, values))
 
@@ -400,7 +406,7 @@ def _counted(kv: DataFrame) -> DataFrame:
 
 @query("m1_map_words", WORD_ROWS_SQL)
 def map_words(spark, sf_dir):
-    return _counted(mapping.map_kv(doc_pairs(spark, sf_dir), word_mapper))
+    return _counted(mapping.map_kv(doc_pairs(spark, sf_dir), word_mapper, map_tasks=map_hint(spark)))
 
 
 @query("m2_map_expr_words", WORD_ROWS_SQL)
@@ -438,6 +444,30 @@ def hash_partition(spark, sf_dir):
     )
 
 
+_HOT_PAIRS = "CASE WHEN event_id % 3 < 2 THEN event_type ELSE concat('user-', user_id) END"
+
+
+@query(
+    "x1_hot_keys",
+    f"""WITH p AS (SELECT {_HOT_PAIRS} AS key FROM events)
+    SELECT key, count(*) AS n, CAST(1 AS BIGINT) AS n_partitions,
+        CASE WHEN count(*) * 16 >= (SELECT count(*) FROM p) THEN CAST(1 AS BIGINT) END AS keys_there
+    FROM p GROUP BY key""",
+)
+def hot_partitions(spark, sf_dir):
+    """Every key with a sixteenth of the pairs is alone in its partition; all keys stay whole."""
+    pairs = table(spark, sf_dir, "events").selectExpr(f"{_HOT_PAIRS} AS key", "CAST(event_id AS STRING) AS value")
+    moved = shuffle(pairs, 24, hot_share=1 / 16).withColumn("part", F.spark_partition_id())
+    there = moved.groupBy("part").agg(F.countDistinct("key").alias("keys"))
+    per_key = moved.groupBy("key", "part").agg(F.count("*").alias("n")).join(there, "part")
+    sums = per_key.groupBy("key").agg(
+        F.sum("n").alias("n"), F.count("*").alias("n_partitions"), F.max("keys").alias("keys")
+    )
+    return sums.select(
+        "key", "n", "n_partitions", F.when(F.col("n") * 16 >= pairs.count(), F.col("keys")).alias("keys_there")
+    )
+
+
 def _inversions(batches):
     last = None
     rows = found = 0
@@ -535,16 +565,38 @@ def word_count(spark, sf_dir):
 
 @query("r1_reduce_words", WORD_COUNT_SQL)
 def reduce_words(spark, sf_dir):
-    mapped = mapping.map_kv(doc_pairs(spark, sf_dir), word_mapper, combiner=sum_reducer)
+    mapped = mapping.map_kv(
+        doc_pairs(spark, sf_dir), word_mapper, map_tasks=map_hint(spark), combiner=sum_reducer
+    )
     return reducing.reduce_kv(mapped, sum_reducer)
 
 
 @query("r2_reduce_table_function", WORD_COUNT_SQL)
 def reduce_words_sql(spark, sf_dir):
-    reducing.register_reducer(spark, "sum_values", sum_reducer)
+    reducing.register_reducer(spark, "sum_values", sum_reducer, value_order=True)
     mapped = mapping.map_kv(doc_pairs(spark, sf_dir), word_mapper, combiner=sum_reducer)
     mapped.createOrReplaceTempView("word_pairs")
-    return spark.sql("SELECT * FROM sum_values(TABLE(word_pairs) PARTITION BY key ORDER BY value)")
+    return spark.sql("SELECT * FROM sum_values(TABLE(word_pairs))")
+
+
+def long_sum_reducer(key, values):
+    n = total = 0
+    for value in values:
+        n, total = n + 1, total + value
+    yield key, n, total
+
+
+@query(
+    "r2_typed_reduce",
+    """SELECT CAST(user_id AS VARCHAR) AS key, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS total
+    FROM events GROUP BY user_id""",
+)
+def reduce_typed_sql(spark, sf_dir):
+    """Long values in, and rows out whose types the call names."""
+    reducing.register_reducer(spark, "sum_longs", long_sum_reducer)
+    pairs = table(spark, sf_dir, "events").selectExpr("CAST(user_id AS STRING) AS key", "event_id AS value")
+    pairs.createOrReplaceTempView("long_pairs")
+    return spark.sql("SELECT * FROM sum_longs(TABLE(long_pairs), 'key string, n bigint, total bigint')")
 
 
 def group_sum(key, batches):
@@ -581,7 +633,10 @@ def reduce_native(spark, sf_dir):
 
 @query("r4_word_count_native", WORD_COUNT_SQL)
 def word_count_native(spark, sf_dir):
-    return run_job(spark, doc_pairs(spark, sf_dir), Native(native_words), Native(lambda value: F.count(value)))
+    return run_job(
+        spark, doc_pairs(spark, sf_dir), Native(native_words), Native(lambda value: F.count(value)),
+        map_tasks=map_hint(spark),
+    )
 
 
 @query(
@@ -667,7 +722,8 @@ def program_job_counters(spark, sf_dir):
         spark, pairs, mapper, reducer, counters=True,
         map_options={"in_sep": ";", "out_sep": "|", "on_exit": "ignore"}, reduce_options={"in_sep": "|", "out_sep": "="},
     )
-    ours = counts.filter("`group` <> 'records'").select("group", F.col("counter").alias("name"), F.col("total").alias("n"))
+    result = order.stored(result, "r7-pairs")  # counters are there once the table has been computed
+    ours = counts.totals().filter("`group` <> 'records'").select("group", F.col("counter").alias("name"), F.col("total").alias("n"))
     rows = result.select(F.lit("pair").alias("group"), F.col("key").alias("name"), F.col("value").cast("bigint").alias("n"))
     return rows.unionAll(ours)
 
@@ -1114,6 +1170,22 @@ def admit(spark, sf_dir):
     return decided.select("event_id", "accepted")
 
 
+HOT_USER_SQL = ADMISSION_SQL.replace("SELECT event_id, user_id, epoch_us(ts)",
+    "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END AS user_id, epoch_us(ts)").replace(
+    "PARTITION BY user_id ORDER BY ts", "PARTITION BY CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END ORDER BY ts")
+
+
+@query("j3_hot_user", HOT_USER_SQL)
+def admit_hot_user(spark, sf_dir):
+    """A third of the rows are of one user who is over the quota without a pause, in many ranges."""
+    user = F.when(F.col("event_id") % 3 == 0, F.lit(-1)).otherwise(F.col("user_id")).alias("user_id")
+    events = table(spark, sf_dir, "events").select("event_id", user, "ts")
+    decided = admission.admit(
+        events, "user_id", "ts", attempts=2, minutes=1440, order_by=["event_id"], partitions=24
+    )
+    return decided.select("event_id", "accepted")
+
+
 @query(
     "j4_derive_state",
     """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'RUNNING' WHEN event_id % 7 = 0 THEN 'KILLED'

@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kvflow.operators.jobs import QUOTA_ATTEMPTS, QUOTA_MINUTES
-from kvflow.operators.order import changes, ordered_table
+from kvflow.operators.order import changes, ordered_table, stored
 from kvflow.session import scratch_path
 
 
-# Rows of one user, of a few numbers each, that one task walks at a time.
-CHAIN_ROWS = 1 << 26
+#: Open rows of one block: their times travel together, as one row of a chain.
+BLOCK_ROWS = 1 << 15
 
 
 def window_micros(minutes: float) -> int:
@@ -132,41 +132,63 @@ def _first_pass(user: str, ts: str, attempts: int, window: int):
     return task
 
 
-def _replay(attempts: int, window: int, before: dict[int, list[int]], only_state: bool):
-    """Walk open rows again, now from the known state ``before`` each chain of partitions."""
+def _blocks(batches):
+    """Times of open rows (_part, _row, _time) as blocks of rows that follow each other in a range."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        parts, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        # a range's open rows are its first ones, so a gap means that another range begins
+        new = np.flatnonzero((np.diff(parts) != 0) | (np.diff(rows) != 1)) + 1
+        firsts = np.concatenate([np.arange(a, b, BLOCK_ROWS) for a, b in zip([0, *new], [*new, len(parts)])])
+        times = pa.ListArray.from_arrays(
+            pa.array([*firsts, len(parts)], pa.int32()), batch.column(2).cast(pa.int64())
+        )
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(parts[firsts]), pa.array(rows[firsts]), times], names=["_part", "_first", "_times"]
+        )
+
+
+def _jump(attempts: int, window: int, before: dict[int, list[int]]):
+    """Walk chains of blocks from the state ``before`` each chain; returns the rows that are accepted.
+
+    Blocks come by chain, in order. Up to the end of the accepted window all is rejected, so whole blocks
+    are passed by their last time, and the next row to look at is sought in the block it is in: the
+    work grows with blocks and accepted rows, not with rows.
+    """
 
     def task(batches):
-        chain = part = accepted = None
+        chain = accepted = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
             chains, parts = batch.column("_chain").to_pylist(), batch.column("_part").to_numpy()
-            times = batch.column("_time").to_pylist()
-            cuts = np.flatnonzero(np.diff(parts)) + 1
-            decided: list[bool] = []
-            for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows]):
-                if parts[lo] != part:
-                    if only_state and part is not None:
-                        yield _state_row(part, accepted)
-                    part = int(parts[lo])
-                    if chains[lo] != chain:
-                        chain = chains[lo]
-                        accepted = deque(before[chain], maxlen=attempts)
-                decided.extend(walk(times[lo:hi], accepted, window))
-            if not only_state:
-                i = batch.schema.get_field_index("accepted")
-                yield batch.set_column(i, "accepted", pa.array(decided, pa.bool_()))
-        if only_state and part is not None:
-            yield _state_row(part, accepted)
+            firsts, times = batch.column("_first").to_numpy(), batch.column("_times")
+            found_part, found_row = [], []
+            for k, name in enumerate(chains):
+                if name != chain:
+                    chain, accepted = name, deque(before[name], maxlen=attempts)
+                block = times[k].values.to_numpy()
+                for i in _accepted_places(block, accepted, window):
+                    found_part.append(parts[k])
+                    found_row.append(firsts[k] + i)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found_part, pa.int32()), pa.array(found_row, pa.int64())], names=["_part", "_row"]
+            )
 
     return task
 
 
-def _state_row(part: int, accepted: deque) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([part], pa.int32()), pa.array([list(accepted)], pa.list_(pa.int64()))],
-        names=["_part", "_state"],
-    )
+def _accepted_places(times: np.ndarray, accepted: deque, window: int) -> list[int]:
+    """``walk`` over an array of times: the places of the accepted rows."""
+    attempts, i, end, out = accepted.maxlen, 0, len(times), []
+    while i < end:
+        if len(accepted) == attempts and accepted[0] + window >= times[i]:
+            if accepted[0] + window >= times[-1]:
+                break
+            i = int(np.searchsorted(times, accepted[0] + window, "right"))
+        accepted.append(int(times[i]))
+        out.append(i)
+        i += 1
+    return out
 
 
 def _ddl(df: DataFrame) -> str:
@@ -186,8 +208,12 @@ def admit(
     """Add ``accepted``: fewer than ``attempts`` accepted rows of the user in the last ``minutes``.
 
     The window is closed at its start, and rejected rows do not count. ``order_by`` settles equal
-    times. Rows are written once in (user, time) ranges; each range is walked by its own task,
-    and only rows a range could not settle alone are walked again.
+    times. Rows without a time are not decided: ``accepted`` is NULL and they do not count.
+
+    Rows are written once in (user, time) ranges; each range is walked by its own task. Rows that a
+    range could not settle alone are decided once more from their times only, which travel in blocks: all
+    open ranges of a user that follow each other are a chain, chains run side by side, and a chain
+    jumps from accepted row to accepted row. Two Spark jobs run here, whatever the ranges; no range is sorted again.
     """
     if attempts < 1:
         raise ValueError("the quota allows at least one row")
@@ -195,7 +221,9 @@ def admit(
         return df.withColumn("accepted", F.lit(True))
     spark, window = df.sparkSession, window_micros(minutes)
     columns = df.columns
-    rows = ordered_table(df, [user, ts, *(order_by or [])], partitions)
+    timed = df.filter(F.col(ts).isNotNull())
+    untimed = df.filter(F.col(ts).isNull()).withColumn("accepted", F.lit(None).cast("boolean"))
+    rows = ordered_table(timed, [user, ts, *(order_by or [])], partitions)
     path = scratch_path(spark, "admission")
     rows.mapInArrow(
         _first_pass(user, ts, attempts, window),
@@ -203,70 +231,47 @@ def admit(
     ).write.parquet(path)
     table = spark.read.parquet(path)
 
-    settled = table.filter("accepted IS NOT NULL").select(*columns, "accepted")
-    before = _states_before(table, user, attempts, window)
-    if not before:
+    settled = table.filter("accepted IS NOT NULL").select(*columns, "accepted").unionByName(untimed)
+    chains, before = _chains(table, user, window)
+    if not chains:
         return settled
-    opened = table.filter("accepted IS NULL").withColumn("_chain", F.col("_part"))
-    opened = _in_chains(opened, [*columns, "accepted"])
-    again = opened.mapInArrow(_replay(attempts, window, before, False), _ddl(opened))
-    return settled.unionByName(again.select(*columns, "accepted"))
-
-
-def _in_chains(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows with their ``_chain``, each chain in order in one partition."""
-    rows = rows.select(*columns, "_part", "_row", "_time", "_chain")
-    return rows.repartition("_chain").sortWithinPartitions("_chain", "_part", "_row")
-
-
-def _states_before(table: DataFrame, user: str, attempts: int, window: int) -> dict[int, list[int]]:
-    """The accepted times that count at the start of each partition that begins with open rows.
-
-    Only each partition's first and last row come to the driver. Where partitions stayed open to
-    their end, they are walked again in chains once the state before them is known: all users
-    side by side, and of one user as many partitions at a time as a task can sort with ease.
+    opened = table.filter("accepted IS NULL")
+    # a pair of numbers per range
+    placed = opened.select("_part", "_row", "_time").mapInArrow(_blocks, "_part int, _first bigint, _times array<bigint>")
+    placed = placed.join(F.broadcast(spark.createDataFrame(chains, "_part int, _chain int")), "_part")
+    ordered = placed.repartition("_chain").sortWithinPartitions("_chain", "_part", "_first")
+    chosen = ordered.mapInArrow(_jump(attempts, window, before), "_part int, _row bigint")
+    # written, so that Spark sees how few they are
+    accepted = stored(chosen.withColumn("_yes", F.lit(True)), "admitted")
+    again = opened.drop("accepted").join(accepted, ["_part", "_row"], "left")
+    return settled.unionByName(again.select(*columns, F.coalesce("_yes", F.lit(False)).alias("accepted")))
+
+
+def _chains(table: DataFrame, user: str, window: int) -> tuple[list[tuple[int, int]], dict[int, list[int]]]:
+    """(range, chain) of the ranges that begin with open rows, and the state before each chain.
+
+    A chain is named by its first range, before which the past is known; each next one waits for the
+    one before it, which is open to its end. Only each range's first and last row come to the driver.
     """
     edges = table.filter("_row = 0 OR _last").select(
         "_part", "_row", F.col(user).alias("_user"), "_time", "_last", "_state"
     )
     first: dict[int, tuple] = {}
     last: dict[int, tuple] = {}
-    size: dict[int, int] = {}
     for row in edges.collect():
         if row["_row"] == 0:
             first[row["_part"]] = (row["_user"], row["_time"])
         if row["_last"]:
             last[row["_part"]] = (row["_user"], row["_time"], row["_state"])
-            size[row["_part"]] = row["_row"] + 1
-
-    parts = sorted(first)
+    chains: list[tuple[int, int]] = []
     before: dict[int, list[int]] = {}
-    following: dict[int, int] = {}  # a partition open to its end, and the one that waits for it
-    for previous, part in zip([None, *parts], parts):
+    chain = previous = None
+    for part in sorted(first):
         begins = previous is None or last[previous][0] != first[part][0]
         if begins or last[previous][1] < first[part][1] - window:
-            before[part] = []
+            chain, before[part] = part, []
         elif last[previous][2] is not None:
-            before[part] = last[previous][2]
-        else:
-            following[previous] = part
-
-    while following:
-        chains = []
-        for start in [p for p in following if p in before]:
-            part, rows = start, 0
-            while part in following and (part == start or rows + size[part] <= CHAIN_ROWS):
-                chains.append((part, start))
-                rows += size[part]
-                part = following[part]
-        known = {start: before[start] for _, start in chains}
-        chained = table.sparkSession.createDataFrame(chains, "_part int, _chain int")
-        # the filter lets the scan skip other files; the join has a pair of numbers per partition
-        wanted = table.filter(F.col("_part").isin([part for part, _ in chains]))
-        wanted = wanted.join(F.broadcast(chained), "_part")
-        walked = _in_chains(wanted, []).mapInArrow(
-            _replay(attempts, window, known, True), "_part int, _state array<bigint>"
-        )
-        for row in walked.collect():
-            before[following.pop(row["_part"])] = row["_state"]
-    return before
+            chain, before[part] = part, last[previous][2]
+        chains.append((part, chain))
+        previous = part
+    return chains, before

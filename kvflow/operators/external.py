@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kvflow.functions.records import to_kv
+from kvflow.operators.logs import Counters
+from kvflow.operators.order import stored
 from kvflow.operators.shuffle import shuffle
 
 LOG_DDL = "task_id bigint, seq bigint, channel string, line string"
@@ -154,9 +156,10 @@ def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[list[str]]:
 
 def _program_lines(
     lines: DataFrame, argv: list[str], env: dict[str, str], on_exit: str,
-    skip_after: int | None, empty_runs: bool,
+    skip_after: int | None, empty_runs: bool, counters: Counters | None = None,
 ) -> DataFrame:
     """Run one process per partition of a one-column table; all its output as log lines."""
+    report = counters.step() if counters is not None else None
     types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
     names = ["task_id", "seq", "channel", "line"]
 
@@ -171,13 +174,18 @@ def _program_lines(
             rest = chunks
             chunks = (c for part in ([first], rest) for c in part)
         seq = 0
+        add = report() if report else None
         for channel, chunk in run_program(chunks, argv, env, on_exit, skip_after):
             n = len(chunk)
+            if add and channel == "err":
+                add(chunk)
             columns = [[task_id] * n, range(seq, seq + n), [channel] * n, chunk]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(c), t) for c, t in zip(columns, types)], names=names
             )
             seq += n
+        if add:
+            add(None)
 
     return lines.mapInArrow(task, LOG_DDL)
 
@@ -203,18 +211,19 @@ def pipe_map(
     on_exit: str = "fail",
     skip_after: int | None = None,
     log: bool = False,
+    counters: Counters | None = None,
 ) -> DataFrame:
     """Run ``cmd`` once per partition on ``key SEP value`` lines and read its output as pairs.
 
     ``ignore_key`` writes the value alone. ``on_exit='ignore'`` accepts a non-zero exit code.
     ``skip_after`` see :func:`run_program`. With ``log`` the result is all lines the program
     wrote, ``(task_id, seq, channel, line)``, counters of what was read, written, skipped, and its
-    exit code in channel ``exit``.
+    exit code in channel ``exit``. ``counters`` gets the counters that it reports.
     """
     _check(on_exit)
     sent = F.col("value") if ignore_key else F.concat("key", F.lit(in_sep), "value")
     env = program_env(params, extra_env)
-    written = _program_lines(kv.select(sent.alias("line")), _argv(cmd), env, on_exit, skip_after, True)
+    written = _program_lines(kv.select(sent.alias("line")), _argv(cmd), env, on_exit, skip_after, True, counters)
     if log:
         return written
     return to_kv(written.filter("channel = 'out'"), "line", out_sep, out_key_fields)
@@ -234,9 +243,13 @@ def pipe_reduce(
     extra_env: str | None = None,
     on_exit: str = "fail",
     log: bool = False,
+    hot_share: float | None = None,
+    counters: Counters | None = None,
 ) -> DataFrame:
     """Run ``cmd`` on key-sorted partitions; partitions without input start no program.
 
+    ``hot_share`` gives each key with such a share of the pairs a program of its own, see ``shuffle``.
+
     ``combine_cmd`` runs on each task's own sorted pairs before the shuffle, which keeps a hot
     key small; it must write pairs that ``cmd`` can take in their place.
     """
@@ -245,12 +258,14 @@ def pipe_reduce(
 
     def run(ordered: DataFrame, program) -> DataFrame:
         sent = ordered.select(F.concat("key", F.lit(in_sep), "value").alias("line"))
-        return _program_lines(sent, _argv(program), env, on_exit, None, False)
+        return _program_lines(sent, _argv(program), env, on_exit, None, False, counters)
 
     if combine_cmd is not None:
         local = run(kv.sortWithinPartitions("key"), combine_cmd)
         kv = to_kv(local.filter("channel = 'out'"), "line", out_sep, out_key_fields)
-    written = run(shuffle(kv, reduce_tasks, numeric, value_order), cmd)
+    if hot_share is not None:
+        kv = stored(kv.select("key", "value"), "reduce-pairs")
+    written = run(shuffle(kv, reduce_tasks, numeric, value_order, hot_share=hot_share), cmd)
     if log:
         return written
     return to_kv(written.filter("channel = 'out'"), "line", out_sep, out_key_fields)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+import re
+import uuid
+
+from pyspark import AccumulatorParam, TaskContext
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 PREFIX = "reporter:"  # fixed value: default start of a line meant for the host
 
+_BLANK = "".join(map(chr, range(33)))
 _ENDS = r"^[\x00-\x20]+|[\x00-\x20]+$"
 
 
@@ -31,6 +36,76 @@ def parse_counters(log: DataFrame, line: str = "line", prefix: str = PREFIX) ->
     return rows.filter("n IS NOT NULL").groupBy("group", "counter").agg(F.sum("n").alias("total"))
 
 
+def counter_of(line: str, prefix: str = PREFIX) -> tuple[str, str, int] | None:
+    """(group, counter, amount) of one line, by the rule of ``parse_counters``; None if it is no counter."""
+    start = prefix + "counter:"
+    if not line.startswith(start):
+        return None
+    fields = line[len(start):].strip(_BLANK).rstrip(",").split(",")
+    if len(fields) != 3 or not re.fullmatch("[+-]?[0-9]+", fields[2]):
+        return None
+    amount = int(fields[2])
+    return (fields[0], fields[1], amount) if -(1 << 63) <= amount < 1 << 63 else None
+
+
+class _Latest(AccumulatorParam):
+    """{(step): (stage, {partition: {(group, counter): total}})}: of a step the latest stage counts, and
+    of each of its partitions the last report, so tasks that run again or twice count once."""
+
+    def zero(self, value):
+        return {}
+
+    def addInPlace(self, value1, value2):
+        for step, (stage, parts) in value2.items():
+            if step not in value1 or value1[step][0] < stage:
+                value1[step] = (stage, dict(parts))
+            elif value1[step][0] == stage:
+                value1[step][1].update(parts)
+        return value1
+
+
+class Counters:
+    """Counters that programs report while a table is computed, brought to the driver with the tasks' ends.
+
+    Nothing is written for them: a task sends its own totals, one number per counter. They are complete
+    once the table has been computed as a whole.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.sums = spark.sparkContext.accumulator({}, _Latest())
+
+    def step(self):
+        """A function for the tasks of one step: it takes a task's error lines and, at its end, None."""
+        sums, name = self.sums, uuid.uuid4().hex
+
+        def report():
+            own: dict[tuple[str, str], int] = {}
+
+            def add(lines: list[str] | None) -> None:
+                for line in lines or ():
+                    found = counter_of(line)
+                    if found:
+                        own[found[:2]] = own.get(found[:2], 0) + found[2]
+                if lines is None:
+                    context = TaskContext.get()
+                    sums.add({name: (context.stageId(), {context.partitionId(): own})})
+
+            return add
+
+        return report
+
+    def totals(self) -> DataFrame:
+        """``(group, counter, total)`` of what has been reported so far."""
+        total: dict[tuple[str, str], int] = {}
+        for _, parts in self.sums.value.values():
+            for own in parts.values():
+                for name, n in own.items():
+                    total[name] = total.get(name, 0) + n
+        rows = [(group, counter, n) for (group, counter), n in sorted(total.items())]
+        return self.spark.createDataFrame(rows, "group string, counter string, total bigint")
+
+
 def latest_status(
     log: DataFrame, task: str = "task_id", seq: str = "seq", line: str = "line", prefix: str = PREFIX
 ) -> DataFrame:

@@ -113,6 +113,15 @@ def emitter(schema: str, sep: str, num_key_fields: int):
     return lambda pairs: map(tuple, pairs or ())
 
 
+def _in_tasks(kv: DataFrame, map_tasks: int | None) -> DataFrame:
+    """The records dealt over so many tasks; where they are without a number."""
+    if map_tasks is None:
+        return kv
+    if map_tasks < 1:
+        raise ValueError("a job has at least one map task")
+    return kv.repartition(map_tasks)
+
+
 def map_kv(
     kv: DataFrame,
     mapper: Mapper,
@@ -127,13 +136,10 @@ def map_kv(
     With the default schema the pairs pass through text, as if written to a stream and read
     back. ``combiner(key, values)`` folds the pairs of one task before they leave it; it may
     be applied any number of times, or not at all. ``map_tasks`` asks for that many tasks, which
-    moves all records; without it they are mapped where they are read.
+    moves all records; without it they are mapped where they are read. Files are better cut for so many
+    tasks when they are read (``read_kv(tasks=...)``, which ``run_job`` does): that moves nothing.
     """
-    kv = kv.select("key", "value")
-    if map_tasks is not None:
-        if map_tasks < 1:
-            raise ValueError("a job has at least one map task")
-        kv = kv.repartition(map_tasks)
+    kv = _in_tasks(kv.select("key", "value"), map_tasks)
     arrow_schema = to_arrow_schema(T.StructType.fromDDL(schema))
     records = emitter(schema, sep, num_key_fields)
 
@@ -162,8 +168,14 @@ def combine_kv(kv: DataFrame, combiner: Combiner) -> DataFrame:
     return kv.select("key", "value").mapInArrow(task, schema)
 
 
-def map_expr(kv: DataFrame, expr: Callable[[Column, Column], Column]) -> DataFrame:
-    """Map by a column expression returning ``array<struct<key, value>>``; no Python per row."""
+def map_expr(
+    kv: DataFrame, expr: Callable[[Column, Column], Column], map_tasks: int | None = None
+) -> DataFrame:
+    """Map by a column expression returning ``array<struct<key, value>>``; no Python per row.
+
+    ``map_tasks`` as in ``map_kv``.
+    """
+    kv = _in_tasks(kv, map_tasks)
     pairs = kv.select(F.inline(expr(F.col("key"), F.col("value"))))
     return pairs.select(pairs[pairs.columns[0]].alias("key"), pairs[pairs.columns[1]].alias("value"))
 

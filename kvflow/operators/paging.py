@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from kvflow.operators.order import OrderedTotals, stored
 from kvflow.operators.shuffle import has_map
-from kvflow.sources.files import lines_in_range, list_inputs
+from kvflow.sources.files import MAX_LINE, concat_files, lines_in_range, list_inputs
+from kvflow.sources.paths import file_facts
 
 PAGE_SIZE = 524_288  # fixed value: default bytes per page
 PREVIEW_CAP = 1_024  # fixed value: default bytes of a preview
@@ -135,12 +136,14 @@ def page_index(
 
 
 def read_file_page(
-    spark: SparkSession, path: str, page: int, page_size: int = PAGE_SIZE
+    spark: SparkSession, path: str, page: int, page_size: int = PAGE_SIZE, max_line: int = MAX_LINE, cut: bool = False
 ) -> DataFrame:
     """One page over the files at ``path``; only the page's bytes are read.
 
     Columns are those of ``concat_files``, with lines numbered inside the page. The page, and the
-    end of a line that goes beyond it, is read through the driver.
+    end of a line that goes beyond it, is read through the driver, which holds at most the page and
+    ``max_line`` bytes: a longer line is an error, or with ``cut`` comes in parts of that size. A page
+    that lies inside a line is passed in small blocks. For many pages, keep a :class:`FilePageIndex`.
     """
     if page < 1:
         raise ValueError("pages are numbered from 1")
@@ -150,7 +153,7 @@ def read_file_page(
     pages = -(-total // page_size)
     if pages and page > pages:
         raise PageNotFound(f"page {page} is beyond the {pages} pages of the data")
-    return _lines_between(spark, files, low, high, whole=True)
+    return _page_rows(spark, files.filter(_overlap(low, high)).collect(), low, high, max_line, cut)
 
 
 def _file_starts(spark: SparkSession, path: str) -> DataFrame:
@@ -159,15 +162,105 @@ def _file_starts(spark: SparkSession, path: str) -> DataFrame:
     return OrderedTotals(files, ["path"], weight=F.col("length")).running("start")
 
 
-def _lines_between(spark: SparkSession, files: DataFrame, low: int, high: int, whole: bool) -> DataFrame:
-    """Lines that begin in a byte range; the last one is read to its end only if ``whole``."""
-    needed = files.filter((F.col("start") < high) & (F.col("start") + F.col("length") > low)).orderBy("start")
+def _overlap(low: int, high: int) -> Column:
+    return (F.col("start") < high) & (F.col("start") + F.col("length") > low)
+
+
+_PAGE_DDL = "file string, line_no bigint, line string, byte_offset bigint"
+
+
+def _page_rows(spark: SparkSession, files: list, low: int, high: int, max_line: int, cut: bool, first: int = 0) -> DataFrame:
+    """Lines that begin in a byte range of ``files`` (path, start, length), numbered from ``first`` on.
+
+    Without ``max_line`` the range ends the last line too.
+    """
     rows = []
-    for file in needed.collect():  # each has a byte of the range
+    for file in sorted(files, key=lambda f: f["start"]):  # each has a byte of the range
         begin, stop = max(low - file["start"], 0), min(high - file["start"], file["length"])
-        for at, line in lines_in_range(spark, file["path"], begin, stop, file["length"] if whole else stop):
-            rows.append((file["path"], len(rows), line, file["start"] + at))
-    return spark.createDataFrame(rows, "file string, line_no bigint, line string, byte_offset bigint")
+        end, most = (file["length"], max_line) if max_line else (stop, max(high - low, 4))
+        for at, line in lines_in_range(spark, file["path"], begin, stop, end, most, cut):
+            rows.append((file["path"], first + len(rows), line, file["start"] + at))
+    return spark.createDataFrame(rows, _PAGE_DDL)
+
+
+class StaleIndex(RuntimeError):
+    """The files are no longer those that were indexed."""
+
+
+class FilePageIndex:
+    """Where the pages over text files begin, stored once and opened by any later session.
+
+    The index has a row per page that begins a line (page, number of its first line and of its lines,
+    file and offset of the first) and a row per file (path, start, length, time of the last change). A
+    page is found by its number and read as the byte range it is; nothing is listed or ordered
+    again. A file of the page that has another length or time than when it was indexed is an error;
+    ``verify`` looks at all files.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.pages = spark.read.schema(self.PAGES).parquet(f"{self.folder}/pages")
+        self.files = spark.read.schema(self.FILES).parquet(f"{self.folder}/files")
+        self.page_size, self.size, self.path = spark.read.parquet(f"{self.folder}/facts").first()
+
+    PAGES = "page bigint, first_line bigint, n_lines bigint, file string, byte_offset bigint"
+    FILES = "path string, start bigint, length bigint, changed bigint"
+
+    @classmethod
+    def build(cls, spark: SparkSession, path: str, folder: str, page_size: int = PAGE_SIZE) -> FilePageIndex:
+        """Index the files at ``path`` below ``folder``, which must be new."""
+        if page_size < 1:
+            raise ValueError("a page has at least one byte")
+        folder = folder.rstrip("/")
+        before = _changed_files(spark, path)
+        starts = _file_starts(spark, path).withColumnRenamed("path", "_path")
+        files = before.join(starts, before["path"] == starts["_path"]).select("path", "start", before["length"], "changed")
+        files = stored(files, "file-starts")
+        files.write.parquet(f"{folder}/files")
+        lines = concat_files(spark, path).withColumn("page", _page_of(F.col("byte_offset"), page_size))
+        pages = lines.groupBy("page").agg(
+            F.min("line_no").alias("first_line"), F.count("*").alias("n_lines"),
+            F.min_by("file", "byte_offset").alias("file"), F.min("byte_offset").alias("byte_offset"),
+        )
+        # in order, so that a page's row is found by the bounds of row groups
+        pages.repartitionByRange("page").sortWithinPartitions("page").write.parquet(f"{folder}/pages")
+        size = files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+        if not before.select("path", "length", "changed").exceptAll(_changed_files(spark, path)).isEmpty():
+            raise StaleIndex(f"files at {path} changed while they were indexed")
+        facts = spark.createDataFrame([(page_size, size, path)], "page_size bigint, size bigint, path string")
+        facts.write.parquet(f"{folder}/facts")
+        return cls(spark, folder)
+
+    def total_pages(self) -> int:
+        return -(-self.size // self.page_size)
+
+    def page(self, page: int, max_line: int = MAX_LINE, cut: bool = False) -> DataFrame:
+        """The lines of one page with the columns of ``concat_files``; lines are numbered over all files."""
+        if page < 1:
+            raise ValueError("pages are numbered from 1")
+        if self.size and page > self.total_pages():
+            raise PageNotFound(f"page {page} is beyond the {self.total_pages()} pages of the data")
+        begin = self.pages.filter(F.col("page") == page).first()
+        if begin is None:
+            return self.spark.createDataFrame([], _PAGE_DDL)  # all of it lies inside a line
+        low, high = begin["byte_offset"], page * self.page_size
+        files = self.files.filter(_overlap(low, high)).collect()
+        for file in files:
+            if file_facts(self.spark, file["path"]) != (file["length"], file["changed"]):
+                raise StaleIndex(f"{file['path']} is not the file that was indexed")
+        return _page_rows(self.spark, files, low, high, max_line, cut, begin["first_line"])
+
+    def verify(self) -> None:
+        """Compare all files with those that were indexed; any difference is an error."""
+        now, then = _changed_files(self.spark, self.path), self.files.select("path", "length", "changed")
+        if not (now.exceptAll(then).isEmpty() and then.exceptAll(now).isEmpty()):
+            raise StaleIndex(f"the files at {self.path} are not those that were indexed")
+
+
+def _changed_files(spark: SparkSession, path: str) -> DataFrame:
+    """The files with bytes in them: path, length and time of the last change in milliseconds."""
+    files = list_inputs(spark, path, times=True).filter("length > 0")
+    return files.select("path", "length", F.unix_millis("modificationTime").alias("changed"))
 
 
 def take_bytes(df: DataFrame, cap: int, order_by: list[str], col: str = "text") -> DataFrame:
@@ -214,5 +307,6 @@ def cut_bytes(text: Column, n: Column) -> Column:
 
 
 def take_file_bytes(spark: SparkSession, path: str, cap: int) -> DataFrame:
-    """``take_bytes`` over the files at ``path``; nothing past the cap is read."""
-    return _lines_between(spark, _file_starts(spark, path), 0, cap, whole=False)
+    """``take_bytes`` over the files at ``path``, through the driver; nothing past the cap is read."""
+    files = _file_starts(spark, path).filter(_overlap(0, cap)).collect()
+    return _page_rows(spark, files, 0, cap, 0, False)

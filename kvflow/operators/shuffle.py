@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kvflow.functions.text import numeric_order
+from kvflow.operators.hot_keys import hot_keys, partition_ids
 
 
 def _reads_shuffle(node) -> bool:
@@ -48,12 +49,17 @@ def shuffle(
     numeric: bool = False,
     value_order: str | None = None,
     whole_keys: bool = True,
+    hot_share: float | None = None,
 ) -> DataFrame:
     """Pairs in partitions sorted by key: byte order, or leading number first if ``numeric``.
 
     ``value_order`` names a column that orders the pairs of one key. With ``whole_keys`` a key
     lies in one partition, as a reducer needs. Without it the pairs are cut into sorted ranges of
     even size, and a key too big for one partition continues in the next.
+
+    With ``hot_share`` every key that has such a share of the pairs gets a partition to itself, and all
+    other keys are dealt over the rest; the pairs are read once more for it, so write them first
+    where they are costly to make.
     """
     if reduce_tasks is not None and reduce_tasks < 1:
         raise ValueError("a job has at least one reduce task")
@@ -62,6 +68,12 @@ def shuffle(
         order.append(value_order)
 
     count = () if reduce_tasks is None else (reduce_tasks,)
+    if hot_share is not None:
+        if not whole_keys:
+            raise ValueError("keys that may be cut need no partition of their own")
+        partitions = reduce_tasks or int(kv.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        place, _ = partition_ids(F.col("key"), hot_keys(kv, hot_share), partitions)
+        return sort_here(kv.repartitionById(partitions, place), order)
     if whole_keys:
         return sort_here(kv.repartition(*count, "key"), order)
     moved = with_spread(kv).repartitionByRange(*count, *order, "_spread").drop("_spread")

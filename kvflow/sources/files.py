@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,18 +45,47 @@ def _is_input(spark: SparkSession, path: Column, root: str | list[str]) -> Colum
 
 def _all_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "length")
+    return files.select("path", "length", "modificationTime")
 
 
-def list_inputs(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``(path, length)`` of the input files at ``path``; no content is read."""
-    return _all_files(spark, path).filter(_is_input(spark, F.col("path"), path))
+def list_inputs(spark: SparkSession, path: str | list[str], times: bool = False) -> DataFrame:
+    """``(path, length)`` of the input files at ``path``, and ``modificationTime``; no content is read."""
+    files = _all_files(spark, path).filter(_is_input(spark, F.col("path"), path))
+    return files if times else files.drop("modificationTime")
+
+
+def _planned(spark: SparkSession, path: str | list[str], tasks: int) -> SparkSession:
+    """A session that cuts the files at ``path`` in about so many splits of even size.
+
+    A scan is cut by the settings of the session that reads it, so the caller's own stay as they are.
+    """
+    total = list_inputs(spark, path).agg(F.sum("length").alias("n")).first()["n"] or 0
+    own = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(name):
+            own.conf.set(name, value)
+    own.conf.set("spark.sql.files.maxPartitionBytes", max(-(-total // tasks), 1))
+    # without a charge for opening files, splits of the wanted size are one task each, small files fill up to it
+    own.conf.set("spark.sql.files.openCostInBytes", 0)
+    own.conf.set("spark.sql.files.minPartitionNum", 1)
+    return own
 
 
 def read_lines(
-    spark: SparkSession, path: str | list[str], line_sep: str | None = None
+    spark: SparkSession, path: str | list[str], line_sep: str | None = None, tasks: int | None = None
 ) -> DataFrame:
-    """One row per line: ``value`` and the file's metadata."""
+    """One row per line: ``value`` and the file's metadata.
+
+    ``tasks`` is how many tasks the files are to be read by, without moving any text afterwards. A small
+    file is not cut in more parts than that needs, and a compressed one not at all.
+    """
+    if tasks is not None:
+        if tasks < 1:
+            raise ValueError("files are read by one task at least")
+        lines = read_lines(_planned(spark, path, tasks), path, line_sep)
+        # nothing is added, but the table is the caller's session's; the scan keeps the settings it has
+        none = spark.range(1).limit(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in lines.schema))
+        return none.unionAll(lines)
     reader = spark.read if line_sep is None else spark.read.option("lineSep", line_sep)
     # a folder of nothing but inputs needs no look at each row's path
     mixed = not _all_files(spark, path).filter(~_is_input(spark, F.col("path"), path)).isEmpty()
@@ -71,9 +101,10 @@ def read_kv(
     sep: str = "\t",
     dialect: str = "standard",
     num_key_fields: int = 1,
+    tasks: int | None = None,
 ) -> DataFrame:
-    """Text files as ``(key, value)`` records, one per line."""
-    return to_kv(read_lines(spark, path).select("value"), "value", sep, num_key_fields, dialect)
+    """Text files as ``(key, value)`` records, one per line; ``tasks`` as in ``read_lines``."""
+    return to_kv(read_lines(spark, path, tasks=tasks).select("value"), "value", sep, num_key_fields, dialect)
 
 
 def _count_in_split(batches):
@@ -164,45 +195,69 @@ def concat_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-_STEP = 1 << 20  # bytes asked for at a time beyond a range
+_STEP = 1 << 20  # bytes asked for at a time
+#: Bytes of a line that a reader of pages holds by default.
+MAX_LINE = 64 << 20
+
+
+class LineTooLong(ValueError):
+    """A line has more bytes than its reader holds."""
 
 
 def lines_in_range(
-    spark: SparkSession, path: str, begin: int, stop: int, end: int
-) -> list[tuple[int, str]]:
+    spark: SparkSession, path: str, begin: int, stop: int, end: int, max_line: int = MAX_LINE, cut: bool = False
+) -> Iterator[tuple[int, str]]:
     """``(offset, line)`` of the lines of one file that begin in ``begin`` to ``stop``.
 
-    The file is sought, and read from just before ``begin`` up to the end of the last line, or up
-    to ``end`` if that comes first; a line that is cut there keeps its whole characters.
+    The file is sought, and read in blocks from just before ``begin`` up to the end of the last line, or up
+    to ``end`` if that comes first; a line that is cut there keeps its whole characters. Of the line in
+    the making at most ``max_line`` bytes are held: a longer one is an error, or with ``cut`` it comes
+    in parts of up to so many bytes, each with its own offset, that end between characters.
     """
+    if max_line < 4:
+        raise ValueError("a line is held with a character at least")
     stream, read = open_file(spark, path)
     try:
-        from_ = max(begin - 1, 0)
-        raw = read(from_, stop - from_)
-        if begin:
-            at = raw.find(b"\n") + 1
-            if not at:
-                return []
-            raw, begin = raw[at:], from_ + at
-        at = begin + len(raw)
-        while raw and not raw.endswith(b"\n") and at < end:
-            more = read(at, min(_STEP, end - at))
-            cut = more.find(b"\n") + 1
-            raw += more[:cut] if cut else more
-            at += len(more)
-            if cut:
+        at = max(begin - 1, 0)
+        skipping = begin > 0  # up to the end of the line before
+        held = bytearray()  # of the line that begins at ``start``
+        start, inside = begin, False
+        while at < end and (inside or start < stop):
+            block = read(at, min(_STEP, end - at))
+            if not block:
                 break
+            place = 0
+            while place < len(block):
+                newline = block.find(b"\n", place)
+                to = newline if newline >= 0 else len(block)
+                if skipping:
+                    if at + to >= stop:
+                        return  # all of the range belongs to a line that begins before it
+                elif not inside and start >= stop:
+                    return
+                else:
+                    inside = True
+                    while len(held) + to - place > max_line:
+                        if not cut:
+                            raise LineTooLong(f"the line at byte {start} of {path} has more than {max_line} bytes")
+                        room = max_line - len(held)
+                        held += block[place : place + room]
+                        whole = _whole_characters(bytes(held))
+                        yield start, whole.decode("utf-8", "replace")
+                        start, place = start + len(whole), place + room
+                        held = held[len(whole):]
+                    held += memoryview(block)[place:to]
+                if newline < 0:
+                    break
+                if not skipping:
+                    yield start, held.decode("utf-8", "replace")
+                    held = bytearray()
+                skipping, inside, start, place = False, False, at + newline + 1, newline + 1
+            at += len(block)
+        if held:
+            yield start, _whole_characters(bytes(held)).decode("utf-8", "replace")
     finally:
         stream.close()
-    out = []
-    parts = raw.split(b"\n")
-    ended = parts[-1] == b""
-    for i, part in enumerate(parts[:-1] if ended else parts):
-        if not ended and i == len(parts) - 1:
-            part = _whole_characters(part)
-        out.append((begin, part.decode("utf-8", "replace")))
-        begin += len(part) + 1
-    return out
 
 
 def _whole_characters(raw: bytes) -> bytes:

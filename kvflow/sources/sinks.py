@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kvflow.functions.records import emit
 from kvflow.functions.text import normalize_newlines
-from kvflow.sources.paths import free_path
+from kvflow.sources.paths import reserved_path
 
 
 def write_kv(kv: DataFrame, path: str, sep: str = "\t") -> None:
@@ -23,7 +23,7 @@ def store_dataset(
     """Write text with plain newlines below ``home/data``; returns the path relative to ``home``."""
     if name is None or not name.strip():
         name = "dataset"
-    path = free_path(df.sparkSession, f"{home.rstrip('/')}/data", name)
     lines = df.select(normalize_newlines(F.coalesce(F.col(text), F.lit(""))).alias("value"))
-    lines.write.text(path, lineSep="\n")
+    with reserved_path(df.sparkSession, f"{home.rstrip('/')}/data", name) as path:
+        lines.write.text(path, lineSep="\n")
     return path[len(home.rstrip("/")) + 1:]

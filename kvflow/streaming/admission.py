@@ -17,6 +17,7 @@ from collections import deque
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,86 +31,130 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 _TIME = "kv_micros"
 
 
+#: A user's waiting rows are kept in so many buckets of time for each span of lateness.
+BUCKETS = 64
+
+
+def _packed(frame: pd.DataFrame) -> bytes:
+    """A frame as one value of the state store."""
+    table, sink = pa.Table.from_pandas(frame, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(value: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(value).read_pandas()
+
+
+class _Facts:
+    """What a user's state says besides the waiting rows: read and written as one value."""
+
+    SCHEMA = T.StructType([
+        T.StructField("accepted", T.ArrayType(T.LongType())),  # latest accepted times, as many as attempts
+        T.StructField("timer", T.LongType()),  # milliseconds of the timer that is set
+        T.StructField("buckets", T.ArrayType(T.LongType())),  # of waiting rows: number, frames, least time
+        T.StructField("frames", T.ArrayType(T.IntegerType())),
+        T.StructField("firsts", T.ArrayType(T.LongType())),
+    ])
+
+    def __init__(self, value: tuple | None):
+        accepted, self.timer, buckets, frames, firsts = value or ([], None, [], [], [])
+        self.accepted = list(accepted)
+        self.waiting = {b: (n, t) for b, n, t in zip(buckets, frames, firsts)}
+
+    def value(self) -> tuple | None:
+        if not (self.accepted or self.waiting or self.timer is not None):
+            return None
+        frames, firsts = ([w[k] for w in self.waiting.values()] for k in (0, 1))
+        return self.accepted, self.timer, list(self.waiting), frames, firsts
+
+
 class _Admission(StatefulProcessor):
-    """State of a user: waiting rows, and the latest accepted times, as many as there are attempts."""
+    """State of a user: waiting rows in buckets of time, and what ``_Facts`` says.
+
+    The frames of a micro-batch are added to their buckets without reading what is there; a timer reads
+    the buckets that the watermark has reached, and of these only the last can hold rows that still wait.
+    """
 
-    def __init__(self, row: T.StructType, order_by: list[str], attempts: int, window: int):
+    def __init__(self, row: T.StructType, order_by: list[str], attempts: int, window: int, width: int):
         self.row, self.order_by = row, order_by
-        self.attempts, self.window = attempts, window
+        self.attempts, self.window, self.width = attempts, window, width
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.times = handle.getValueState("accepted", T.StructType([T.StructField("t", T.ArrayType(T.LongType()))]))
-        self.waiting = handle.getListState("waiting", self.row)
-        self.timer = handle.getValueState("timer", T.StructType([T.StructField("ms", T.LongType())]))
-
-    def _set_timer(self, micros: int | None) -> None:
-        """One timer per user; it only moves if it must fire earlier or has fired."""
-        at = None if micros is None else micros // 1000 + 1
-        now = self.timer.get()[0] if self.timer.exists() else None
-        if now is not None and (at is None or at < now):
-            self.handle.deleteTimer(now)
-            self.timer.clear()
-            now = None
-        if at is not None and now is None:
+        self.facts = handle.getValueState("facts", _Facts.SCHEMA)
+        name = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("frame", T.IntegerType())])
+        self.waiting = handle.getMapState("waiting", name, T.StructType([T.StructField("rows", T.BinaryType())]))
+
+    def _save(self, facts: _Facts, wake: int | None) -> None:
+        """Write the facts, with one timer per user: it moves only if it must fire earlier or has fired."""
+        at = None if wake is None else wake // 1000 + 1
+        if facts.timer is not None and (at is None or at < facts.timer):
+            self.handle.deleteTimer(facts.timer)
+            facts.timer = None
+        if at is not None and facts.timer is None:
             self.handle.registerTimer(at)
-            self.timer.update((at,))
+            facts.timer = at
+        value = facts.value()
+        if value is None:
+            self.facts.clear()
+        else:
+            self.facts.update(value)
+
+    def _add(self, facts: _Facts, bucket: int, frame: pd.DataFrame) -> None:
+        count, first = facts.waiting.get(bucket, (0, None))
+        self.waiting.updateValue((bucket, count), (_packed(frame),))
+        least = int(frame[_TIME].min())
+        facts.waiting[bucket] = (count + 1, least if first is None else min(first, least))
 
-    def _frame(self, rows: list) -> pd.DataFrame:
-        return pd.DataFrame([tuple(r) for r in rows], columns=self.row.names)
+    def _take(self, facts: _Facts, bucket: int) -> pd.DataFrame:
+        frames = []
+        for k in range(facts.waiting.pop(bucket)[0]):
+            frames.append(_unpacked(self.waiting.getValue((bucket, k))[0]))
+            self.waiting.removeKey((bucket, k))
+        return pd.concat(frames) if len(frames) > 1 else frames[0]
 
     def handleInputRows(self, key, rows, timerValues):
         # Spark's first watermark is 0; nothing was decided before it
         decided_to = timerValues.getCurrentWatermarkInMs() * 1000
-        earliest = None
+        facts, changed = None, False
         for frame in rows:
+            untimed = frame[_TIME].isna()
             late = frame[_TIME] < decided_to
-            if late.any():
-                yield frame[late].assign(accepted=pd.Series(None, dtype=object), late=True)
-            keep = frame[~late]
+            for some, tardy in ((untimed, False), (late, True)):
+                if some.any():
+                    out = frame[some].astype({_TIME: "Int64"})
+                    yield out.assign(accepted=pd.Series(None, index=out.index, dtype="boolean"), late=tardy)
+            keep = frame[~late & ~untimed].astype({_TIME: "int64"})
             if len(keep):
-                self.waiting.appendList([tuple(_plain(v) for v in r) for r in keep.itertuples(index=False)])
-                first = int(keep[_TIME].min())
-                earliest = first if earliest is None else min(earliest, first)
-        if earliest is not None:
-            self._set_timer(earliest)
+                facts, changed = facts or _Facts(self.facts.get()), True
+                for bucket, part in keep.groupby(keep[_TIME] // self.width):
+                    self._add(facts, int(bucket), part)
+        if changed:
+            self._save(facts, min(first for _, first in facts.waiting.values()))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.timer.clear()
+        facts = _Facts(self.facts.get())
+        facts.timer = None
         decided_to = timerValues.getCurrentWatermarkInMs() * 1000
-        frame = self._frame(list(self.waiting.get())) if self.waiting.exists() else self._frame([])
-        due = frame[frame[_TIME] < decided_to].sort_values([_TIME, *self.order_by], kind="stable")
-        rest = frame[frame[_TIME] >= decided_to]
-        if len(rest):
-            self.waiting.put([tuple(_plain(v) for v in r) for r in rest.itertuples(index=False)])
-        else:
-            self.waiting.clear()
-        known = self.times.get()[0] if self.times.exists() else []
-        accepted = deque(known, maxlen=self.attempts)
-        if len(due):
+        accepted = deque(facts.accepted, maxlen=self.attempts)
+        for bucket in sorted(b for b, (_, first) in facts.waiting.items() if first < decided_to):
+            frame = self._take(facts, bucket)
+            due = frame[frame[_TIME] < decided_to].sort_values([_TIME, *self.order_by], kind="stable")
+            if len(due) < len(frame):
+                self._add(facts, bucket, frame[frame[_TIME] >= decided_to])
             outcome = walk(due[_TIME].astype(np.int64).tolist(), accepted, self.window)
             yield due.assign(accepted=outcome, late=False)
-        live = [t for t in accepted if t >= decided_to - self.window]
-        if live:
-            self.times.update((live,))
-        else:
-            self.times.clear()
+        facts.accepted = [t for t in accepted if t >= decided_to - self.window]
         # the next row to decide, or the time from which nothing accepted counts any more
-        self._set_timer(int(rest[_TIME].min()) if len(rest) else live[-1] + self.window if live else None)
+        waits = [first for _, first in facts.waiting.values()]
+        self._save(facts, min(waits) if waits else facts.accepted[-1] + self.window if facts.accepted else None)
 
     def close(self) -> None:
         pass
 
 
-def _plain(value):
-    """A state row's value: no numpy, no pandas, missing as None."""
-    if value is None or value is pd.NaT or (isinstance(value, float) and np.isnan(value)):
-        return None
-    if isinstance(value, pd.Timestamp):
-        return value.to_pydatetime()
-    return value.item() if isinstance(value, np.generic) else value
-
-
 def admit_stream(
     sdf: DataFrame,
     user: str,
@@ -121,14 +166,17 @@ def admit_stream(
 ) -> DataFrame:
     """Add ``accepted`` and ``late`` to a stream, by the rule of the batch form.
 
-    A user's waiting rows, those of the last ``lateness``, are in the state store and are ordered in
-    one task when their time has come. The session needs the RocksDB state store (``STATE_STORE``).
+    A user's waiting rows, those of the last ``lateness``, are in the state store by buckets of time and
+    are ordered bucket by bucket when their time has come. Rows without a time are returned at once, with
+    ``accepted`` NULL and ``late`` false. The session needs the RocksDB state store (``STATE_STORE``).
     """
     kind = sdf.schema[ts].dataType
     others = [f for f in sdf.schema if f.name != ts]
     row = T.StructType([*others, T.StructField(_TIME, T.LongType())])
     out = T.StructType([*row, T.StructField("accepted", T.BooleanType()), T.StructField("late", T.BooleanType())])
-    processor = _Admission(row, list(order_by or []), attempts, window_micros(minutes))
+    span = F.unix_micros(F.expr(f"timestamp_micros(0) + INTERVAL {lateness}"))
+    width = max(sdf.sparkSession.range(1).select(span).first()[0] // BUCKETS, 1_000_000)
+    processor = _Admission(row, list(order_by or []), attempts, window_micros(minutes), width)
     # as a number the time carries no watermark, so that Spark hands late rows over
     rows = sdf.withWatermark(ts, lateness).select(*[f.name for f in others], _micros(ts, kind).alias(_TIME))
     decided = rows.groupBy(F.col(user)).transformWithStateInPandas(
@@ -181,8 +229,9 @@ class _Batches:
             rows = rows.filter((F.col(ts) >= start) | F.col(ts).isNull())
         if batch_id > 0:
             rows = rows.unionByName(spark.read.parquet(f"{before}/rows"))
-        # without any time nothing is due; at the end everything is
-        due = F.lit(True) if everything else F.coalesce((F.col(ts) < limit) | F.col("_live"), F.col("_live"))
+        # rows without a time do not wait; without any time nothing else is due; at the end everything is
+        timed = F.coalesce(F.col(ts) < limit, F.lit(False))
+        due = F.lit(True) if everything else timed | F.col("_live") | F.col(ts).isNull()
         # accepted rows of the past come first and are accepted again, as they fit the quota
         walked = rows.filter(due).withColumn("_new", (~F.col("_live")).cast("int"))
         decided = admit(walked, self.user, ts, self.attempts, self.minutes, ["_new", *self.order], partitions=self.partitions)
@@ -216,7 +265,7 @@ def admit_batches(
 ) -> DataStreamWriter:
     """A stream writer that decides each micro-batch and appends it below ``path/rows``.
 
-    Rows get ``accepted`` and ``late``. The state is the waiting rows of the last ``lateness`` and the
+    Rows get ``accepted`` and ``late``; those without a time are decided at once, as NULL and false. The state is the waiting rows of the last ``lateness`` and the
     accepted rows of the last window, at most ``attempts`` per user, as a table per micro-batch of
     which two are kept. A micro-batch that runs again replaces its own files, so every row counts once.
     """

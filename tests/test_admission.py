@@ -3,8 +3,11 @@ import random
 from collections import deque
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kvflow.operators import admission
 from kvflow.operators.admission import admit
@@ -54,15 +57,54 @@ def test_agrees_with_plain_walk(spark, partitions, attempts, minutes):
     assert out == plain(rows, attempts, minutes)
 
 
-@pytest.mark.parametrize("chain_rows", [1, 130, 1 << 26])
-def test_one_user_over_quota_all_the_time(spark, monkeypatch, chain_rows):
-    monkeypatch.setattr(admission, "CHAIN_ROWS", chain_rows)
+@pytest.mark.parametrize("block_rows", [1, 13, 1 << 15])
+def test_one_user_over_quota_all_the_time(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(admission, "BLOCK_ROWS", block_rows)
     rows = [(i, "hot" if i % 20 else "b", START + timedelta(seconds=7 * i + i % 3)) for i in range(500)]
     out = decided(admit(table(spark, rows), "user", "ts", 3, 30, ["id"], partitions=9))
     assert out == plain(rows, 3, 30)
     assert 0 < sum(out.values()) < len(rows)
 
 
+def jobs_of(spark, run):
+    """The number of Spark jobs that ``run`` starts."""
+    name = f"jobs-{random.random()}"
+    spark.sparkContext.setJobGroup(name, name)
+    run()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_jobs_do_not_grow_with_the_ranges_of_a_chain(spark):
+    rows = [(i, "hot" if i % 20 else "b", START + timedelta(seconds=7 * i)) for i in range(600)]
+    df = table(spark, rows)
+    few, many = (jobs_of(spark, lambda n=n: admit(df, "user", "ts", 3, 30, ["id"], partitions=n)) for n in (3, 30))
+    assert 0 < many <= few + 1
+
+
+def test_blocks_are_passed_and_sought():
+    rng = random.Random(11)
+    for _ in range(200):
+        attempts, window = rng.randrange(1, 4), rng.randrange(1, 40)
+        times = sorted(rng.randrange(300) for _ in range(rng.randrange(1, 120)))
+        start = deque(sorted(rng.randrange(-30, 1) for _ in range(rng.randrange(attempts + 1))), maxlen=attempts)
+        want = admission.walk(times, deque(start, maxlen=attempts), window)
+        state, got = deque(start, maxlen=attempts), []
+        cuts = [0, *sorted(rng.sample(range(len(times)), min(2, len(times)))), len(times)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a < b:
+                got += [a + i for i in admission._accepted_places(np.array(times[a:b]), state, window)]
+        assert got == [i for i, yes in enumerate(want) if yes]
+
+
+def test_rows_without_a_time_are_not_decided(spark):
+    rows = random_rows(8, 200)
+    more = [(1000 + i, user, None) for i, user in enumerate(["hot", "u1", "new", None])]
+    out = decided(admit(table(spark, rows + more), "user", "ts", 2, 20, ["id"], partitions=7))
+    assert out == plain(rows, 2, 20) | {i: None for i, *_ in more}
+    assert decided(admit(table(spark, more), "user", "ts", 2, 20)) == {i: None for i, *_ in more}
+
+
 @pytest.mark.parametrize("seed", range(60))
 def test_partition_walk_settles_only_what_it_knows(seed):
     """Cut one user's rows anywhere: the later part's settled rows match a walk over all rows."""
@@ -147,6 +189,65 @@ def test_stream_accounts_for_late_rows(spark, tmp_path):
     assert found == {1: (True, False), 2: (None, True), 3: (True, False), 4: (None, True)}
 
 
+def test_streams_return_rows_without_a_time(spark, tmp_path):
+    rows = random_rows(12, 60)
+    more = [(1000 + i, user, None) for i, user in enumerate(["hot", "u1", "new", None])]
+    end = [(9999, "end", START + timedelta(days=900))]
+    for k, part in enumerate([rows[:30] + more[:2], rows[30:] + more[2:], end]):
+        df = spark.createDataFrame([(i, u, t and t.replace(tzinfo=None)) for i, u, t in part], "id long, user string, ts timestamp")
+        df.coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    source = spark.readStream.schema("id long, user string, ts timestamp").option("maxFilesPerTrigger", 1)
+    want = plain(rows, 2, 20) | {i: None for i, *_ in more}
+    out = run_stream(spark, tmp_path / "stream", source.parquet(f"{tmp_path}/in/*"), "1 day")
+    assert decided(out) == want and out.filter("late").isEmpty()
+    out = run_batches(spark, tmp_path / "batches", source.parquet(f"{tmp_path}/in/*"), "1 day")
+    assert decided(out) == want | {9999: True} and out.filter("late").isEmpty()
+
+
+def test_state_is_read_in_proportion_to_rows(spark, monkeypatch):
+    """One user, many micro-batches, a long lateness: each row is packed and read a few times."""
+    from kvflow.streaming import admission as streaming
+
+    class Store(dict):
+        def get(self, *key):
+            return dict.get(self, "facts") if not key else dict.get(self, *key)
+
+        updateValue, getValue, removeKey = dict.__setitem__, dict.__getitem__, dict.__delitem__
+
+        def update(self, value):
+            self["facts"] = value
+
+    class Handle:
+        timers: set = set()
+        registerTimer, deleteTimer = timers.add, timers.discard
+
+    class Clock:
+        def getCurrentWatermarkInMs(self):
+            return max(newest - 3600_000, 0)
+
+    read = []
+    monkeypatch.setattr(streaming, "_unpacked", lambda v, f=streaming._unpacked: (x := f(v), read.append(len(x)))[0])
+    row = T.StructType([T.StructField("id", T.LongType()), T.StructField(streaming._TIME, T.LongType())])
+    user = streaming._Admission(row, ["id"], 3, 600_000_000, 3600_000_000 // streaming.BUCKETS)
+    user.handle, user.facts, user.waiting = Handle(), Store(), Store()
+    newest, rows, got = 0, [], {}
+    for batch in range(300):
+        part = [(20 * batch + i, (20 * batch + i) * 3_000_000) for i in range(20)]
+        random.Random(batch).shuffle(part)
+        rows += part
+        frame = pd.DataFrame(part, columns=["id", streaming._TIME])
+        out = list(user.handleInputRows(("a",), iter([frame]), Clock()))
+        newest = max(newest, max(t for _, t in part) // 1000)
+        for at in sorted(t for t in Handle.timers if t <= Clock().getCurrentWatermarkInMs()):
+            Handle.timers.discard(at)
+            out += list(user.handleExpiredTimer(("a",), Clock(), None))
+        for f in out:
+            got |= dict(zip(f["id"].tolist(), f["accepted"].tolist()))
+    want = admission.walk([t for _, t in sorted(rows)], deque(maxlen=3), 600_000_000)
+    assert len(got) > 4000 and all(got[i] == want[i] for i in got)
+    assert sum(read) < 4 * len(got)
+
+
 def run_batches(spark, path, stream, lateness, finish=True):
     writer = admit_batches(stream, str(path), **RULE, lateness=lateness, partitions=5)
     query = writer.option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 from itertools import islice
 
@@ -7,9 +8,10 @@ from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from kvflow.functions.records import make_kv
-from kvflow.operators import mapping, reduce
+from kvflow.operators import external, hot_keys, logs, mapping, reduce
 from kvflow.operators.shuffle import shuffle
 from kvflow.plans.job import JobFailed, Native, preview_job, run_job
+from kvflow.sources import files
 from tests.conftest import pairs_of
 
 TEXTS = [("1", "a b a"), ("2", ""), ("3", "b c\nd a"), ("4", "a " * 50)]
@@ -95,6 +97,77 @@ def test_reducers_as_table_functions(spark):
         spark.sql("SELECT * FROM broken(TABLE(numbers) PARTITION BY key)").collect()
 
 
+def test_table_functions_that_ask_for_their_rows(spark):
+    """Types by registration and by call, many keys in one thread, a group that emits more than it reads."""
+    def spread(key, values):
+        n = sum(values)
+        for i in range(n % 5000 if key == "7" else 1):
+            yield key, n, i
+
+    spark.range(3000).selectExpr("CAST(id % 50 AS STRING) AS key", "id AS value", "'x' AS more").createOrReplaceTempView("nums")
+    reduce.register_reducer(spark, "spread", spread, "key string, n bigint, i int", value_order=False)
+    got = spark.sql("SELECT * FROM spread(TABLE(nums))")
+    assert [t for _, t in got.dtypes] == ["string", "bigint", "int"]
+    want = {str(k): sum(range(k, 3000, 50)) for k in range(50)}
+    rows = [tuple(r) for r in got.collect()]
+    assert sorted(rows) == sorted((k, n, i) for k, n in want.items() for i in range(n % 5000 if k == "7" else 1))
+    other = spark.sql("SELECT * FROM spread(TABLE(nums), 'name string, total bigint, i bigint')")
+    assert other.dtypes == [("name", "string"), ("total", "bigint"), ("i", "bigint")]
+    assert {r["name"]: r["total"] for r in other.collect()} == want
+    reduce.register_reducer(spark, "firsts", lambda k, vs: [(k, next(iter(vs)))], value_order=True)
+    spark.sql("SELECT key, lpad(CAST(-value + 9999 AS STRING), 6, '0') AS value FROM nums").createOrReplaceTempView("texts")
+    got = dict(pairs_of(spark.sql("SELECT * FROM firsts(TABLE(texts))")))
+    assert got == {str(k): f"{9999 - max(range(k, 3000, 50)):06d}" for k in range(50)}
+    with pytest.raises(Exception, match="columns key and value"):
+        spark.sql("SELECT * FROM firsts(TABLE(SELECT 1 AS a))").collect()
+
+    def broken(key, values):
+        raise RuntimeError("no good")
+
+    reduce.register_reducer(spark, "broken_too", broken, value_order=False)
+    with pytest.raises(Exception, match="no good"):
+        spark.sql("SELECT * FROM broken_too(TABLE(nums))").collect()
+
+
+def test_hot_keys(spark, kv):
+    rng = random.Random(4)
+    keys = rng.choices(["a", "b", "c"] + [f"k{i}" for i in range(400)], [100, 60, 30] + [0.5] * 400, k=6000)
+    pairs = kv([(k, "1") for k in keys], 5)
+    share, counts = 1 / 16, Counter(keys)
+    found = hot_keys.hot_keys(pairs, share)
+    assert found[:2] == ["a", "b"] and {k for k, n in counts.items() if n >= share * len(keys)} <= set(found)
+    assert all(counts[k] >= share * len(keys) / 2 for k in found)
+    moved = shuffle(pairs, 12, hot_share=share).withColumn("part", F.spark_partition_id()).collect()
+    parts, there = {}, {}
+    for r in moved:
+        parts.setdefault(r["key"], set()).add(r["part"])
+        there.setdefault(r["part"], set()).add(r["key"])
+    assert len(moved) == 6000 and all(len(p) == 1 for p in parts.values())
+    assert all(there[min(parts[k])] == {k} for k in found)
+    # more hot keys than partitions: the foremost ones have their own, the rest have one
+    few = shuffle(pairs, 2, hot_share=share).withColumn("part", F.spark_partition_id())
+    assert {r["part"] for r in few.filter("key = 'a'").collect()}.isdisjoint({r["part"] for r in few.filter("key <> 'a'").collect()})
+    for df in (pairs.limit(0), kv([(None, "1")] * 9 + [("x", "2")], 2)):
+        assert sorted(map(tuple, shuffle(df, 3, hot_share=0.5).collect()), key=repr) == sorted(map(tuple, df.collect()), key=repr)
+    out = reduce.reduce_kv(pairs, total, reduce_tasks=6, hot_share=share)
+    assert pairs_of(out) == sorted((k, str(n)) for k, n in counts.items())
+    out = external.pipe_reduce(pairs, ["awk", "-F", "\t", "{ n[$1]++ } END { for (k in n) print k \"\t\" n[k] }"], 6, hot_share=share)
+    assert pairs_of(out) == sorted((k, str(n)) for k, n in counts.items())
+    with pytest.raises(ValueError):
+        hot_keys.hot_keys(pairs, 0)
+
+
+@pytest.mark.parametrize("size", [1, 3, 20])
+def test_sketches_never_miss_much(size):
+    rng, sketch, seen = random.Random(size), hot_keys.Sketch(size), Counter()
+    for _ in range(60):
+        batch = [rng.choice("abcdefgh") if rng.random() < 0.6 else f"x{rng.randrange(500)}" for _ in range(rng.randrange(1, 90))]
+        sketch.add(pa.array(batch))
+        seen.update(batch)
+        assert len(sketch.counts) <= size and sketch.rows == sum(seen.values())
+        assert all(0 <= seen[k] - sketch.counts.get(k, 0) <= sketch.rows / (size + 1) for k in seen)
+
+
 def test_group_spans_batches_and_early_stop_drains(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
@@ -221,6 +294,73 @@ def test_job_preview(spark, tmp_path):
         run_job(spark, str(tmp_path), lambda k, v: (), total, preview=100)
 
 
+def test_previews_obey_or_refuse_every_argument(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("1\ta b a\n2\tb c\n")
+    path = str(tmp_path)
+    report = ["awk", "-F", "\t", '{ n = split($2, w, " "); for (i = 1; i <= n; i++) print w[i] "\t" i; print "reporter:counter:g,lines,1" > "/dev/stderr" }']
+    result, counters = run_job(spark, path, report, total, preview=100, counters=True)
+    assert pairs_of(result) == [("a", "4"), ("b", "3"), ("c", "2")]
+    totals = {(r["group"], r["counter"]): r["total"] for r in counters.totals().collect()}
+    assert totals[("g", "lines")] == 2 and totals[("records", "read")] == 2
+    backwards = lambda k, vs: [(k, "".join(vs))]
+    twice = lambda k, v: [(w, str(9 - i)) for i, w in enumerate(v.split())]
+    assert pairs_of(run_job(spark, path, twice, backwards, preview=100)) == [("a", "79"), ("b", "89"), ("c", "8")]
+    folded = []
+    out = run_job(spark, path, words, total, preview=100, combiner=total, value_order="value")
+    assert pairs_of(out) == [("a", "2"), ("b", "2"), ("c", "1")] and not folded
+    for bad in ({"map_tasks": 3}, {"reduce_tasks": 2}, {"home": path}):
+        with pytest.raises(ValueError, match="preview"):
+            run_job(spark, path, words, total, preview=100, **bad)
+
+
+def test_counters_without_logs(spark, kv, tmp_path):
+    """Totals are right with a task that fails once; nothing but the result is written."""
+    flag = tmp_path / "failed"
+    program = ["sh", "-c", f"""awk '{{ print; print "reporter:counter:g,n,1" > "/dev/stderr" }}'; [ -e {flag} ] || {{ touch {flag}; exit 4; }}"""]
+    pairs = kv([(str(i), "x") for i in range(100)], 3)
+    result, counters = run_job(spark, pairs, program, ["cat"], counters=True, home=f"file://{tmp_path}/home", reduce_tasks=2,
+                               map_options={"on_exit": "fail"}) if flag.exists() else (None, None)
+    if result is None:
+        # a local session does not try a task again, so the first run fails as a whole
+        with pytest.raises(PythonException):
+            run_job(spark, pairs, program, ["cat"], counters=True, home=f"file://{tmp_path}/home")
+        result, counters = run_job(spark, pairs, program, ["cat"], counters=True, home=f"file://{tmp_path}/home", reduce_tasks=2)
+    want = {("g", "n"): 100, ("records", "read"): 200, ("records", "written"): 200, ("records", "skipped"): 0}
+    assert {(r["group"], r["counter"]): r["total"] for r in counters.totals().collect()} == want
+    result, counters = run_job(spark, pairs, program, ["cat"], counters=True, reduce_tasks=2)
+    assert counters.totals().count() == 0
+    for _ in range(2):  # computed twice, counted once
+        assert result.count() == 100
+        assert {(r["group"], r["counter"]): r["total"] for r in counters.totals().collect()} == want
+
+
+def test_reports_of_a_task_that_runs_twice_count_once():
+    merge = logs._Latest().addInPlace
+    one, two = {("g", "n"): 5}, {("g", "n"): 2}
+    value = merge({}, {"s": (3, {0: one})})
+    value = merge(value, {"s": (3, {1: two})})
+    value = merge(value, {"s": (3, {0: one})})
+    assert value == {"s": (3, {0: one, 1: two})}
+    assert merge(value, {"s": (2, {0: two})}) == {"s": (3, {0: one, 1: two})}
+    assert merge(value, {"s": (7, {0: two}), "t": (1, {0: one})}) == {"s": (7, {0: two}), "t": (1, {0: one})}
+
+
+def test_map_tasks_cut_files_and_move_nothing(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("".join(f"{i}\ta b {i % 7}\n" for i in range(20_000)))
+    for tasks in (1, 8, 13):
+        job = run_job(spark, str(tmp_path), Native(native_words), Native(F.count), map_tasks=tasks)
+        text = job._jdf.queryExecution().executedPlan().toString()
+        assert "RoundRobin" not in text
+        lines = files.read_lines(spark, str(tmp_path), tasks=tasks)
+        assert lines.rdd.getNumPartitions() == tasks and lines.count() == 20_000
+        assert lines.sparkSession is spark
+    plain = run_job(spark, str(tmp_path), Native(native_words), Native(F.count))
+    assert pairs_of(job) == pairs_of(plain)
+    assert files.read_lines(spark, str(tmp_path)).rdd.getNumPartitions() < 13
+    with pytest.raises(ValueError):
+        files.read_lines(spark, str(tmp_path), tasks=0)
+
+
 def test_native_and_program_jobs(spark, kv):
     assert pairs_of(run_job(spark, kv(TEXTS), Native(native_words), Native(F.count))) == EXPECTED
     tokens = ["awk", "-F", "\t", '{ n = split($2, w, " "); for (i = 1; i <= n; i++) print w[i] "\\t1" }']

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from kvflow.operators import naming
 from kvflow.operators.naming import assign_unique_names
 from kvflow.operators.order import OrderedTotals, total_order
 
@@ -89,6 +90,23 @@ def test_unique_names(spark, seed):
     assert got == free_names(rows, [])
 
 
+@pytest.mark.parametrize("block, step", [(4, 2), (1 << 16, 3), (7, 1 << 10)])
+def test_names_among_many_taken(spark, monkeypatch, block, step):
+    """Runs of taken serials across the borders of blocks and steps; other columns and NULL names stay."""
+    monkeypatch.setattr(naming, "BLOCK", block)
+    monkeypatch.setattr(naming, "STEP", step)
+    rng = random.Random(block + step)
+    taken = ["hot", *(f"hot-{i}" for i in range(1, 60)), *(f"hot-{i}" for i in range(64, 400, 2)), "n1-3", "n1-4", "n2"]
+    rows = [(i, "hot" if rng.random() < 0.7 else f"n{rng.randrange(4)}") for i in range(300)]
+    df = spark.createDataFrame([(i, n, f"p{i}") for i, n in rows] + [(999, None, "none")], "i long, name string, _step string")
+    existing = spark.createDataFrame([(t,) for t in taken + taken[:5]], "t string")
+    out = assign_unique_names(df.repartition(4), "name", existing, ["i"])
+    assert out.columns == ["i", "name", "_step", "unique_name"]
+    found = {r["i"]: (r["unique_name"], r["_step"]) for r in out.collect()}
+    assert found.pop(999) == (None, "none")
+    assert found == {i: (n, f"p{i}") for i, n in free_names(rows, taken).items()}
+
+
 def test_names_that_are_serials_of_each_other(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a-1")], "i long, name string")
     with pytest.raises(ValueError):

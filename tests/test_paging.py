@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from kvflow.operators import paging
+from kvflow.sources import files
 
 LINES = [(i, random.Random(i).choice(["", "a", "é" * 5, "𝄞x", "word " * 9]) * (i % 4)) for i in range(120)]
 
@@ -153,3 +154,116 @@ def test_a_page_of_a_large_file_reads_only_its_bytes(spark, tmp_path, monkeypatc
     assert all(raw[r["byte_offset"] :].startswith(r["line"].encode() + b"\n") for r in rows)
     assert 20_000 <= min(r["byte_offset"] for r in rows) and max(r["byte_offset"] for r in rows) < 30_000
     assert raw[: min(r["byte_offset"] for r in rows)].count(b"\n") + len(rows) == raw[:30_000].count(b"\n") + 1
+
+
+def plain_lines(raw, low, high):
+    """(offset, line) of the lines that begin in a byte range."""
+    at, out = 0, []
+    for line in raw.split(b"\n")[: -1 if raw.endswith(b"\n") else None]:
+        if low <= at < high:
+            out.append((at, line.decode()))
+        at += len(line) + 1
+    return out
+
+
+@pytest.mark.parametrize("step", [1, 3, 7, 64, 1 << 20])
+@pytest.mark.parametrize("ending", ["", "\n"])
+def test_lines_in_any_range(spark, tmp_path, monkeypatch, step, ending):
+    monkeypatch.setattr(files, "_STEP", step)
+    path = tmp_path / "a.txt"
+    path.write_text("one\n\nsome é longer 中 line\n\n\n" + "x" * 50 + "\nlast one" + ending)
+    raw = path.read_bytes()
+    for low in range(0, len(raw), 5):
+        for high in (low + 1, low + 9, len(raw)):
+            high = min(high, len(raw))
+            got = list(files.lines_in_range(spark, str(path), low, high, len(raw)))
+            assert got == plain_lines(raw, low, high)
+
+
+@pytest.mark.parametrize("step", [1, 5, 1 << 20])
+def test_long_lines_are_refused_or_cut(spark, tmp_path, monkeypatch, step):
+    monkeypatch.setattr(files, "_STEP", step)
+    path = tmp_path / "a.txt"
+    path.write_text("ab\n" + "é中x" * 40 + "\ncd\n")
+    raw = path.read_bytes()
+    with pytest.raises(files.LineTooLong, match="byte 3 "):
+        list(files.lines_in_range(spark, str(path), 0, len(raw), len(raw), 16))
+    for most in (4, 16, 100):
+        parts = list(files.lines_in_range(spark, str(path), 0, 4, len(raw), most, True))
+        assert parts[0] == (0, "ab") and "".join(t for _, t in parts[1:]) == "é中x" * 40
+        assert all(len(t.encode()) <= most and raw[at:].startswith(t.encode()) for at, t in parts)
+    # a page inside the line has nothing, whatever the limit
+    assert list(files.lines_in_range(spark, str(path), 10, 50, len(raw), 4)) == []
+
+
+def test_a_page_in_a_very_long_line_holds_little(spark, tmp_path):
+    import tracemalloc
+
+    with open(tmp_path / "a.txt", "wb") as out:
+        out.write(b"first\n")
+        for _ in range(64):
+            out.write(b"x" * (1 << 20))
+        out.write(b"\nlast\n")
+    size = 1 << 22
+    tracemalloc.start()
+    assert paging.read_file_page(spark, str(tmp_path), 3, page_size=size).count() == 0
+    with pytest.raises(files.LineTooLong):
+        paging.read_file_page(spark, str(tmp_path), 1, page_size=size, max_line=1 << 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 << 20  # of 64 MB: a block, its copies on the way from the JVM, a page
+    last = paging.read_file_page(spark, str(tmp_path), 17, page_size=size).collect()
+    assert [(r["line"], r["byte_offset"]) for r in last] == [("last", 7 + (64 << 20))]
+
+
+def test_stored_page_index(spark, folder, tmp_path):
+    made = paging.FilePageIndex.build(spark, folder, f"{tmp_path}/index", page_size=400)
+    where, total = offsets()
+    ordered = sorted(where.items(), key=lambda w: w[1])
+    opened = paging.FilePageIndex(spark.newSession(), f"{tmp_path}/index")
+    assert opened.total_pages() == made.total_pages() == -(-total // 400)
+    for page in range(1, opened.total_pages() + 1):
+        rows = opened.page(page).collect()
+        want = [(k, at, dict(LINES)[n]) for k, (n, at) in enumerate(ordered) if at // 400 + 1 == page]
+        assert [(r["line_no"], r["byte_offset"], r["line"]) for r in rows] == want
+    opened.verify()
+    with pytest.raises(paging.PageNotFound):
+        opened.page(999)
+    with pytest.raises(Exception, match="(?i)exists"):
+        paging.FilePageIndex.build(spark, folder, f"{tmp_path}/index", page_size=400)
+
+
+def test_a_stale_page_index_is_an_error(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    for k in range(3):
+        (source / f"{k}.txt").write_text("".join(f"{k} {i}\n" for i in range(100)))
+    index = paging.FilePageIndex.build(spark, str(source), f"{tmp_path}/index", page_size=200)
+    assert index.page(1).count() > 0
+    (source / "0.txt").write_text("other\n" * 100)
+    with pytest.raises(paging.StaleIndex):
+        index.page(1)
+    assert index.page(index.total_pages()).count() > 0  # its file is as it was
+    with pytest.raises(paging.StaleIndex):
+        index.verify()
+    (source / "2.txt").unlink()
+    with pytest.raises(paging.StaleIndex):
+        index.page(index.total_pages())
+
+
+def test_a_page_of_an_index_lists_and_orders_nothing(spark, folder, tmp_path, monkeypatch):
+    index = paging.FilePageIndex.build(spark, folder, f"{tmp_path}/index", page_size=400)
+
+    def never(*args, **more):
+        raise AssertionError("listed or ordered again")
+
+    for name in ("list_inputs", "concat_files", "OrderedTotals"):
+        monkeypatch.setattr(paging, name, never)
+    assert paging.FilePageIndex(spark, index.folder).page(2).count() > 0
+
+
+def test_index_of_no_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a").write_text("")
+    index = paging.FilePageIndex.build(spark, f"{tmp_path}/in", f"{tmp_path}/index")
+    assert index.total_pages() == 0 and index.page(1).count() == 0

@@ -1,8 +1,11 @@
+import threading
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
 from kvflow.session import scratch_path, shared_dir
-from kvflow.sources import files, sinks
+from kvflow.sources import files, paths, sinks
 from tests.conftest import pairs_of
 
 
@@ -81,6 +84,29 @@ def test_store_dataset(spark, tmp_path):
     assert sorted(r["value"] for r in lines.collect()) == ["a", "b", "c"]
 
 
+def test_two_jobs_never_store_in_one_place(spark, tmp_path):
+    home, df = f"file://{tmp_path}", spark.createDataFrame([("a",)], "text string")
+    inside = threading.Barrier(4)
+
+    def one(k):
+        with paths.reserved_path(spark, f"{home}/data", "name") as path:
+            inside.wait(60)  # all four hold a path before any writes
+            df.selectExpr(f"'{k}' AS value").write.text(path)
+        return path
+
+    with ThreadPoolExecutor(4) as pool:
+        found = list(pool.map(one, range(4)))
+    assert sorted(f.rsplit("/", 1)[1] for f in found) == ["name", "name-1", "name-2", "name-3"]
+    assert sorted(p.name for p in (tmp_path / "data").iterdir() if not p.name.startswith("name")) == []
+    with ThreadPoolExecutor(2) as pool:
+        stored = sorted(pool.map(lambda _: sinks.store_dataset(df, home, "mine"), range(2)))
+    assert stored == ["data/mine", "data/mine-1"]
+    with pytest.raises(RuntimeError):
+        with paths.reserved_path(spark, f"{home}/data", "lost"):
+            raise RuntimeError
+    assert sinks.store_dataset(df, home, "lost") == "data/lost"
+
+
 CHECKS = [
     # path, exists, default flags, contained
     ("in/a", True, "ok", "ok"),
