@@ -15,6 +15,10 @@ passage) so get no budget, and rarer ones two. Any allocation is exact; the coun
 only cost time. Hashes less one n-gram are indexed only where a bit map says that someone asks for them, and so
 are empty segments.
 
+The segments are those of 32-bit hashes of n-grams: n-grams that share a hash only make two sets look more alike,
+so no link is missed and less is stored. Sets are verified by 64-bit hashes, made once more for the sets that
+meet another.
+
 Equal sets are one node. Sets that meet in a bucket are compared until all of a bucket are in one
 component or every pair of different components that the sizes allow has been verified by its
 intersection: first each node with one hub, twice, the hub being the node in most open buckets; then what
@@ -38,12 +42,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kvflow.llm.common import pieces, stored
+from kvflow.llm.common import pieces, stored, written
 from kvflow.llm.components import components
 from kvflow.llm.words import NOT_SPACE, mix, windows, words_of
+from kvflow.sources.paths import delete_path
 
 NGRAM, THRESHOLD = 4, 85
-#: Bits of the map of asked hashes (8 MB), and of each of the two tables of counters: one for so many
+#: Bytes of a set's key.
+KEY_BYTES = 12
+#: Bits of the maps of asked hashes and of needed sets (8 MB each), and of each of the two tables of counters: one for so many
 #: n-grams, between the bounds (32 MB at most).
 ASKED_BITS, COUNTER_GRAMS, COUNTER_BITS = 26, 256, (12, 22)
 #: n-grams that are worked on together.
@@ -62,42 +69,88 @@ def most_apart(total, threshold: int):
 
 
 def bands(largest: int, threshold: int) -> np.ndarray:
-    """Least size of each band and an end; in a band the least size links with all others."""
+    """Least size of each band and an end; sizes that link lie in one band or in two that follow each other."""
     out = [1]
     while out[-1] <= largest:
-        out.append(out[-1] * 100 // threshold + 1)
+        out.append(out[-1] * 10_000 // threshold**2 + 1)
     return np.array(out, np.int64)
 
 
+def _gram_sets(texts: pa.Array, ngram: int) -> list[np.ndarray]:
+    """The distinct n-grams of each text, as sorted 64-bit hashes."""
+    words = words_of(texts, NOT_SPACE)
+    bounds = words.bounds.tolist()
+    return [
+        np.unique(windows(words.hashes[a:b], min(ngram, max(b - a, 1)))) for a, b in zip(bounds[:-1], bounds[1:], strict=True)
+    ]
+
+
+def _key(grams: np.ndarray) -> bytes | None:
+    return blake2b(grams.tobytes(), digest_size=KEY_BYTES).digest() if len(grams) else None
+
+
 def gram_sets(docs: DataFrame, id_col: str, text_col: str, ngram: int) -> DataFrame:
-    """(id, key, n, grams) of each document; of equal sets in a task only the first has its grams."""
+    """(id, key, n, grams) of each document; of equal sets in a task only the first has its grams, 32 bits each."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in (piece for whole in batches for piece in pieces(whole)):
-            words = words_of(batch.column(1), NOT_SPACE)
-            bounds = words.bounds.tolist()
             keys, sizes, sets = [], [], []
-            for first, last in zip(bounds[:-1], bounds[1:], strict=True):
-                grams = np.unique(windows(words.hashes[first:last], min(ngram, max(last - first, 1))))
-                key = blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None
+            for grams in _gram_sets(batch.column(1), ngram):
+                key = _key(grams)
                 fresh = key is not None and key not in seen
                 if fresh:
                     seen.add(key)
                 keys.append(key)
                 sizes.append(len(grams))
-                sets.append(grams.view(np.int64) if fresh else None)
+                sets.append((grams >> _U(32)).astype(np.uint32).view(np.int32) if fresh else None)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()),
-                    pa.array(sets, pa.list_(pa.int64())),
+                    pa.array(sets, pa.list_(pa.int32())),
                 ],
                 names=["id", "key", "n", "grams"],
             )
 
     kind = dict(source.dtypes)["id"]
-    return source.mapInArrow(task, f"id {kind}, key binary, n int, grams array<bigint>")
+    return source.mapInArrow(task, f"id {kind}, key binary, n int, grams array<int>")
+
+
+def _bit_map(slots: DataFrame, bits: int) -> np.ndarray:
+    """The values of column ``slot`` as bits; the driver gets a number for each 64 of them."""
+    rows = slots.groupBy(F.expr("slot div 64").alias("place")).agg(
+        F.expr("bit_or(shiftleft(1L, CAST(slot % 64 AS INT)))").alias("bits")
+    ).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[rows.column("place").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def needed_sets(docs: DataFrame, text_col: str, ngram: int, keys: DataFrame) -> DataFrame:
+    """(key, grams) of ``keys`` (key), 64 bits each; sets whose key's bit is not set stay where they are."""
+    slot = F.shiftright(F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long"), 32 - ASKED_BITS)
+    wanted = docs.sparkSession.sparkContext.broadcast(_bit_map(keys.select(slot.alias("slot")), ASKED_BITS))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in (piece for whole in batches for piece in pieces(whole)):
+            found, sets = [], []
+            for grams in _gram_sets(batch.column(0), ngram):
+                key = _key(grams)
+                if key is None or key in seen:
+                    continue
+                slot = int.from_bytes(key[:4], "big") >> (32 - ASKED_BITS)
+                if int(wanted.value[slot >> 6]) >> (slot & 63) & 1:
+                    seen.add(key)
+                    found.append(key)
+                    sets.append(grams.view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["key", "grams"]
+            )
+
+    made = docs.select(F.col(text_col).cast("string")).mapInArrow(task, "key binary, grams array<bigint>")
+    return made.join(keys, "key", "left_semi").dropDuplicates(["key"])
 
 
 # ---------------------------------------------------------------- segments and their hashes
@@ -172,8 +225,8 @@ class Plan:
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
     """(keys, sizes, grams, owner of each gram) of batches (key, n, grams), some at a time."""
-    for batch in (piece for whole in batches for piece in pieces(whole, 8 * _CHUNK)):
-        grams = batch.column(2).flatten().to_numpy().view(np.uint64)
+    for batch in (piece for whole in batches for piece in pieces(whole, 4 * _CHUNK)):
+        grams = batch.column(2).flatten().to_numpy().view(np.uint32).astype(np.uint64)
         sizes = batch.column(1).to_numpy().astype(np.int64)
         if len(sizes):
             yield batch.column(0), sizes, grams, np.repeat(np.arange(len(sizes)), sizes)
@@ -238,16 +291,11 @@ def asked(sets: DataFrame, plan: Broadcast) -> np.ndarray:
                 slots = np.unique(_slot(buckets[special & taken], ASKED_BITS))
                 yield pa.RecordBatch.from_arrays([pa.array(slots)], names=["slot"])
 
-    rows = sets.mapInArrow(task, "slot long").groupBy(F.expr("slot div 64").alias("place")).agg(
-        F.expr("bit_or(shiftleft(1L, CAST(slot % 64 AS INT)))").alias("bits")
-    ).toArrow()
-    out = np.zeros(1 << (ASKED_BITS - 6), np.uint64)
-    out[rows.column("place").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
-    return out
+    return _bit_map(sets.mapInArrow(task, "slot long"), ASKED_BITS)
 
 
 def bucket_rows(sets: DataFrame, plan: Broadcast) -> DataFrame:
-    """(bucket, key, load): what is indexed and what is asked; load is 4 n and the roles."""
+    """(bucket, key, role): what is indexed and what is asked."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, sizes, grams, owner in _chunks(batches):
@@ -266,26 +314,21 @@ def bucket_rows(sets: DataFrame, plan: Broadcast) -> DataFrame:
                     made.append((set_[taken], buckets[taken], np.full(int(taken.sum()), _PROBE)))
             set_, buckets, role = (np.concatenate(c) for c in zip(*made, strict=True))
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(buckets.view(np.int64)), keys.take(pa.array(set_)),
-                    pa.array((4 * sizes[set_] + role).astype(np.int32)),
-                ],
-                names=["bucket", "key", "load"],
+                [pa.array(buckets.view(np.int64)), keys.take(pa.array(set_)), pa.array(role.astype(np.int32))],
+                names=["bucket", "key", "role"],
             )
 
-    return sets.mapInArrow(task, "bucket long, key binary, load int")
+    return sets.mapInArrow(task, "bucket long, key binary, role int")
 
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
-    """(bucket, key, n, indexed, asks) in the buckets where one set asks for another."""
+    """(bucket, key, indexed, asks) in the buckets where one set asks for another."""
     all_ = Window.partitionBy("bucket")
     seen = rows.withColumns({
-        "low": F.min("key").over(all_), "high": F.max("key").over(all_),
-        "roles": F.expr("bit_or(load & 3)").over(all_),
+        "low": F.min("key").over(all_), "high": F.max("key").over(all_), "roles": F.expr("bit_or(role)").over(all_),
     }).filter(f"low <> high AND roles = {_INDEX | _PROBE}")
     return seen.select(
-        "bucket", "key", F.expr("load div 4").cast("int").alias("n"),
-        F.expr(f"load & {_INDEX} > 0").alias("indexed"), F.expr(f"load & {_PROBE} > 0").alias("asks"),
+        "bucket", "key", F.expr(f"role & {_INDEX} > 0").alias("indexed"), F.expr(f"role & {_PROBE} > 0").alias("asks")
     )
 
 
@@ -364,22 +407,26 @@ def gram_components(
     Other columns are not read. Components are whole; links inside a component are not all listed.
     """
     spark = docs.sparkSession
-    rows = stored(gram_sets(docs, id_col, text_col, ngram), "gram-sets")
+    rows, path = written(gram_sets(docs, id_col, text_col, ngram), "gram-sets")
+    names = stored(rows.select("id", "key", "n"), "gram-names")
     sets = rows.filter("grams IS NOT NULL").select("key", "n", "grams")
     most = sets.agg(F.max("n").alias("n"), F.sum("n").alias("all")).first()
     if most["n"] is None:
-        return rows.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("id").alias("component_id"))
+        delete_path(spark, path)
+        return names.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("id").alias("component_id"))
     starts = bands(most["n"], threshold)
     low, high = COUNTER_BITS
     bits = min(high, max(low, math.ceil(math.log2(most["all"] / COUNTER_GRAMS + 1))))
     plan = spark.sparkContext.broadcast(Plan(threshold, starts))
     plan = spark.sparkContext.broadcast(Plan(threshold, starts, counters(sets, plan, bits)))
     plan = spark.sparkContext.broadcast(Plan(threshold, starts, plan.value.counters, asked(sets, plan)))
-    members = stored(shared_buckets(bucket_rows(sets, plan)), "gram-buckets")
-    near = members.select("key").distinct()
-    needed = stored(sets.join(near, "key", "left_semi").select("key", "grams").dropDuplicates(["key"]), "gram-needed")
-    roots = linked(members.distinct(), needed, threshold).select(F.col("node").alias("key"), "root")
-    named = rows.select("id", "n", "key").join(roots, "key", "left").select("id", "n", F.coalesce("root", "key").alias("root"))
+    met = stored(shared_buckets(bucket_rows(sets, plan)), "gram-buckets")
+    delete_path(spark, path)
+    near = stored(met.select("key").distinct().join(names.select("key", "n").distinct(), "key"), "gram-near")
+    members = met.distinct().join(near, "key")
+    needed = stored(needed_sets(docs, text_col, ngram, near.select("key")), "gram-needed")
+    roots = linked(members, needed, threshold).select(F.col("node").alias("key"), "root")
+    named = names.join(roots, "key", "left").select("id", "n", F.coalesce("root", "key").alias("root"))
     least = named.groupBy("root").agg(F.min("id").alias("least"))
     return named.join(least, "root", "left").select(
         F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"),
