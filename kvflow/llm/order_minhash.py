@@ -6,8 +6,9 @@ the text; two texts agree on it more often the smaller their edit distance is, w
 make them differ. Texts that agree on any of 48 sketches share a bucket. Texts of up to 40 words have
 48 sketches of the three least single words, as an edit leaves few of their runs.
 
-Texts with the same words are one node. In each bucket first the node of least key is compared with
-the others. Buckets whose nodes are not all in one class then have all their pairs of different classes
+Texts with the same words are one node. In each of a few rounds every node is first compared with one hub, the
+node in most open buckets of all that share a bucket with it; so a large group of near copies is one class
+after about a pair each. Buckets whose nodes are not all in one class then have all their pairs of different classes
 compared by counts of hashed words, which never exclude a pair that is alike; a node returns the
 earliest nodes it may be like, 16 at first, and buckets in which a node may be like more come again
 with more until none is left. So a bucket gives all links between its classes, and a large group of
@@ -49,8 +50,10 @@ SHORT, LONG, SHORT_LEAST = 40, 32, 3
 BINS = 128
 #: Nodes of one bucket that meet in one group, and candidates that a node returns in the first round.
 GROUP_NODES, FIRST, MORE = 4096, 16, 16
-#: One in so many buckets is compared with its hub before the others.
-STAGES = 8
+#: Rounds in which every node is compared with one hub, before buckets are settled.
+HUB_ROUNDS = 3
+#: Bits of the map of nodes whose words are needed: 8 MB.
+NEED_BITS = 26
 #: Pairs of one representative that are aligned in one go, and salts of a representative's pairs.
 SALT_PAIRS = 512
 _U = np.uint64
@@ -192,19 +195,23 @@ def may_be_alike(
     return out
 
 
-def candidate_pairs(members: DataFrame) -> DataFrame:
-    """Distinct (a, b): in each bucket of ``members`` (bucket, _key) the least key with every other.
+def hub_pairs(members: DataFrame) -> DataFrame:
+    """(a, b): each node of ``members`` (bucket, _key, root) with one hub of another root, if it meets any.
 
-    If members have a root, only those of another root than the least key's are paired with it.
+    A bucket's hub is the node that is in most buckets; a node's hub is the foremost one of its buckets.
     """
-    rows = members if "root" in members.columns else members.withColumn("root", F.col("_key"))
-    many = rows.groupBy("bucket").agg(F.min(F.struct("_key", "root")).alias("hub"))
-    other = rows.join(many, "bucket").filter(F.col("root") != F.col("hub.root"))
-    return other.select(F.col("hub._key").alias("a"), F.col("_key").alias("b")).distinct()
+    degree = members.groupBy("_key").agg(F.count("*").alias("degree"))
+    rows = members.join(degree, "_key")
+    hub = F.struct((-F.col("degree")).alias("less"), F.col("_key").alias("a"), F.col("root").alias("r"))
+    hubs = rows.groupBy("bucket").agg(F.min(hub).alias("hub"))
+    met = members.join(hubs, "bucket").filter(F.col("root") != F.col("hub.r"))
+    return met.groupBy("_key").agg(F.min("hub").alias("hub")).select(F.col("hub.a").alias("a"), F.col("_key").alias("b"))
 
 
-def apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+def apart(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     """``members`` with their root, in the buckets that hold more than one root."""
+    if roots is None:
+        return members.select("bucket", "_key", F.col("_key").alias("root"))
     known = members.join(roots.withColumnRenamed("node", "_key"), "_key", "left")
     known = known.select("bucket", "_key", F.coalesce("root", "_key").alias("root"))
     several = known.groupBy("bucket").agg(F.min("root").alias("u"), F.max("root").alias("v")).filter("u <> v")
@@ -311,8 +318,23 @@ def met_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, similarity
     return rows.mapInArrow(_meet(similarity, most), "a binary, b binary, bucket bigint, more boolean")
 
 
-def words_by_key(docs: DataFrame, text_col: str) -> DataFrame:
-    """(_key, words): the words of each text, 32 bits each; a task returns equal texts once."""
+def _key_bits(nodes: DataFrame) -> np.ndarray:
+    """A bit for the first ``NEED_BITS`` bits of each node's key."""
+    slot = F.shiftright(F.conv(F.hex(F.substring("_key", 1, 4)), 16, 10).cast("long"), 32 - NEED_BITS)
+    rows = nodes.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("place")).agg(
+        F.expr("bit_or(shiftleft(1L, CAST(slot % 64 AS INT)))").alias("bits")
+    ).toArrow()
+    out = np.zeros(1 << (NEED_BITS - 6), np.uint64)
+    out[rows.column("place").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def words_by_key(docs: DataFrame, text_col: str, nodes: DataFrame) -> DataFrame:
+    """(_key, words) of ``nodes`` (_key): the words of each text, 32 bits each.
+
+    Texts whose key's bit is not set stay where they are; a task returns equal texts once.
+    """
+    needed = docs.sparkSession.sparkContext.broadcast(_key_bits(nodes))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -320,8 +342,11 @@ def words_by_key(docs: DataFrame, text_col: str) -> DataFrame:
             words = words_of(batch.column(0))
             keys, codes = [], []
             for i, (a, b) in enumerate(zip(words.bounds[:-1], words.bounds[1:], strict=True)):
+                if a == b:
+                    continue
                 key = _key(words, i)
-                if a < b and key not in seen:
+                slot = int.from_bytes(key[:4], "big") >> (32 - NEED_BITS)
+                if int(needed.value[slot >> 6]) >> (slot & 63) & 1 and key not in seen:
                     seen.add(key)
                     keys.append(key)
                     codes.append((words.hashes[a:b] >> _U(32)).astype(np.uint32).tobytes())
@@ -329,7 +354,8 @@ def words_by_key(docs: DataFrame, text_col: str) -> DataFrame:
                 [pa.array(keys, pa.binary()), pa.array(codes, pa.binary())], names=["_key", "words"]
             )
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(code, "_key binary, words binary")
+    found = docs.select(F.col(text_col).cast("string")).mapInArrow(code, "_key binary, words binary")
+    return found.join(nodes, "_key", "left_semi").dropDuplicates(["_key"])
 
 
 def _verify(similarity: float):
@@ -361,13 +387,11 @@ def _verify(similarity: float):
 
 
 def verified(pairs: DataFrame, words: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs whose words align well enough. ``words`` has a _key, words row per node or more.
+    """The pairs whose words align well enough. ``words`` has a row (_key, words) per node.
 
     Words travel to the pairs by key. A representative's pairs are dealt over salts, each with a copy
     of its words, so that no representative fills a task.
     """
-    needed = pairs.select(F.col("a").alias("_key")).union(pairs.select(F.col("b").alias("_key"))).distinct()
-    words = stored(words.join(needed, "_key", "left_semi").dropDuplicates(["_key"]), "near-words")
     per = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_PAIRS).cast("int").alias("salts"))
     salted = pairs.join(per, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
     others = salted.join(words, F.col("b") == F.col("_key")).select("a", "b", "words", "salt")
@@ -384,27 +408,35 @@ def linked(rows: DataFrame, docs: DataFrame, text_col: str, similarity: float) -
     """(node, root) of the classes of all nodes that have links; ``rows`` are stored sketch_rows."""
     nodes = stored(rows.filter(F.size("_buckets") > 0).dropDuplicates(["_key"]), "near-nodes")
     every = nodes.select("_key", F.explode("_buckets").alias("bucket"))
-    shared = every.groupBy("bucket").count().filter("count > 1")
-    members = stored(every.join(shared, "bucket").select("bucket", "_key", "count"), "near-members")
-    # a few buckets first, so that a large group of near copies is one class before the others' hubs
-    few = members.filter(F.pmod("bucket", F.lit(STAGES)) == 0)
-    pairs = stored(plausible(candidate_pairs(few), nodes, similarity), "near-pairs")
-    links = stored(verified(pairs, words_by_key(docs, text_col), similarity), "near-links")
-    rest = apart(members, components(links))
-    new = candidate_pairs(rest).join(pairs, ["a", "b"], "left_anti")
-    new = stored(plausible(new, nodes, similarity), "near-pairs")
-    pairs = pairs.union(new)
-    links = links.union(stored(verified(new, words_by_key(docs, text_col), similarity), "near-links"))
-    roots, most = components(links), FIRST
-    # a bucket of two is settled; in the others the least key may have missed links between the rest
-    members = members.filter("count > 2").drop("count")
+    shared = every.groupBy("bucket").count().filter("count > 1").select("bucket")
+    members = stored(every.join(shared, "bucket", "left_semi").select("bucket", "_key"), "near-members")
+    words = stored(words_by_key(docs, text_col, members.select("_key").distinct()), "near-words")
+    pairs, links, roots = None, None, None
+
+    def compared(found: DataFrame) -> bool:
+        """Verify the pairs that were not compared before; whether there are any."""
+        nonlocal pairs, links, roots
+        new = found.withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")})
+        if pairs is not None:
+            new = new.join(pairs.select("low", "high"), ["low", "high"], "left_anti")
+        new = stored(new, "near-pairs")
+        if new.isEmpty():
+            return False
+        pairs = new if pairs is None else pairs.union(new)
+        good = stored(verified(plausible(new.select("a", "b"), nodes, similarity), words, similarity), "near-links")
+        links = good if links is None else links.union(good)
+        roots = components(links)
+        return True
+
+    for _ in range(HUB_ROUNDS):
+        if not compared(hub_pairs(apart(members, roots))):
+            break
+    if roots is None:
+        return nodes.select(F.col("_key").alias("node"), F.col("_key").alias("root")).limit(0)
+    most = FIRST
     while True:
         met = stored(met_pairs(members, nodes, roots, similarity, most), "near-met")
-        new = stored(met.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "near-pairs")
-        if not new.isEmpty():
-            pairs = pairs.union(new)
-            links = links.union(stored(verified(new, words_by_key(docs, text_col), similarity), "near-links"))
-            roots = components(links)
+        compared(met.select("a", "b").distinct())
         open_ = met.filter("more").select("bucket").distinct()
         if open_.isEmpty():
             return roots
