@@ -49,7 +49,7 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 
 
 #: Arrays over the words of a batch take about ten times its bytes, so tasks work on this much at once.
-PIECE_BYTES = 6 << 20
+PIECE_BYTES = 2 << 20
 
 
 def pieces(batch: pa.RecordBatch, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
