@@ -16,13 +16,14 @@ only cost time. Hashes less one n-gram are indexed only where a bit map says tha
 are empty segments.
 
 The segments are those of 32-bit hashes of n-grams: n-grams that share a hash only make two sets look more alike,
-so no link is missed and less is stored. Sets are verified by 64-bit hashes, made once more for the sets that
-meet another.
+so no link is missed and less is stored. Pairs that meet in a bucket first have to pass a parity map of
+about a bit per n-gram (sets that differ in few n-grams have maps that differ in few bits), then the exact
+difference of their 32-bit hashes. What is left is verified by 64-bit hashes, made once more for these sets only;
+should one of these links not hold, the search goes on from the links that do.
 
 Equal sets are one node. Sets that meet in a bucket are compared until all of a bucket are in one
-component or every pair of different components that the sizes allow has been verified by its
-intersection: first each node with one hub, twice, the hub being the node in most open buckets; then what
-is left. So near copies of one text cost about a pair each, and no link between components is missed.
+component or every pair of different components that the sizes allow has been compared: first each node
+with one hub, in a few rounds, the hub being the node in most open buckets; then what is left. So near copies of one text cost about a pair each, and no link between components is missed.
 
 Defined results: words are the longest runs of ``[^\\x20\\x09-\\x0D]``, A-Z lower-cased; a text of fewer
 words than n is one n-gram; a text without words (or null) has an empty set, which links with nothing; a component's id is
@@ -32,7 +33,7 @@ its least id, null only if all are null; repeated ids are rows of their own.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -53,6 +54,8 @@ KEY_BYTES = 12
 #: Bits of the maps of asked hashes and of needed sets (8 MB each), and of each of the two tables of counters: one for so many
 #: n-grams, between the bounds (32 MB at most).
 ASKED_BITS, COUNTER_GRAMS, COUNTER_BITS = 26, 256, (12, 22)
+#: Rounds in which each node meets one hub.
+HUB_ROUNDS = 3
 #: n-grams that are worked on together.
 _CHUNK = 1 << 20
 _INDEX, _PROBE = 1, 2
@@ -89,14 +92,32 @@ def _key(grams: np.ndarray) -> bytes | None:
     return blake2b(grams.tobytes(), digest_size=KEY_BYTES).digest() if len(grams) else None
 
 
+def parity_map(grams: np.ndarray) -> bytes:
+    """A bit for each residue of the grams' hashes, set if an odd number has it; a power of two, at least n."""
+    bits = max(64, 1 << (len(grams) - 1).bit_length())
+    slots = (mix(grams ^ _U(0x2545F4914F6CDD1D)) & _U(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(slots, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _bits_apart(one: bytes, two: bytes) -> int:
+    """In how many bits two maps differ, the longer one folded: no more than the sets differ in grams."""
+    x, y = sorted((np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def gram_sets(docs: DataFrame, id_col: str, text_col: str, ngram: int) -> DataFrame:
-    """(id, key, n, grams) of each document; of equal sets in a task only the first has its grams, 32 bits each."""
+    """(id, key, n, grams, parity) of each document; of equal sets in a task only the first has the last two.
+
+    Grams are 32 bits each here.
+    """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in (piece for whole in batches for piece in pieces(whole)):
-            keys, sizes, sets = [], [], []
+            keys, sizes, sets, maps = [], [], [], []
             for grams in _gram_sets(batch.column(1), ngram):
                 key = _key(grams)
                 fresh = key is not None and key not in seen
@@ -105,16 +126,17 @@ def gram_sets(docs: DataFrame, id_col: str, text_col: str, ngram: int) -> DataFr
                 keys.append(key)
                 sizes.append(len(grams))
                 sets.append((grams >> _U(32)).astype(np.uint32).view(np.int32) if fresh else None)
+                maps.append(parity_map(grams) if fresh else None)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()),
-                    pa.array(sets, pa.list_(pa.int32())),
+                    pa.array(sets, pa.list_(pa.int32())), pa.array(maps, pa.binary()),
                 ],
-                names=["id", "key", "n", "grams"],
+                names=["id", "key", "n", "grams", "parity"],
             )
 
     kind = dict(source.dtypes)["id"]
-    return source.mapInArrow(task, f"id {kind}, key binary, n int, grams array<int>")
+    return source.mapInArrow(task, f"id {kind}, key binary, n int, grams array<int>, parity binary")
 
 
 def _bit_map(slots: DataFrame, bits: int) -> np.ndarray:
@@ -127,10 +149,20 @@ def _bit_map(slots: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def _wanted(keys: DataFrame) -> Broadcast:
+    """A map of the keys' first bits, and a row's place in it is that of ``_is_wanted``."""
+    slot = F.shiftright(F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long"), 32 - ASKED_BITS)
+    return keys.sparkSession.sparkContext.broadcast(_bit_map(keys.select(slot.alias("slot")), ASKED_BITS))
+
+
+def _is_wanted(bits: np.ndarray, key: bytes) -> bool:
+    slot = int.from_bytes(key[:4], "big") >> (32 - ASKED_BITS)
+    return int(bits[slot >> 6]) >> (slot & 63) & 1 == 1
+
+
 def needed_sets(docs: DataFrame, text_col: str, ngram: int, keys: DataFrame) -> DataFrame:
     """(key, grams) of ``keys`` (key), 64 bits each; sets whose key's bit is not set stay where they are."""
-    slot = F.shiftright(F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long"), 32 - ASKED_BITS)
-    wanted = docs.sparkSession.sparkContext.broadcast(_bit_map(keys.select(slot.alias("slot")), ASKED_BITS))
+    wanted = _wanted(keys)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -138,10 +170,7 @@ def needed_sets(docs: DataFrame, text_col: str, ngram: int, keys: DataFrame) ->
             found, sets = [], []
             for grams in _gram_sets(batch.column(0), ngram):
                 key = _key(grams)
-                if key is None or key in seen:
-                    continue
-                slot = int.from_bytes(key[:4], "big") >> (32 - ASKED_BITS)
-                if int(wanted.value[slot >> 6]) >> (slot & 63) & 1:
+                if key is not None and key not in seen and _is_wanted(wanted.value, key):
                     seen.add(key)
                     found.append(key)
                     sets.append(grams.view(np.int64))
@@ -153,6 +182,18 @@ def needed_sets(docs: DataFrame, text_col: str, ngram: int, keys: DataFrame) ->
     return made.join(keys, "key", "left_semi").dropDuplicates(["key"])
 
 
+def stored_sets(sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, grams) of ``keys`` (key), 32 bits each, from the table of all sets."""
+    wanted = _wanted(keys)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([_is_wanted(wanted.value, k) for k in batch.column(0).to_pylist()], pa.bool_()))
+
+    near = sets.select("key", "grams").mapInArrow(task, "key binary, grams array<int>")
+    return near.join(keys, "key", "left_semi").dropDuplicates(["key"])
+
+
 # ---------------------------------------------------------------- segments and their hashes
 
 
@@ -371,32 +412,71 @@ def all_pairs(members: DataFrame, threshold: int) -> DataFrame:
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs whose sets are similar enough."""
-    left = sets.select(F.col("key").alias("a"), F.col("grams").alias("x"))
-    right = sets.select(F.col("key").alias("b"), F.col("grams").alias("y"))
+def plausible(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) whose parity maps allow a link; ``nodes`` has key, n, parity."""
+    one = nodes.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("parity").alias("x"))
+    two = nodes.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("parity").alias("y"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = most_apart(batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy(), threshold)
+            maps = zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), most.tolist(), strict=True)
+            good = pa.array([_bits_apart(x, y) <= h for x, y, h in maps], pa.bool_())
+            yield batch.select([0, 1]).filter(good)
+
+    rows = pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "x", "y")
+    return rows.mapInArrow(task, "a binary, b binary")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
+    """The pairs that differ in few enough of the grams in ``sets``, by the sizes in ``nodes``."""
+    sized = sets.join(nodes.select("key", "n"), "key")
+    left = sized.select(F.col("key").alias("a"), F.col("grams").alias("x"), F.col("n").alias("n_a"))
+    right = sized.select(F.col("key").alias("b"), F.col("grams").alias("y"), F.col("n").alias("n_b"))
     both = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.filter(
-        F.lit(100) * common >= F.lit(threshold) * (F.size("x") + F.size("y") - common)
-    ).select("a", "b")
+    # repeats of a hash are counted once on either side, so 32-bit grams never look further apart than they are
+    apart = F.size(F.array_except("x", "y")) + F.size(F.array_except("y", "x"))
+    most = F.expr(f"{100 - threshold} * (n_a + n_b) div {100 + threshold}")
+    return both.filter(apart <= most).select("a", "b")
+
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
 
-def linked(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame | None:
-    """(node, root) of all nodes that have links; None without any."""
-    links, tested, roots = None, None, None
-    for find in (hub_pairs, hub_pairs, all_pairs):
+
+def linked(members: DataFrame, nodes: DataFrame, sets: DataFrame, exact: Callable[[DataFrame], DataFrame], threshold: int) -> DataFrame:
+    """(node, root) of all nodes that have links.
+
+    ``members`` are the rows of shared buckets, ``nodes`` (key, n, parity), ``sets`` all sets with 32-bit
+    grams; ``exact`` gives the 64-bit grams of some keys.
+    """
+    tested, links, roots = None, None, None
+    turn, sure = 0, False
+    while True:
         rows = stored(open_buckets(members, roots), "gram-open")
-        pairs = find(rows, threshold)
+        pairs = hub_pairs(rows, threshold) if turn < HUB_ROUNDS else all_pairs(rows, threshold)
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
-            either = tested.union(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            pairs = pairs.join(either, ["a", "b"], "left_anti")
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "gram-pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        new = stored(verified(pairs, sets, threshold), "gram-links")
-        links = new if links is None else links.union(new)
-        roots = components(links)
-    return roots
+        if not pairs.isEmpty():
+            tested = pairs if tested is None else tested.union(pairs)
+            near = stored(plausible(pairs, nodes, threshold), "gram-plausible")
+            some = stored(stored_sets(sets, _ends(near)), "gram-sets-near")
+            found = stored(verified(near, some, nodes, threshold), "gram-links")
+            links = found if links is None else links.union(found)
+            roots, sure = components(links), False
+        elif turn < HUB_ROUNDS:
+            turn = HUB_ROUNDS - 1
+        if turn >= HUB_ROUNDS:
+            # no pair of different components is left to compare
+            if sure or links is None:
+                return roots if roots is not None else nodes.select(F.col("key").alias("node"), F.col("key").alias("root")).limit(0)
+            good = stored(verified(links, stored(exact(_ends(links)), "gram-needed"), nodes, threshold), "gram-links")
+            if good.count() == links.count():
+                return roots
+            links, roots, sure = good, components(good), True
+        turn += 1
 
 
 def gram_components(
@@ -421,11 +501,13 @@ def gram_components(
     plan = spark.sparkContext.broadcast(Plan(threshold, starts, counters(sets, plan, bits)))
     plan = spark.sparkContext.broadcast(Plan(threshold, starts, plan.value.counters, asked(sets, plan)))
     met = stored(shared_buckets(bucket_rows(sets, plan)), "gram-buckets")
+    maps = rows.filter("parity IS NOT NULL").select("key", "n", "parity").dropDuplicates(["key"])
+    nodes = stored(maps.join(met.select("key").distinct(), "key", "left_semi"), "gram-nodes")
+    members = stored(met.distinct().join(nodes.select("key", "n"), "key"), "gram-members")
+    roots = linked(
+        members, nodes, sets, lambda keys: needed_sets(docs, text_col, ngram, keys), threshold
+    ).select(F.col("node").alias("key"), "root")
     delete_path(spark, path)
-    near = stored(met.select("key").distinct().join(names.select("key", "n").distinct(), "key"), "gram-near")
-    members = met.distinct().join(near, "key")
-    needed = stored(needed_sets(docs, text_col, ngram, near.select("key")), "gram-needed")
-    roots = linked(members, needed, threshold).select(F.col("node").alias("key"), "root")
     named = names.join(roots, "key", "left").select("id", "n", F.coalesce("root", "key").alias("root"))
     least = named.groupBy("root").agg(F.min("id").alias("least"))
     return named.join(least, "root", "left").select(
