@@ -42,6 +42,15 @@ def release(spark: SparkSession) -> None:
         delete_path(spark, path)
 
 
+#: Rows of a stored table that is sent to every task instead of being shuffled; they are some hundred bytes each.
+BROADCAST_ROWS = 1 << 17
+
+
+def spread(table_: DataFrame) -> DataFrame:
+    """A stored table, marked to be sent to every task if it is small; else joins shuffle it."""
+    return F.broadcast(table_) if table_.count() <= BROADCAST_ROWS else table_
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` less the columns whose names, in any case, an operator wants for its results."""
     taken = {n.lower() for n in names}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvflow.llm.common import stored, written
+from kvflow.llm.common import spread, stored, written
 from kvflow.sources.paths import delete_path
 
 
@@ -13,8 +13,8 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b); nodes of one component share their root.
 
     Each round points every node at its least neighbour or itself and joins nodes that point alike;
-    the links that are left run between the joined nodes. Groups shrink at least by half a round, all
-    tables are shuffled by node with partial aggregates, and every round is written.
+    the links that are left run between the joined nodes. Groups shrink at least by half a round,
+    tables are shuffled by node with partial aggregates unless they are small, and every round is written.
     """
     edges = links.select("a", "b").filter("a <> b")
     maps: list[DataFrame] = []
@@ -27,6 +27,7 @@ def components(links: DataFrame) -> DataFrame:
         points = stored(points, "component-points")
         if points.isEmpty():
             break
+        points = spread(points)
         maps.append(points)
         left = points.select(F.col("node").alias("a"), F.col("to").alias("x"))
         right = points.select(F.col("node").alias("b"), F.col("to").alias("y"))

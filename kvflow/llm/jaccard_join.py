@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kvflow.llm.common import pieces, stored, written
+from kvflow.llm.common import pieces, spread, stored, written
 from kvflow.llm.components import components
 from kvflow.llm.words import NOT_SPACE, mix, windows, words_of
 from kvflow.sources.paths import delete_path
@@ -55,7 +55,7 @@ KEY_BYTES = 12
 #: n-grams, between the bounds (32 MB at most).
 ASKED_BITS, COUNTER_GRAMS, COUNTER_BITS = 26, 256, (12, 22)
 #: Rounds in which each node meets one hub.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 #: n-grams that are worked on together.
 _CHUNK = 1 << 20
 _INDEX, _PROBE = 1, 2
@@ -465,7 +465,7 @@ def linked(members: DataFrame, nodes: DataFrame, sets: DataFrame, exact: Callabl
             some = stored(stored_sets(sets, _ends(near)), "gram-sets-near")
             found = stored(verified(near, some, nodes, threshold), "gram-links")
             links = found if links is None else links.union(found)
-            roots, sure = components(links), False
+            roots, sure = spread(components(links)), False
         elif turn < HUB_ROUNDS:
             turn = HUB_ROUNDS - 1
         if turn >= HUB_ROUNDS:
@@ -475,7 +475,7 @@ def linked(members: DataFrame, nodes: DataFrame, sets: DataFrame, exact: Callabl
             good = stored(verified(links, stored(exact(_ends(links)), "gram-needed"), nodes, threshold), "gram-links")
             if good.count() == links.count():
                 return roots
-            links, roots, sure = good, components(good), True
+            links, roots, sure = good, spread(components(good)), True
         turn += 1
 
 
@@ -502,7 +502,7 @@ def gram_components(
     plan = spark.sparkContext.broadcast(Plan(threshold, starts, plan.value.counters, asked(sets, plan)))
     met = stored(shared_buckets(bucket_rows(sets, plan)), "gram-buckets")
     maps = rows.filter("parity IS NOT NULL").select("key", "n", "parity").dropDuplicates(["key"])
-    nodes = stored(maps.join(met.select("key").distinct(), "key", "left_semi"), "gram-nodes")
+    nodes = spread(stored(maps.join(met.select("key").distinct(), "key", "left_semi"), "gram-nodes"))
     members = stored(met.distinct().join(nodes.select("key", "n"), "key"), "gram-members")
     roots = linked(
         members, nodes, sets, lambda keys: needed_sets(docs, text_col, ngram, keys), threshold

@@ -4,12 +4,12 @@ A text's items are its runs of three words, each labelled with how often it has
 repeats count. A sketch takes the two items of least hash and keeps the order in which they stand in
 the text; two texts agree on it more often the smaller their edit distance is, while moved passages
 make them differ. Texts that agree on any of 48 sketches share a bucket. Texts of up to 40 words have
-48 sketches of the three least single words, as an edit leaves few of their runs.
+48 sketches of their three least single words in text order, as an edit leaves few of their runs.
 
-Texts with the same words are one node. In each of a few rounds every node is first compared with one hub, the
-node in most open buckets of all that share a bucket with it; so a large group of near copies is one class
-after about a pair each. Buckets whose nodes are not all in one class then have all their pairs of different classes
-compared by counts of hashed words, which never exclude a pair that is alike; a node returns the
+Texts with the same words are one node. First every node is compared with one hub, of all nodes that share a
+bucket with it and may be as long the one in most buckets; then, in a few rounds, with one node of another class
+that counts of hashed words allow. So a large group of near copies is one class after a few pairs each.
+Buckets whose nodes are not all in one class then have all their pairs of different classes compared by these counts, which never exclude a pair that is alike; a node returns the
 earliest nodes it may be like, 16 at first, and buckets in which a node may be like more come again
 with more until none is left. So a bucket gives all links between its classes, and a large group of
 near copies no square of pairs. Buckets with many nodes are cut into blocks, and each pair of blocks
@@ -33,9 +33,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from kvflow.llm.alignment import alike
-from kvflow.llm.common import lists, map_batches, pieces, stored
+from kvflow.llm.common import lists, map_batches, pieces, spread, stored
 from kvflow.llm.components import components
 from kvflow.llm.words import Words, mix, windows, words_of
 
@@ -50,8 +51,8 @@ SHORT, LONG, SHORT_LEAST = 40, 32, 3
 BINS = 128
 #: Nodes of one bucket that meet in one group, and candidates that a node returns in the first round.
 GROUP_NODES, FIRST, MORE = 4096, 16, 16
-#: Rounds in which every node is compared with one hub, before buckets are settled.
-HUB_ROUNDS = 3
+#: Rounds in which every node is compared with one other, before buckets are settled.
+SINGLE_ROUNDS = 2
 #: Bits of the map of nodes whose words are needed: 8 MB.
 NEED_BITS = 26
 #: Pairs of one representative that are aligned in one go, and salts of a representative's pairs.
@@ -98,16 +99,25 @@ def _sketch(items: np.ndarray, starts: np.ndarray, turn: int = 0) -> np.ndarray:
 
 
 def _word_sketch(items: np.ndarray, starts: np.ndarray, turn: int) -> np.ndarray:
-    """(texts, sketches): the least items of each short text, from the least on, hashed together."""
+    """(texts, sketches): the least items of each short text in their order, hashed together."""
     sizes = np.diff(np.append(starts, len(items)))
+    owner = np.repeat(np.arange(len(starts)), sizes)
     out = np.empty((len(starts), SKETCHES), np.uint64)
     for j, factor in enumerate(_FACTORS[turn]):
         values = items * factor
-        found = np.full(len(starts), 1000 + turn * SKETCHES + j, np.uint64)
-        for _ in range(SHORT_LEAST):
+        # a text of fewer words has nothing at the last places
+        place = np.full((len(starts), SHORT_LEAST), len(items))
+        least = np.full((len(starts), SHORT_LEAST), _LAST)
+        for k in range(SHORT_LEAST):
             one = np.minimum.reduceat(values, starts)
-            found = mix(found * _U(3) + one)
-            values[values == np.repeat(one, sizes)] = _LAST
+            at = np.flatnonzero((values == one[owner]) & (sizes > k)[owner])
+            place[owner[at], k] = at
+            least[owner[at], k] = values[at]
+            values[at] = _LAST
+        least = np.take_along_axis(least, np.argsort(place, axis=1, kind="stable"), axis=1)
+        found = np.full(len(starts), 1000 + turn * SKETCHES + j, np.uint64)
+        for k in range(SHORT_LEAST):
+            found = mix(found * _U(3) + least[:, k])
         out[:, j] = found
     return out
 
@@ -195,29 +205,23 @@ def may_be_alike(
     return out
 
 
-def hub_pairs(members: DataFrame) -> DataFrame:
-    """(a, b): each node of ``members`` (bucket, _key, root) with one hub of another root, if it meets any.
+def hub_pairs(members: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): each node of ``members`` (bucket, _key) with one hub, if it meets one.
 
-    A bucket's hub is the node that is in most buckets; a node's hub is the foremost one of its buckets.
+    A bucket's hub is the node that is in most buckets; a node's hub is the foremost one of its buckets
+    of which the length allows a link.
     """
     degree = members.groupBy("_key").agg(F.count("*").alias("degree"))
-    rows = members.join(degree, "_key")
-    hub = F.struct((-F.col("degree")).alias("less"), F.col("_key").alias("a"), F.col("root").alias("r"))
+    rows = members.join(degree.join(nodes.select("_key", "_size"), "_key"), "_key")
+    hub = F.struct((-F.col("degree")).alias("less"), F.col("_key").alias("a"), F.col("_size").alias("size"))
     hubs = rows.groupBy("bucket").agg(F.min(hub).alias("hub"))
-    met = members.join(hubs, "bucket").filter(F.col("root") != F.col("hub.r"))
+    met = rows.join(hubs, "bucket").filter(
+        (F.col("_key") != F.col("hub.a"))
+        & (F.least("_size", "hub.size") >= F.lit(similarity) * F.greatest("_size", "hub.size") - 1e-9)
+    )
     return met.groupBy("_key").agg(F.min("hub").alias("hub")).select(F.col("hub.a").alias("a"), F.col("_key").alias("b"))
 
 
-def apart(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """``members`` with their root, in the buckets that hold more than one root."""
-    if roots is None:
-        return members.select("bucket", "_key", F.col("_key").alias("root"))
-    known = members.join(roots.withColumnRenamed("node", "_key"), "_key", "left")
-    known = known.select("bucket", "_key", F.coalesce("root", "_key").alias("root"))
-    several = known.groupBy("bucket").agg(F.min("root").alias("u"), F.max("root").alias("v")).filter("u <> v")
-    return known.join(several.select("bucket"), "bucket")
-
-
 def plausible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """The pairs that sizes and counts of words do not rule out."""
     one = nodes.select(F.col("_key").alias("a"), F.col("_size").alias("s"), F.col("_bins").alias("x"))
@@ -393,6 +397,7 @@ def verified(pairs: DataFrame, words: DataFrame, similarity: float = SIMILARITY)
     of its words, so that no representative fills a task.
     """
     per = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_PAIRS).cast("int").alias("salts"))
+    per = spread(stored(per, "near-salts"))
     salted = pairs.join(per, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
     others = salted.join(words, F.col("b") == F.col("_key")).select("a", "b", "words", "salt")
     own = per.join(words, F.col("a") == F.col("_key")).select(
@@ -408,12 +413,14 @@ def linked(rows: DataFrame, docs: DataFrame, text_col: str, similarity: float) -
     """(node, root) of the classes of all nodes that have links; ``rows`` are stored sketch_rows."""
     nodes = stored(rows.filter(F.size("_buckets") > 0).dropDuplicates(["_key"]), "near-nodes")
     every = nodes.select("_key", F.explode("_buckets").alias("bucket"))
-    shared = every.groupBy("bucket").count().filter("count > 1").select("bucket")
-    members = stored(every.join(shared, "bucket", "left_semi").select("bucket", "_key"), "near-members")
+    nodes = spread(nodes.select("_key", "_size", "_bins"))
+    many = F.count("*").over(Window.partitionBy("bucket"))
+    members = stored(every.withColumn("many", many).filter("many > 1").select("bucket", "_key"), "near-members")
     words = stored(words_by_key(docs, text_col, members.select("_key").distinct()), "near-words")
-    pairs, links, roots = None, None, None
+    pairs, links = None, None
+    roots = nodes.select(F.col("_key").alias("node"), F.col("_key").alias("root")).limit(0)
 
-    def compared(found: DataFrame) -> bool:
+    def compared(found: DataFrame, by_counts: bool = True) -> bool:
         """Verify the pairs that were not compared before; whether there are any."""
         nonlocal pairs, links, roots
         new = found.withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")})
@@ -423,16 +430,19 @@ def linked(rows: DataFrame, docs: DataFrame, text_col: str, similarity: float) -
         if new.isEmpty():
             return False
         pairs = new if pairs is None else pairs.union(new)
-        good = stored(verified(plausible(new.select("a", "b"), nodes, similarity), words, similarity), "near-links")
+        near = new.select("a", "b")
+        if not by_counts:
+            near = stored(plausible(near, nodes, similarity), "near-plausible")
+        good = stored(verified(near, words, similarity), "near-links")
         links = good if links is None else links.union(good)
-        roots = components(links)
+        roots = spread(components(links))
         return True
 
-    for _ in range(HUB_ROUNDS):
-        if not compared(hub_pairs(apart(members, roots))):
+    compared(hub_pairs(members, nodes, similarity), by_counts=False)
+    for _ in range(SINGLE_ROUNDS):
+        met = stored(met_pairs(members, nodes, roots, similarity, 1), "near-met")
+        if not compared(met.groupBy("b").agg(F.min("a").alias("a"))):
             break
-    if roots is None:
-        return nodes.select(F.col("_key").alias("node"), F.col("_key").alias("root")).limit(0)
     most = FIRST
     while True:
         met = stored(met_pairs(members, nodes, roots, similarity, most), "near-met")
@@ -466,23 +476,23 @@ def near_classes(
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay if one document of each class does: the one of least id.
 
-    Rows that share id and words are repeats of one document, of which one stays. Columns are kept.
+    Rows that share id and words are repeats of one document, of which one stays. Columns are kept, whatever
+    their names.
     """
     firsts = near_classes(docs, id_col, text_col).select(
-        F.col("class_id").alias("_id"), F.col("class_key").alias("_first")
+        F.col("class_id").alias("_id"), F.col("class_key").alias("_key")
     ).distinct()
-    source = docs.withColumn("_key", F.lit(b""))
-    names = source.columns
-    at, to = names.index(text_col), names.index("_key")
-
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (piece for whole in batches for piece in pieces(whole)):
-            columns = list(batch.columns)
-            words = words_of(columns[at].cast(pa.large_string()))
-            columns[to] = pa.array([_key(words, i) for i in range(batch.num_rows)], pa.binary())
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    keyed = source.mapInArrow(name, source.schema)
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_first"))
-    kept = keyed.join(firsts, same, "left_semi")
-    return kept.dropDuplicates(["_key", id_col]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    source = docs.select(F.col(text_col).alias("_text"), F.struct(F.lit(0).alias("_"), *others).alias("_columns"))
+    added = docs.sparkSession.createDataFrame([], "_key binary").schema
+
+    def name(batch: pa.RecordBatch) -> list[pa.Array]:
+        words = words_of(batch.column(0).cast(pa.large_string()))
+        return [pa.array([_key(words, i) for i in range(batch.num_rows)], pa.binary())]
+
+    keyed = map_batches(source, added, name).withColumn("_id", F.col(f"_columns.`{id_col}`"))
+    same = F.col("k._id").eqNullSafe(F.col("f._id")) & (F.col("k._key") == F.col("f._key"))
+    kept = keyed.alias("k").join(firsts.alias("f"), same, "left_semi").dropDuplicates(["_key", "_id"])
+    return kept.select(*[
+        F.col("_text").alias(c) if c == text_col else F.col("_columns").getField(c).alias(c) for c in docs.columns
+    ])
