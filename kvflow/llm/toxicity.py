@@ -30,11 +30,12 @@ from pyspark.sql import types as T
 from kvflow.llm.common import map_batches, pieces, stored, without
 from kvflow.llm.words import Words, words_of
 
-#: Labelled rows from which lexicons are found, at most, and rows that the classifier is fitted on.
-LABELLED_ROWS = 12_000
+#: Rows that the classifier is fitted on, at most.
 FIT_ROWS = 20_000
-#: Terms of all lexicons together, at most: the most significant ones.
-TERMS = 4096
+#: Labels that are sent to every task, at most.
+BROADCAST_LABELS = 1 << 20
+#: Terms that a task holds before it hands their counts on.
+_HELD_TERMS = 1 << 19
 LEAST_DOCS = 4
 #: Likelihood ratio that a term must reach; about one in a million by chance.
 SIGNIFICANT = 24.0
@@ -77,7 +78,25 @@ def _doc_of(words: Words) -> np.ndarray:
 def term_counts(labelled: DataFrame) -> DataFrame:
     """(kind, term, toxic, clean): documents of each class that have the term. Input: text, toxic."""
 
+    def summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        """One entry per term, of entries (term, toxic, all) in any order."""
+        term, bad, both = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.argsort(term, kind="stable")
+        term = term[order]
+        start = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
+        return term[start], np.add.reduceat(bad[order], start), np.add.reduceat(both[order], start)
+
     def count(batches):
+        held: list[list[tuple[np.ndarray, ...]]] = [[] for _ in GROUPS]
+
+        def handed_on(kind: int):
+            term, bad, both = summed(held[kind])
+            held[kind] = []
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(term), kind, np.int32)), pa.array(term.view(np.int64)), pa.array(bad), pa.array(both - bad)],
+                names=["kind", "term", "toxic", "clean"],
+            )
+
         for batch in (piece for whole in batches for piece in pieces(whole)):
             words = words_of(batch.column(0))
             toxic = np.array([bool(x) for x in batch.column(1).to_pylist()])
@@ -90,14 +109,14 @@ def term_counts(labelled: DataFrame) -> DataFrame:
                 t, d = t[first & (t != 0)], d[first & (t != 0)]
                 if not len(t):
                     continue
-                start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-                both = np.diff(np.append(start, len(t)))
-                bad = np.add.reduceat(toxic[d].astype(np.int64), start)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(start), kind, np.int32)), pa.array(t[start].view(np.int64)),
-                     pa.array(bad), pa.array(both - bad)],
-                    names=["kind", "term", "toxic", "clean"],
-                )
+                held[kind].append(summed([(t, toxic[d].astype(np.int64), np.ones(len(t), np.int64))]))
+                if sum(len(part[0]) for part in held[kind]) > _HELD_TERMS:
+                    held[kind] = [summed(held[kind])]
+                    if len(held[kind][0][0]) > _HELD_TERMS // 2:
+                        yield handed_on(kind)
+        for kind in range(len(GROUPS)):
+            if held[kind]:
+                yield handed_on(kind)
 
     rows = labelled.mapInArrow(count, "kind int, term long, toxic long, clean long")
     return rows.groupBy("kind", "term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
@@ -112,7 +131,11 @@ class Lexicon:
 
 
 def find_lexicon(labelled: DataFrame) -> Lexicon:
-    """The significant terms of the labelled rows (text, toxic)."""
+    """The significant terms of the labelled rows (text, toxic): all of them, 16 bytes each in every task.
+
+    A term needs ``LEAST_DOCS`` toxic documents and a lean that chance hardly gives, so they are words of
+    the language of insults, some thousands, not of the corpus.
+    """
     n = labelled.agg(F.sum("toxic"), F.count("*")).first()
     bad, total = int(n[0] or 0), int(n[1])
     share = min(max(bad / max(total, 1), 1e-6), 1 - 1e-6)
@@ -123,7 +146,7 @@ def find_lexicon(labelled: DataFrame) -> Lexicon:
         term_counts(labelled).filter(F.col("toxic") >= LEAST_DOCS)
         .withColumn("lean", 2 * (F.col("toxic") * F.log(rate / share) + other))
         .filter((rate > max(0.5, 2 * share)) & (F.col("lean") >= SIGNIFICANT))
-        .orderBy(F.desc("lean"), "kind", "term").limit(TERMS).select("kind", "term").collect()
+        .select("kind", "term").collect()
     )
     terms, voters, first = [], [], 0
     for kind, groups in enumerate(GROUPS):
@@ -288,46 +311,52 @@ def score_toxicity(
     text_col: str = "text",
     toxic_col: str = "toxic",
     keep_text: bool = False,
-    labelled_rows: int = LABELLED_ROWS,
     fit_rows: int = FIT_ROWS,
 ) -> DataFrame:
-    """``docs`` with held_out, score and predicted; columns of these names are replaced.
+    """``docs`` with held_out, score and predicted; columns of these names are replaced, all others stay.
 
-    ``labelled_rows`` and ``fit_rows`` bound the samples that lexicons and classifier are learned from
-    (least hashes of the ids); vote masks are counted over all documents.
+    Lexicons and the label model come from all labelled training rows, vote masks from all documents;
+    ``fit_rows`` bounds the sample that the classifier is fitted on (least hashes of id and features).
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(toxic_col).cast("int").alias("_toxic"))
     known = known.filter(F.col("_id").isNotNull() & F.col("_toxic").isNotNull() & ~held_out(F.col("_id")))
-    chosen = known.orderBy(F.xxhash64("_id"), "_id", "_toxic").limit(labelled_rows)
-    sample = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select(  # labelled_rows rows
-        F.col(text_col).cast("string").alias("text"), F.col("_toxic").alias("toxic")
+    if known.count() <= BROADCAST_LABELS:
+        known = F.broadcast(known)  # else texts and labels are joined by id
+    kept = [c for c in without(docs, "held_out", "score", "predicted").columns if keep_text or c != text_col]
+    others = [F.col(f"`{c}`") for c in kept if c != text_col]
+    # all columns but the text as one, so that none meets the names used here
+    source = docs.select(
+        F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"),
+        F.struct(F.lit(0).alias("_"), *others).alias("_columns"),
     )
-    lexicon = docs.sparkSession.sparkContext.broadcast(find_lexicon(stored(sample, "toxicity-labelled")))
-    rest = without(docs, "_mask", "_x", "held_out", "score", "predicted")
-    source = rest if keep_text else rest.select(*[F.col(f"`{c}`") for c in rest.columns if c != text_col], F.col(text_col).cast("string"))
-    at = source.columns.index(text_col)
+    labelled = source.select("_id", "_text").join(known, "_id").select(F.col("_text").alias("text"), F.col("_toxic").alias("toxic"))
+    lexicon = docs.sparkSession.sparkContext.broadcast(find_lexicon(stored(labelled, "toxicity-labelled")))
     added = T.StructType([
         T.StructField("_mask", T.IntegerType()), T.StructField("_x", T.ArrayType(T.FloatType())),
     ])
 
     def measure(batch: pa.RecordBatch) -> list[pa.Array]:
-        masks, x = features(batch.column(at), lexicon.value)
+        masks, x = features(batch.column(1), lexicon.value)
         flat = pa.array(x.astype(np.float32).ravel())
         ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * N_FEATURES)
         return [pa.array(masks), pa.ListArray.from_arrays(ends, flat)]
 
-    measured = stored(map_batches(source, added, measure, () if keep_text else (text_col,)), "toxicity-features")
+    measured = stored(map_batches(source, added, measure, () if keep_text else ("_text",)), "toxicity-features")
     counts = measured.groupBy("_mask").count()
-    seen = measured.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).groupBy("_mask").agg(
+    seen = measured.select("_id", "_mask").join(known, "_id").groupBy("_mask").agg(
         F.sum("_toxic").alias("toxic"), F.count("*").alias("n")
     )
     rows = counts.join(seen, "_mask", "left").fillna(0).orderBy("_mask").collect()  # 2^16 masks at most
     masks = np.array([r["_mask"] for r in rows], np.int64)
-    n, toxic, labelled = (np.array([r[c] for r in rows], float) for c in ("count", "toxic", "n"))
+    n, toxic, labelled_n = (np.array([r[c] for r in rows], float) for c in ("count", "toxic", "n"))
     weights = np.zeros(N_FEATURES + 1)
     if len(rows):
-        model = fit_label_model(masks, n, toxic, labelled - toxic)
-        some = measured.select("_mask", "_x", F.xxhash64(id_col, "_x").alias("h")).orderBy("h").limit(fit_rows).collect()
+        model = fit_label_model(masks, n, toxic, labelled_n - toxic)
+        some = measured.select("_mask", "_x", F.xxhash64("_id", "_x").alias("h"))
+        if n.sum() > 2 * fit_rows:
+            # twice as many rows as are taken have a hash below this, so little is sorted and sent
+            some = some.filter(F.col("h") < int(-(1 << 63) + (1 << 64) * (2 * fit_rows / n.sum())))
+        some = some.orderBy("h", "_mask").limit(fit_rows).collect()
         x = np.array([r["_x"] for r in some], float)
         votes = (np.array([r["_mask"] for r in some])[:, None] >> np.arange(N_VOTERS)[None, :]) & 1
         weights = fit_classifier(x, model.posterior(votes))
@@ -336,7 +365,7 @@ def score_toxicity(
     )
     scored = measured.withColumn("score", 1 / (1 + F.exp(-z)))
     return scored.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c in measured.columns and c not in ("_mask", "_x")],
-        F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"),
+        *[F.col("_text").alias(c) if c == text_col else F.col("_columns").getField(c).alias(c) for c in kept],
+        F.coalesce(held_out(F.col("_id")), F.lit(False)).alias("held_out"),
         "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
