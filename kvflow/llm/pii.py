@@ -2,8 +2,9 @@
 
 Rules find candidate spans; regex, gazetteer and context labelers vote for (1), against (-1) or
 abstain (0). Expectation-maximisation over the counts of vote patterns estimates each labeler's
-reliability and a probability for each pattern; a logistic classifier over votes and span shape is
-trained on these and decides which candidates become spans. Spans of the base rules always stay.
+reliability and a probability for each pattern. On these a logistic classifier is trained that sees the
+votes and what no labeler does: the span's length, its share of digits, its separators, the word before it
+(hashed) and what follows. It decides which candidates become spans. Spans of the base rules always stay.
 
 Patterns are written so that Java matches them in linear time and without recursion: repeated
 classes are possessive where nothing after them could use what they give back, and a match may begin
@@ -19,6 +20,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +59,40 @@ TRIGGERS = {
 COUNTER_TRIGGERS = r"(?i)(?:version|v\.|isbn|issn|order|serial|token|key|sha|hash|commit|build|no\.|#)\W{0,3}$"
 LABELERS = ("rule", "shape", "gazetteer", "trigger", "counter", "edge")
 _CONTEXT = 32
+#: Matches of a text whose positions are summed in one go.
+_BLOCK = 64
+#: Values of each trait of a span: length, digits, separators, word before, what follows.
+TRAITS = (6, 5, 5, 17, 4)
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used: as the one element of an array."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _sums_before(values: Column, begin: Column) -> Column:
+    none = F.struct(begin.alias("at"), F.array().cast("array<int>").alias("sums"))
+
+    def step(acc: Column, value: Column) -> Column:
+        return F.struct((acc["at"] + value).alias("at"), F.concat(acc["sums"], F.array(acc["at"])).alias("sums"))
+
+    return F.aggregate(values, none, step, lambda acc: acc["sums"])
+
+
+def running(values: Column) -> Column:
+    """For each of an array's numbers the sum of those before it.
+
+    An array that grows by one costs its length, so sums are made in blocks, and block by block.
+    """
+    def in_blocks(whole: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(whole), F.lit(1)), F.lit(_BLOCK))
+        return bound(F.transform(firsts, lambda i: F.slice(whole, i, F.lit(_BLOCK))), joined)
+
+    def joined(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda x, y: x + y))
+        return F.flatten(F.zip_with(blocks, _sums_before(totals, F.lit(0)), _sums_before))
+
+    return bound(values, in_blocks)
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -64,21 +100,28 @@ def matches(text: Column, pattern: str) -> Column:
 
     The pieces between matches give the positions: ``split`` and ``regexp_extract_all`` walk alike.
     """
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-
-    def step(acc: Column, m: Column) -> Column:
-        start = acc["at"] + F.length(F.element_at(pieces, acc["n"] + 1))
-        end = start + F.length(m)
-        row = F.struct(
-            start.alias("start"), end.alias("end"), m.alias("found"),
-            F.right(F.element_at(pieces, acc["n"] + 1), F.lit(_CONTEXT)).alias("before"),
-            F.left(F.element_at(pieces, acc["n"] + 2), F.lit(2)).alias("after"),
+    def row(m: Column, before: Column) -> Column:
+        start = before + F.length(m["before"])
+        return F.struct(
+            start.alias("start"), (start + F.length(m["found"])).alias("end"), m["found"].alias("found"),
+            F.right(m["before"], F.lit(_CONTEXT)).alias("before"), F.left(m["after"], F.lit(2)).alias("after"),
+        )
+
+    def located(both: Column) -> Column:
+        """The matches of one text, cut once into pieces and matches."""
+        n = F.size(both["found"])
+        parts = F.arrays_zip(
+            F.slice(both["pieces"], F.lit(1), n).alias("before"), both["found"].alias("found"),
+            F.slice(both["pieces"], F.lit(2), n).alias("after"),
         )
-        return F.struct(end.alias("at"), (acc["n"] + 1).alias("n"), F.concat(acc["rows"], F.array(row)).alias("rows"))
+        lengths = F.transform(parts, lambda m: F.length(m["before"]) + F.length(m["found"]))
+        return F.zip_with(parts, running(lengths), row)
 
-    none = F.array().cast("array<struct<start:int,end:int,found:string,before:string,after:string>>")
-    begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), none.alias("rows"))
-    return F.aggregate(found, begin, step, lambda acc: acc["rows"])
+    cut = F.struct(
+        F.split(text, pattern, -1).alias("pieces"),
+        F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)).alias("found"),
+    )
+    return bound(cut, located)
 
 
 def _digits(m: Column) -> Column:
@@ -126,6 +169,20 @@ def _domain_known(m: Column) -> Column:
     return F.lower(F.regexp_extract(m, r"([A-Za-z]+)$", 1)).isin(TOP_DOMAINS)
 
 
+def traits(m: Column) -> Column:
+    """What the classifier sees of a match besides votes, as one number per trait, from 0."""
+    found, before, after = m["found"], m["before"], m["after"]
+    length = F.length(found)
+    word = F.lower(F.regexp_extract(before, r"(\p{L}+)[^\p{L}]*$", 1))
+    return F.array(
+        F.least(F.floor(length / 6), F.lit(5)),
+        F.floor(4 * F.length(_digits(found)) / length),
+        F.least(F.length(F.regexp_replace(found, "[A-Za-z0-9]", "")), F.lit(4)),
+        F.when(word == "", 16).otherwise(F.pmod(F.xxhash64(word), F.lit(16))),
+        F.when(after == "", 0).when(after.rlike(r"^[\p{L}0-9]"), 1).when(after.rlike(r"^\s"), 2).otherwise(3),
+    ).cast("array<tinyint>")
+
+
 def _true(m: Column) -> Column:
     return F.lit(True)
 
@@ -172,12 +229,13 @@ def candidates(text: Column) -> Column:
                     _vote(None, m["before"].rlike(COUNTER_TRIGGERS)),
                     _vote(None, m["before"].rlike(r"[\p{L}_]$") | m["after"].rlike(r"^[\p{L}_]")),
                 ).alias("votes"),
+                traits(m).alias("traits"),
             )
 
         rows = F.transform(F.filter(matches(text, rule.pattern), lambda m: rule.keep(m["found"])), row)
         return F.when(rule.within(text), rows)
 
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,base:boolean,votes:array<tinyint>>>")
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,base:boolean,votes:array<tinyint>,traits:array<tinyint>>>")
     return F.flatten(F.array(*[F.coalesce(spans(rule), none) for rule in RULES]))
 
 
@@ -210,19 +268,35 @@ def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 60) -> tuple[fl
     return share, right, posterior
 
 
-def fit(patterns: dict[tuple[int, ...], int], posterior: dict, steps: int = 300) -> list[float]:
-    """Logistic weights (bias first) on votes, trained on posteriors, by gradient with a small penalty."""
-    weights, total = [0.0] * (len(LABELERS) + 1), sum(patterns.values())
-    for _ in range(steps if total else 0):
-        gradient = [1e-3 * w for w in weights]
-        for votes, n in patterns.items():
-            z = weights[0] + sum(w * v for w, v in zip(weights[1:], votes, strict=True))
-            miss = (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - posterior[votes]) * n / total
-            gradient[0] += miss
-            for j, v in enumerate(votes):
-                gradient[j + 1] += miss * v
-        weights = [w - 1.0 * g for w, g in zip(weights, gradient, strict=True)]
-    return weights
+def inputs(votes: tuple[int, ...], shape: tuple[int, ...] = ()) -> list[float]:
+    """The classifier's inputs: votes as they are, and a place for each value of each trait."""
+    out = [float(v) for v in votes]
+    for value, size in zip(shape, TRAITS):
+        out += [float(value == k) for k in range(size)]
+    return out
+
+
+def fit(patterns: dict, posterior: dict, penalty: float = 1.0, steps: int = 40) -> list[float]:
+    """Logistic weights (bias first), trained on posteriors by Newton steps with a ridge penalty.
+
+    ``patterns`` counts votes, or pairs of votes and traits; ``posterior`` is by votes.
+    """
+    rows = [(k, ()) if not isinstance(k[0], tuple) else k for k in patterns]
+    if not rows:
+        return [0.0] * (1 + len(LABELERS) + sum(TRAITS))
+    x = np.array([[1.0, *inputs(votes, shape)] for votes, shape in rows])
+    n, p = np.array(list(patterns.values()), float), np.array([posterior[votes] for votes, _ in rows])
+    weights, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], penalty)
+    ridge[0] = 1e-3
+    for _ in range(steps):
+        q = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+        gradient = x.T @ (n * (q - p)) + ridge * weights
+        hessian = (x * (n * (q * (1 - q) + 1e-6))[:, None]).T @ x + np.diag(ridge)
+        step = np.linalg.solve(hessian, gradient)
+        weights -= step * min(1.0, 4.0 / max(np.abs(step).max(), 1e-9))
+        if np.abs(step).max() < 1e-7:
+            break
+    return weights.tolist()
 
 
 @dataclass(frozen=True)
@@ -232,15 +306,19 @@ class Model:
 
 
 def train(found: DataFrame) -> Model:
-    """Fit on the counts of (kind, votes), of which there are at most 4 x 3^6."""
+    """Fit on the counts of (kind, votes, traits): a fixed number of kinds of spans, however many there are."""
     counts = (
-        found.select(F.explode("candidates").alias("c")).groupBy("c.kind", "c.votes").count().collect()
+        found.select(F.explode("candidates").alias("c")).groupBy("c.kind", "c.votes", "c.traits").count()
+        .orderBy("kind", "votes", "traits").collect()
     )
     reliability, weights = {}, {}
     for kind in KINDS:
-        patterns = {tuple(r["votes"]): r["count"] for r in counts if r["kind"] == kind}
+        both = {(tuple(r["votes"]), tuple(r["traits"])): r["count"] for r in counts if r["kind"] == kind}
+        patterns: dict[tuple[int, ...], int] = {}
+        for (votes, _), n in both.items():
+            patterns[votes] = patterns.get(votes, 0) + n
         _, reliability[kind], posterior = estimate(patterns)
-        weights[kind] = fit(patterns, posterior)
+        weights[kind] = fit(both, posterior)
     return Model(reliability, weights)
 
 
@@ -249,8 +327,12 @@ def _score(c: Column, model: Model) -> Column:
     for kind in KINDS:
         bias, *own = model.weights[kind]
         z = F.lit(bias)
-        for j, w in enumerate(own):
-            z = z + F.element_at(c["votes"], j + 1) * F.lit(w)
+        for j in range(len(LABELERS)):
+            z = z + F.element_at(c["votes"], j + 1) * F.lit(own[j])
+        first = len(LABELERS)
+        for j, size in enumerate(TRAITS):
+            z = z + F.element_at(F.lit(own[first : first + size]), F.element_at(c["traits"], j + 1).cast("int") + 1)
+            first += size
         out = F.when(c["kind"] == kind, z) if out is None else out.when(c["kind"] == kind, z)
     return out
 
