@@ -4,8 +4,8 @@ Rows have a place on the ring by the hash of their key. The ring is cut into cel
 the next virtual node clockwise. Rows arrive in ring order; those that meet a full shard go on
 clockwise to the next virtual node whose shard has room. As only the number of rows in each cell
 matters for that, one count per cell decides where each row goes, and each row's place inside its
-cell picks the shard: one aggregate of ``CELLS`` rows and one shuffle by cell, which no key can skew
-as long as keys differ.
+cell picks the shard: one aggregate of ``CELLS`` rows and one shuffle by cell. A cell that one key has
+made hot is ranked in parts, by the hash of whole rows.
 
 Without slack the capacities add up to the number of rows, so shards differ by one row at most.
 
@@ -27,6 +27,8 @@ from kvflow.llm.common import without
 #: Cells of the ring: the most rows of the one table that is collected.
 CELLS = 1 << 14
 VIRTUAL_NODES = 128
+#: A cell is cut in parts of so many times the mean, and of so many rows at least.
+HOT_CELL, HOT_ROWS = 64, 4096
 _DIGITS = 15
 
 
@@ -84,29 +86,56 @@ def shard_rows(
     """``df`` with shard and slot; slots of a shard count from 0 without gaps.
 
     No shard gets more than ``(1 + slack)`` times the mean, rounded up. Columns of ``df`` named shard
-    or slot are replaced.
+    or slot are replaced; all others stay as they are, whatever their names.
     """
-    key = F.col(key_col)
     width = (1 << 4 * _DIGITS) // cells
     if cells & (cells - 1):
         raise ValueError("the number of cells must be a power of two")
-    cell = F.shiftright(place(key), width.bit_length() - 1).cast("int")
-    counts = {r[0]: r[1] for r in df.groupBy(cell.alias("cell")).count().collect()}
-    pieces = df.sparkSession.createDataFrame(
-        list(deal(counts, shards, slack, virtual_nodes, cells)),
-        "_cell int, _from long, _to long, shard int, _slot long",
+    columns = [F.col(f"`{c}`") for c in without(df, "shard", "slot").columns]
+    at = place(F.col(key_col))
+    # all columns as one, so that none meets the names used here
+    rows = df.select(
+        F.struct(F.lit(0).alias("_"), *columns).alias("_columns"), at.alias("_place"),
+        F.shiftright(at, width.bit_length() - 1).cast("int").alias("_cell"), F.xxhash64(*columns).alias("_hash"),
     )
-    rows = without(df, "shard", "slot", "_cell", "_from", "_to", "_slot", "_rank", "_place")
-    order = Window.partitionBy("_cell").orderBy("_place", F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]))
-    ranked = (
-        rows.withColumn("_cell", cell)
-        .withColumn("_place", place(key))
-        .withColumn("_rank", F.row_number().over(order).cast("long") - 1)
+    spark = df.sparkSession
+    counts = {r[0]: r[1] for r in rows.groupBy("_cell").count().collect()}
+    rows, firsts = _in_parts(rows, counts, cells)
+    dealt = spark.createDataFrame(
+        list(deal(counts, shards, slack, virtual_nodes, cells)), "_cell int, _from long, _to long, shard int, _slot long"
     )
-    near = F.broadcast(pieces)  # two rows per cell and one per shard at most, on average
-    return (
-        ranked.join(near, "_cell")
-        .filter("_rank >= _from AND _rank < _to")
-        .withColumn("slot", F.col("_slot") + F.col("_rank") - F.col("_from"))
-        .drop("_cell", "_place", "_rank", "_from", "_to", "_slot")
+    order = Window.partitionBy("_cell", "_part").orderBy("_place", "_hash")
+    rank = F.row_number().over(order).cast("long") - 1
+    ranked = rows.withColumn("_rank", rank)
+    if firsts:
+        first = spark.createDataFrame(firsts, "_cell int, _part int, _first long")
+        ranked = ranked.join(F.broadcast(first), ["_cell", "_part"], "left")  # a row per part of a hot cell
+        ranked = ranked.withColumn("_rank", F.col("_rank") + F.coalesce("_first", F.lit(0)))
+    near = F.broadcast(dealt)  # two rows per cell and one per shard at most, on average
+    return ranked.join(near, "_cell").filter("_rank >= _from AND _rank < _to").select(
+        *[F.col("_columns").getField(c).alias(c) for c in without(df, "shard", "slot").columns],
+        "shard", (F.col("_slot") + F.col("_rank") - F.col("_from")).alias("slot"),
     )
+
+
+def _in_parts(rows: DataFrame, counts: dict[int, int], cells: int) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+    """``rows`` with their part of the cell, and (cell, part, rank of its first row) of cells in several parts.
+
+    A cell with many times the mean, as when one key has a third of all rows, is cut by the hash of
+    whole rows, and each part is counted. Rows that are alike in all columns stay in one part.
+    """
+    most = max(HOT_CELL * sum(counts.values()) // cells, HOT_ROWS)
+    hot = {cell: -(-n // most) for cell, n in counts.items() if n > most}
+    if not hot:
+        return rows.withColumn("_part", F.lit(0)), []
+    parts = F.create_map(*(F.lit(x) for pair in hot.items() for x in pair))
+    split = F.pmod(F.xxhash64("_hash"), F.coalesce(F.try_element_at(parts, "_cell"), F.lit(1))).cast("int")
+    rows = rows.withColumn("_part", split)
+    sizes = rows.filter(F.col("_cell").isin(list(hot))).groupBy("_cell", "_part").count().collect()
+    firsts, cell, rank = [], None, 0
+    for r in sorted(sizes, key=lambda r: (r["_cell"], r["_part"])):
+        if r["_cell"] != cell:
+            cell, rank = r["_cell"], 0
+        firsts.append((cell, r["_part"], rank))
+        rank += r["count"]
+    return rows, firsts
