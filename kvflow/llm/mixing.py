@@ -85,7 +85,7 @@ def multipliers(sizes: DataFrame, goals: DataFrame, most_copies: float = 2.0, st
     """``goals`` with scale and x, the multiplier of each source, by Newton steps on all at once.
 
     The words taken rise with x, so a bracket holds the root; a step that would leave it halves it
-    instead. At the ceiling every document is taken ``most_copies`` times, at target 0 none.
+    instead, and after ``steps`` rounds all steps do, so every source is solved in the end. At the ceiling every document is taken ``most_copies`` times, at target 0 none.
     """
     top = math.log(most_copies)
     biggest = sizes.groupBy("source").agg(
@@ -107,9 +107,9 @@ def multipliers(sizes: DataFrame, goals: DataFrame, most_copies: float = 2.0, st
     state = state.withColumn("x", F.when(full, F.col("high")).otherwise(guess)).withColumn("done", full).drop("squares")
     state, path = written(state, "mix-step")
     spark = sizes.sparkSession
-    for _ in range(steps):
-        if state.filter("NOT done").isEmpty():
-            break
+    turn = 0
+    while not state.filter("NOT done").isEmpty():
+        turn += 1
         h, s = sizes.alias("h"), state.alias("s")
         rate = _rate(F.col("x"), F.col("size"), F.col("scale"), most_copies)
         words = F.col("n") * F.col("size") * rate
@@ -123,7 +123,7 @@ def multipliers(sizes: DataFrame, goals: DataFrame, most_copies: float = 2.0, st
         high = F.when(miss >= 0, F.col("x")).otherwise(F.col("high"))
         low = F.when(miss <= 0, F.col("x")).otherwise(F.col("low"))
         newton = F.col("x") - miss / F.col("slope")
-        inside = (F.col("slope") > 0) & (newton > low) & (newton < high)
+        inside = (F.col("slope") > 0) & (newton > low) & (newton < high) & F.lit(turn <= steps)
         done = (F.abs(miss) <= F.lit(1e-9) * F.greatest(F.col("target"), F.lit(1.0))) | (high - low <= 1e-12 * F.greatest(F.abs(high), F.lit(1.0)))
         done = F.col("done") | done
         last = path
