@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kvflow.llm.centroids import K, ROUNDS, cluster_vectors, with_inertia
 from kvflow.llm.chat import format_chat, loss_text, read_chat
-from kvflow.llm.common import table
+from kvflow.llm.common import stored, table
 from kvflow.llm.decontaminate import decontaminate
 from kvflow.llm.jaccard_join import gram_components
 from kvflow.llm.line_dedup import dedup_lines
@@ -151,7 +151,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_token_counts")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_sums(length_histogram(token_lengths(table(spark, sf_dir, "documents"))))
+    # stored, as the sums read it twice and every text should be encoded once
+    return suffix_sums(stored(length_histogram(token_lengths(table(spark, sf_dir, "documents"))), "token-lengths"))
 
 
 # ---------------------------------------------------------------- 7: sharding
