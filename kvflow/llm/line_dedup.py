@@ -420,11 +420,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def without_lines(docs: DataFrame, judged: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` less the lines that ``judged`` (from ``dedup_lines``) removes; null texts stay null."""
+    """``docs`` less the lines that ``judged`` (from ``dedup_lines``) removes; null texts stay null.
+
+    All other columns stay as they are, whatever their names.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.withColumn("_row", F.xxhash64(id_col, text))
-    removed = judged.select(F.col(id_col).alias("_id"), F.col("_row").alias("_own"), "removed")
-    met = keyed.join(removed, (F.col("_row") == F.col("_own")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda _, i: ~F.array_contains("removed", i))
-    done = F.when(F.size("removed") > 0, F.array_join(kept, "\n")).otherwise(F.col(text_col))
-    return met.withColumn(text_col, done).select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(
+        F.col(text_col).alias("_text"), F.struct(F.lit(0).alias("_"), *columns).alias("_columns"),
+        F.xxhash64(id_col, text).alias("_row"), F.col(id_col).alias("_id"),
+    )
+    removed = judged.select(F.col(id_col).alias("_id"), "_row", "removed")
+    same = (F.col("d._row") == F.col("r._row")) & F.col("d._id").eqNullSafe(F.col("r._id"))
+    met = keyed.alias("d").join(removed.alias("r"), same, "left")
+    kept = F.filter(F.split(F.col("_text"), "\n", -1), lambda _, i: ~F.array_contains("removed", i))
+    done = F.when(F.size("removed") > 0, F.array_join(kept, "\n")).otherwise(F.col("_text"))
+    return met.select(*[
+        done.alias(c) if c == text_col else F.col("_columns").getField(c).alias(c) for c in docs.columns
+    ])
