@@ -681,6 +681,15 @@ def whole_job(spark, sf_dir):
     )
 
 
+@query("r7_map_tasks", WORD_COUNT_SQL)
+def job_in_map_tasks(spark, sf_dir):
+    """Text files cut for eight map tasks as they are read; no record is moved before the map."""
+    lines = doc_lines(spark, sf_dir).select(records.emit("doc_id", "line"))
+    return run_job(
+        spark, text_dir(spark, lines, "r7-tasks"), Native(native_words), Native(lambda value: F.count(value)), map_tasks=8
+    )
+
+
 @query(
     "r7_native_numeric",
     f"""SELECT key, value, part FROM (SELECT CAST(strlen(word) AS VARCHAR) AS key, CAST(count(*) AS VARCHAR) AS value,
@@ -883,6 +892,21 @@ def page_index(spark, sf_dir):
     return paging.page_index(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
 
 
+@query(
+    "l2_reopened_index",
+    f"""SELECT line_no, line, byte_offset FROM (
+        SELECT line, CAST(row_number() OVER (ORDER BY doc_id, line_no) - 1 AS BIGINT) AS line_no,
+            CAST(sum(strlen(line) + 1) OVER (ORDER BY doc_id, line_no) - strlen(line) - 1 AS BIGINT) AS byte_offset
+        FROM {LINES_SQL}) WHERE byte_offset // 131072 IN (1, 2)""",
+)
+def reopened_index(spark, sf_dir):
+    """Two pages by an index that was stored before and is opened by its path."""
+    folder = scratch_path(spark, "page-index")
+    paging.FilePageIndex.build(spark, ordered_line_files(spark, sf_dir), folder, page_size=131_072)
+    index = paging.FilePageIndex(spark, folder)
+    return index.page(2).unionAll(index.page(3)).select("line_no", "line", "byte_offset")
+
+
 # the longest run of whole characters in what the cap leaves of a document
 def _capped_sql(cap: int) -> str:
     return f"""(SELECT doc_id, byte_offset, CASE WHEN strlen(text) <= {cap} - byte_offset THEN text ELSE
