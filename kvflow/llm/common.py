@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,6 +92,29 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, rows: int) -> Iterator[pa.Table]:
+    """Sorted batches as tables of whole groups, of about so many rows: rows that agree in the first ``keys`` columns."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, bool)
+        for k in range(keys):
+            column = batch.column(k).to_numpy(zero_copy_only=False)
+            new[1:] |= column[1:] != column[:-1]
+            new[0] |= bool(held) and held[-1].column(k)[-1].as_py() != column[0]
+        cuts = np.flatnonzero(new)
+        if count + batch.num_rows >= rows and len(cuts):
+            cut = int(cuts[-1])
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)], batch.schema)
+            held, count, batch = [], 0, batch.slice(cut)
+        held.append(batch)
+        count += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def text_key(text: Column) -> Column:
     """128 bits that stand for a text; null counts as empty."""
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))

@@ -16,14 +16,15 @@ only cost time. Hashes less one n-gram are indexed only where a bit map says tha
 are empty segments.
 
 The segments are those of 32-bit hashes of n-grams: n-grams that share a hash only make two sets look more alike,
-so no link is missed and less is stored. Pairs that meet in a bucket first have to pass a parity map of
-about a bit per n-gram (sets that differ in few n-grams have maps that differ in few bits), then the exact
-difference of their 32-bit hashes. What is left is verified by 64-bit hashes, made once more for these sets only;
+so no link is missed and less is stored. Pairs that meet in a bucket are compared there by a parity map of
+about a bit per n-gram (sets that differ in few n-grams have maps that differ in few bits), and only those that
+pass leave the bucket, to have the exact difference of their 32-bit hashes taken. What is left is verified by 64-bit hashes, made once more for these sets only;
 should one of these links not hold, the search goes on from the links that do.
 
 Equal sets are one node. Sets that meet in a bucket are compared until all of a bucket are in one
 component or every pair of different components that the sizes allow has been compared: first each node
-with one hub, in a few rounds, the hub being the node in most open buckets; then what is left. So near copies of one text cost about a pair each, and no link between components is missed.
+with one hub, the node in most buckets; then, in a few rounds, with one node of another component that
+passes; then with all. A bucket of very many sets is cut in blocks, and each pair of blocks is a group. So near copies of one text cost about a pair each, and no link between components is missed.
 
 Defined results: words are the longest runs of ``[^\\x20\\x09-\\x0D]``, A-Z lower-cased; a text of fewer
 words than n is one n-gram; a text without words (or null) has an empty set, which links with nothing; a component's id is
@@ -43,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kvflow.llm.common import pieces, spread, stored, written
+from kvflow.llm.common import pieces, spread, stored, whole_groups, written
 from kvflow.llm.components import components
 from kvflow.llm.words import NOT_SPACE, mix, windows, words_of
 from kvflow.sources.paths import delete_path
@@ -54,8 +55,10 @@ KEY_BYTES = 12
 #: Bits of the maps of asked hashes and of needed sets (8 MB each), and of each of the two tables of counters: one for so many
 #: n-grams, between the bounds (32 MB at most).
 ASKED_BITS, COUNTER_GRAMS, COUNTER_BITS = 26, 256, (12, 22)
-#: Rounds in which each node meets one hub.
-HUB_ROUNDS = 2
+#: Rounds in which each node is compared with one other, before all are.
+SINGLE_ROUNDS = 2
+#: Sets of one bucket that meet in one group, and rows of groups that are worked on together.
+GROUP_SETS, _GROUP_ROWS = 4096, 1 << 14
 #: n-grams that are worked on together.
 _CHUNK = 1 << 20
 _INDEX, _PROBE = 1, 2
@@ -376,40 +379,111 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- links
 
 
-def open_buckets(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """``members`` with their root, in the buckets that hold more than one root."""
-    if roots is None:
-        return members.withColumn("root", F.col("key"))
-    known = members.join(roots.select(F.col("node").alias("key"), F.col("root").alias("_to")), "key", "left")
-    known = known.withColumn("root", F.coalesce("_to", "key")).drop("_to")
-    several = known.groupBy("bucket").agg(F.min("root").alias("u"), F.max("root").alias("v")).filter("u <> v")
-    return known.join(several.select("bucket"), "bucket", "left_semi")
-
-
 def _may_link(n, m, threshold: int):
     """Whether sizes n <= m allow a link."""
     return F.lit(100) * n >= F.lit(threshold) * m
 
 
 def hub_pairs(members: DataFrame, threshold: int) -> DataFrame:
-    """(a, b): every node with one of another root in one of its buckets, the one in most of them all."""
+    """(a, b): every node with one hub of its buckets, the one that is in most buckets of all."""
     degree = members.groupBy("key").agg(F.count("*").alias("degree"))
     rows = members.join(degree, "key")
-    hub = F.struct((-F.col("degree")).alias("d"), F.col("key").alias("a"), F.col("root").alias("r"), F.col("n").alias("m"))
+    hub = F.struct((-F.col("degree")).alias("d"), F.col("key").alias("a"), F.col("n").alias("m"))
     hubs = rows.groupBy("bucket").agg(F.min(hub).alias("hub"))
-    met = rows.select("bucket", "key", "n", "root").join(hubs, "bucket").filter(
-        (F.col("root") != F.col("hub.r")) & _may_link(F.least("n", "hub.m"), F.greatest("n", "hub.m"), threshold)
+    met = rows.select("bucket", "key", "n").join(hubs, "bucket").filter(
+        (F.col("key") != F.col("hub.a")) & _may_link(F.least("n", "hub.m"), F.greatest("n", "hub.m"), threshold)
     )
     return met.groupBy("key").agg(F.min("hub").alias("hub")).select(F.col("hub.a").alias("a"), F.col("key").alias("b"))
 
 
-def all_pairs(members: DataFrame, threshold: int) -> DataFrame:
-    """(a, b): distinct pairs of different roots where one set asks for the other in some bucket."""
-    asks = members.filter("asks").select("bucket", F.col("key").alias("x"), F.col("n").alias("m"), F.col("root").alias("p"))
-    has = members.filter("indexed").select("bucket", F.col("key").alias("y"), "n", F.col("root").alias("q"))
-    met = asks.join(has, "bucket").filter((F.col("p") != F.col("q")) & (F.col("n") <= F.col("m")))
-    met = met.filter(_may_link(F.col("n"), F.col("m"), threshold))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def _folded(parity: bytes, words: int) -> np.ndarray:
+    out = np.frombuffer(parity, np.uint64)
+    while len(out) > words:
+        out = out[: len(out) // 2] ^ out[len(out) // 2 :]
+    return out
+
+
+def _meet(threshold: int, single: bool):
+    """Rows come by group (bucket, x, y) and key. Returns the pairs that sizes, roles and maps allow to link,
+    of each row the first one only if ``single``."""
+
+    def pairs(first, roles, sizes, roots, blocks, cross, maps) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        live, rank = np.arange(len(first)), 0
+        found = np.zeros(len(first), bool)
+        step = max(1, (1 << 20) // maps.shape[1])
+        while True:
+            live = live[(live - first[live] > rank) & ~found[live]]
+            if not len(live):
+                return
+            hub = first[live] + rank
+            keep = (roots[live] != roots[hub]) & (~cross[live] | (blocks[live] != blocks[hub]))
+            now, hub = live[keep], hub[keep]
+            small, large = np.minimum(sizes[now], sizes[hub]), np.maximum(sizes[now], sizes[hub])
+            # the larger one has to ask for the smaller one; of equal ones either may
+            asks = ((roles[now] & _PROBE > 0) & (roles[hub] & _INDEX > 0) & (sizes[now] >= sizes[hub])) | (
+                (roles[hub] & _PROBE > 0) & (roles[now] & _INDEX > 0) & (sizes[hub] >= sizes[now])
+            )
+            keep = asks & (100 * small >= threshold * large)
+            now, hub = now[keep], hub[keep]
+            for k in range(0, len(now), step):
+                a, b = hub[k : k + step], now[k : k + step]
+                apart = np.bitwise_count(maps[a] ^ maps[b]).sum(axis=1, dtype=np.int64)
+                good = apart <= most_apart(sizes[a] + sizes[b], threshold)
+                if good.any():
+                    yield a[good], b[good]
+                    if single:
+                        found[b[good]] = True
+            rank += 1
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, 3, _GROUP_ROWS):
+            if not table.num_rows:
+                continue
+            bucket, x, y, block, roles, sizes, roots = (table.column(k).to_numpy() for k in (0, 1, 2, 3, 5, 6, 7))
+            sizes = sizes.astype(np.int64)
+            new = np.ones(len(bucket), bool)
+            new[1:] = (bucket[1:] != bucket[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+            starts = np.flatnonzero(new)
+            lengths = np.diff(np.append(starts, len(bucket)))
+            # all maps of a group are folded to that of its least set
+            least = np.maximum(np.minimum.reduceat(sizes, starts), 64)
+            words = np.repeat((1 << np.ceil(np.log2(least)).astype(np.int64)) // 64, lengths)
+            parities = table.column(8).to_pylist()
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for size in np.unique(words).tolist():
+                at = np.flatnonzero(words == size)
+                own = new[at]
+                first = np.maximum.accumulate(np.where(own, np.arange(len(at)), 0))
+                maps = np.stack([_folded(parities[k], size) for k in at.tolist()])
+                for a, b in pairs(first, roles[at], sizes[at], roots[at], block[at], (x != y)[at], maps):
+                    left.append(at[a])
+                    right.append(at[b])
+            keys = table.column(4).combine_chunks()
+            yield pa.RecordBatch.from_arrays(
+                [keys.take(pa.array(np.concatenate(left))), keys.take(pa.array(np.concatenate(right)))], names=["a", "b"]
+            )
+
+    return task
+
+
+def met_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, threshold: int, single: bool) -> DataFrame:
+    """(a, b): pairs of different roots that may link, in all buckets that hold more than one root."""
+    known = members.join(roots.select(F.col("node").alias("key"), "root"), "key", "left")
+    known = known.withColumn("root", F.coalesce("root", "key"))
+    per = known.groupBy("bucket").agg(
+        F.ceil(F.count("*") / GROUP_SETS).cast("int").alias("blocks"), F.min("root").alias("u"), F.max("root").alias("v")
+    ).filter("u <> v").select("bucket", "blocks")
+    placed = known.join(per, "bucket").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "key",
+        F.expr(f"IF(indexed, {_INDEX}, 0) + IF(asks, {_PROBE}, 0)").alias("role"), "n", F.xxhash64("root").alias("root"),
+    )
+    rows = dealt.join(nodes.select("key", "parity"), "key").select(
+        "bucket", "x", "y", "block", "key", "role", "n", "root", "parity"
+    )
+    rows = rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "key")
+    found = rows.mapInArrow(_meet(threshold, single), "a binary, b binary")
+    return found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if single else found.distinct()
 
 
 def plausible(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
@@ -450,28 +524,30 @@ def linked(members: DataFrame, nodes: DataFrame, sets: DataFrame, exact: Callabl
     ``members`` are the rows of shared buckets, ``nodes`` (key, n, parity), ``sets`` all sets with 32-bit
     grams; ``exact`` gives the 64-bit grams of some keys.
     """
-    tested, links, roots = None, None, None
-    turn, sure = 0, False
+    tested, links, sure = None, None, False
+    roots = nodes.select(F.col("key").alias("node"), F.col("key").alias("root")).limit(0)
+    turn = 0
     while True:
-        rows = stored(open_buckets(members, roots), "gram-open")
-        pairs = hub_pairs(rows, threshold) if turn < HUB_ROUNDS else all_pairs(rows, threshold)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if turn == 0:
+            found = plausible(hub_pairs(members, threshold), nodes, threshold)
+        else:
+            found = met_pairs(members, nodes, roots, threshold, turn <= SINGLE_ROUNDS)
+        pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "gram-pairs")
         if not pairs.isEmpty():
             tested = pairs if tested is None else tested.union(pairs)
-            near = stored(plausible(pairs, nodes, threshold), "gram-plausible")
-            some = stored(stored_sets(sets, _ends(near)), "gram-sets-near")
-            found = stored(verified(near, some, nodes, threshold), "gram-links")
-            links = found if links is None else links.union(found)
+            some = stored(stored_sets(sets, _ends(pairs)), "gram-sets-near")
+            good = stored(verified(pairs, some, nodes, threshold), "gram-links")
+            links = good if links is None else links.union(good)
             roots, sure = spread(components(links)), False
-        elif turn < HUB_ROUNDS:
-            turn = HUB_ROUNDS - 1
-        if turn >= HUB_ROUNDS:
+        elif 0 < turn <= SINGLE_ROUNDS:
+            turn = SINGLE_ROUNDS
+        if turn > SINGLE_ROUNDS:
             # no pair of different components is left to compare
             if sure or links is None:
-                return roots if roots is not None else nodes.select(F.col("key").alias("node"), F.col("key").alias("root")).limit(0)
+                return roots
             good = stored(verified(links, stored(exact(_ends(links)), "gram-needed"), nodes, threshold), "gram-links")
             if good.count() == links.count():
                 return roots
