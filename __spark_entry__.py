@@ -593,7 +593,7 @@ def long_sum_reducer(key, values):
 )
 def reduce_typed_sql(spark, sf_dir):
     """Long values in, and rows out whose types the call names."""
-    reducing.register_reducer(spark, "sum_longs", long_sum_reducer)
+    reducing.register_reducer(spark, "sum_longs", long_sum_reducer, value_order=False)
     pairs = table(spark, sf_dir, "events").selectExpr("CAST(user_id AS STRING) AS key", "event_id AS value")
     pairs.createOrReplaceTempView("long_pairs")
     return spark.sql("SELECT * FROM sum_longs(TABLE(long_pairs), 'key string, n bigint, total bigint')")
