@@ -44,7 +44,7 @@ def release(spark: SparkSession) -> None:
 
 
 #: Rows of a stored table that is sent to every task instead of being shuffled; they are some hundred bytes each.
-BROADCAST_ROWS = 1 << 17
+BROADCAST_ROWS = 1 << 14
 
 
 def spread(table_: DataFrame) -> DataFrame:

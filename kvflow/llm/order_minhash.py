@@ -7,9 +7,9 @@ make them differ. Texts that agree on any of 48 sketches share a bucket. Texts o
 48 sketches of their three least single words in text order, as an edit leaves few of their runs.
 
 Texts with the same words are one node. First every node is compared with one hub, of all nodes that share a
-bucket with it and may be as long the one in most buckets; then, in a few rounds, with one node of another class
-that counts of hashed words allow. So a large group of near copies is one class after a few pairs each.
-Buckets whose nodes are not all in one class then have all their pairs of different classes compared by these counts, which never exclude a pair that is alike; a node returns the
+bucket with it and may be as long the one in most buckets, so that a large group of near copies is one class
+after about a pair each. Buckets whose nodes are not all in one class then have all their pairs of different
+classes compared by counts of hashed words, which never exclude a pair that is alike; a node returns the
 earliest nodes it may be like, 16 at first, and buckets in which a node may be like more come again
 with more until none is left. So a bucket gives all links between its classes, and a large group of
 near copies no square of pairs. Buckets with many nodes are cut into blocks, and each pair of blocks
@@ -51,8 +51,6 @@ SHORT, LONG, SHORT_LEAST = 40, 32, 3
 BINS = 128
 #: Nodes of one bucket that meet in one group, and candidates that a node returns in the first round.
 GROUP_NODES, FIRST, MORE = 4096, 16, 16
-#: Rounds in which every node is compared with one other, before buckets are settled.
-SINGLE_ROUNDS = 2
 #: Bits of the map of nodes whose words are needed: 8 MB.
 NEED_BITS = 26
 #: Pairs of one representative that are aligned in one go, and salts of a representative's pairs.
@@ -397,8 +395,10 @@ def verified(pairs: DataFrame, words: DataFrame, similarity: float = SIMILARITY)
     of its words, so that no representative fills a task.
     """
     per = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_PAIRS).cast("int").alias("salts"))
-    per = spread(stored(per, "near-salts"))
-    salted = pairs.join(per, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
+    per = stored(per, "near-salts")
+    many = spread(stored(per.filter("salts > 1"), "near-many"))
+    salts = F.coalesce("salts", F.lit(1))
+    salted = pairs.join(many, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), salts).cast("int"))
     others = salted.join(words, F.col("b") == F.col("_key")).select("a", "b", "words", "salt")
     own = per.join(words, F.col("a") == F.col("_key")).select(
         "a", F.lit(None).cast("binary").alias("b"), "words",
@@ -439,10 +439,6 @@ def linked(rows: DataFrame, docs: DataFrame, text_col: str, similarity: float) -
         return True
 
     compared(hub_pairs(members, nodes, similarity), by_counts=False)
-    for _ in range(SINGLE_ROUNDS):
-        met = stored(met_pairs(members, nodes, roots, similarity, 1), "near-met")
-        if not compared(met.groupBy("b").agg(F.min("a").alias("a"))):
-            break
     most = FIRST
     while True:
         met = stored(met_pairs(members, nodes, roots, similarity, most), "near-met")
