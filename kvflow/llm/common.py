@@ -52,6 +52,24 @@ def spread(table_: DataFrame) -> DataFrame:
     return F.broadcast(table_) if table_.count() <= BROADCAST_ROWS else table_
 
 
+def in_block_pairs(rows: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
+    """``rows`` of buckets that are in ``sizes`` (bucket, blocks), with columns x, y, block.
+
+    A bucket in several blocks, by the hash of column ``key``, is dealt over its pairs of blocks (x <= y);
+    the rows of all others, nearly all, are there once.
+    """
+    sizes = stored(sizes, "block-sizes")
+    placed = rows.join(sizes, "bucket")
+    if sizes.filter("blocks > 1").isEmpty():
+        zero = F.lit(0)
+        return placed.withColumns({"x": zero, "y": zero, "block": zero}).drop("blocks")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumns(
+        {"x": F.least("block", "_other"), "y": F.greatest("block", "_other")}
+    ).drop("_other", "blocks")
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` less the columns whose names, in any case, an operator wants for its results."""
     taken = {n.lower() for n in names}

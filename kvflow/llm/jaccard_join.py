@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kvflow.llm.common import pieces, spread, stored, whole_groups, written
+from kvflow.llm.common import in_block_pairs, pieces, spread, stored, whole_groups, written
 from kvflow.llm.components import components
 from kvflow.llm.words import NOT_SPACE, mix, windows, words_of
 from kvflow.sources.paths import delete_path
@@ -473,10 +473,9 @@ def met_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, threshold:
     per = known.groupBy("bucket").agg(
         F.ceil(F.count("*") / GROUP_SETS).cast("int").alias("blocks"), F.min("root").alias("u"), F.max("root").alias("v")
     ).filter("u <> v").select("bucket", "blocks")
-    placed = known.join(per, "bucket").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "key",
-        F.expr(f"IF(indexed, {_INDEX}, 0) + IF(asks, {_PROBE}, 0)").alias("role"), "n", F.xxhash64("root").alias("root"),
+    dealt = in_block_pairs(known, per, "key").select(
+        "bucket", "x", "y", "block", "key", F.expr(f"IF(indexed, {_INDEX}, 0) + IF(asks, {_PROBE}, 0)").alias("role"),
+        "n", F.xxhash64("root").alias("root"),
     )
     rows = dealt.join(nodes.select("key", "parity"), "key").select(
         "bucket", "x", "y", "block", "key", "role", "n", "root", "parity"

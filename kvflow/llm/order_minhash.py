@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kvflow.llm.alignment import alike
-from kvflow.llm.common import lists, map_batches, pieces, spread, stored
+from kvflow.llm.common import in_block_pairs, lists, map_batches, pieces, spread, stored
 from kvflow.llm.components import components
 from kvflow.llm.words import Words, mix, windows, words_of
 
@@ -308,11 +308,7 @@ def met_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, similarity
     per = known.groupBy("bucket").agg(
         F.ceil(F.count("*") / GROUP_NODES).cast("int").alias("blocks"), F.min("root").alias("u"), F.max("root").alias("v")
     ).filter("u <> v").select("bucket", "blocks")
-    placed = known.join(per, "bucket").withColumn("block", F.pmod(F.xxhash64("_key"), F.col("blocks")).cast("int"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "_key",
-        F.xxhash64("root").alias("root"),
-    )
+    dealt = in_block_pairs(known, per, "_key").withColumn("root", F.xxhash64("root"))
     rows = dealt.join(nodes.select("_key", "_size", "_bins"), "_key").select(
         "bucket", "x", "y", "block", "_key", "root", "_size", "_bins"
     )
