@@ -17,7 +17,7 @@ are empty segments.
 
 The segments are those of 32-bit hashes of n-grams: n-grams that share a hash only make two sets look more alike,
 so no link is missed and less is stored. Pairs that meet in a bucket are compared there by a parity map of
-about a bit per n-gram (sets that differ in few n-grams have maps that differ in few bits), and only those that
+a few bits per n-gram (sets that differ in few n-grams have maps that differ in few bits), and only those that
 pass leave the bucket, to have the exact difference of their 32-bit hashes taken. What is left is verified by 64-bit hashes, made once more for these sets only;
 should one of these links not hold, the search goes on from the links that do.
 
@@ -50,13 +50,15 @@ from kvflow.llm.words import NOT_SPACE, mix, windows, words_of
 from kvflow.sources.paths import delete_path
 
 NGRAM, THRESHOLD = 4, 85
+#: Bits of a set's parity map, for each of its n-grams.
+MAP_BITS = 4
 #: Bytes of a set's key.
 KEY_BYTES = 12
 #: Bits of the maps of asked hashes and of needed sets (8 MB each), and of each of the two tables of counters: one for so many
 #: n-grams, between the bounds (32 MB at most).
 ASKED_BITS, COUNTER_GRAMS, COUNTER_BITS = 26, 256, (12, 22)
 #: Rounds in which each node is compared with one other, before all are.
-SINGLE_ROUNDS = 2
+SINGLE_ROUNDS = 1
 #: Sets of one bucket that meet in one group, and rows of groups that are worked on together.
 GROUP_SETS, _GROUP_ROWS = 4096, 1 << 14
 #: n-grams that are worked on together.
@@ -96,8 +98,11 @@ def _key(grams: np.ndarray) -> bytes | None:
 
 
 def parity_map(grams: np.ndarray) -> bytes:
-    """A bit for each residue of the grams' hashes, set if an odd number has it; a power of two, at least n."""
-    bits = max(64, 1 << (len(grams) - 1).bit_length())
+    """A bit for each residue of the grams' hashes, set if an odd number has it; a power of two, at least 4 n.
+
+    So of two sets that differ in a fifth of their grams a tenth of the differing bits meet and are lost.
+    """
+    bits = max(64, MAP_BITS << (len(grams) - 1).bit_length())
     slots = (mix(grams ^ _U(0x2545F4914F6CDD1D)) & _U(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(slots, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -446,8 +451,8 @@ def _meet(threshold: int, single: bool):
             starts = np.flatnonzero(new)
             lengths = np.diff(np.append(starts, len(bucket)))
             # all maps of a group are folded to that of its least set
-            least = np.maximum(np.minimum.reduceat(sizes, starts), 64)
-            words = np.repeat((1 << np.ceil(np.log2(least)).astype(np.int64)) // 64, lengths)
+            least = np.minimum.reduceat(sizes, starts)
+            words = np.repeat(np.maximum((MAP_BITS << np.ceil(np.log2(least)).astype(np.int64)) // 64, 1), lengths)
             parities = table.column(8).to_pylist()
             left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for size in np.unique(words).tolist():
@@ -514,7 +519,7 @@ def verified(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, threshold: int
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    return pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
 
 
 def linked(members: DataFrame, nodes: DataFrame, sets: DataFrame, exact: Callable[[DataFrame], DataFrame], threshold: int) -> DataFrame:
