@@ -51,7 +51,7 @@ from kvflow.sources.paths import delete_path
 
 NGRAM, THRESHOLD = 4, 85
 #: Bits of a set's parity map, for each of its n-grams.
-MAP_BITS = 4
+MAP_BITS = 1
 #: Bytes of a set's key.
 KEY_BYTES = 12
 #: Bits of the maps of asked hashes and of needed sets (8 MB each), and of each of the two tables of counters: one for so many
@@ -98,10 +98,7 @@ def _key(grams: np.ndarray) -> bytes | None:
 
 
 def parity_map(grams: np.ndarray) -> bytes:
-    """A bit for each residue of the grams' hashes, set if an odd number has it; a power of two, at least 4 n.
-
-    So of two sets that differ in a fifth of their grams a tenth of the differing bits meet and are lost.
-    """
+    """A bit for each residue of the grams' hashes, set if an odd number has it; a power of two of at least n times MAP_BITS."""
     bits = max(64, MAP_BITS << (len(grams) - 1).bit_length())
     slots = (mix(grams ^ _U(0x2545F4914F6CDD1D)) & _U(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(slots, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
