@@ -4,7 +4,7 @@ Rows are decided once the watermark, the newest time seen less ``lateness``, is
 they wait. So the number and the order of micro-batches do not change a decision. Rows that come after
 their time was decided are returned too, with ``late`` true and ``accepted`` NULL.
 
-``admit_stream`` keeps its state per user in the state store and decides with low delay.
+``admit_stream`` keeps its state per group of users in the state store and decides with low delay.
 ``admit_batches`` decides each micro-batch with the batch operator, which shares a user with very many
 rows among tasks, and keeps its state as a table; ``finish_batches`` decides what still waits when the
 stream has come to its end. To let ``admit_stream`` decide all, end the stream with a row of a user of
@@ -31,8 +31,17 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 _TIME = "kv_micros"
 
 
-#: A user's waiting rows are kept in so many buckets of time for each span of lateness.
+#: Users share state keys by a hash, so that Spark hands over and stores many short histories at a time. A
+#: running stream's users stay where they are, so this number does not follow the session.
+GROUPS = 1024
+#: Waiting rows are stored in slices of time. A slice ends after so many rows, or with a bucket, of which
+#: there are so many for each span of lateness, once it has the least number of rows.
+SLICE_ROWS, SLICE_LEAST = 4096, 256
 BUCKETS = 64
+#: Rows and frames, as Spark hands them over, that are brought into order at a time.
+ORDER_ROWS = 1 << 16
+ORDER_FRAMES = 8
+_USER, _GROUP = "kv_user", "kv_group"
 
 
 def _packed(frame: pd.DataFrame) -> bytes:
@@ -48,47 +57,60 @@ def _unpacked(value: bytes) -> pd.DataFrame:
 
 
 class _Facts:
-    """What a user's state says besides the waiting rows: read and written as one value."""
+    """What a key's state says besides the waiting rows: read and written as one value."""
 
     SCHEMA = T.StructType([
-        T.StructField("accepted", T.ArrayType(T.LongType())),  # latest accepted times, as many as attempts
+        T.StructField("accepted", T.BinaryType()),  # latest accepted times by user, a frame
         T.StructField("timer", T.LongType()),  # milliseconds of the timer that is set
-        T.StructField("buckets", T.ArrayType(T.LongType())),  # of waiting rows: number, frames, least time
-        T.StructField("frames", T.ArrayType(T.IntegerType())),
+        T.StructField("slices", T.ArrayType(T.LongType())),  # of waiting rows: number, least time
         T.StructField("firsts", T.ArrayType(T.LongType())),
     ])
 
     def __init__(self, value: tuple | None):
-        accepted, self.timer, buckets, frames, firsts = value or ([], None, [], [], [])
-        self.accepted = list(accepted)
-        self.waiting = {b: (n, t) for b, n, t in zip(buckets, frames, firsts)}
+        self.accepted, self.timer, slices, firsts = value or (None, None, [], [])
+        self.waiting = dict(zip(slices, firsts))
 
     def value(self) -> tuple | None:
         if not (self.accepted or self.waiting or self.timer is not None):
             return None
-        frames, firsts = ([w[k] for w in self.waiting.values()] for k in (0, 1))
-        return self.accepted, self.timer, list(self.waiting), frames, firsts
+        return self.accepted, self.timer, list(self.waiting), list(self.waiting.values())
+
+    def accepted_times(self, attempts: int) -> dict[str | None, deque]:
+        out: dict[str | None, deque] = {}
+        if self.accepted:
+            frame = _unpacked(self.accepted)
+            for user, t in zip(frame[_USER].tolist(), frame[_TIME].tolist()):
+                out.setdefault(user, deque(maxlen=attempts)).append(t)
+        return out
+
+    def keep_accepted(self, accepted: dict[str | None, deque], horizon: int) -> int | None:
+        """Keep the times from ``horizon`` on; returns the newest."""
+        alive = [(user, t) for user, times in accepted.items() for t in times if t >= horizon]
+        users, times = [user for user, _ in alive], [t for _, t in alive]
+        frame = pd.DataFrame({_USER: pd.Series(users, dtype="object"), _TIME: pd.Series(times, dtype="int64")})
+        self.accepted = _packed(frame) if alive else None
+        return max(times) if alive else None
 
 
 class _Admission(StatefulProcessor):
-    """State of a user: waiting rows in buckets of time, and what ``_Facts`` says.
+    """State of a key, one user or a group of them: waiting rows in slices of time, and what ``_Facts`` says.
 
-    The frames of a micro-batch are added to their buckets without reading what is there; a timer reads
-    the buckets that the watermark has reached, and of these only the last can hold rows that still wait.
+    The rows of a micro-batch are added as slices of their own, without reading what is there; a timer
+    reads the slices that the watermark has reached, and stores again what of these must still wait.
     """
 
-    def __init__(self, row: T.StructType, order_by: list[str], attempts: int, window: int, width: int):
-        self.row, self.order_by = row, order_by
+    def __init__(self, row: T.StructType, order_by: list[str], attempts: int, window: int, width: int, user: str | None = None):
+        self.row, self.order_by, self.user = row, order_by, user
         self.attempts, self.window, self.width = attempts, window, width
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.facts = handle.getValueState("facts", _Facts.SCHEMA)
-        name = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("frame", T.IntegerType())])
+        name = T.StructType([T.StructField("slice", T.LongType())])
         self.waiting = handle.getMapState("waiting", name, T.StructType([T.StructField("rows", T.BinaryType())]))
 
     def _save(self, facts: _Facts, wake: int | None) -> None:
-        """Write the facts, with one timer per user: it moves only if it must fire earlier or has fired."""
+        """Write the facts, with one timer per key: it moves only if it must fire earlier or has fired."""
         at = None if wake is None else wake // 1000 + 1
         if facts.timer is not None and (at is None or at < facts.timer):
             self.handle.deleteTimer(facts.timer)
@@ -102,24 +124,45 @@ class _Admission(StatefulProcessor):
         else:
             self.facts.update(value)
 
-    def _add(self, facts: _Facts, bucket: int, frame: pd.DataFrame) -> None:
-        count, first = facts.waiting.get(bucket, (0, None))
-        self.waiting.updateValue((bucket, count), (_packed(frame),))
-        least = int(frame[_TIME].min())
-        facts.waiting[bucket] = (count + 1, least if first is None else min(first, least))
-
-    def _take(self, facts: _Facts, bucket: int) -> pd.DataFrame:
-        frames = []
-        for k in range(facts.waiting.pop(bucket)[0]):
-            frames.append(_unpacked(self.waiting.getValue((bucket, k))[0]))
-            self.waiting.removeKey((bucket, k))
-        return pd.concat(frames) if len(frames) > 1 else frames[0]
+    def _add(self, facts: _Facts, frames: list[pd.DataFrame]) -> None:
+        frame = (pd.concat(frames) if len(frames) > 1 else frames[0]).sort_values(_TIME, kind="stable")
+        number = max(facts.waiting, default=-1) + 1
+        edges = np.flatnonzero(np.diff(frame[_TIME].to_numpy(np.int64) // self.width)) + 1
+        begin = 0
+        while begin < len(frame):
+            ends = edges[np.searchsorted(edges, begin + SLICE_LEAST) :][:1].tolist()
+            part = frame.iloc[begin : min([begin + SLICE_ROWS, *ends])]
+            self.waiting.updateValue((number,), (_packed(part),))
+            facts.waiting[number] = int(part[_TIME].iloc[0])
+            number, begin = number + 1, begin + len(part)
+
+    def _take(self, facts: _Facts, number: int) -> pd.DataFrame:
+        frame = _unpacked(self.waiting.getValue((number,))[0])
+        self.waiting.removeKey((number,))
+        del facts.waiting[number]
+        return frame
+
+    def _decide(self, due: pd.DataFrame, accepted: dict[str | None, deque]) -> pd.DataFrame:
+        due = due.sort_values([_TIME, *self.order_by], kind="stable")
+        if self.user is None:
+            codes, users = np.zeros(len(due), dtype=np.int64), [None]
+        else:
+            codes, users = pd.factorize(due[self.user], use_na_sentinel=False)
+        place = np.argsort(codes, kind="stable")
+        times, outcome = due[_TIME].to_numpy(np.int64)[place], np.zeros(len(due), dtype=bool)
+        begin = 0
+        for user, n in zip(users, np.bincount(codes, minlength=len(users)).tolist()):
+            past = accepted.setdefault(user if type(user) is str else None, deque(maxlen=self.attempts))
+            outcome[place[begin : begin + n]] = walk(times[begin : begin + n].tolist(), past, self.window)
+            begin += n
+        return due.assign(accepted=outcome, late=False)
 
     def handleInputRows(self, key, rows, timerValues):
         # Spark's first watermark is 0; nothing was decided before it
         decided_to = timerValues.getCurrentWatermarkInMs() * 1000
-        facts, changed = None, False
+        facts, held = None, []
         for frame in rows:
+            frame = frame.drop(columns=_GROUP, errors="ignore")
             untimed = frame[_TIME].isna()
             late = frame[_TIME] < decided_to
             for some, tardy in ((untimed, False), (late, True)):
@@ -128,28 +171,41 @@ class _Admission(StatefulProcessor):
                     yield out.assign(accepted=pd.Series(None, index=out.index, dtype="boolean"), late=tardy)
             keep = frame[~late & ~untimed].astype({_TIME: "int64"})
             if len(keep):
-                facts, changed = facts or _Facts(self.facts.get()), True
-                for bucket, part in keep.groupby(keep[_TIME] // self.width):
-                    self._add(facts, int(bucket), part)
-        if changed:
-            self._save(facts, min(first for _, first in facts.waiting.values()))
+                facts = facts or _Facts(self.facts.get())
+                held.append(keep)
+                if len(held) == ORDER_FRAMES:
+                    self._add(facts, held)
+                    held = []
+        if held:
+            self._add(facts, held)
+        if facts is not None:
+            self._save(facts, min(facts.waiting.values()))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         facts = _Facts(self.facts.get())
         facts.timer = None
         decided_to = timerValues.getCurrentWatermarkInMs() * 1000
-        accepted = deque(facts.accepted, maxlen=self.attempts)
-        for bucket in sorted(b for b, (_, first) in facts.waiting.items() if first < decided_to):
-            frame = self._take(facts, bucket)
-            due = frame[frame[_TIME] < decided_to].sort_values([_TIME, *self.order_by], kind="stable")
-            if len(due) < len(frame):
-                self._add(facts, bucket, frame[frame[_TIME] >= decided_to])
-            outcome = walk(due[_TIME].astype(np.int64).tolist(), accepted, self.window)
-            yield due.assign(accepted=outcome, late=False)
-        facts.accepted = [t for t in accepted if t >= decided_to - self.window]
+        accepted = facts.accepted_times(self.attempts)
+        slices = sorted((first, number) for number, first in facts.waiting.items() if first < decided_to)
+        frames, old, new = [], 0, 0  # rows in hand, and how many of them are from before
+        for following, (_, number) in enumerate(slices, 1):
+            frames.append(self._take(facts, number))
+            new += len(frames[-1])
+            if following < len(slices) and new < max(old, ORDER_ROWS):
+                continue
+            # no slice still to be read has rows before its first
+            until = slices[following][0] if following < len(slices) else decided_to
+            frame = pd.concat(frames) if len(frames) > 1 else frames[0]
+            due = frame[_TIME] < until
+            if due.any():
+                yield self._decide(frame[due], accepted)
+            frames, old, new = [frame[~due]], len(frame) - int(due.sum()), 0
+        if old:
+            self._add(facts, frames)
+        newest = facts.keep_accepted(accepted, decided_to - self.window)
         # the next row to decide, or the time from which nothing accepted counts any more
-        waits = [first for _, first in facts.waiting.values()]
-        self._save(facts, min(waits) if waits else facts.accepted[-1] + self.window if facts.accepted else None)
+        waits = min(facts.waiting.values(), default=None)
+        self._save(facts, waits if waits is not None else newest + self.window if newest is not None else None)
 
     def close(self) -> None:
         pass
@@ -166,26 +222,36 @@ def admit_stream(
 ) -> DataFrame:
     """Add ``accepted`` and ``late`` to a stream, by the rule of the batch form.
 
-    A user's waiting rows, those of the last ``lateness``, are in the state store by buckets of time and
-    are ordered bucket by bucket when their time has come. Rows without a time are returned at once, with
-    ``accepted`` NULL and ``late`` false. The session needs the RocksDB state store (``STATE_STORE``).
+    Waiting rows, those of the last ``lateness``, are in the state store by slices of time and are ordered
+    slice by slice when their time has come. Users named by text, whole numbers or booleans are dealt by a
+    hash over ``GROUPS`` keys of state, so that the work grows with rows rather than with users; users of
+    other types have a key each. Rows without a time are returned at once, with ``accepted`` NULL and
+    ``late`` false. The session needs the RocksDB state store (``STATE_STORE``).
     """
-    kind = sdf.schema[ts].dataType
-    others = [f for f in sdf.schema if f.name != ts]
+    kind, user_kind = sdf.schema[ts].dataType, sdf.schema[user].dataType
+    grouped = user_kind == T.StringType() or isinstance(user_kind, (T.IntegralType, T.BooleanType))
+    others = [f for f in sdf.schema if f.name != ts and not (grouped and f.name == user)]
     row = T.StructType([*others, T.StructField(_TIME, T.LongType())])
+    if grouped:  # pandas would make numbers with a NULL among them floats
+        row = row.add(_USER, T.StringType())
     out = T.StructType([*row, T.StructField("accepted", T.BooleanType()), T.StructField("late", T.BooleanType())])
+    order = [c for c in order_by or [] if not (grouped and c == user)]
     span = F.unix_micros(F.expr(f"timestamp_micros(0) + INTERVAL {lateness}"))
     width = max(sdf.sparkSession.range(1).select(span).first()[0] // BUCKETS, 1_000_000)
-    processor = _Admission(row, list(order_by or []), attempts, window_micros(minutes), width)
+    processor = _Admission(row, order, attempts, window_micros(minutes), width, _USER if grouped else None)
     # as a number the time carries no watermark, so that Spark hands late rows over
-    rows = sdf.withWatermark(ts, lateness).select(*[f.name for f in others], _micros(ts, kind).alias(_TIME))
-    decided = rows.groupBy(F.col(user)).transformWithStateInPandas(
+    named = [F.col(user).cast("string").alias(_USER), F.pmod(F.hash(user), F.lit(GROUPS)).alias(_GROUP)]
+    rows = sdf.withWatermark(ts, lateness).select(
+        *[f.name for f in others], _micros(ts, kind).alias(_TIME), *named * grouped
+    )
+    decided = rows.groupBy(_GROUP if grouped else user).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=out, outputMode="append", timeMode="eventTime",
     )
     back = F.timestamp_micros(_TIME)
     if isinstance(kind, T.TimestampNTZType):
         back = F.timestamp_micros(_TIME).cast("timestamp_ntz")
-    return decided.select(*[back.alias(ts) if c == ts else F.col(c) for c in sdf.columns], "accepted", "late")
+    made = {ts: back.alias(ts)} | ({user: F.col(_USER).cast(user_kind).alias(user)} if grouped else {})
+    return decided.select(*[made.get(c, F.col(c)) for c in sdf.columns], "accepted", "late")
 
 
 def _micros(ts: str, kind: T.DataType):
