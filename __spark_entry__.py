@@ -1330,6 +1330,9 @@ def find_many(spark, sf_dir):
 # ---------------------------------------------------------------- streaming
 
 
+ARRIVING_ROWS = 8_000_000  # of a file of a stretch of days
+
+
 def event_files(spark, sf_dir, shuffled: bool) -> str:
     """The events as a folder of files that follow each other, in order of time or far from it.
 
@@ -1343,8 +1346,13 @@ def event_files(spark, sf_dir, shuffled: bool) -> str:
         # a file has rows of two neighbouring stretches of five days, so half of them come late
         first = events.agg(F.min(F.unix_date(F.to_date("ts")))).first()[0]
         part = F.floor((F.unix_date(F.to_date("ts")) - first) / 5) + F.pmod(F.xxhash64("event_id"), F.lit(2))
-        for (k,) in sorted(events.select(part).distinct().collect()):
-            events.filter(part == k).write.parquet(f"{out}/{k + 10}")
+        # the table is cut once; files are written in order, as many as their rows need and not as tasks read them
+        made = scratch_path(spark, "stretches")
+        events.withColumn("part", part).write.partitionBy("part").parquet(made)
+        cut = spark.read.schema(events.schema.add("part", "long")).parquet(made)
+        for k, n in sorted(map(tuple, cut.groupBy("part").count().collect()), key=lambda row: row[0] or 0):
+            stretch = cut.filter(F.col("part").eqNullSafe(k)).drop("part").coalesce(-(-n // ARRIVING_ROWS))
+            stretch.write.parquet(f"{out}/{0 if k is None else k + 10}")
     else:
         events.write.parquet(f"{out}/0")
     end = events.agg((F.max("ts") + F.expr("INTERVAL 1000 DAYS")).alias("ts"))

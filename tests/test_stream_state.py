@@ -2,7 +2,10 @@
 
 import random
 from collections import deque
+from datetime import datetime, timedelta
+from pathlib import Path
 
+import __spark_entry__ as entry
 import pandas as pd
 from pyspark.sql import types as T
 
@@ -86,3 +89,17 @@ def test_slices_with_the_same_times_are_decided_in_order(monkeypatch):
     for out in fire(group, 10**9):
         got |= dict(zip(out["id"].tolist(), out["accepted"].tolist()))
     assert len(got) == 400 and {i for i, yes in got.items() if yes} == {0, 10, 5, 15}
+
+
+def test_a_table_of_many_files_arrives_as_few(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    rows = [(i, i % 7, start + timedelta(hours=i)) for i in range(600)] + [(None, 3, start), (601, None, start)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp")
+    df.repartition(6).write.parquet(f"{tmp_path}/events.parquet")
+    out = entry.event_files(spark, str(tmp_path), True)
+    files = sorted(str(p) for p in Path(out.removeprefix("file:")).glob("*/part-*"))
+    assert len(files) == 7  # six stretches and the closing row
+    arrived = spark.read.parquet(f"{out}/*").filter("event_id IS NULL OR event_id >= 0")
+    assert sorted(map(str, arrived.collect())) == sorted(map(str, df.collect()))
+    firsts = [spark.read.parquet(f).agg({"ts": "min"}).first()[0] for f in files]
+    assert firsts == sorted(firsts)
