@@ -21,7 +21,7 @@ OUT_ROWS = 16_384
 OUT_CHARS = 8 << 20
 STEP_ROWS = 128  # rows between two looks at these sizes, at most
 # Pairs, and characters of text in them, a task holds for its combiner before it folds them.
-COMBINE_ROWS = 200_000
+COMBINE_ROWS = 500_000
 COMBINE_CHARS = 64 << 20
 
 
@@ -70,16 +70,17 @@ def combined(pairs: Iterable[tuple], combiner: Combiner, records: Callable) -> I
         return len(value) if type(value) is str else 8
 
     def fold():
-        # a single pair has nothing to be folded with
+        # a single pair has nothing to be folded with; a folded one may come back under its key
         out = {key: values for key, values in groups.items() if len(values) == 1}
-        calls = (combiner(k, iter(v)) or () for k, v in groups.items() if len(v) > 1)
+        several = [(key, values) for key, values in groups.items() if len(values) > 1]
+        calls = (combiner(key, iter(values)) or () for key, values in several)
         for key, value in records(chain.from_iterable(calls)):
             if key in out:
                 out[key].append(value)
             else:
                 out[key] = [value]
         n = sum(map(len, out.values()))
-        return out, n, sum(map(size, out)) + sum(size(v) for values in out.values() for v in values)
+        return out, n, sum(map(size, out)) + sum(map(size, chain.from_iterable(out.values())))
 
     for key, value in pairs:
         if key in groups:
@@ -156,8 +157,14 @@ def map_kv(
     return kv.mapInArrow(task, schema)
 
 
-def combine_kv(kv: DataFrame, combiner: Combiner) -> DataFrame:
-    """Fold equal keys inside each task, so that a hot key is small before it is shuffled."""
+def combine_kv(kv: DataFrame, combiner: Combiner, across: bool = False) -> DataFrame:
+    """Fold equal keys inside each task, so that a hot key is small before it is shuffled.
+
+    With ``across`` the pairs are dealt and sorted by key first, so that what several tasks left of a
+    key is folded too; fold inside the tasks before that.
+    """
+    if across:
+        kv = kv.select("key", "value").repartition("key").sortWithinPartitions("key")
     schema = f"key string, value {kv.schema['value'].dataType.simpleString()}"
     arrow_schema = to_arrow_schema(T.StructType.fromDDL(schema))
     records = emitter(schema, "\t", 1)
