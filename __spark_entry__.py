@@ -575,7 +575,7 @@ def reduce_words(spark, sf_dir):
 def reduce_words_sql(spark, sf_dir):
     reducing.register_reducer(spark, "sum_values", sum_reducer, value_order=True)
     mapped = mapping.map_kv(doc_pairs(spark, sf_dir), word_mapper, combiner=sum_reducer)
-    mapped.createOrReplaceTempView("word_pairs")
+    mapping.combine_kv(mapped, sum_reducer, across=True).createOrReplaceTempView("word_pairs")
     return spark.sql("SELECT * FROM sum_values(TABLE(word_pairs))")
 
 

@@ -31,6 +31,7 @@ from kvflow.operators.shuffle import shuffle
 
 Reducer = Callable[[str, Iterable], Iterable[tuple]]
 
+GROUPS_A_PARTITION = 32  # groups of keys that a table function asks for, for each shuffle partition
 _FED_ROWS = 1024  # pairs handed to the reducers' thread, and rows from it, at a time
 
 _VALUE_TYPES = {
@@ -202,12 +203,15 @@ def register_reducer(
     It is called as by ``reduce_kv``, with a single-pass stream of values per key, and its rows have
     ``schema``, or that of the call: ``SELECT * FROM name(TABLE(kv), 'key string, total bigint')``. With
     ``value_order`` true or false the function itself asks for its rows: dealt by a hash of the key over
-    as many groups as there are shuffle partitions, in order of key, and of value if true; all keys of
+    32 groups for each shuffle partition, in order of key, and of value if true; all keys of
     a group pass through one thread. Without it the call says ``TABLE(kv) PARTITION BY key [ORDER BY
     value]``, and each key has a thread of its own, which costs far more where keys are many.
-    A key's rows go to one task: fold them first (``combine_kv``) where a key may be hot.
+    A key's rows go to one task: fold them first (``combine_kv``) where a key may be hot. Spark hands a
+    table function one row at a time, at a high price: fold what tasks left of the same keys as well
+    (``combine_kv`` with ``across``) where that is much.
     """
-    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Spark deals groups by a hash of their numbers: of few groups some partitions get several, others none
+    groups = GROUPS_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     registered = T.StructType.fromDDL(schema)
     as_text, as_rows = emitter(KV_DDL, "\t", 1), emitter("key bigint", "\t", 1)
     pairs_of_text = T.StructType.fromDDL(KV_DDL)
