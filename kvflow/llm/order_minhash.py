@@ -8,11 +8,13 @@ make them differ. Texts that agree on any of 48 sketches share a bucket. Texts o
 
 Texts with the same words are one node. First every node is compared with one hub, of all nodes that share a
 bucket with it and may be as long the one in most buckets, so that a large group of near copies is one class
-after about a pair each. Buckets whose nodes are not all in one class then have all their pairs of different
-classes compared by counts of hashed words, which never exclude a pair that is alike; a node returns the
-earliest nodes it may be like, 16 at first, and buckets in which a node may be like more come again
-with more until none is left. So a bucket gives all links between its classes, and a large group of
-near copies no square of pairs. Buckets with many nodes are cut into blocks, and each pair of blocks
+after about a pair each. A group that no hub joins, as its nodes are only just alike, is joined in a few rounds in
+which each node is compared with a few nodes of other classes, others in each round. Buckets whose nodes are not
+all in one class then have all their pairs of different classes compared by counts of hashed words, which never
+exclude a pair that is alike. Nodes that may be like another one meet again with their words and are aligned
+inside the bucket, which returns no pairs but links, fewer than it has nodes; a pair is aligned in one of the buckets
+that it shares. So a bucket gives all links between its classes, and rows do not grow with the square of a
+group, though the comparisons of nodes that stay apart do. Buckets with many nodes are cut into blocks, and each pair of blocks
 is a group of its own. A pair is linked if its word alignment, in a band no wider than the edits
 allowed, has a similarity of at least 0.8: ``1 - edits / longer length``. Classes are the connected
 components.
@@ -26,17 +28,19 @@ id is its least doc_id (null if all are null); repeated ids are rows of their ow
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kvflow.llm.alignment import alike
-from kvflow.llm.common import in_block_pairs, lists, map_batches, pieces, spread, stored
+from kvflow.llm.common import in_block_pairs, lists, map_batches, pieces, spread, stored, whole_groups
 from kvflow.llm.components import components
 from kvflow.llm.words import Words, mix, windows, words_of
 
@@ -49,8 +53,13 @@ SIMILARITY = 0.8
 SHORT, LONG, SHORT_LEAST = 40, 32, 3
 #: Counts of hashed words by which pairs are ruled out.
 BINS = 128
-#: Nodes of one bucket that meet in one group, and candidates that a node returns in the first round.
-GROUP_NODES, FIRST, MORE = 4096, 16, 16
+#: Nodes of one bucket that meet in one group, and their words where they come with them.
+GROUP_NODES, GROUP_WORDS = 4096, 1 << 22
+#: Pairs of a group that are aligned before the next ones are chosen.
+FIRST = 1024
+#: Rounds in which a node is compared with a few partners, partners a round, and nodes of a bucket among which one is
+#: looked for; there is no further round if fewer than one in LEAST_JOINED of its pairs are links.
+PARTNER_ROUNDS, PARTNERS, REACH, LEAST_JOINED = 6, 4, 32, 20
 #: Bits of the map of nodes whose words are needed: 8 MB.
 NEED_BITS = 26
 #: Pairs of one representative that are aligned in one go, and salts of a representative's pairs.
@@ -237,83 +246,199 @@ def plausible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
     return rows.mapInArrow(task, "a binary, b binary")
 
 
-def _meet(similarity: float, most: int):
-    """Rows come sorted by group (bucket, x, y) and key; each returns its earliest candidates, ``most`` at most."""
+def _groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[pa.Table, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
+    """Tables of whole groups (bucket, x, y) with [bucket, x, y, block, root], sizes, bins and each row's first one."""
+    for table in whole_groups(batches, 3, rows):
+        if not table.num_rows:
+            continue
+        table = table.combine_chunks()
+        bucket, x, y, block, root, sizes = (table.column(k).to_numpy() for k in (0, 1, 2, 3, 5, 6))
+        new = np.ones(len(bucket), bool)
+        new[1:] = (bucket[1:] != bucket[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(bucket)), 0))
+        yield table, [bucket, x, y, block, root], sizes.astype(np.int64), _bins_of(table.column(7).combine_chunks()), first
 
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        """Runs of whole groups."""
-        held, rows = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = [batch.column(k).to_numpy() for k in range(3)]
-            new = np.zeros(batch.num_rows, bool)
-            for column in ids:
-                new[1:] |= column[1:] != column[:-1]
-            last = held[-1].slice(held[-1].num_rows - 1) if held else None
-            new[0] = last is not None and any(last.column(k)[0].as_py() != ids[k][0] for k in range(3))
-            cuts = np.flatnonzero(new)
-            if rows + batch.num_rows >= _GROUP_ROWS and len(cuts):
-                cut = int(cuts[-1])
-                yield pa.Table.from_batches([*held, batch.slice(0, cut)])
-                held, rows, batch = [], 0, batch.slice(cut)
-            held.append(batch)
-            rows += batch.num_rows
-        if held:
-            yield pa.Table.from_batches(held)
+
+def _partner(similarity: float):
+    """Rows come by group (bucket, x, y); each returns the next row of another class, in the order of the group's rows
+    and round its end, that it may be like, out of ``REACH``."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups(batches):
-            table = table.combine_chunks()
-            bucket, x, y, block, root, sizes = (table.column(k).to_numpy() for k in (0, 1, 2, 3, 5, 6))
-            sizes = sizes.astype(np.int64)
-            bins = _bins_of(table.column(7).combine_chunks())
-            n = len(bucket)
-            new = np.ones(n, bool)
-            new[1:] = (bucket[1:] != bucket[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-            first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-            found, more = np.zeros(n, np.int64), np.zeros(n, bool)
-            left, right = [], []
-            live, rank = np.arange(n), 0
-            while True:
-                live = live[(live - first[live] > rank) & ~more[live]]
+        for table, (bucket, x, y, block, root), sizes, bins, first in _groups(batches, _GROUP_ROWS):
+            many = np.bincount(first, minlength=len(first))[first]
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            live = np.arange(len(first))
+            for step in range(1, REACH + 1):
+                live = live[many[live] > step]
                 if not len(live):
                     break
-                hub = first[live] + rank
-                apart = (root[live] != root[hub]) & ((x[live] == y[live]) | (block[live] != block[hub]))
-                now, hub = live[apart], hub[apart]
-                good = may_be_alike(sizes, bins, now, hub, similarity)
-                now, hub = now[good], hub[good]
-                more[now[found[now] == most]] = True
-                fits = found[now] < most
-                left.append(hub[fits])
-                right.append(now[fits])
-                found[now] += 1
-                rank += 1
-            a = np.concatenate([*left, np.empty(0, np.int64)]).astype(np.int64)
-            b = np.concatenate([*right, np.empty(0, np.int64)]).astype(np.int64)
+                other = first[live] + (live - first[live] + step) % many[live]
+                apart = (root[live] != root[other]) & ((x[live] == y[live]) | (block[live] != block[other]))
+                at = np.flatnonzero(apart)
+                at = at[may_be_alike(sizes, bins, live[at], other[at], similarity)]
+                left.append(other[at])
+                right.append(live[at])
+                live = np.delete(live, at)
+            a, b = np.concatenate(left), np.concatenate(right)
             keys = table.column(4).combine_chunks()
             yield pa.RecordBatch.from_arrays(
-                [keys.take(pa.array(a)), keys.take(pa.array(b)), pa.array(bucket[b]), pa.array(more[b])],
-                names=["a", "b", "bucket", "more"],
+                [keys.take(pa.array(a)), keys.take(pa.array(b)), pa.array(bucket[b])], names=["a", "b", "bucket"]
             )
 
     return task
 
 
-def met_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float, most: int) -> DataFrame:
-    """(a, b, bucket, more): candidates of different classes in each bucket, and whether b may have more there."""
+class Shared:
+    """Which of the buckets that two nodes share has the pair: one of them, by a hash of both."""
+
+    def __init__(self, table: pa.Table, bucket: np.ndarray):
+        values = table.column(8).combine_chunks()
+        sizes = pc.list_value_length(values).to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.bucket = bucket.view(np.uint64)
+        #: The buckets of each row's node; the row's own fills up.
+        self.all = np.repeat(self.bucket[:, None], int(sizes.max()), axis=1)
+        self.all[row, place] = values.flatten().to_numpy().view(np.uint64)
+        keys = np.frombuffer(b"".join(table.column(4).to_pylist()), np.uint64)
+        self.name = keys.reshape(len(bucket), -1)[:, 0]
+
+    def here(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether rows a and b, of one bucket, have their pair in it."""
+        out = np.ones(len(a), bool)
+        pivot = mix(self.name[a] ^ self.name[b])
+        own = self.bucket[a] - pivot
+        open_ = np.arange(len(a))
+        for j in range(self.all.shape[1]):
+            value = self.all[a[open_], j]
+            ahead = np.flatnonzero(value - pivot[open_] < own[open_])
+            for k in range(0, len(ahead), FIRST):
+                some = ahead[k : k + FIRST]
+                met = (self.all[b[open_[some]]] == value[some, None]).any(axis=1)
+                out[open_[some[met]]] = False
+            open_ = open_[out[open_]]
+        return out
+
+
+def _candidates(columns: list[np.ndarray], sizes: np.ndarray, bins: np.ndarray, first: np.ndarray, similarity: float, most: int):
+    """(a, b) of rows of different classes that may be alike, about ``most`` at a time.
+
+    Pairs whose rows have got the same root in the meantime are left out."""
+    _, x, y, block, root = columns
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    count, live, rank = 0, np.arange(len(first)), 0
+    while True:
+        live = live[live - first[live] > rank]
+        if len(live):
+            other = first[live] + rank
+            apart = (root[live] != root[other]) & ((x[live] == y[live]) | (block[live] != block[other]))
+            now, other = live[apart], other[apart]
+            good = may_be_alike(sizes, bins, now, other, similarity)
+            held.append((other[good], now[good]))
+            count += int(good.sum())
+        if held and (count >= most or not len(live)):
+            a, b = (np.concatenate(c) for c in zip(*held, strict=True))
+            apart = root[a] != root[b]
+            yield a[apart], b[apart]
+            held, count = [], 0
+        if not len(live):
+            return
+        rank += 1
+
+
+def _meet(similarity: float):
+    """Rows come by group (bucket, x, y); returns those that may be like one of another class."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, columns, sizes, bins, first in _groups(batches, _GROUP_ROWS):
+            chosen = np.zeros(len(first), bool)
+            for a, b in _candidates(columns, sizes, bins, first, similarity, _GROUP_ROWS):
+                chosen[a] = chosen[b] = True
+            at = pa.array(np.flatnonzero(chosen))
+            yield pa.RecordBatch.from_arrays(
+                [table.column(k).combine_chunks().take(at) for k in (0, 4)], names=["bucket", "_key"]
+            )
+
+    return task
+
+
+def _align(similarity: float):
+    """Rows come by group (bucket, x, y) with their words; returns links (a, b), of each group fewer than its rows."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, columns, sizes, bins, first in _groups(batches, _GROUP_ROWS >> 3):
+            # classes are those of a group: what one links stays apart in others
+            named = np.stack([first, columns[4]], axis=1)
+            columns[4] = root = np.unique(named, axis=0, return_inverse=True)[1].reshape(-1)
+            words, left, right = table.column(9).combine_chunks(), [], []
+            shared = Shared(table, columns[0])
+            for a, b in _candidates(columns, sizes, bins, first, similarity, _GROUP_ROWS):
+                here = shared.here(a, b)
+                a, b = a[here], b[here]
+                for k in range(0, len(a), FIRST):
+                    one, two = a[k : k + FIRST], b[k : k + FIRST]
+                    apart = root[one] != root[two]
+                    one, two = one[apart].tolist(), two[apart].tolist()
+                    own = {i: np.frombuffer(words[i].as_buffer(), np.uint32) for i in {*one, *two}}
+                    good = alike([own[i] for i in one], [own[i] for i in two], similarity) if one else []
+                    for g in np.flatnonzero(good).tolist():
+                        if root[one[g]] != root[two[g]]:
+                            root[root == root[two[g]]] = root[one[g]]
+                            left.append(one[g])
+                            right.append(two[g])
+            keys = table.column(4).combine_chunks()
+            yield pa.RecordBatch.from_arrays(
+                [keys.take(pa.array(left, pa.int64())), keys.take(pa.array(right, pa.int64()))], names=["a", "b"]
+            )
+
+    return task
+
+
+def _dealt(members: DataFrame, nodes: DataFrame, roots: DataFrame, words: float = math.inf) -> DataFrame:
+    """(bucket, x, y, block, _key, root, _size, _bins) of the buckets that hold more than one class, in blocks of
+    GROUP_NODES nodes and about so many words at most."""
     known = members.join(roots.withColumnRenamed("node", "_key"), "_key", "left")
     known = known.select("bucket", "_key", F.coalesce("root", "_key").alias("root"))
-    per = known.groupBy("bucket").agg(
-        F.ceil(F.count("*") / GROUP_NODES).cast("int").alias("blocks"), F.min("root").alias("u"), F.max("root").alias("v")
+    rows = known.join(nodes.select("_key", "_size", "_bins"), "_key")
+    blocks = F.greatest(F.count("*") / GROUP_NODES, F.sum("_size") / words)
+    per = (known if words == math.inf else rows).groupBy("bucket").agg(
+        F.ceil(F.count("*") / GROUP_NODES if words == math.inf else blocks).cast("int").alias("blocks"),
+        F.min("root").alias("u"), F.max("root").alias("v"),
     ).filter("u <> v").select("bucket", "blocks")
-    dealt = in_block_pairs(known, per, "_key").withColumn("root", F.xxhash64("root"))
-    rows = dealt.join(nodes.select("_key", "_size", "_bins"), "_key").select(
-        "bucket", "x", "y", "block", "_key", "root", "_size", "_bins"
+    return in_block_pairs(rows, per, "_key").select(
+        "bucket", "x", "y", "block", "_key", F.xxhash64("root").alias("root"), "_size", "_bins"
+    )
+
+
+def _by_group(rows: DataFrame, *order: Column) -> DataFrame:
+    return rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", *order, "_key")
+
+
+def partner_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """(a, b, bucket): in each bucket a node with one of another class that it may be like; which one depends on ``turn``."""
+    rows = _by_group(_dealt(members, nodes, roots), F.xxhash64("_key", "bucket", F.lit(turn)))
+    return rows.mapInArrow(_partner(similarity), "a binary, b binary, bucket bigint")
+
+
+def _with_buckets(rows: DataFrame) -> DataFrame:
+    """``rows`` with all buckets of their node."""
+    return rows.join(rows.groupBy("_key").agg(F.array_sort(F.collect_set("bucket")).alias("buckets")), "_key").select(
+        *rows.columns, "buckets"
+    )
+
+
+def met_rows(members: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """The rows (bucket, _key) of ``members`` that may be like a row of another class of their bucket."""
+    rows = _by_group(_dealt(members, nodes, roots))
+    return rows.mapInArrow(_meet(similarity), "bucket bigint, _key binary").distinct()
+
+
+def met_links(met: DataFrame, nodes: DataFrame, roots: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that join all nodes of ``met``, from ``met_rows``, that are alike in a bucket."""
+    rows = _with_buckets(_dealt(met, nodes, roots, GROUP_WORDS)).join(words, "_key").select(
+        "bucket", "x", "y", "block", "_key", "root", "_size", "_bins", "buckets", "words"
     )
-    rows = rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "_key")
-    return rows.mapInArrow(_meet(similarity, most), "a binary, b binary, bucket bigint, more boolean")
+    return _by_group(rows).mapInArrow(_align(similarity), "a binary, b binary").distinct()
 
 
 def _key_bits(nodes: DataFrame) -> np.ndarray:
@@ -416,15 +541,15 @@ def linked(rows: DataFrame, docs: DataFrame, text_col: str, similarity: float) -
     pairs, links = None, None
     roots = nodes.select(F.col("_key").alias("node"), F.col("_key").alias("root")).limit(0)
 
-    def compared(found: DataFrame, by_counts: bool = True) -> bool:
-        """Verify the pairs that were not compared before; whether there are any."""
+    def compared(found: DataFrame, by_counts: bool = True) -> tuple[int, int]:
+        """Verify the pairs that were not compared before; how many there are, and how many links."""
         nonlocal pairs, links, roots
-        new = found.withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")})
+        new = found.withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")}).dropDuplicates(["low", "high"])
         if pairs is not None:
             new = new.join(pairs.select("low", "high"), ["low", "high"], "left_anti")
         new = stored(new, "near-pairs")
         if new.isEmpty():
-            return False
+            return 0, 0
         pairs = new if pairs is None else pairs.union(new)
         near = new.select("a", "b")
         if not by_counts:
@@ -432,18 +557,20 @@ def linked(rows: DataFrame, docs: DataFrame, text_col: str, similarity: float) -
         good = stored(verified(near, words, similarity), "near-links")
         links = good if links is None else links.union(good)
         roots = spread(components(links))
-        return True
+        return new.count(), good.count()
 
     compared(hub_pairs(members, nodes, similarity), by_counts=False)
-    most = FIRST
-    while True:
-        met = stored(met_pairs(members, nodes, roots, similarity, most), "near-met")
-        compared(met.select("a", "b").distinct())
-        open_ = met.filter("more").select("bucket").distinct()
-        if open_.isEmpty():
-            return roots
-        members = stored(members.join(open_, "bucket", "left_semi"), "near-members")
-        most *= MORE
+    some = members
+    for turn in range(PARTNER_ROUNDS):
+        found = stored(partner_pairs(some, nodes, roots, similarity, turn), "near-partners")
+        few = found.groupBy("b").agg(F.slice(F.array_sort(F.collect_set("a")), 1, PARTNERS).alias("a"))
+        tried, joined = compared(few.select(F.explode("a").alias("a"), "b"))
+        if joined * LEAST_JOINED <= tried:
+            break
+        some = stored(some.join(found.select("bucket").distinct(), "bucket", "left_semi"), "near-some")
+    met = stored(met_rows(members, nodes, roots, similarity), "near-met")
+    good = stored(met_links(met, nodes, roots, words, similarity), "near-links")
+    return roots if good.isEmpty() else components(good if links is None else links.union(good))
 
 
 def near_classes(

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from kvflow.llm import order_minhash
 from kvflow.llm.alignment import _band, limit
 from kvflow.llm.order_minhash import _key, may_be_alike, near_classes, sketches
 from kvflow.llm.words import words_of
@@ -111,3 +112,34 @@ def test_recall_over_the_documents(spark):
     for k in label:
         chains.setdefault(label[k], set()).add(root(k))
     assert all(len(roots) == 1 for roots in chains.values())
+
+
+def test_groups_that_are_only_just_alike(spark, monkeypatch):
+    """No table of the search has more rows than buckets have members, though hubs join few of the nodes."""
+    rnd = random.Random(12)
+    base = [f"w{rnd.randrange(10 ** 6)}" for _ in range(100)]
+    texts = []
+    for i in range(150):
+        own = list(base)
+        for k in rnd.sample(range(100), 12):
+            own[k] = f"x{i}y{k}"
+        texts.append(" ".join(own))
+    rows = {}
+    plain = order_minhash.stored
+
+    def counted(df, label):
+        out = plain(df, label)
+        rows.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(order_minhash, "stored", counted)
+    found = classes(spark, texts)
+    made = sketches(pa.array(texts))
+    buckets = dict(zip(made[0].to_pylist(), map(set, made[1].to_pylist())))
+    pairs = [(a, b) for a, b in similarities(texts) if buckets[a] & buckets[b]]
+    least = {k: i for i, k in enumerate(made[0].to_pylist())}
+    for _ in texts:
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    assert found == least
+    assert max(n for label in rows if label != "near-members" for n in rows[label]) <= sum(rows["near-members"])
