@@ -399,13 +399,15 @@ def _dealt(members: DataFrame, nodes: DataFrame, roots: DataFrame, words: float
     GROUP_NODES nodes and about so many words at most."""
     known = members.join(roots.withColumnRenamed("node", "_key"), "_key", "left")
     known = known.select("bucket", "_key", F.coalesce("root", "_key").alias("root"))
-    rows = known.join(nodes.select("_key", "_size", "_bins"), "_key")
-    blocks = F.greatest(F.count("*") / GROUP_NODES, F.sum("_size") / words)
-    per = (known if words == math.inf else rows).groupBy("bucket").agg(
-        F.ceil(F.count("*") / GROUP_NODES if words == math.inf else blocks).cast("int").alias("blocks"),
-        F.min("root").alias("u"), F.max("root").alias("v"),
+    blocks, sized = F.count("*") / GROUP_NODES, known
+    if words < math.inf:
+        sized = known.join(nodes.select("_key", "_size"), "_key")
+        blocks = F.greatest(blocks, F.sum("_size") / words)
+    per = sized.groupBy("bucket").agg(
+        F.ceil(blocks).cast("int").alias("blocks"), F.min("root").alias("u"), F.max("root").alias("v")
     ).filter("u <> v").select("bucket", "blocks")
-    return in_block_pairs(rows, per, "_key").select(
+    # most buckets go here, so counts of words are joined to what is left
+    return in_block_pairs(known, per, "_key").join(nodes.select("_key", "_size", "_bins"), "_key").select(
         "bucket", "x", "y", "block", "_key", F.xxhash64("root").alias("root"), "_size", "_bins"
     )
 
